@@ -6,6 +6,7 @@ import importlib
 
 MODULES: list[str] = [
     "q_metrics",
+    "q_contracts",
 ]
 
 
