@@ -7,6 +7,7 @@ import importlib
 MODULES: list[str] = [
     "q_metrics",
     "q_contracts",
+    "q_features",
 ]
 
 
