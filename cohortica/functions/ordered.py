@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SEG = "_range"
 _TO = "_to_range"
@@ -180,3 +180,11 @@ def lookup_positions(positions: DataFrame, reference: DataFrame, keys: Sequence[
     found = merged.where(F.col("_side") == 1).select(
         *keys, F.col("_pos").alias(position), out)
     return positions.join(found, [*keys, position])
+
+
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation aggregate; NULL instead of an error when a side is constant."""
+    ca, cb = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x = F.when(cb.isNotNull(), ca.cast("double"))
+    y = F.when(ca.isNotNull(), cb.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

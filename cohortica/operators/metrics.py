@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortica.functions.ordered import (_SEG, pct_rank, quantiles_wide, range_count, running,
-                                         value_ranks, with_ranges)
+                                         safe_corr, value_ranks, with_ranges)
 
 
 def tie_groups(df: DataFrame, keys: Sequence[str], score: str, label: str,
@@ -146,8 +146,8 @@ def correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFr
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = pct_rank(pct_rank(pairs, by, a, "_ra"), by, b, "_rb")
     return (ranked.groupBy(*by) if by else ranked).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.corr(a, b).alias("pearson"),
-        F.corr("_ra", "_rb").alias("spearman"))
+        F.count(F.lit(1)).alias("n_rows"), safe_corr(a, b).alias("pearson"),
+        safe_corr("_ra", "_rb").alias("spearman"))
 
 
 def ks_uniform(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0,

@@ -8,6 +8,8 @@ MODULES: list[str] = [
     "q_metrics",
     "q_contracts",
     "q_features",
+    "q_tables",
+    "q_splits",
 ]
 
 
