@@ -10,6 +10,8 @@ MODULES: list[str] = [
     "q_features",
     "q_tables",
     "q_splits",
+    "q_inference",
+    "q_ensemble",
 ]
 
 

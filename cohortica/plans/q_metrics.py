@@ -167,9 +167,9 @@ def ks_uniform(spark, sf_dir):
 
 
 @query("a36_calibration", SCORES_SQL + """
-SELECT mes, count(*) AS n_rows, round(avg(m2), 9) AS mean_score, round(avg(objetivo), 9) AS event_rate, round(avg(objetivo - m2), 9) AS mean_residual FROM scores GROUP BY mes""")
+SELECT mes, count(*) AS n_rows, round(avg(m1), 9) AS mean_score, round(avg(objetivo), 9) AS event_rate, round(avg(objetivo - m1), 9) AS mean_residual FROM scores GROUP BY mes""")
 def calibration(spark, sf_dir):
-    return M.calibration(scores(spark, sf_dir), "m2", "objetivo", ["mes"]).select(
+    return M.calibration(scores(spark, sf_dir), "m1", "objetivo", ["mes"]).select(
         "mes", "n_rows", r9("mean_score"), r9("event_rate"), r9("mean_residual"))
 
 

@@ -278,13 +278,13 @@ def id_range_by_entry(spark, sf_dir):
 
 
 @query("a35_residual_table", SCORES_SQL + """
-SELECT banda_riesgo, least(numero_productos, 3) AS products, count(*) AS n_rows, round(avg(objetivo), 9) AS observed, round(avg(m2), 9) AS expected,
-  round(avg(objetivo - m2), 9) AS residual FROM scores GROUP BY 1, 2""")
+SELECT banda_riesgo, least(numero_productos, 3) AS products, count(*) AS n_rows, round(avg(objetivo), 9) AS observed, round(avg(m1), 9) AS expected,
+  round(avg(objetivo - m1), 9) AS residual FROM scores GROUP BY 1, 2""")
 def residual_table(spark, sf_dir):
     from cohortica.plans.panel import with_scores
     df = with_scores(panel(spark, sf_dir))
     return rounded(P.residual_table(df, ["banda_riesgo", X.capped("numero_productos", 3).alias("products")],
-                                    "m2", "objetivo"))
+                                    "m1", "objetivo"))
 
 
 @query("a37_timing_rollup", """
