@@ -109,8 +109,19 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def pct_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Average-tie percentile rank in (0, 1]; NULL values get NULL and are not counted."""
-    ranks = value_ranks(df, keys, value).select(*keys, value, F.col("pct_rank").alias(out))
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+    return add_ranks(df, keys, {value: out})
+
+
+def add_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Percentile ranks of several columns; every rank table comes from ``df`` itself.
+
+    Chaining single ranks would recompute the earlier joins for each later rank.
+    """
+    out = df
+    for value, name in columns.items():
+        ranks = value_ranks(df, keys, value).select(*keys, value, F.col("pct_rank").alias(name))
+        out = out.join(ranks, [*keys, value], "left")
+    return out.select(*df.columns, *columns.values())
 
 
 def pct_ranks(df: DataFrame, row_key: Sequence[str], keys: Sequence[str],

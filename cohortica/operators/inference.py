@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,6 +12,9 @@ from cohortica.functions.ordered import row_numbers
 from cohortica.operators.metrics import auc_table
 from cohortica.spec import DEFAULT, PanelSpec
 
+# Replicate number of the unweighted point estimates in a bootstrap table.
+OBSERVED = -1
+
 # Cumulative Poisson(1) probabilities up to 16; beyond that the mass is below 1e-14.
 _POISSON_STEPS = 17
 
@@ -64,16 +68,19 @@ def entity_weights(df: DataFrame, replicates: int, seed: int, scheme: str = "mul
 
 def bootstrap_ginis(long: DataFrame, replicates: int, seed: int, by: Sequence[str] = ("model", "mes"),
                     score: str = "score", scheme: str = "multinomial", first: int = 0,
-                    spec: PanelSpec = DEFAULT) -> DataFrame:
+                    observed: bool = False, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Gini per replicate and key, one shared entity draw per replicate.
 
-    Rows are first collapsed to what the metric needs; each replicate only adds a
-    weight. Single-class replicates give NULL; see ``require_both_classes``.
-    ``first`` lets a caller run replicates in chunks and append the results.
+    Single-class replicates give NULL; see ``require_both_classes``. ``first`` lets a
+    caller run replicates in chunks and append the results. With ``observed`` the
+    point estimates come out of the same pass, as replicate ``OBSERVED`` of weight 1.
     """
     rows = long.select(spec.entity, *by, score, spec.label)
     weights = entity_weights(rows, replicates, seed, scheme, first, spec)
     weighted = rows.join(weights, spec.entity)
+    if observed:
+        weighted = weighted.unionByName(rows.select(
+            "*", F.lit(OBSERVED).alias("replicate"), F.lit(1).alias("weight")))
     return auc_table(weighted, ["replicate", *by], score, spec.label, "weight").select(
         "replicate", *by, "gini")
 
@@ -90,64 +97,54 @@ def holm(df: DataFrame, p: str, by: Sequence[str] = (), order: Sequence[str] = (
     return stepped.withColumn(out, F.max("_step").over(upto)).drop("_step")
 
 
-def _summary(deltas: DataFrame, keys: Sequence[str], center: str) -> DataFrame:
-    """Interval and centred two-sided p-value per key. Groups are as large as the replicate count."""
-    base = deltas.groupBy(*keys).agg(
-        F.max("observed").alias("delta"), F.percentile("draw", F.lit(0.025)).alias("ci_low"),
-        F.percentile("draw", F.lit(0.975)).alias("ci_high"), F.avg("draw").alias("_mean"),
-        F.avg((F.col("draw") > 0).cast("int")).alias("p_positive"))
+def delta_draws(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str = "mes") -> DataFrame:
+    """Paired differences ``(replicate, a, b, period, draw)``, per period and for the period mean.
+
+    ``table`` is (replicate, model, period, gini). The models of one replicate and
+    period sit side by side in a map, so no self join is needed.
+    """
+    side = table.groupBy("replicate", period).agg(
+        F.map_from_entries(F.collect_list(F.struct("model", "gini"))).alias("_g"))
+    options = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    each = side.select("replicate", period, "_g", F.inline(options)).select(
+        "replicate", "a", "b",
+        F.explode(F.array(F.col(period).cast("string"), F.lit("mean"))).alias("period"),
+        (F.col("_g")[F.col("a")] - F.col("_g")[F.col("b")]).alias("_d"))
+    return each.groupBy("replicate", "a", "b", "period").agg(F.avg("_d").alias("draw"))
+
+
+def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str = "mes",
+                center: str = "observed", family: Sequence[str] = ()) -> DataFrame:
+    """Delta, 95% interval, p-value per pair and period, Holm over the pair means.
+
+    ``table`` comes from ``bootstrap_ginis(observed=True)``. Each output row gathers
+    one number per replicate, so its size is the replicate count.
+    """
+    draws = delta_draws(table, pairs, period)
+    drawn = F.col("replicate") != OBSERVED
+    d = F.when(drawn, F.col("draw"))
+    rows = draws.groupBy("a", "b", "period").agg(
+        F.max(F.when(~drawn, F.col("draw"))).alias("delta"),
+        F.percentile(d, F.lit(0.025)).alias("ci_low"), F.percentile(d, F.lit(0.975)).alias("ci_high"),
+        F.avg(d).alias("_mean"), F.avg((d > 0).cast("int")).alias("p_positive"),
+        F.collect_list(d).alias("_draws"))
     middle = F.col("delta") if center == "observed" else F.col("_mean")
-    joined = deltas.join(base, list(keys))
-    far = (F.round(F.abs(F.col("draw") - middle), 12) >= F.round(F.abs(F.col("delta")), 12)).cast("int")
-    p = joined.groupBy(*keys).agg(
-        ((F.lit(1) + F.sum(far)) / (F.count(F.lit(1)) + F.lit(1))).alias("p_two_sided"))
-    return base.drop("_mean").join(p, list(keys))
+    far = F.size(F.filter("_draws", lambda x: F.round(F.abs(x - middle), 12) >= F.round(F.abs(F.col("delta")), 12)))
+    tested = rows.withColumn("p_two_sided", (far + 1) / (F.size("_draws") + 1)).drop("_draws", "_mean")
+    mean_only = F.when(F.col("period") == "mean", F.round("p_two_sided", 12))
+    ranked = tested.withColumn("_family", F.col("period") == "mean").withColumn("_p", mean_only)
+    adjusted = holm(ranked, "_p", ["_family", *family], ["a", "b", "period"])
+    return adjusted.withColumn("p_holm", F.when(F.col("_family"), F.col("p_holm"))).drop("_family", "_p")
 
 
-def delta_draws(draws: DataFrame, points: DataFrame, pairs: DataFrame, period: str = "mes") -> DataFrame:
-    """Paired differences per (a, b): each period and the mean over periods.
+def pairs_against(models: Sequence[str], *baselines: str) -> list[tuple[str, str]]:
+    """Every other model against each baseline."""
+    return [(m, b) for b in baselines for m in models if m != b]
 
-    ``draws`` has (replicate, model, period, gini), ``points`` the observed values
-    and ``pairs`` the model pairs to compare. All are metric tables, not data rows.
-    """
-    def both(table: DataFrame, keys: list[str]) -> DataFrame:
-        a = table.select(*keys, F.col("model").alias("a"), F.col("gini").alias("_ga"))
-        b = table.select(*keys, F.col("model").alias("b"), F.col("gini").alias("_gb"))
-        return (pairs.join(a, "a").join(b, [*keys, "b"])
-                .withColumn("_d", F.col("_ga") - F.col("_gb")).drop("_ga", "_gb"))
-
-    per = both(draws, ["replicate", period]).withColumn("period", F.col(period).cast("string"))
-    obs = both(points, [period]).withColumn("period", F.col(period).cast("string"))
-    mean = per.groupBy("replicate", "a", "b").agg(F.avg("_d").alias("_d")).withColumn("period", F.lit("mean"))
-    obs_mean = obs.groupBy("a", "b").agg(F.avg("_d").alias("_d")).withColumn("period", F.lit("mean"))
-    cols = ["a", "b", "period"]
-    all_draws = per.select("replicate", *cols, F.col("_d").alias("draw")).unionByName(
-        mean.select("replicate", *cols, F.col("_d").alias("draw")))
-    all_obs = obs.select(*cols, F.col("_d").alias("observed")).unionByName(
-        obs_mean.select(*cols, F.col("_d").alias("observed")))
-    return all_draws.join(all_obs, cols)
-
-
-def delta_table(draws: DataFrame, points: DataFrame, pairs: DataFrame, period: str = "mes",
-                center: str = "observed") -> DataFrame:
-    """Delta, 95% interval, p-value per pair and period, Holm over the pair means."""
-    table = _summary(delta_draws(draws, points, pairs, period), ["a", "b", "period"], center)
-    adjusted = holm(table.where(F.col("period") == "mean").withColumn("_p", F.round("p_two_sided", 12)),
-                    "_p", order=["a", "b"]).select("a", "b", "period", "p_holm")
-    return table.join(adjusted, ["a", "b", "period"], "left")
-
-
-def pairs_against(models: DataFrame, baseline: str) -> DataFrame:
-    """Every other model against one baseline, from a table of model names."""
-    return models.where(F.col("model") != baseline).select(
-        F.col("model").alias("a"), F.lit(baseline).alias("b"))
-
-
-def all_pairs(models: DataFrame) -> DataFrame:
-    """Every unordered pair of a model-name table (a few names)."""
-    a = models.select(F.col("model").alias("a"))
-    b = models.select(F.col("model").alias("b"))
-    return a.join(b, F.col("a") < F.col("b"))
+
+def all_pairs(models: Sequence[str]) -> list[tuple[str, str]]:
+    """Every unordered pair."""
+    return list(combinations(sorted(models), 2))
 
 
 def pooled_delta(df: DataFrame, a: str, b: str, replicates: int, seed: int,
@@ -159,24 +156,20 @@ def pooled_delta(df: DataFrame, a: str, b: str, replicates: int, seed: int,
     """
     by = list(by)
     long = df.unpivot([spec.entity, *by, spec.label], [a, b], "model", "score")
-    points = auc_table(long, [*by, "model"], "score", spec.label)
-    draws = bootstrap_ginis(long, replicates, seed, [*by, "model"], "score", scheme, spec=spec)
-
-    def diff(table: DataFrame, keys: list[str], out: str) -> DataFrame:
-        grouped = table.groupBy(*keys) if keys else table.groupBy()
-        return grouped.agg((F.max(F.when(F.col("model") == a, F.col("gini")))
-                            - F.max(F.when(F.col("model") == b, F.col("gini")))).alias(out))
-
-    per = diff(draws, ["replicate", *by], "_d").where(F.col("_d").isNotNull())
-    ci = (per.groupBy(*by) if by else per).agg(
-        F.percentile("_d", F.lit(0.025)).alias("ci95_low"), F.percentile("_d", F.lit(0.975)).alias("ci95_high"),
-        F.count(F.lit(1)).alias("bootstrap_replicates"))
-    observed = diff(points, by, "delta_gini")
-    return observed.join(ci, by) if by else observed.crossJoin(ci)
-
-
-def probability_of_best(draws: DataFrame, period: str | None = None) -> DataFrame:
+    table = bootstrap_ginis(long, replicates, seed, [*by, "model"], "score", scheme, observed=True, spec=spec)
+    per = table.groupBy("replicate", *by).agg(
+        (F.max(F.when(F.col("model") == a, F.col("gini")))
+         - F.max(F.when(F.col("model") == b, F.col("gini")))).alias("_d"))
+    drawn = F.when(F.col("replicate") != OBSERVED, F.col("_d"))
+    return (per.groupBy(*by) if by else per).agg(
+        F.max(F.when(F.col("replicate") == OBSERVED, F.col("_d"))).alias("delta_gini"),
+        F.percentile(drawn, F.lit(0.025)).alias("ci95_low"), F.percentile(drawn, F.lit(0.975)).alias("ci95_high"),
+        F.count(drawn).alias("bootstrap_replicates"))
+
+
+def probability_of_best(table: DataFrame, period: str | None = None) -> DataFrame:
     """Share of replicates in which each model is highest; ties are split."""
+    draws = table.where(F.col("replicate") != OBSERVED)
     if period is None:
         values = draws.groupBy("replicate", "model").agg(F.avg("gini").alias("v"))
         keys: list[str] = []
@@ -190,13 +183,12 @@ def probability_of_best(draws: DataFrame, period: str | None = None) -> DataFram
     return flagged.withColumn("_s", share).groupBy(*keys, "model").agg(F.avg("_s").alias("p_best"))
 
 
-def two_baselines(draws: DataFrame, points: DataFrame, models: DataFrame, first: str, second: str) -> DataFrame:
-    """Mean delta of every candidate against two baselines side by side."""
-    def one(base: str) -> DataFrame:
-        table = delta_table(draws, points, pairs_against(models, base)).where(F.col("period") == "mean")
-        return table.select(F.col("a").alias("candidate"), *[
-            F.col(c).alias(f"{c}_vs_{base}") for c in ("delta", "ci_low", "ci_high", "p_two_sided", "p_holm")])
-    return one(first).join(one(second), "candidate", "full_outer")
+def two_baselines(table: DataFrame, models: Sequence[str], first: str, second: str) -> DataFrame:
+    """Mean delta of every candidate against two baselines side by side, Holm per baseline."""
+    rows = delta_table(table, pairs_against(models, first, second), family=["b"]).where(F.col("period") == "mean")
+    return rows.groupBy(F.col("a").alias("candidate")).agg(*[
+        F.max(F.when(F.col("b") == base, F.col(c))).alias(f"{c}_vs_{base}")
+        for base in (first, second) for c in ("delta", "ci_low", "ci_high", "p_two_sided", "p_holm")])
 
 
 def gate(temporal: DataFrame, held_out: DataFrame, cohorts: DataFrame) -> DataFrame:

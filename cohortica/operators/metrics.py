@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortica.functions.ordered import (_SEG, pct_rank, quantiles_wide, range_count, running,
+from cohortica.functions.ordered import (_SEG, add_ranks, quantiles_wide, range_count, running,
                                          safe_corr, value_ranks, with_ranges)
 
 
@@ -144,7 +144,7 @@ def correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFr
     """Pearson and Spearman correlation of two columns."""
     by = list(by)
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = pct_rank(pct_rank(pairs, by, a, "_ra"), by, b, "_rb")
+    ranked = add_ranks(pairs, by, {a: "_ra", b: "_rb"})
     return (ranked.groupBy(*by) if by else ranked).agg(
         F.count(F.lit(1)).alias("n_rows"), safe_corr(a, b).alias("pearson"),
         safe_corr("_ra", "_rb").alias("spearman"))

@@ -12,6 +12,9 @@ MODULES: list[str] = [
     "q_splits",
     "q_inference",
     "q_ensemble",
+    "q_survival",
+    "q_models",
+    "q_lineage",
 ]
 
 

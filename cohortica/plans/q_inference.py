@@ -52,8 +52,7 @@ def delta_sql(pairs: str, center: str) -> str:
 
 def drawn(spark, sf_dir):
     long = long_scores(valid_scores(spark, sf_dir), MODELS)
-    points = M.auc_table(long, ["model", "mes"]).select("model", "mes", "gini")
-    return I.bootstrap_ginis(long, R, SEED), points, points.select("model").distinct()
+    return I.bootstrap_ginis(long, R, SEED, observed=True)
 
 
 @query("b0_entity_weights", SCORES_SQL + "," + boot_sql("valid") + "SELECT replicate, id_cliente, weight FROM bw")
@@ -82,20 +81,19 @@ def pooled_delta(spark, sf_dir):
 @query("b2_bootstrap_ginis", DRAWS_SQL + "SELECT replicate, model, mes, round(gini, 9) AS gini FROM dg")
 def bootstrap_ginis(spark, sf_dir):
     """B2 and J14."""
-    return rounded(M.require_both_classes(drawn(spark, sf_dir)[0]))
+    long = long_scores(valid_scores(spark, sf_dir), MODELS)
+    return rounded(M.require_both_classes(I.bootstrap_ginis(long, R, SEED)))
 
 
 @query("b3_delta_vs_baseline", delta_sql(VS_M1, "o"))
 def delta_vs_baseline(spark, sf_dir):
     """B3 and W16."""
-    draws, points, models = drawn(spark, sf_dir)
-    return rounded(I.delta_table(draws, points, I.pairs_against(models, "m1")))
+    return rounded(I.delta_table(drawn(spark, sf_dir), I.pairs_against(MODELS, "m1")))
 
 
 @query("b4_all_pairs", delta_sql(ALL_PAIRS, "o"))
 def all_pairs(spark, sf_dir):
-    draws, points, models = drawn(spark, sf_dir)
-    return rounded(I.delta_table(draws, points, I.all_pairs(models)))
+    return rounded(I.delta_table(drawn(spark, sf_dir), I.all_pairs(MODELS)))
 
 
 @query("b5_two_baselines", DRAWS_SQL + """,
@@ -106,8 +104,7 @@ SELECT c AS candidate, round(max(d) FILTER (base = 'm1'), 9) AS delta_vs_m1, rou
   JOIN om ox ON ox.model = x.model JOIN om oy ON oy.model = y.model WHERE y.model IN ('m1', 'm2') AND x.model <> y.model GROUP BY 1, 2) GROUP BY 1""")
 def two_baselines(spark, sf_dir):
     """B5 and J10."""
-    draws, points, models = drawn(spark, sf_dir)
-    out = I.two_baselines(draws, points, models, "m1", "m2")
+    out = I.two_baselines(drawn(spark, sf_dir), MODELS, "m1", "m2")
     return rounded(out.select("candidate", "delta_vs_m1", "ci_low_vs_m1", "delta_vs_m2", "ci_low_vs_m2"))
 
 
@@ -116,13 +113,12 @@ mm AS (SELECT replicate, model, avg(gini) AS v FROM dg GROUP BY 1, 2),
 w AS (SELECT *, CASE WHEN max(v) OVER (PARTITION BY replicate) - v <= 1e-12 THEN 1 ELSE 0 END AS win FROM mm)
 SELECT model, round(avg(s), 9) AS p_best FROM (SELECT model, win / CAST(sum(win) OVER (PARTITION BY replicate) AS DOUBLE) AS s FROM w) GROUP BY model""")
 def probability_of_best(spark, sf_dir):
-    return rounded(I.probability_of_best(drawn(spark, sf_dir)[0]))
+    return rounded(I.probability_of_best(drawn(spark, sf_dir)))
 
 
 @query("b7_mean_centred", delta_sql(VS_M1, "mid"))
 def mean_centred(spark, sf_dir):
-    draws, points, models = drawn(spark, sf_dir)
-    return rounded(I.delta_table(draws, points, I.pairs_against(models, "m1"), center="mean"))
+    return rounded(I.delta_table(drawn(spark, sf_dir), I.pairs_against(MODELS, "m1"), center="mean"))
 
 
 HELD = "CAST('0x' || substr(sha256(CAST(id_cliente AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortica.functions.ordered import pct_rank, pct_ranks
+from cohortica.functions.ordered import add_ranks, pct_ranks
 from cohortica.operators import metrics as M
 from cohortica.plans.panel import (PANEL_SQL, SCORES_SQL, gini_sql, long_scores, panel, scores,
                                    valid_scores, with_scores)
@@ -39,7 +39,7 @@ def monthly_blend_gini(spark, sf_dir):
 SELECT id_cliente, mes, round({rank_sql('m1','mes')}, 12) AS rk_m1, round({rank_sql('m3','mes')}, 12) AS rk_m3 FROM scores""")
 def within_month_rank(spark, sf_dir):
     df = scores(spark, sf_dir)
-    ranked = pct_rank(pct_rank(df, ["mes"], "m1", "rk_m1"), ["mes"], "m3", "rk_m3")
+    ranked = add_ranks(df, ["mes"], {"m1": "rk_m1", "m3": "rk_m3"})
     return ranked.select("id_cliente", "mes", r9("rk_m1", 12), r9("rk_m3", 12))
 
 
