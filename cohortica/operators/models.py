@@ -118,16 +118,25 @@ def binned_logistic_pipeline(train: DataFrame, spec: ModelSpec, label: str, n_ro
 
 def fit(train: DataFrame, spec: ModelSpec, seed: int = 42, weight: str | None = None,
         validation: str | None = None, panel: PanelSpec = DEFAULT):
-    """Fit one configuration on prepared or raw rows."""
+    """Fit one configuration.
+
+    Every pipeline stage reads the training rows again, so the pruned rows are kept
+    (spilling to disk) while the stages are fitted.
+    """
     data = prepare(train, spec)
-    if spec.kind == "gbt":
-        return gbt_pipeline(spec, panel.label, seed, weight, validation).fit(data)
-    n = data.count()
-    if spec.kind in ("logistic", "rules"):
-        return logistic_pipeline(spec, panel.label, n, weight).fit(data)
-    if spec.kind == "binned_logistic":
-        return binned_logistic_pipeline(data, spec, panel.label, n, weight).fit(data)
-    raise ValueError(f"unknown model kind {spec.kind}")
+    extra = [c for c in (panel.label, weight, validation) if c]
+    data = data.select(*extra, *spec.numeric, *spec.categorical).persist()
+    try:
+        if spec.kind == "gbt":
+            return gbt_pipeline(spec, panel.label, seed, weight, validation).fit(data)
+        n = data.count()
+        if spec.kind in ("logistic", "rules"):
+            return logistic_pipeline(spec, panel.label, n, weight).fit(data)
+        if spec.kind == "binned_logistic":
+            return binned_logistic_pipeline(data, spec, panel.label, n, weight).fit(data)
+        raise ValueError(f"unknown model kind {spec.kind}")
+    finally:
+        data.unpersist()
 
 
 def score(model, df: DataFrame, spec: ModelSpec, keep: Sequence[str], out: str = "prediccion") -> DataFrame:

@@ -60,9 +60,7 @@ def cox_gini(spark, sf_dir):
 
 @query("m6_cloglog_gini")
 def cloglog_gini(spark, sf_dir):
-    """M6: discrete hazard on yearly tenure steps, Gini of the validation month."""
+    """M6: discrete hazard with one dummy per month of tenure, Gini of the validation month."""
     train, valid = intervals(spark, sf_dir)
-    yearly = F.ceil(F.col("stop") / 12).cast("int")
-    out = S.score_cloglog(train.withColumn("stop", yearly), valid.withColumn("stop", yearly),
-                          ["edad", "numero_productos", "saldo_promedio"], ["banda_riesgo"])
+    out = S.score_cloglog(train, valid, ["edad", "numero_productos", "saldo_promedio"], ["banda_riesgo"])
     return M.auc_table(out, ["mes"], "prediccion")
