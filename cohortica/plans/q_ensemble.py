@@ -24,11 +24,11 @@ CANDIDATES = [
 def candidates_sql(source: str) -> str:
     return f"""
 cr AS (SELECT id_cliente, mes, objetivo, {rank_sql('m1', 'mes')} AS r1, {rank_sql('m2', 'mes')} AS r2, {rank_sql('m3', 'mes')} AS r3 FROM {source}),
-cg AS (SELECT *, round((r1 + r2) / 2, 12) AS g12, round(r1, 12) AS s1, round(r2, 12) AS s2, round(r3, 12) AS s3 FROM cr),
+cg AS (SELECT *, round((r1 + r2) / 2, 12) AS g12 FROM cr),
 ck AS (SELECT *, {rank_sql('g12', 'mes')} AS k12 FROM cg),
 cand AS (SELECT 'pair' AS candidate, 0 AS priority, id_cliente, mes, objetivo, round(k12, 12) AS score FROM ck
-  UNION ALL SELECT 'flat', 1, id_cliente, mes, objetivo, round((1.0::DOUBLE / 3) * s1 + (1.0::DOUBLE / 3) * s2 + (1.0::DOUBLE / 3) * s3, 12) FROM ck
-  UNION ALL SELECT 'half', 2, id_cliente, mes, objetivo, round(0.5::DOUBLE * k12 + 0.5::DOUBLE * s3, 12) FROM ck)"""
+  UNION ALL SELECT 'flat', 1, id_cliente, mes, objetivo, round((1.0::DOUBLE / 3) * r1 + (1.0::DOUBLE / 3) * r2 + (1.0::DOUBLE / 3) * r3, 12) FROM ck
+  UNION ALL SELECT 'half', 2, id_cliente, mes, objetivo, round(0.5::DOUBLE * k12 + 0.5::DOUBLE * r3, 12) FROM ck)"""
 
 
 @query("e1_rank_average", SCORES_SQL + f"""
@@ -70,7 +70,7 @@ def quantile_map(spark, sf_dir):
 GRID_SQL = SCORES_SQL + f""",
 gr AS (SELECT a * 25 + b * 5 + (4 - a - b) AS weight_id, a / 4.0::DOUBLE AS w_m1, b / 4.0::DOUBLE AS w_m2, (4 - a - b) / 4.0::DOUBLE AS w_m3
   FROM generate_series(0, 4) x(a), generate_series(0, 4) y(b) WHERE a + b <= 4),
-rr AS (SELECT mes, objetivo, round({rank_sql('m1', 'mes')}, 12) AS r1, round({rank_sql('m2', 'mes')}, 12) AS r2, round({rank_sql('m3', 'mes')}, 12) AS r3 FROM valid),
+rr AS (SELECT mes, objetivo, {rank_sql('m1', 'mes')} AS r1, {rank_sql('m2', 'mes')} AS r2, {rank_sql('m3', 'mes')} AS r3 FROM valid),
 gs AS (SELECT weight_id, mes, objetivo, round(r1 * w_m1 + r2 * w_m2 + r3 * w_m3, 12) AS score FROM rr, gr),
 {gini_sql('gs', 'weight_id, mes')}"""
 
