@@ -39,44 +39,57 @@ def with_ranges(df: DataFrame, by: Sequence[str], ranges: int | None = None) ->
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
-            ranges: int | None = None) -> DataFrame:
-    """Inclusive running sums / maxima over ``order`` within ``keys``.
+            totals: dict[str, str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Inclusive running sums / maxima over ``order`` within ``keys``, and whole-key totals.
 
-    ``sums`` and ``maxes`` map output name to input column. ``(keys, order)`` must
-    be unique. Each range is scanned once; the last row of each range sends its
-    running value to the later ranges, where it is added for the same key.
+    ``sums``, ``maxes`` and ``totals`` map output name to input column; ``(keys,
+    order)`` must be unique. Each range is scanned once. Only the first and the last
+    key of a range can reach into other ranges, so the last row of such a key sends
+    its local result there: at most two messages from each range to each other one.
     """
     keys, order = list(keys), list(order)
     n = ranges or range_count(df)
-    plan = [(out, c, F.sum) for out, c in (sums or {}).items()]
-    plan += [(out, c, F.max) for out, c in (maxes or {}).items()]
+    plan = [(out, c, F.sum, "run") for out, c in (sums or {}).items()]
+    plan += [(out, c, F.max, "run") for out, c in (maxes or {}).items()]
+    plan += [(out, c, F.sum, "total") for out, c in (totals or {}).items()]
     ranged = with_ranges(df, keys + order, n)
     in_key = Window.partitionBy(_SEG, *keys).orderBy(*order)
     upto = in_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_range = Window.partitionBy(_SEG).orderBy(*keys, *order)
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
     local = ranged.select(
         "*",
-        *[f(c).over(upto).alias(f"_run_{out}") for out, c, f in plan],
-        F.lead(F.lit(1)).over(in_range).isNull().alias("_is_last"),
+        *[f(c).over(upto).alias(f"_run_{out}") for out, c, f, _ in plan],
+        F.lead(F.lit(1)).over(in_range).isNull().alias("_ends_range"),
+        *([F.lead(F.lit(1)).over(in_key).isNull().alias("_ends_key"),
+           F.first(key).over(in_range).eqNullSafe(key).alias("_first_key")] if totals else []),
     )
-    sent = local.withColumn(_TO, F.explode(
-        F.when(F.col("_is_last"), F.sequence(F.col(_SEG), F.lit(n - 1)))
-        .otherwise(F.array(F.col(_SEG)))))
-    everywhere = Window.partitionBy(_TO, *keys)
-    carried = F.col(_TO) > F.col(_SEG)
-    out = sent
-    for name, _, f in plan:
-        out = out.withColumn(f"_off_{name}", f(
-            F.when(carried, F.col(f"_run_{name}"))).over(everywhere))
-    out = out.where(~carried)
+    none = F.array().cast("array<int>")
+    later = F.when(F.col("_ends_range") & (F.col(_SEG) < n - 1),
+                   F.sequence(F.col(_SEG) + 1, F.lit(n - 1))).otherwise(none)
+    targets = [F.array(F.col(_SEG)), later]
+    if totals:
+        targets.append(F.when(F.col("_ends_key") & F.col("_first_key") & (F.col(_SEG) > 0),
+                              F.sequence(F.lit(0), F.col(_SEG) - 1)).otherwise(none))
+    sent = local.withColumn(_TO, F.explode(F.concat(*targets)))
+    at_target = Window.partitionBy(_TO, *keys)
+    came, forward = F.col(_TO) != F.col(_SEG), F.col(_TO) > F.col(_SEG)
+    offsets = []
+    for out, c, f, kind in plan:
+        run = F.col(f"_run_{out}")
+        part = F.when(forward, run) if kind == "run" else F.when(came, run).otherwise(F.col(c))
+        offsets.append(f(part).over(at_target).alias(f"_off_{out}"))
     final = []
-    for name, _, f in plan:
-        run, off = F.col(f"_run_{name}"), F.col(f"_off_{name}")
-        if f is F.sum:
-            final.append((F.coalesce(run, F.lit(0)) + F.coalesce(off, F.lit(0))).alias(name))
+    for out, _, f, kind in plan:
+        run, off = F.col(f"_run_{out}"), F.col(f"_off_{out}")
+        if kind == "total":
+            value = off
+        elif f is F.sum:
+            value = F.coalesce(run, F.lit(0)) + F.coalesce(off, F.lit(0))
         else:
-            final.append(F.greatest(run, off).alias(name))
-    return out.select(*df.columns, *final)
+            value = F.greatest(run, off)
+        final.append(value.alias(out))
+    return sent.select("*", *offsets).where(~came).select(*df.columns, *final)
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -98,11 +111,9 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(keys)
     counts = value_counts(df, keys, value, "n")
-    cum = running(counts, keys, [value], sums={"n_upto": "n"})
-    total = (counts.groupBy(*keys) if keys else counts).agg(F.sum("n").alias("n_total"))
-    both = cum.join(total, keys) if keys else cum.crossJoin(total)
+    cum = running(counts, keys, [value], sums={"n_upto": "n"}, totals={"n_total": "n"})
     avg_rank = F.col("n_upto") - (F.col("n") - 1) / F.lit(2.0)
-    return both.select(
+    return cum.select(
         *keys, value, "n", (F.col("n_upto") - F.col("n")).alias("n_before"), "n_total",
         avg_rank.alias("avg_rank"), (avg_rank / F.col("n_total")).alias("pct_rank"))
 
@@ -131,12 +142,12 @@ def pct_ranks(df: DataFrame, row_key: Sequence[str], keys: Sequence[str],
     Returns ``row_key`` plus one rank column per input column.
     """
     extra = [k for k in keys if k not in row_key]
-    long = df.select(*row_key, *extra, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [*row_key, *extra], list(columns), "_column", "_value")
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    long = df.select(*row_key, *extra, F.posexplode(values).alias("_column", "_value"))
     ranked = pct_rank(long, ["_column", *keys], "_value", "_rank")
     rank = F.col("_rank") if digits is None else F.round("_rank", digits)
     return ranked.groupBy(*row_key).agg(*[
-        F.max(F.when(F.col("_column") == c, rank)).alias(f"{prefix}{c}") for c in columns])
+        F.max(F.when(F.col("_column") == i, rank)).alias(f"{prefix}{c}") for i, c in enumerate(columns)])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str,

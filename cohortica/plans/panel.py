@@ -65,7 +65,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                 .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
                 .select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey", "r_name"))
-    rows = months.join(customer, F.col("id_cliente") == F.col("c_custkey"))
+    # The windows left the months partitioned and sorted by customer; a merge join
+    # keeps that and only moves the customer side.
+    rows = months.join(customer.hint("merge"), F.col("id_cliente") == F.col("c_custkey"))
     cid, nat = F.col("id_cliente"), F.col("c_nationkey")
     dtx = F.coalesce(F.least(F.col("_gap"), F.lit(364)), F.lit(364))
     noise = F.lit(1) + F.pmod(cid * 31 + ordinal("mes") * 17, F.lit(364))

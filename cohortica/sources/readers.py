@@ -14,6 +14,17 @@ DICTIONARY_TYPES = {
     "int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(),
     "boolean": T.BooleanType(),
 }
+# Column types of the star-schema test tables. Reading with a known
+# schema saves the inference job that opens the files first.
+TABLE_SCHEMAS = {
+    "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+               "props string"),
+}
 FRACTIONAL_COLUMNS = {
     "ingresos", "ratio_deuda_ingresos", "saldo_promedio", "distancia_sucursal_km"}
 
@@ -21,7 +32,8 @@ FRACTIONAL_COLUMNS = {
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table by name; a column list prunes the scan (SRC2)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
+    df = reader.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 

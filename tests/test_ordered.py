@@ -32,6 +32,17 @@ def test_running_sum_and_max_match_pandas(data):
     assert (out.m.to_numpy() == want.cummax().to_numpy()).all()
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+@pytest.mark.parametrize("keys", [[], ["g"], ["g", "w"]])
+def test_totals_reach_every_row_of_a_key(data, keys, ranges):
+    pdf, df = data
+    out = running(df, keys, ["i"], sums={"s": "w"}, totals={"t": "w"}, ranges=ranges).toPandas().sort_values("i")
+    assert len(out) == len(pdf)
+    group = pdf.groupby(keys).w if keys else pdf.assign(k=0).groupby("k").w
+    assert (out.t.to_numpy() == group.transform("sum").to_numpy()).all()
+    assert (out.s.to_numpy() == group.cumsum().to_numpy()).all()
+
+
 def test_running_works_without_keys_and_with_many_ranges(data):
     pdf, df = data
     out = running(df, [], ["i"], sums={"s": "w"}, ranges=40).toPandas().sort_values("i")
