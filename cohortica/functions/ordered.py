@@ -23,18 +23,24 @@ _SEG = "_range"
 _TO = "_to_range"
 
 
+# Ranges exchange one small message per pair, so their number is bounded.
+MAX_RANGES = 4000
+
+
 def range_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
 
 
 def with_ranges(df: DataFrame, by: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Range-partition by ``by`` and record the range number of every row.
 
-    The explicit number keeps adaptive execution from merging ranges.
+    The explicit number keeps adaptive execution from merging ranges. Range ``i``
+    becomes partition ``i``: hashing the range number instead would put several
+    ranges into some tasks and none into others.
     """
     n = ranges or range_count(df)
-    return df.repartitionByRange(n, *[F.col(c) for c in by]).withColumn(
-        _SEG, F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in by])
+    return ranged.withColumn(_SEG, F.spark_partition_id()).repartitionById(n, F.col(_SEG))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -71,7 +77,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if totals:
         targets.append(F.when(F.col("_ends_key") & F.col("_first_key") & (F.col(_SEG) > 0),
                               F.sequence(F.lit(0), F.col(_SEG) - 1)).otherwise(none))
-    sent = local.withColumn(_TO, F.explode(F.concat(*targets)))
+    sent = local.withColumn(_TO, F.explode(F.concat(*targets))).repartitionById(n, F.col(_TO))
     at_target = Window.partitionBy(_TO, *keys)
     came, forward = F.col(_TO) != F.col(_SEG), F.col(_TO) > F.col(_SEG)
     offsets = []

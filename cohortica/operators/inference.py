@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortica.functions.hashing import hash_int, hash_uniform
 from cohortica.functions.ordered import row_numbers
-from cohortica.operators.metrics import auc_table
+from cohortica.operators.metrics import auc_table, require_both_classes
+from cohortica.session import ensure_checkpoint_dir
 from cohortica.spec import DEFAULT, PanelSpec
 
 # Replicate number of the unweighted point estimates in a bootstrap table.
@@ -85,6 +86,27 @@ def bootstrap_ginis(long: DataFrame, replicates: int, seed: int, by: Sequence[st
         "replicate", *by, "gini")
 
 
+def bootstrap_in_chunks(long: DataFrame, replicates: int, seed: int, chunk: int = 50,
+                        by: Sequence[str] = ("model", "mes"), score: str = "score",
+                        scheme: str = "multinomial", spec: PanelSpec = DEFAULT) -> DataFrame:
+    """``bootstrap_ginis(observed=True)`` in chunks of replicates, for large tables.
+
+    A chunk multiplies the rows by its own size only. Its Gini rows are
+    checkpointed, so a failure later repeats nothing that is finished.
+    """
+    ensure_checkpoint_dir(long.sparkSession)
+    rows = long.select(spec.entity, *by, score, spec.label).persist()
+    try:
+        out = None
+        for first in range(0, replicates, chunk):
+            size = min(chunk, replicates - first)
+            part = bootstrap_ginis(rows, size, seed, by, score, scheme, first, first == 0, spec).checkpoint()
+            out = part if out is None else out.unionByName(part)
+        return out
+    finally:
+        rows.unpersist()
+
+
 def holm(df: DataFrame, p: str, by: Sequence[str] = (), order: Sequence[str] = (),
          out: str = "p_holm") -> DataFrame:
     """Holm-adjusted p-values of a family (W16); any family size."""
@@ -114,13 +136,15 @@ def delta_draws(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str
 
 
 def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str = "mes",
-                center: str = "observed", family: Sequence[str] = ()) -> DataFrame:
+                center: str = "observed", family: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """Delta, 95% interval, p-value per pair and period, Holm over the pair means.
 
     ``table`` comes from ``bootstrap_ginis(observed=True)``. Each output row gathers
-    one number per replicate, so its size is the replicate count.
+    one number per replicate, so its size is the replicate count. A single-class
+    draw is an error; with ``strict=False`` such draws, and pairs left without any,
+    are dropped.
     """
-    draws = delta_draws(table, pairs, period)
+    draws = delta_draws(require_both_classes(table) if strict else table, pairs, period)
     drawn = F.col("replicate") != OBSERVED
     d = F.when(drawn, F.col("draw"))
     rows = draws.groupBy("a", "b", "period").agg(
@@ -131,6 +155,7 @@ def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str
     middle = F.col("delta") if center == "observed" else F.col("_mean")
     far = F.size(F.filter("_draws", lambda x: F.round(F.abs(x - middle), 12) >= F.round(F.abs(F.col("delta")), 12)))
     tested = rows.withColumn("p_two_sided", (far + 1) / (F.size("_draws") + 1)).drop("_draws", "_mean")
+    tested = tested.where(F.col("delta").isNotNull() & F.col("ci_low").isNotNull())
     mean_only = F.when(F.col("period") == "mean", F.round("p_two_sided", 12))
     ranked = tested.withColumn("_family", F.col("period") == "mean").withColumn("_p", mean_only)
     adjusted = holm(ranked, "_p", ["_family", *family], ["a", "b", "period"])
@@ -183,9 +208,10 @@ def probability_of_best(table: DataFrame, period: str | None = None) -> DataFram
     return flagged.withColumn("_s", share).groupBy(*keys, "model").agg(F.avg("_s").alias("p_best"))
 
 
-def two_baselines(table: DataFrame, models: Sequence[str], first: str, second: str) -> DataFrame:
+def two_baselines(table: DataFrame, models: Sequence[str], first: str, second: str,
+                  strict: bool = True) -> DataFrame:
     """Mean delta of every candidate against two baselines side by side, Holm per baseline."""
-    rows = delta_table(table, pairs_against(models, first, second), family=["b"]).where(F.col("period") == "mean")
+    rows = delta_table(table, pairs_against(models, first, second), family=["b"], strict=strict).where(F.col("period") == "mean")
     return rows.groupBy(F.col("a").alias("candidate")).agg(*[
         F.max(F.when(F.col("b") == base, F.col(c))).alias(f"{c}_vs_{base}")
         for base in (first, second) for c in ("delta", "ci_low", "ci_high", "p_two_sided", "p_holm")])

@@ -53,29 +53,35 @@ def auc_table(df: DataFrame, keys: Sequence[str], score: str = "score",
         F.col("_pos").cast("long").alias("events"), auc.alias("auc"), (2 * auc - 1).alias("gini"))
 
 
-def average_precision(df: DataFrame, keys: Sequence[str], score: str = "score",
-                      label: str = "objetivo", weight: str | None = None) -> DataFrame:
-    """Step-wise average precision over distinct thresholds."""
+def metric_table(df: DataFrame, keys: Sequence[str], score: str = "score",
+                 label: str = "objetivo", weight: str | None = None) -> DataFrame:
+    """Gini, ROC AUC and step-wise average precision per key, from one pass.
+
+    Average precision sums over distinct thresholds from the top; the counts above a
+    threshold are the key totals minus the running counts below it.
+    """
     keys = list(keys)
     inner = keys or ["_all"]
     ties = tie_groups(df if keys else df.withColumn("_all", F.lit(0)), inner, score, label, weight)
-    down = running(ties.withColumn("_rev", -F.col("_score")), inner, ["_rev"],
-                   sums={"_pcum": "_pos", "_ncum": "_neg"})
-    precision = F.try_divide(F.col("_pcum").cast("double"), F.col("_pcum") + F.col("_ncum"))
-    agg = down.groupBy(*inner).agg(
-        F.sum(F.col("_pos") * precision).alias("_ap"), F.sum("_pos").alias("_p"),
-        F.sum("_neg").alias("_n"))
-    ap = F.when(F.col("_n") > 0, F.try_divide(F.col("_ap"), F.col("_p")))
-    return agg.select(*keys, ap.alias("ap"))
+    cum = running(ties, inner, ["_score"], sums={"_pc": "_pos", "_nc": "_neg"},
+                  totals={"_p": "_pos", "_n": "_neg"})
+    pos_from = F.col("_p") - F.col("_pc") + F.col("_pos")
+    neg_from = F.col("_n") - F.col("_nc") + F.col("_neg")
+    pairs = F.col("_pos") * (F.col("_nc") - F.col("_neg") / F.lit(2.0))
+    total = cum.groupBy(*inner).agg(
+        F.sum(pairs).alias("_pairs"), F.max("_p").alias("_p"), F.max("_n").alias("_n"),
+        F.sum(F.col("_pos") * F.try_divide(pos_from.cast("double"), pos_from + neg_from)).alias("_ap"))
+    auc = F.try_divide(F.col("_pairs"), F.col("_p").cast("double") * F.col("_n"))
+    return total.select(
+        *keys, (F.col("_p") + F.col("_n")).cast("long").alias("n_rows"), F.col("_p").cast("long").alias("events"),
+        auc.alias("auc"), (2 * auc - 1).alias("gini"),
+        F.when(F.col("_n") > 0, F.try_divide(F.col("_ap"), F.col("_p"))).alias("ap"))
 
 
-def metric_table(df: DataFrame, keys: Sequence[str], score: str = "score",
-                 label: str = "objetivo") -> DataFrame:
-    """Gini, ROC AUC and average precision per key."""
-    keys = list(keys)
-    auc = auc_table(df, keys, score, label)
-    ap = average_precision(df, keys, score, label)
-    return auc.join(ap, keys) if keys else auc.crossJoin(ap)
+def average_precision(df: DataFrame, keys: Sequence[str], score: str = "score",
+                      label: str = "objetivo", weight: str | None = None) -> DataFrame:
+    """Average precision per key."""
+    return metric_table(df, keys, score, label, weight).select(*keys, "ap")
 
 
 def check_scores(df: DataFrame, score: str, label: str) -> DataFrame:

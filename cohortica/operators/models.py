@@ -19,6 +19,7 @@ from cohortica.functions.periods import in_recent_window, ordinal_of, ordinal
 from cohortica.operators.encoding import bin_edges, category_vocabulary
 from cohortica.operators.metrics import auc_table, metric_table, monthly_summary
 from cohortica.operators.splits import permute_within_period
+from cohortica.session import ensure_checkpoint_dir
 from cohortica.spec import DEFAULT, PanelSpec
 
 
@@ -171,14 +172,25 @@ def training_rows(df: DataFrame, through: int, spec: ModelSpec, panel: PanelSpec
 
 def rolling_oof(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec,
                 panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Out-of-fold predictions over the cuts, one distributed fit per cut."""
-    out = None
-    for through, valid in cuts:
-        train = training_rows(df, through, spec, panel)
-        weight = "_weight" if spec.half_life is not None else None
-        part = fit_score(train, df.where(F.col(panel.period) == valid), spec, weight, panel)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("model", F.lit(spec.name))
+    """Out-of-fold predictions over the cuts, one distributed fit per cut.
+
+    The needed columns are kept while the cuts are fitted. The predictions are
+    checkpointed, so later metrics and bootstraps never score again and do not
+    depend on the kept rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    columns = dict.fromkeys([*panel.keys, panel.label, *spec.numeric, *spec.categorical])
+    rows = df.select(*columns).persist()
+    try:
+        out = None
+        for through, valid in cuts:
+            train = training_rows(rows, through, spec, panel)
+            weight = "_weight" if spec.half_life is not None else None
+            part = fit_score(train, rows.where(F.col(panel.period) == valid), spec, weight, panel)
+            out = part if out is None else out.unionByName(part)
+        return out.withColumn("model", F.lit(spec.name)).checkpoint()
+    finally:
+        rows.unpersist()
 
 
 def fold_metrics(oof: DataFrame, by: Sequence[str] = ("model",), panel: PanelSpec = DEFAULT) -> DataFrame:

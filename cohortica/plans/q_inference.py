@@ -36,7 +36,7 @@ per AS (SELECT x.replicate, p.a, p.b, CAST(x.mes AS VARCHAR) AS period, x.gini -
 obs AS (SELECT p.a, p.b, CAST(x.mes AS VARCHAR) AS period, x.gini - y.gini AS o FROM prs p JOIN og x ON x.model = p.a JOIN og y ON y.model = p.b AND y.mes = x.mes),
 alld AS (SELECT * FROM per UNION ALL SELECT replicate, a, b, 'mean', avg(draw) FROM per GROUP BY 1, 2, 3),
 allo AS (SELECT * FROM obs UNION ALL SELECT a, b, 'mean', avg(o) FROM obs GROUP BY 1, 2),
-jn AS (SELECT alld.*, o, avg(draw) OVER (PARTITION BY alld.a, alld.b, alld.period) AS mid FROM alld JOIN allo USING (a, b, period)),
+jn AS (SELECT alld.*, o, avg(draw) OVER (PARTITION BY alld.a, alld.b, alld.period) AS mid FROM alld JOIN allo USING (a, b, period) WHERE draw IS NOT NULL AND o IS NOT NULL),
 sm AS (SELECT a, b, period, max(o) AS delta, quantile_cont(draw, 0.025) AS ci_low, quantile_cont(draw, 0.975) AS ci_high, avg((draw > 0)::INT) AS p_positive,
   (1 + count(*) FILTER (round(abs(draw - center_), 12) >= round(abs(o), 12))) / CAST(count(*) + 1 AS DOUBLE) AS p_two_sided FROM jn GROUP BY 1, 2, 3),
 hm AS (SELECT a, b, period, max(st) OVER (ORDER BY round(p_two_sided, 12), a, b) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY round(p_two_sided, 12), a, b) + 1) * round(p_two_sided, 12)) AS st FROM sm WHERE period = 'mean'))
@@ -88,12 +88,12 @@ def bootstrap_ginis(spark, sf_dir):
 @query("b3_delta_vs_baseline", delta_sql(VS_M1, "o"))
 def delta_vs_baseline(spark, sf_dir):
     """B3 and W16."""
-    return rounded(I.delta_table(drawn(spark, sf_dir), I.pairs_against(MODELS, "m1")))
+    return rounded(I.delta_table(drawn(spark, sf_dir), I.pairs_against(MODELS, "m1"), strict=False))
 
 
 @query("b4_all_pairs", delta_sql(ALL_PAIRS, "o"))
 def all_pairs(spark, sf_dir):
-    return rounded(I.delta_table(drawn(spark, sf_dir), I.all_pairs(MODELS)))
+    return rounded(I.delta_table(drawn(spark, sf_dir), I.all_pairs(MODELS), strict=False))
 
 
 @query("b5_two_baselines", DRAWS_SQL + """,
@@ -104,7 +104,7 @@ SELECT c AS candidate, round(max(d) FILTER (base = 'm1'), 9) AS delta_vs_m1, rou
   JOIN om ox ON ox.model = x.model JOIN om oy ON oy.model = y.model WHERE y.model IN ('m1', 'm2') AND x.model <> y.model GROUP BY 1, 2) GROUP BY 1""")
 def two_baselines(spark, sf_dir):
     """B5 and J10."""
-    out = I.two_baselines(drawn(spark, sf_dir), MODELS, "m1", "m2")
+    out = I.two_baselines(drawn(spark, sf_dir), MODELS, "m1", "m2", strict=False)
     return rounded(out.select("candidate", "delta_vs_m1", "ci_low_vs_m1", "delta_vs_m2", "ci_low_vs_m2"))
 
 
@@ -118,7 +118,7 @@ def probability_of_best(spark, sf_dir):
 
 @query("b7_mean_centred", delta_sql(VS_M1, "mid"))
 def mean_centred(spark, sf_dir):
-    return rounded(I.delta_table(drawn(spark, sf_dir), I.pairs_against(MODELS, "m1"), center="mean"))
+    return rounded(I.delta_table(drawn(spark, sf_dir), I.pairs_against(MODELS, "m1"), center="mean", strict=False))
 
 
 HELD = "CAST('0x' || substr(sha256(CAST(id_cliente AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0"

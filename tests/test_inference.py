@@ -88,6 +88,12 @@ def test_bootstrap_and_delta_table_match_brute_force(long):
             assert rows[(*pair, "mean")].p_holm == pytest.approx(run)
 
 
+def test_chunks_equal_one_run(long):
+    a = I.bootstrap_in_chunks(long[1], R, 1, chunk=5)
+    b = I.bootstrap_ginis(long[1], R, 1, observed=True)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
 def test_probability_of_best_splits_ties(spark):
     table = spark.createDataFrame([(0, "a", 1, 0.5), (0, "b", 1, 0.5), (1, "a", 1, 0.6), (1, "b", 1, 0.1), (-1, "a", 1, 0.0)],
                                   "replicate int, model string, mes int, gini double")
