@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "q_survival",
     "q_models",
     "q_lineage",
+    "q_sinks",
 ]
 
 
