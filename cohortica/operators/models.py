@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (Bucketizer, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortica.functions.features import known_category
 from cohortica.functions.hashing import hash_uniform
@@ -170,29 +173,48 @@ def training_rows(df: DataFrame, through: int, spec: ModelSpec, panel: PanelSpec
     return rows
 
 
-def rolling_oof(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec,
-                panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Out-of-fold predictions over the cuts, one distributed fit per cut.
+def _in_parallel(spark: SparkSession, tasks: Sequence[Callable], at_once: int) -> list:
+    """Run driver-side fit calls a few at a time; each submits its own Spark jobs."""
+    wrapped = [inheritable_thread_target(spark)(t) for t in tasks]
+    with ThreadPool(max(1, min(at_once, len(wrapped)))) as pool:
+        return pool.map(lambda t: t(), wrapped)
+
+
+def _fit_score_all(df: DataFrame, jobs: Sequence[Callable[[DataFrame], tuple[DataFrame, DataFrame, dict]]],
+                   spec: ModelSpec, panel: PanelSpec = DEFAULT, extra: Sequence[str] = (),
+                   at_once: int = 3) -> DataFrame:
+    """Fit and score several (train, valid, literal columns) jobs over the same rows.
 
-    The needed columns are kept while the cuts are fitted. The predictions are
+    The needed columns are kept while the fits run. The predictions are
     checkpointed, so later metrics and bootstraps never score again and do not
     depend on the kept rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    columns = dict.fromkeys([*panel.keys, panel.label, *spec.numeric, *spec.categorical])
+    columns = dict.fromkeys([*panel.keys, panel.label, *extra, *spec.numeric, *spec.categorical])
     rows = df.select(*columns).persist()
+
+    def run(job):
+        train, valid, literals = job(rows)
+        weight = "_weight" if spec.half_life is not None and "_weight" in train.columns else None
+        part = fit_score(train, valid, spec, weight, panel)
+        return part.withColumns({k: F.lit(v) for k, v in literals.items()}) if literals else part
+
     try:
-        out = None
-        for through, valid in cuts:
-            train = training_rows(rows, through, spec, panel)
-            weight = "_weight" if spec.half_life is not None else None
-            part = fit_score(train, rows.where(F.col(panel.period) == valid), spec, weight, panel)
-            out = part if out is None else out.unionByName(part)
-        return out.withColumn("model", F.lit(spec.name)).checkpoint()
+        parts = _in_parallel(df.sparkSession, [lambda j=j: run(j) for j in jobs], at_once)
+        return reduce(lambda a, b: a.unionByName(b), parts).checkpoint()
     finally:
         rows.unpersist()
 
 
+def rolling_oof(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec,
+                panel: PanelSpec = DEFAULT) -> DataFrame:
+    """Out-of-fold predictions over the cuts, one distributed fit per cut."""
+    jobs = [lambda rows, t=through, v=valid: (
+        training_rows(rows, t, spec, panel), rows.where(F.col(panel.period) == v), {"model": spec.name})
+        for through, valid in cuts]
+    return _fit_score_all(df, jobs, spec, panel)
+
+
 def fold_metrics(oof: DataFrame, by: Sequence[str] = ("model",), panel: PanelSpec = DEFAULT) -> DataFrame:
     """Monthly metrics of long out-of-fold predictions."""
     return metric_table(oof, [*by, panel.period], panel.score, panel.label)
@@ -301,13 +323,10 @@ def learning_curve(df: DataFrame, cut: tuple[int, int], spec: ModelSpec, fractio
                    panel: PanelSpec = DEFAULT) -> DataFrame:
     """Gini of the validation month by share of training entities."""
     through, valid = cut
-    out = None
-    for f in fractions:
-        train = df.where((F.col(panel.period) <= through) & (hash_uniform(seed, panel.entity) < f))
-        part = fit_score(train, df.where(F.col(panel.period) == valid), spec, panel=panel).withColumn(
-            "fraction", F.lit(float(f)))
-        out = part if out is None else out.unionByName(part)
-    return auc_table(out, ["fraction"], panel.score, panel.label)
+    jobs = [lambda rows, f=f: (
+        rows.where((F.col(panel.period) <= through) & (hash_uniform(seed, panel.entity) < f)),
+        rows.where(F.col(panel.period) == valid), {"fraction": float(f)}) for f in fractions]
+    return auc_table(_fit_score_all(df, jobs, spec, panel), ["fraction"], panel.score, panel.label)
 
 
 def compare_windows(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec, months: int = 3,
@@ -321,12 +340,9 @@ def compare_windows(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelS
 
 def cross_validate(df: DataFrame, fold: str, folds: int, spec: ModelSpec, panel: PanelSpec = DEFAULT) -> DataFrame:
     """Gini per fold of a fold column: the leakage comparison of random folds."""
-    out = None
-    for k in range(folds):
-        part = fit_score(df.where(F.col(fold) != k), df.where(F.col(fold) == k), spec, panel=panel).withColumn(
-            fold, F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return auc_table(out, [fold], panel.score, panel.label)
+    jobs = [lambda rows, k=k: (rows.where(F.col(fold) != k), rows.where(F.col(fold) == k), {fold: k})
+            for k in range(folds)]
+    return auc_table(_fit_score_all(df, jobs, spec, panel, [fold]), [fold], panel.score, panel.label)
 
 
 def ablation(df: DataFrame, cuts: Sequence[tuple[int, int]], specs: Sequence[ModelSpec],
