@@ -185,16 +185,22 @@ def reproduction(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str],
 
 def prediction_audit(expected: DataFrame, predictions: DataFrame, run: str, keys: Sequence[str],
                      score: str) -> DataFrame:
-    """Per run: rows, missing and unexpected rows, invalid probabilities."""
-    runs = predictions.select(run).distinct()
-    want = expected.select(*keys).crossJoin(F.broadcast(runs)).withColumn("_e", F.lit(1))
-    got = predictions.select(run, *keys, F.col(score).alias("_p"), F.lit(1).alias("_q"))
-    p = F.col("_p")
-    return want.join(got, [run, *keys], "full_outer").groupBy(run).agg(
-        count_if(F.col("_q").isNotNull()).alias("n_rows"),
-        count_if(F.col("_q").isNull()).alias("missing_rows"),
-        count_if(F.col("_e").isNull()).alias("unexpected_rows"),
-        count_if(F.col("_q").isNotNull() & (p.isNull() | F.isnan(p) | (p < 0) | (p > 1))).alias("invalid"))
+    """Per run: rows, missing and unexpected rows, invalid probabilities.
+
+    Each stored row meets its expected row once; what is missing follows from the
+    number of expected rows, so expected rows are never multiplied by the runs.
+    """
+    p = F.col(score)
+    bad = p.isNull() | F.isnan(p) | (p < 0) | (p > 1)
+    got = predictions.groupBy(run, *keys).agg(F.count(F.lit(1)).alias("_rows"), count_if(bad).alias("_bad"))
+    want = expected.select(*keys).distinct()
+    total = want.agg(F.count(F.lit(1)).alias("_expected"))
+    matched = F.col("_e").isNotNull()
+    per = got.join(want.withColumn("_e", F.lit(1)), list(keys), "left").groupBy(run).agg(
+        F.sum("_rows").alias("n_rows"), count_if(matched).alias("_matched"),
+        count_if(~matched).alias("unexpected_rows"), F.sum("_bad").alias("invalid"))
+    return per.crossJoin(F.broadcast(total)).select(
+        run, "n_rows", (F.col("_expected") - F.col("_matched")).alias("missing_rows"), "unexpected_rows", "invalid")
 
 
 def plausibility(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

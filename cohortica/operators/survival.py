@@ -94,12 +94,13 @@ def cloglog_features(intervals: DataFrame, design: Design, longest: int) -> Data
     return intervals.withColumn("features", array_to_vector(F.array(*design.columns(), *dummies)))
 
 
-def _eta(x: Column, beta: np.ndarray) -> Column:
-    terms = [x[i] * F.lit(float(b)) for i, b in enumerate(beta)]
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + t
-    return total
+def _with_eta(rows: DataFrame, beta: np.ndarray) -> DataFrame:
+    """Linear predictor, clipped. The coefficients come as a broadcast row, not as
+    literals, so every Newton step runs the same compiled plan."""
+    one = rows.sparkSession.range(1).select(F.array(*[F.lit(float(b)) for b in beta]).alias("_beta"))
+    total = sum((F.col("x")[i] * F.col("_beta")[i] for i in range(len(beta))), F.lit(0.0))
+    eta = F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0))
+    return rows.crossJoin(F.broadcast(one)).withColumn("_eta", eta)
 
 
 def cox_loss_gradient(rows: DataFrame, beta: np.ndarray, ridge: float = COX_RIDGE):
@@ -110,16 +111,14 @@ def cox_loss_gradient(rows: DataFrame, beta: np.ndarray, ridge: float = COX_RIDG
     per tenure.
     """
     d = len(beta)
-    eta = F.greatest(F.least(_eta(F.col("x"), beta), F.lit(40.0)), F.lit(-40.0))
-    e = F.exp(eta)
     x = [F.col("x")[i] for i in range(d)]
-    weighted = rows.withColumn("_e", e).withColumn("_eta", eta)
+    weighted = _with_eta(rows, beta).withColumn("_e", F.exp("_eta"))
     ew = F.col("_e")
     aggs = [F.sum("y").alias("d"), F.sum(ew).alias("s0"), F.sum(F.col("y") * F.col("_eta")).alias("ye")]
     aggs += [F.sum(ew * x[i]).alias(f"s1_{i}") for i in range(d)]
     aggs += [F.sum(F.col("y") * x[i]).alias(f"yx_{i}") for i in range(d)]
     aggs += [F.sum(ew * x[i] * x[j]).alias(f"s2_{i}_{j}") for i in range(d) for j in range(i, d)]
-    table = [r for r in weighted.groupBy("stop").agg(*aggs).orderBy("stop").collect() if r["d"] > 0]
+    table = [r for r in weighted.groupBy("stop").agg(*aggs).collect() if r["d"] > 0]
     loss, grad, hess, events = 0.0, np.zeros(d), np.zeros((d, d)), 0.0
     for r in table:
         mean = np.array([r[f"s1_{i}"] for i in range(d)]) / r["s0"]
