@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from cohortica.llm.ngram_join import op4_ngram_jaccard_join
+from cohortica.llm.packing import op2_best_fit_packing
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
