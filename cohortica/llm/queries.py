@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from cohortica.llm.ngram_join import op4_ngram_jaccard_join
 from cohortica.llm.packing import op2_best_fit_packing
+from cohortica.llm.sharding import op6_sampled_splitter_shards
 
 QUERIES = {
+    "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
