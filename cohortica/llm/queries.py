@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from cohortica.llm.fingerprints import OP3_SQL, op3_merkle_fingerprints
 from cohortica.llm.ngram_join import op4_ngram_jaccard_join
 from cohortica.llm.packing import op2_best_fit_packing
+from cohortica.llm.quality import OP5_SQL, op5_line_frequency_quality
 from cohortica.llm.sharding import op6_sampled_splitter_shards
 
 QUERIES = {
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_merkle_fingerprints": OP3_SQL,
+    "op5_line_frequency_quality": OP5_SQL,
+}
