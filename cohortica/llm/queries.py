@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from cohortica.llm.fingerprints import OP3_SQL, op3_merkle_fingerprints
+from cohortica.llm.mixing import OP9_SQL, op9_hierarchical_mixture
 from cohortica.llm.ngram_join import op4_ngram_jaccard_join
 from cohortica.llm.packing import op2_best_fit_packing
 from cohortica.llm.quality import OP5_SQL, op5_line_frequency_quality
 from cohortica.llm.sharding import op6_sampled_splitter_shards
 
 QUERIES = {
+    "op9_hierarchical_mixture": op9_hierarchical_mixture,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
@@ -16,6 +18,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op9_hierarchical_mixture": OP9_SQL,
     "op3_merkle_fingerprints": OP3_SQL,
     "op5_line_frequency_quality": OP5_SQL,
 }
