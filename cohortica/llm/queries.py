@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortica.llm.fingerprints import OP3_SQL, op3_merkle_fingerprints
+from cohortica.llm.language import op10_hyperdimensional_language
 from cohortica.llm.mixing import OP9_SQL, op9_hierarchical_mixture
 from cohortica.llm.ngram_join import op4_ngram_jaccard_join
 from cohortica.llm.packing import op2_best_fit_packing
@@ -10,6 +11,7 @@ from cohortica.llm.quality import OP5_SQL, op5_line_frequency_quality
 from cohortica.llm.sharding import op6_sampled_splitter_shards
 
 QUERIES = {
+    "op10_hyperdimensional_language": op10_hyperdimensional_language,
     "op9_hierarchical_mixture": op9_hierarchical_mixture,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op5_line_frequency_quality": op5_line_frequency_quality,
