@@ -115,15 +115,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             first = last
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (A-Z lower-cased) and the text that it belongs to.
 
+    With ``stems`` the hashes are rows: the words, then for each length the first so many
+    bytes, or 0 where a word is shorter.
+
     Words are runs of bytes other than space and 0x09-0x0D; a text's end ends a word.
     Long inputs go in blocks that end at a separator, so temporaries stay small.
     """
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((1 + len(stems), 0) if stems else 0, np.uint64), np.zeros(0, np.int64)
     inside = ~_SEPARATOR[raw]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -132,7 +135,7 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = inside.copy()
     end[:-1] &= ~inside[1:] | begin[1:]
     b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    out = np.empty(len(b), np.uint64)
+    out = np.zeros((1 + len(stems), len(b)), np.uint64)
     done = 0
     while done < len(b):
         last = max(int(np.searchsorted(e, b[done] + SLICE_BYTES, "right")), done + 1)
@@ -140,9 +143,14 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up, down = _powers(int(hi - lo))
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE[raw[lo:hi]] * up[:hi - lo], out=sums[1:])
-        out[done:last] = (sums[e[done:last] - lo] - sums[b[done:last] - lo]) * down[b[done:last] - lo]
+        start, stop = b[done:last] - lo, e[done:last] - lo
+        base, shift = sums[start], down[start]
+        out[0, done:last] = mix((sums[stop] - base) * shift)
+        for k, size in enumerate(stems, 1):
+            stem = mix(mix((sums[np.minimum(start + size, stop)] - base) * shift) + np.uint64(size))
+            out[k, done:last] = np.where(stop - start >= size, stem, np.uint64(0))
         done = last
-    return mix(out), np.searchsorted(at, b, "right") - 1
+    return (out if stems else out[0]), np.searchsorted(at, b, "right") - 1
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

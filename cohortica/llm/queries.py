@@ -9,8 +9,10 @@ from cohortica.llm.ngram_join import op4_ngram_jaccard_join
 from cohortica.llm.packing import op2_best_fit_packing
 from cohortica.llm.quality import OP5_SQL, op5_line_frequency_quality
 from cohortica.llm.sharding import op6_sampled_splitter_shards
+from cohortica.llm.toxicity import op7_toxic_segments
 
 QUERIES = {
+    "op7_toxic_segments": op7_toxic_segments,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
     "op9_hierarchical_mixture": op9_hierarchical_mixture,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
