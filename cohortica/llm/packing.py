@@ -248,7 +248,7 @@ def pack_block(capacity: int):
             where[items] = k
             sizes = lengths[items]
             offset[items] = np.cumsum(sizes) - sizes
-        rows["sequence_id"] = (rows["block"].astype("int64") << 32) | where
+        rows["sequence_id"] = rows["block"].to_numpy(np.int64) * 2**32 + where
         rows["offset"] = offset
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
     return run
