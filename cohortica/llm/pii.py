@@ -44,6 +44,7 @@ _NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\-/_\[\]]{0,3}[0-9])*+")
 _SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[]at[)\]]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}"
     r"(?:\x20?(?:\.|[(\[]dot[)\]]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_COMMON = frozenset("the a an this that our my your his her its their all any one some no it".split())
 _CUES = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"),
     "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile"),
@@ -148,6 +149,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     cue = max((len(w) for w in _CUES[KINDS[kind]] if w in low), default=0)
     other = max((len(w) for k in KINDS if k != KINDS[kind] for w in _CUES[k] if w in low), default=0)
     tail = re.split(r"\.|dot", body.lower())[-1].strip(" )]")
+    name, host = (re.split(r"\x20?(?:@|[(\[]at[)\]]|\x20at\x20)\x20?", body.lower(), maxsplit=1) + [""])[:2] if kind == 0 else ("", "")
+    host = re.split(r"[^a-z0-9-]", host.strip())[0]
     return [
         kind, len(body), len(digits), len(groups), min(sizes), max(sizes), sizes[0], sizes[-1], float(len(set(sizes)) == 1),
         body.count(" "), body.count("-"), body.count("."), body.count("(") + body.count("["), body.count("/") + body.count("_"),
@@ -155,6 +158,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(luhn("".join(digits))) if digits else 0.0, octets, float(len(groups) == 4 and octets == 4),
         float(digits[0]) if digits else -1.0, len(set(digits)), len(tail) if tail.isalpha() else 0,
         _char(before[-1:]), _char(after[:1]), float(bool(re.search(r"[0-9a-f]{8}$", low))), float(bool(before[-1:].isdigit() or after[:1].isdigit())),
+        float(host in _COMMON), len(host), float(any(c.isdigit() or c in "._-+" for c in name)), float("." in body[1:-1]),
         cue, other, float("=" in before[-12:] or '"' in before[-3:] or "#" in before[-2:]),
     ]
 
