@@ -8,11 +8,13 @@ from cohortica.llm.mixing import OP9_SQL, op9_hierarchical_mixture
 from cohortica.llm.ngram_join import op4_ngram_jaccard_join
 from cohortica.llm.packing import op2_best_fit_packing
 from cohortica.llm.pii import op1_boosted_pii
+from cohortica.llm.pitman_yor import op8_pitman_yor_scores
 from cohortica.llm.quality import OP5_SQL, op5_line_frequency_quality
 from cohortica.llm.sharding import op6_sampled_splitter_shards
 from cohortica.llm.toxicity import op7_toxic_segments
 
 QUERIES = {
+    "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op1_boosted_pii": op1_boosted_pii,
     "op7_toxic_segments": op7_toxic_segments,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
