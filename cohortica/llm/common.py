@@ -153,9 +153,11 @@ def words(raw: np.ndarray, at: np.ndarray, stems: tuple[int, ...] = ()) -> tuple
     return (out if stems else out[0]), np.searchsorted(at, b, "right") - 1
 
 
-def shingles(h: np.ndarray, doc: np.ndarray, docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles(h: np.ndarray, doc: np.ndarray, docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ``size``-word shingles as 64-bit hashes, by text and hash; a shorter text is one shingle.
 
+    Also the text of each, and the number of its first word.
+
     Two different shingles share a hash with probability 2**-64.
     """
     count = np.bincount(doc, minlength=docs) if len(doc) else np.zeros(docs, np.int64)
@@ -165,9 +167,10 @@ def shingles(h: np.ndarray, doc: np.ndarray, docs: int, size: int = 5) -> tuple[
         for j in range(size):
             s = s * k + h[j:len(h) - size + 1 + j]
         whole = doc[:len(s)] == doc[size - 1:]
+        place = np.flatnonzero(whole)
         s, owner = mix(s[whole]), doc[:len(s)][whole]
     else:
-        s, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        s, owner, place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         start = np.cumsum(count) - count
@@ -179,11 +182,12 @@ def shingles(h: np.ndarray, doc: np.ndarray, docs: int, size: int = 5) -> tuple[
             own.append(v)
         s = np.concatenate([s, mix(mix(np.array(own, np.uint64)))])
         owner = np.concatenate([owner, short])
+        place = np.concatenate([place, start[short]])
     order = np.lexsort((s, owner))
-    s, owner = s[order], owner[order]
+    s, owner, place = s[order], owner[order], place[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-    return s[new], owner[new]
+    return s[new], owner[new], place[new]
 
 
 def signed(h: np.ndarray) -> np.ndarray:
