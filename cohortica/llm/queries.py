@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cohortica.llm.fingerprints import OP3_SQL, op3_merkle_fingerprints
 from cohortica.llm.language import op10_hyperdimensional_language
 from cohortica.llm.mixing import OP9_SQL, op9_hierarchical_mixture
@@ -14,6 +15,7 @@ from cohortica.llm.sharding import op6_sampled_splitter_shards
 from cohortica.llm.toxicity import op7_toxic_segments
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op1_boosted_pii": op1_boosted_pii,
     "op7_toxic_segments": op7_toxic_segments,

@@ -273,6 +273,26 @@ def score(docs: DataFrame, labels: DataFrame, held_out=None, id_col: str = "doc_
     return texts.select("doc_id", out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(model), SCORED)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               limit: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score is below ``limit``; one pass, nothing moves."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, marks))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for piece in slices(batches, text_col):
+            if m is None:
+                yield piece
+                continue
+            n, found = passages(*utf8(piece.column(at)), m)
+            yield piece.filter(pa.array(m.probability(evidence(n, found, m)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_fold(doc_id):
     return crc_mod(doc_id, 5) == 0
 
