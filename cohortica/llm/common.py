@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortica.session import ensure_checkpoint_dir
 
@@ -190,6 +190,13 @@ def shingles(h: np.ndarray, doc: np.ndarray, docs: int, size: int = 5) -> tuple[
     return s[new], owner[new], place[new]
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` over whole rows that keeps the schema; ``run`` sees columns named c0, c1, ..."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema)])
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortica.llm.boosting import Trees, threshold
-from cohortica.llm.common import slices
+from cohortica.llm.common import map_rows, slices
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 20_000          # expected number of texts drawn to fit on
@@ -326,7 +326,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for piece in slices(batches, text_col):
+        for piece in slices(batches, f"c{at}"):
             old = piece.column(at).to_pylist()
             new = [redacted(t, m) for t in old]
             columns = list(piece.columns)
@@ -336,7 +336,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 columns[size] = pa.array([n if a == b else len(b) for n, a, b in zip(known, old, new)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op1_boosted_pii(spark, sf_dir: str) -> DataFrame:

@@ -142,8 +142,8 @@ def stirling(most: int, discount: float) -> np.ndarray:
 def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, table: np.ndarray, rng) -> np.ndarray:
     """Tables of each dish with ``c`` customers, drawn from P(t) ~ S(c, t) a**t.
 
-    Beyond ``EXACT`` customers the rest are seated one block after another, each block
-    doubling, with the chance of a new table at the middle of the block.
+    Beyond ``EXACT`` customers, where the weights are too many to list, the others take seats
+    after them in doubling blocks, with the chance of a new table at the middle of the block.
     """
     t = np.minimum(c, 1).astype(np.int64)
     base = np.minimum(c, len(table) - 1)

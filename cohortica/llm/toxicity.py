@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortica.llm.common import crc_mod, kept, signed, slices, utf8, words
+from cohortica.llm.common import crc_mod, kept, map_rows, signed, slices, utf8, words
 
 FIT_ROWS = 8000            # labelled texts of each class to fit on
 CANDIDATES = 100_000       # tokens counted in the clean sample, by toxic document count
@@ -283,14 +283,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for piece in slices(batches, text_col):
+        for piece in slices(batches, f"c{at}"):
             if m is None:
                 yield piece
                 continue
             n, found = passages(*utf8(piece.column(at)), m)
             yield piece.filter(pa.array(m.probability(evidence(n, found, m)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def held_out_fold(doc_id):
