@@ -65,9 +65,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def binary_label(df: DataFrame, label: str) -> DataFrame:
     """Labels outside {0, 1}, and whether a class is missing (V4)."""
-    y = F.col(label).cast("int")
+    y = F.col(label)
+    if isinstance(df.schema[label].dataType, T.BooleanType):
+        y = y.cast("int")
     return df.agg(
-        count_if(y.isNotNull() & ~y.isin(0, 1)).alias("invalid_labels"),
+        count_if(y.isNotNull() & (y != 0) & (y != 1)).alias("invalid_labels"),
         (count_if(y == 0) == 0).cast("long").alias("no_negatives"),
         (count_if(y == 1) == 0).cast("long").alias("no_positives"))
 
@@ -135,16 +137,21 @@ def submission_check(submission: DataFrame, reference: DataFrame, row_ord: str =
 
 def probability_coverage(expected: DataFrame, predictions: DataFrame, keys: Sequence[str],
                          score: str) -> DataFrame:
-    """One finite probability per expected row."""
-    left = expected.select(*keys, F.lit(1).alias("_e"))
-    right = predictions.select(*keys, F.col(score).alias("_p"), F.lit(1).alias("_q"))
-    both = left.join(right, list(keys), "full_outer")
-    p = F.col("_p")
-    return both.agg(
-        count_if(F.col("_q").isNull()).alias("missing_predictions"),
-        count_if(F.col("_e").isNull()).alias("unexpected_predictions"),
-        count_if(F.col("_q").isNotNull() & (p.isNull() | F.isnan(p) | (p < 0) | (p > 1)))
-        .alias("invalid_probabilities"))
+    """Exactly one finite probability per expected row.
+
+    Both tables are counted by key first, so repeated predictions are reported and
+    never multiplied. Expected keys that repeat count once.
+    """
+    p = F.col(score)
+    bad = p.isNull() | F.isnan(p) | (p < 0) | (p > 1)
+    tagged = expected.select(*keys, F.lit(1).alias("_e"), F.lit(0).alias("_q"), F.lit(0).alias("_bad")).unionByName(
+        predictions.select(*keys, F.lit(0).alias("_e"), F.lit(1).alias("_q"), bad.cast("int").alias("_bad")))
+    per = tagged.groupBy(*keys).agg(F.max("_e").alias("_e"), F.sum("_q").alias("_q"), F.sum("_bad").alias("_bad"))
+    return per.agg(
+        count_if(F.col("_q") == 0).alias("missing_predictions"),
+        count_if(F.col("_e") == 0).alias("unexpected_predictions"),
+        F.coalesce(F.sum(F.greatest(F.col("_q") - 1, F.lit(0))), F.lit(0).cast("long")).alias("duplicate_predictions"),
+        F.coalesce(F.sum("_bad"), F.lit(0).cast("long")).alias("invalid_probabilities"))
 
 
 def row_set_difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -185,7 +192,7 @@ def reproduction(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str],
 
 def prediction_audit(expected: DataFrame, predictions: DataFrame, run: str, keys: Sequence[str],
                      score: str) -> DataFrame:
-    """Per run: rows, missing and unexpected rows, invalid probabilities.
+    """Per run: rows, missing, unexpected and repeated rows, invalid probabilities.
 
     Each stored row meets its expected row once; what is missing follows from the
     number of expected rows, so expected rows are never multiplied by the runs.
@@ -198,9 +205,30 @@ def prediction_audit(expected: DataFrame, predictions: DataFrame, run: str, keys
     matched = F.col("_e").isNotNull()
     per = got.join(want.withColumn("_e", F.lit(1)), list(keys), "left").groupBy(run).agg(
         F.sum("_rows").alias("n_rows"), count_if(matched).alias("_matched"),
-        count_if(~matched).alias("unexpected_rows"), F.sum("_bad").alias("invalid"))
+        count_if(~matched).alias("unexpected_rows"), F.sum(F.col("_rows") - 1).alias("duplicate_rows"),
+        F.sum("_bad").alias("invalid"))
     return per.crossJoin(F.broadcast(total)).select(
-        run, "n_rows", (F.col("_expected") - F.col("_matched")).alias("missing_rows"), "unexpected_rows", "invalid")
+        run, "n_rows", (F.col("_expected") - F.col("_matched")).alias("missing_rows"), "unexpected_rows",
+        "duplicate_rows", "invalid")
+
+
+def metric_audit(predictions: DataFrame, stored: DataFrame, run: str, period: str, score: str, label: str,
+                 tolerance: float = 1e-9) -> DataFrame:
+    """Per run: stored period Ginis that the stored predictions do not give again.
+
+    ``stored`` has (run, period, gini). A value that only one side has counts as well.
+    """
+    from cohortica.operators.metrics import auc_table
+    again = auc_table(predictions, [run, period], score, label).select(run, period, F.col("gini").alias("_again"))
+    both = stored.select(run, period, F.col("gini").alias("_stored")).join(again, [run, period], "full_outer")
+    gap = F.abs(F.col("_stored") - F.col("_again"))
+    return both.groupBy(run).agg(F.count(F.lit(1)).alias("n_periods"), F.max(gap).alias("max_abs_diff"),
+                                 count_if(gap.isNull() | (gap > tolerance)).alias("not_reproduced"))
+
+
+def layout_problems(train: DataFrame, score: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """The problems of ``schema_parity`` as rows (V1)."""
+    return train.sparkSession.createDataFrame([(p,) for p in schema_parity(train, score, spec)], "problem string")
 
 
 def plausibility(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

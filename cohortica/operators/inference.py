@@ -136,15 +136,14 @@ def delta_draws(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str
 
 
 def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str = "mes",
-                center: str = "observed", family: Sequence[str] = (), strict: bool = True) -> DataFrame:
+                center: str = "observed", family: Sequence[str] = ()) -> DataFrame:
     """Delta, 95% interval, p-value per pair and period, Holm over the pair means.
 
     ``table`` comes from ``bootstrap_ginis(observed=True)``. Each output row gathers
     one number per replicate, so its size is the replicate count. A single-class
-    draw is an error; with ``strict=False`` such draws, and pairs left without any,
-    are dropped.
+    draw is an error, so every mean covers all periods and every interval all draws.
     """
-    draws = delta_draws(require_both_classes(table) if strict else table, pairs, period)
+    draws = delta_draws(require_both_classes(table), pairs, period)
     drawn = F.col("replicate") != OBSERVED
     d = F.when(drawn, F.col("draw"))
     rows = draws.groupBy("a", "b", "period").agg(
@@ -155,7 +154,6 @@ def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str
     middle = F.col("delta") if center == "observed" else F.col("_mean")
     far = F.size(F.filter("_draws", lambda x: F.round(F.abs(x - middle), 12) >= F.round(F.abs(F.col("delta")), 12)))
     tested = rows.withColumn("p_two_sided", (far + 1) / (F.size("_draws") + 1)).drop("_draws", "_mean")
-    tested = tested.where(F.col("delta").isNotNull() & F.col("ci_low").isNotNull())
     mean_only = F.when(F.col("period") == "mean", F.round("p_two_sided", 12))
     ranked = tested.withColumn("_family", F.col("period") == "mean").withColumn("_p", mean_only)
     adjusted = holm(ranked, "_p", ["_family", *family], ["a", "b", "period"])
@@ -177,19 +175,25 @@ def pooled_delta(df: DataFrame, a: str, b: str, replicates: int, seed: int,
                  spec: PanelSpec = DEFAULT) -> DataFrame:
     """Pooled Gini difference with an entity-cluster percentile interval (B1).
 
-    Single-class replicates are skipped; ``replicates`` reports how many were used.
+    Single-class replicates are skipped; ``bootstrap_replicates`` reports how many were used.
+    Fewer than two entities, or no usable replicate, is an error.
     """
     by = list(by)
+    if df.select(spec.entity).distinct().limit(2).count() < 2:
+        raise ValueError("an entity bootstrap needs at least two entities")
     long = df.unpivot([spec.entity, *by, spec.label], [a, b], "model", "score")
     table = bootstrap_ginis(long, replicates, seed, [*by, "model"], "score", scheme, observed=True, spec=spec)
     per = table.groupBy("replicate", *by).agg(
         (F.max(F.when(F.col("model") == a, F.col("gini")))
          - F.max(F.when(F.col("model") == b, F.col("gini")))).alias("_d"))
     drawn = F.when(F.col("replicate") != OBSERVED, F.col("_d"))
-    return (per.groupBy(*by) if by else per).agg(
+    out = (per.groupBy(*by) if by else per).agg(
         F.max(F.when(F.col("replicate") == OBSERVED, F.col("_d"))).alias("delta_gini"),
         F.percentile(drawn, F.lit(0.025)).alias("ci95_low"), F.percentile(drawn, F.lit(0.975)).alias("ci95_high"),
         F.count(drawn).alias("bootstrap_replicates"))
+    usable = F.when(F.col("bootstrap_replicates") == 0, F.raise_error(
+        F.lit("no bootstrap draw has both classes")).cast("long")).otherwise(F.col("bootstrap_replicates"))
+    return out.withColumn("bootstrap_replicates", usable)
 
 
 def probability_of_best(table: DataFrame, period: str | None = None) -> DataFrame:
@@ -208,10 +212,9 @@ def probability_of_best(table: DataFrame, period: str | None = None) -> DataFram
     return flagged.withColumn("_s", share).groupBy(*keys, "model").agg(F.avg("_s").alias("p_best"))
 
 
-def two_baselines(table: DataFrame, models: Sequence[str], first: str, second: str,
-                  strict: bool = True) -> DataFrame:
+def two_baselines(table: DataFrame, models: Sequence[str], first: str, second: str) -> DataFrame:
     """Mean delta of every candidate against two baselines side by side, Holm per baseline."""
-    rows = delta_table(table, pairs_against(models, first, second), family=["b"], strict=strict).where(F.col("period") == "mean")
+    rows = delta_table(table, pairs_against(models, first, second), family=["b"]).where(F.col("period") == "mean")
     return rows.groupBy(F.col("a").alias("candidate")).agg(*[
         F.max(F.when(F.col("b") == base, F.col(c))).alias(f"{c}_vs_{base}")
         for base in (first, second) for c in ("delta", "ci_low", "ci_high", "p_two_sided", "p_holm")])

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cohortica.functions.ordered import safe_corr
-from cohortica.operators.contracts import (ContractViolation, count_if, duplicate_keys,
-                                           row_set_difference)
+from cohortica.operators.contracts import ContractViolation, count_if
 from cohortica.spec import DEFAULT, PanelSpec
 
 
@@ -30,72 +29,85 @@ def with_membership(df: DataFrame, members: DataFrame, key: str, out: str = "is_
     return df.join(known, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
+def key_report(tables: Sequence[DataFrame], keys: Sequence[str], label: str | None = None) -> DataFrame:
+    """One row: keys in all tables, and by table the keys it lacks and repeats; keys whose labels differ.
+
+    The tables are tagged, stacked and grouped by key once, whatever their number.
+    """
+    none = F.lit(None).cast("double")
+    tagged = [t.select(*keys, *[F.lit(int(i == j)).alias(f"_n{j}") for j in range(len(tables))],
+                       (F.col(label).cast("double") if label in t.columns else none).alias("_y"),
+                       F.lit(int(label in t.columns)).alias("_has"),
+                       (F.col(label).isNull().cast("int") if label in t.columns else F.lit(0)).alias("_null"))
+              for i, t in enumerate(tables)]
+    per = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(
+        *[F.sum(f"_n{j}").alias(f"_n{j}") for j in range(len(tables))], F.min("_y").alias("_low"), F.max("_y").alias("_high"),
+        F.sum("_has").alias("_has"), F.sum("_null").alias("_null"))
+    mixed = (F.col("_low") != F.col("_high")) | ((F.col("_null") > 0) & (F.col("_null") < F.col("_has")))
+    return per.agg(
+        F.count(F.lit(1)).alias("n_keys"), count_if(mixed).alias("label_differences"),
+        *[count_if(F.col(f"_n{j}") == 0).alias(f"lacks_{j}") for j in range(len(tables))],
+        *[F.coalesce(F.sum(F.greatest(F.col(f"_n{j}") - 1, F.lit(0))), F.lit(0)).alias(f"repeats_{j}")
+          for j in range(len(tables))])
+
+
 def strict_join(tables: Sequence[DataFrame], spec: PanelSpec = DEFAULT, check: bool = True) -> DataFrame:
-    """Join prediction tables one to one on the key.
+    """Tables side by side, one row per key.
 
-    Raises on duplicate keys, different row sets, different labels or clashing
-    columns. ``check=False`` skips the data checks when they were done before.
+    Value columns must be distinct. With ``check`` one pass over the keys of all tables
+    proves that each holds every key once and that their labels agree.
     """
     if not tables:
         raise ValueError("at least one table is required")
-    keys, label = spec.keys, spec.label
-    seen: set[str] = set()
-    for i, t in enumerate(tables):
-        extra = {c for c in t.columns if c not in keys and c != label}
-        clash = sorted(seen & extra)
-        if clash:
-            raise ContractViolation(f"table {i} repeats columns {clash}")
-        seen |= extra
+    shared = {*spec.keys, spec.label}
+    values = [c for t in tables for c in t.columns if c not in shared]
+    twice = sorted({c for c in values if values.count(c) > 1})
+    if twice:
+        raise ContractViolation(f"more than one table brings {twice}")
     if check:
-        labelled = [t for t in tables if label in t.columns]
-        for i, t in enumerate(tables):
-            if duplicate_keys(t, keys).first()[0]:
-                raise ContractViolation(f"table {i} has duplicate keys")
-            if i and any(row_set_difference(tables[0], t, keys).first()):
-                raise ContractViolation(f"table {i} has a different row set")
-        for t in labelled[1:]:
-            if any(row_set_difference(labelled[0], t, [*keys, label]).first()):
-                raise ContractViolation("labels differ between tables")
-
-    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        drop = [label] if label in left.columns and label in right.columns else []
-        return left.join(right.drop(*drop), keys)
-
-    return reduce(attach, tables)
+        found = {k: v for k, v in key_report(tables, spec.keys, spec.label).first().asDict().items()
+                 if v and k != "n_keys"}
+        if found:
+            raise ContractViolation(f"tables do not match one to one: {found}")
+    joined = tables[0]
+    for t in tables[1:]:
+        joined = joined.join(t.drop(spec.label) if spec.label in joined.columns else t, spec.keys)
+    return joined
 
 
 def strict_join_report(left: DataFrame, right: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Violations of a one-to-one join: unmatched rows and label differences."""
-    a = left.select(*spec.keys, F.col(spec.label).alias("_a"), F.lit(1).alias("_l"))
-    b = right.select(*spec.keys, F.col(spec.label).alias("_b"), F.lit(1).alias("_r"))
-    both = a.join(b, spec.keys, "full_outer")
-    return both.agg(
-        F.count(F.lit(1)).alias("n_rows"), count_if(F.col("_r").isNull()).alias("unmatched_left"),
-        count_if(F.col("_l").isNull()).alias("unmatched_right"),
-        count_if(F.col("_a") != F.col("_b")).alias("label_differences"))
+    """Violations of a one-to-one join: unmatched and repeated keys, differing labels.
 
+    A label that is NULL on one side only differs. Repeated keys are counted, never multiplied.
+    """
+    return key_report([left, right], spec.keys, spec.label).select(
+        F.col("n_keys").alias("n_rows"), F.col("lacks_1").alias("unmatched_left"), F.col("lacks_0").alias("unmatched_right"),
+        F.col("repeats_0").alias("duplicates_left"), F.col("repeats_1").alias("duplicates_right"), "label_differences")
 
-def align_to(values: DataFrame, reference: DataFrame, key: str, row_ord: str = "row_ord",
-             check: bool = True) -> DataFrame:
-    """Values in the reference's row order, matched by id and never by position.
 
-    A missing, unexpected or duplicate id raises.
+def align_members(members: Sequence[DataFrame], reference: DataFrame, key: str,
+                  row_ord: str = "row_ord", check: bool = True) -> DataFrame:
+    """Several score tables in the reference's row order, matched by id and never by position.
+
+    A missing, unexpected or repeated id in any table raises; all tables are checked in one pass.
     """
     if check:
-        if duplicate_keys(values, [key]).first()[0]:
-            raise ContractViolation("duplicate ids in input")
-        diff = row_set_difference(reference, values, [key]).first()
-        if diff["only_left"] or diff["only_right"]:
-            raise ContractViolation(
-                f"missing ids: {diff['only_left']}, unexpected ids: {diff['only_right']}")
-    return reference.select(key, row_ord).join(values, key)
+        found = key_report([reference, *members], [key]).first().asDict()
+        problems = {}
+        for i in range(1, len(members) + 1):
+            if found[f"repeats_{i}"]:
+                problems[i - 1] = f"{found[f'repeats_{i}']} duplicate ids"
+            elif found[f"lacks_{i}"] or found["lacks_0"]:
+                problems[i - 1] = f"missing ids: {found[f"lacks_{i}"]}, unexpected ids: {found["lacks_0"]}"
+        if problems:
+            raise ContractViolation(f"members do not fit the reference: {problems}")
+    return reduce(lambda left, m: left.join(m, key), members, reference.select(key, row_ord))
 
 
-def align_members(members: Sequence[DataFrame], reference: DataFrame, key: str,
-                  row_ord: str = "row_ord", check: bool = True) -> DataFrame:
-    """Several score tables side by side in the reference order."""
-    aligned = [align_to(m, reference, key, row_ord, check) for m in members]
-    return reduce(lambda a, b: a.join(b.drop(row_ord), key), aligned)
+def align_to(values: DataFrame, reference: DataFrame, key: str, row_ord: str = "row_ord",
+             check: bool = True) -> DataFrame:
+    """One score table in the reference's row order."""
+    return align_members([values], reference, key, row_ord, check)
 
 
 def period_pairs(df: DataFrame, value: str, first: int, second: int,
@@ -122,9 +134,3 @@ def risk_set(intervals: DataFrame, times: DataFrame, time: str = "event_time") -
     """
     covered = intervals.withColumn(time, F.explode(F.sequence(F.col("start") + 1, F.col("stop"))))
     return covered.join(times.select(time).distinct(), time)
-
-
-def cross_with_weights(df: DataFrame, weights: DataFrame) -> DataFrame:
-    """Every row with every weight vector of a fixed small grid."""
-    return df.crossJoin(F.broadcast(weights))
-

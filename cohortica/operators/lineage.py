@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortica.functions.features import known_category
 from cohortica.functions.hashing import hash_int
@@ -21,11 +21,18 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     """Row count and an order-free content hash of a table (L1, SNK2).
 
     Row hashes are summed exactly, so any row order and any partitioning agree and
-    duplicate rows do not cancel out.
+    duplicate rows do not cancel out. Every value is preceded by its length, so no two
+    different rows have the same text; two sums of 48-bit hashes make the content hash.
     """
-    cols = list(columns or df.columns)
-    h = hash_int(0, *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("content_hash"))
+    row = F.concat(*[_marked(c) for c in (columns or df.columns)])
+    sums = [F.sum(hash_int(seed, row).cast("decimal(20,0)")).cast("string") for seed in (0, 1)]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("content_hash"))
+
+
+def _marked(column: str) -> Column:
+    """Length and text of a value, ``-`` for NULL: parts joined like this cannot be confused."""
+    text = F.col(column).cast("string")
+    return F.when(text.isNull(), "-").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
 
 def build_manifest(spark: SparkSession, run: str, sections: dict[str, str]) -> DataFrame:
@@ -67,15 +74,15 @@ def require_intact(manifest: DataFrame, actual: DataFrame) -> None:
         raise ContractViolation(f"damaged artifacts: {[(r['status'], r['path']) for r in bad]}")
 
 
-def identity_key(*parts: str) -> str:
+def identity_key(*parts: str | None) -> str:
     """Expression text of a cache key: SHA-256 over the parts."""
     from hashlib import sha256
-    return sha256("|".join(parts).encode()).hexdigest()
+    return sha256("".join("-" if p is None else f"{len(p)}:{p}" for p in parts).encode()).hexdigest()
 
 
 def with_identity(df: DataFrame, columns: Sequence[str], out: str = "identity") -> DataFrame:
     """The same key for rows of a configuration table."""
-    return df.withColumn(out, F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256))
+    return df.withColumn(out, F.sha2(F.concat(*[_marked(c) for c in columns]), 256))
 
 
 def pending_folds(wanted: DataFrame, state: DataFrame) -> DataFrame:
@@ -115,10 +122,12 @@ def vocabulary_record(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def fold_status(state: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every expected (model, fold) with its state, ``not_started`` where none exists."""
-    models = state.select("model").distinct()
-    return models.crossJoin(F.broadcast(folds.select("fold").distinct())).join(
+def fold_status(state: DataFrame, expected: DataFrame) -> DataFrame:
+    """Every expected (model, fold) with its state, ``not_started`` where none exists.
+
+    A model without any state row is listed too, because the pairs come from ``expected``.
+    """
+    return expected.select("model", "fold").distinct().join(
         state, ["model", "fold"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohortica.functions.ordered import (_SEG, add_ranks, quantiles_wide, range_count, running,
                                          safe_corr, value_ranks, with_ranges)
@@ -16,10 +16,18 @@ from cohortica.functions.ordered import (_SEG, add_ranks, quantiles_wide, range_
 
 def tie_groups(df: DataFrame, keys: Sequence[str], score: str, label: str,
                weight: str | None = None) -> DataFrame:
-    """Positive and negative weight per distinct score."""
-    y = F.col(label).cast("long")
+    """Positive and negative weight per distinct score.
+
+    A NULL or NaN score and a label other than 0 and 1 are errors, not ranks.
+    """
+    number = isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType))
+    lacking = F.col(score).isNull() | F.isnan(score) if number else F.col(score).isNull()
+    value = F.when(lacking, F.raise_error(F.lit("a score is NULL or NaN")).cast(df.schema[score].dataType)).otherwise(
+        F.col(score))
+    y = F.when(F.col(label).isin(0, 1), F.col(label).cast("long")).otherwise(
+        F.raise_error(F.lit("a label is not 0 or 1")).cast("long"))
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    return df.groupBy(*keys, F.col(score).alias("_score")).agg(
+    return df.groupBy(*keys, value.alias("_score")).agg(
         F.sum(w * y).alias("_pos"), F.sum(w * (1 - y)).alias("_neg"))
 
 
@@ -104,13 +112,23 @@ def require_both_classes(metrics: DataFrame) -> DataFrame:
 
 
 def monthly_summary(metrics: DataFrame, by: Sequence[str] = (), metric: str = "gini",
-                    ddof: int = 0) -> DataFrame:
-    """Simple mean and standard deviation of a metric over periods."""
+                    ddof: int = 0, undefined: str = "error") -> DataFrame:
+    """Simple mean and standard deviation of a metric over periods.
+
+    A period without a value (a single class) is an error. With ``undefined="report"`` it is
+    left out of the mean and counted in ``undefined_periods``.
+    """
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    rows = metrics.where(F.col(metric).isNotNull())
-    grouped = rows.groupBy(*by) if by else rows
-    return grouped.agg(F.count(F.lit(1)).alias("n_periods"), F.avg(metric).alias(f"mean_{metric}"),
-                       std(metric).alias(f"std_{metric}"))
+    if undefined not in ("error", "report"):
+        raise ValueError(f"unknown treatment {undefined}")
+    value, extra = F.col(metric), []
+    if undefined == "error":
+        value = F.when(value.isNull(), F.raise_error(F.lit(f"{metric} is undefined in a period")).cast("double")).otherwise(value)
+    else:
+        extra = [F.sum(F.col(metric).isNull().cast("long")).alias("undefined_periods")]
+    grouped = metrics.groupBy(*by) if by else metrics
+    return grouped.agg(F.count(value).alias("n_periods"), F.avg(value).alias(f"mean_{metric}"),
+                       std(value).alias(f"std_{metric}"), *extra)
 
 
 def metric_slices(df: DataFrame, period: str, cohort: str, score: str = "score",
@@ -123,7 +141,7 @@ def metric_slices(df: DataFrame, period: str, cohort: str, score: str = "score",
         F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("value")),
         F.struct(F.lit("period").alias("slice"), F.col(period).cast("string").alias("value")),
         F.struct(F.lit("cohort").alias("slice"),
-                 F.when(F.col(cohort), "recurrent").otherwise("new").alias("value")))
+                 F.when(F.col(cohort), "recurrent").when(~F.col(cohort), "new").otherwise("unknown").alias("value")))
     rows = df.select(score, label, F.explode(slices).alias("_s")).select(score, label, "_s.*")
     return metric_table(rows, ["slice", "value"], score, label)
 

@@ -37,20 +37,11 @@ def inner_cuts(months: Sequence[int], folds: int = 4, end: int | None = None) ->
 
 
 def outer_holdout(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Role of every row in the outer split.
-
-    The ranking runs on the distinct periods only.
-    """
-    distinct = df.select(spec.period).distinct()
-    order = Window.orderBy(F.desc(spec.period))  # one row per period
-    roles = distinct.withColumn("role", F.when(F.row_number().over(order) <= 2, "valid").otherwise("train"))
-    return df.join(F.broadcast(roles), spec.period)
-
-
-def cut_table(df: DataFrame, cuts: Sequence[tuple[int, int]]) -> DataFrame:
-    """The cuts as a small DataFrame of the same session."""
-    return df.sparkSession.createDataFrame(
-        [(valid, through, valid) for through, valid in cuts], "fold int, train_through int, valid_period int")
+    """Role of every row in the outer split (S1); an error below three periods."""
+    roles = outer_cuts(periods(df, spec))
+    valid = [p for p, role in roles.items() if role == "valid"]
+    return df.select(spec.period, *[c for c in df.columns if c != spec.period],
+                     F.when(F.col(spec.period).isin(valid), "valid").otherwise("train").alias("role"))
 
 
 def assign_folds(df: DataFrame, cuts: Sequence[tuple[int, int]], window: int | None = None,
@@ -85,11 +76,18 @@ def fold_counts(assigned: DataFrame, label: str | None = None) -> DataFrame:
 
 
 def entity_holdout(df: DataFrame, valid_period: int, buckets: int = 5, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Held-out fifth of the entities: earlier rows of the others train, their month validates."""
+    """Held-out fifth of the entities: earlier rows of the others train, their month validates.
+
+    An error if either side has no row.
+    """
     held = entity_bucket(spec.entity, buckets) == 0
     p = F.col(spec.period)
     role = F.when(held & (p == valid_period), "valid").when(~held & (p < valid_period), "train")
-    return df.withColumn("role", role).where(F.col("role").isNotNull())
+    out = df.withColumn("role", role).where(F.col("role").isNotNull())
+    found = {r["role"] for r in out.groupBy("role").count().collect()}
+    if found != {"train", "valid"}:
+        raise ValueError(f"the entity holdout has no {sorted({'train', 'valid'} - found)} rows")
+    return out
 
 
 def hash_folds(df: DataFrame, folds: int, by: Sequence[str], seed: int = 0) -> DataFrame:
@@ -98,28 +96,36 @@ def hash_folds(df: DataFrame, folds: int, by: Sequence[str], seed: int = 0) -> D
 
 
 def period_quotas(counts: DataFrame, n: int, method: str, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Rows to draw per period: largest remainders, at least one each.
+    """Rows to draw per period, at least one each, in proportion to the period's weight.
 
-    ``counts`` holds one row per period. The driver only handles that list.
+    Every period gets the whole part of its share. Rows still missing go one each to the
+    largest remainders. Where the minimum of one row gave out too many, rows are taken back
+    in the order of how far a period would stay above its share. ``counts`` has one row per
+    period; everything is computed on that table.
     """
-    months = sorted((r[spec.period], r["n_rows"]) for r in counts.collect())
-    k = len(months)
-    if method == "balanced-by-month":
-        weights = [1.0] * k
-    elif method == "recency-aware":
-        weights = [1.0 + (i / (k - 1) if k > 1 else 0.0) for i in range(k)]
-    else:
+    if method not in ("balanced-by-month", "recency-aware"):
         raise ValueError(f"unknown sampling method {method}")
-    share = [w / sum(weights) * n for w in weights]
-    quota = [max(1, int(s)) for s in share]
-    while sum(quota) > n:
-        over = min((i for i in range(k) if quota[i] > 1), key=lambda i: (share[i] - quota[i], i))
-        quota[over] -= 1
-    while sum(quota) < n:
-        under = max(range(k), key=lambda i: (share[i] - quota[i], -i))
-        quota[under] += 1
-    rows = [(int(m), min(q, size)) for (m, size), q in zip(months, quota)]
-    return counts.sparkSession.createDataFrame(rows, f"{spec.period} int, quota int")
+    table = Window.partitionBy(F.lit(0))                       # one row per period
+    place = F.row_number().over(table.orderBy(spec.period)) - 1
+    last = F.greatest(F.count(F.lit(1)).over(table) - 1, F.lit(1))
+    weight = F.lit(1.0) if method == "balanced-by-month" else 1.0 + place / last
+    rows = counts.select(spec.period, "n_rows", weight.alias("_w"))
+    rows = rows.withColumn("_share", F.col("_w") / F.sum("_w").over(table) * F.lit(n))
+    rows = rows.withColumn("_whole", F.greatest(F.floor("_share"), F.lit(1)))
+    rows = rows.withColumn("_rest", F.col("_share") - F.col("_whole")).withColumn(
+        "_open", F.lit(n) - F.sum("_whole").over(table))
+    # A row to give is one step up; rows to take back are the steps down to one row.
+    down = F.sequence(F.lit(0), F.least(F.col("_whole") - 2, -F.col("_open") - 1))
+    steps = (F.when(F.col("_open") > 0, F.array(F.struct(-F.col("_rest"), F.lit(1).alias("step"))))
+             .when((F.col("_open") < 0) & (F.col("_whole") > 1),
+                   F.transform(down, lambda k: F.struct(F.col("_rest") + k, F.lit(-1).alias("step")))))
+    moves = rows.select(spec.period, F.abs("_open").alias("_moves"), F.explode(steps).alias("_s")).select(
+        spec.period, "_moves", F.col("_s.col1").alias("_order"), "_s.step")
+    moves = moves.withColumn("_at", F.row_number().over(table.orderBy("_order", spec.period)))
+    moved = moves.where(F.col("_at") <= F.col("_moves")).groupBy(spec.period).agg(F.sum("step").alias("_step"))
+    quota = F.least(F.col("_whole") + F.coalesce("_step", F.lit(0)), F.col("n_rows"))
+    return rows.join(moved, spec.period, "left").select(
+        F.col(spec.period).cast("int").alias(spec.period), quota.cast("int").alias("quota"))
 
 
 def stratified_sample(df: DataFrame, n: int, method: str, seed: int,

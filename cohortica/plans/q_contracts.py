@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortica.operators import contracts as C
+from cohortica.operators import metrics as M
 from cohortica.operators.history import add_history
-from cohortica.plans.panel import (PANEL_SQL, SCORE_MONTH, SCORES_SQL, TRAIN_THROUGH, long_scores, panel,
+from cohortica.plans.panel import (PANEL_SQL, SCORE_MONTH, SCORES_SQL, TRAIN_THROUGH, gini_sql, long_scores, panel,
                                    scores, valid_scores)
 from cohortica.plans.registry import query
 from cohortica.sources import readers as R
@@ -36,15 +37,15 @@ def pruned_scan(spark, sf_dir):
 
 
 @query("src3_schema_report", """
-SELECT column_name, declared_type, actual_type, coalesce(declared_type = actual_type, false) AS matches FROM (
-  SELECT c_mktsegment AS column_name, 'string' AS declared_type, CAST(NULL AS VARCHAR) AS actual_type FROM customer GROUP BY 1
-  UNION ALL SELECT * FROM (VALUES ('c_custkey', NULL, 'int'), ('c_name', NULL, 'string'), ('c_nationkey', NULL, 'int'),
-    ('c_acctbal', NULL, 'float'), ('c_mktsegment', NULL, 'string'))) t""")
+SELECT column_name, declared_type, actual_type, coalesce(declared_type = actual_type, false) AS matches FROM (VALUES
+  ('c_custkey', 'int', 'int'), ('c_name', 'string', 'string'), ('c_nationkey', 'string', 'int'), ('c_acctbal', 'float', 'float'),
+  ('c_mktsegment', NULL, 'string'), ('c_phone', 'string', NULL)) t(column_name, declared_type, actual_type)""")
 def schema_report(spark, sf_dir):
-    customer = R.read_table(spark, sf_dir, "customer")
-    declared = customer.select(F.col("c_mktsegment").alias("column_name")).distinct().withColumn(
-        "type", F.lit("string"))
-    return R.schema_report(customer, declared)
+    """SRC3: a dictionary with matching, wrong and missing entries against the customer table."""
+    declared = spark.createDataFrame(
+        [("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "string"), ("c_acctbal", "float"), ("c_phone", "string")],
+        "column_name string, type string")
+    return R.schema_report(R.read_table(spark, sf_dir, "customer"), declared)
 
 
 @query("src4_source_row_index", """
@@ -175,11 +176,15 @@ def submission_check(spark, sf_dir):
 
 
 @query("v10_probability_coverage", SCORES_SQL + """
-SELECT count(*) FILTER (id_cliente % 9 = 0) AS missing_predictions, CAST(0 AS BIGINT) AS unexpected_predictions,
-  count(*) FILTER (id_cliente % 9 <> 0 AND m1 + 0.5 > 1) AS invalid_probabilities FROM valid""")
+SELECT count(*) FILTER (id_cliente % 9 = 0) AS missing_predictions, count(*) FILTER (id_cliente % 9 <> 0 AND id_cliente % 10 = 1) AS unexpected_predictions,
+  count(*) FILTER (id_cliente % 9 <> 0 AND id_cliente % 8 = 2) AS duplicate_predictions,
+  count(*) FILTER (id_cliente % 9 <> 0 AND m1 + 0.5 > 1) + count(*) FILTER (id_cliente % 9 <> 0 AND id_cliente % 8 = 2 AND m1 + 0.5 > 1)
+  + count(*) FILTER (id_cliente % 9 <> 0 AND id_cliente % 10 = 1 AND m1 + 0.5 > 1) AS invalid_probabilities FROM valid""")
 def probability_coverage(spark, sf_dir):
     df = valid_scores(spark, sf_dir)
-    predictions = df.where(F.col("id_cliente") % 9 != 0).withColumn("p", F.col("m1") + 0.5)
+    predictions = df.where(F.col("id_cliente") % 9 != 0).select("id_cliente", "mes", (F.col("m1") + 0.5).alias("p"))
+    foreign = predictions.where(F.col("id_cliente") % 10 == 1).withColumn("id_cliente", -F.col("id_cliente") - 1)
+    predictions = predictions.unionByName(predictions.where(F.col("id_cliente") % 8 == 2)).unionByName(foreign)
     return C.probability_coverage(df, predictions, ["id_cliente", "mes"], "p")
 
 
@@ -219,16 +224,41 @@ def reproduction(spark, sf_dir):
 
 
 @query("v15_prediction_audit", SCORES_SQL + """
-SELECT model, count(*) FILTER (NOT (model = 'm3' AND id_cliente % 9 = 0)) AS n_rows,
+SELECT model, count(*) FILTER (NOT (model = 'm3' AND id_cliente % 9 = 0)) + count(*) FILTER (model = 'm2' AND id_cliente % 8 = 2) AS n_rows,
   count(*) FILTER (model = 'm3' AND id_cliente % 9 = 0) AS missing_rows, CAST(0 AS BIGINT) AS unexpected_rows,
-  count(*) FILTER (NOT (model = 'm3' AND id_cliente % 9 = 0) AND (score < 0 OR score > 1)) AS invalid FROM vlong GROUP BY model""")
+  count(*) FILTER (model = 'm2' AND id_cliente % 8 = 2) AS duplicate_rows,
+  count(*) FILTER (model = 'm2' AND id_cliente % 8 = 2 AND (score < 0 OR score > 1)) + count(*) FILTER (NOT (model = 'm3' AND id_cliente % 9 = 0) AND (score < 0 OR score > 1)) AS invalid FROM vlong GROUP BY model""")
 def prediction_audit(spark, sf_dir):
     df = valid_scores(spark, sf_dir)
     stored = long_scores(df, ["m1", "m2", "m3"]).where(
         ~((F.col("model") == "m3") & (F.col("id_cliente") % 9 == 0)))
+    stored = stored.unionByName(stored.where((F.col("model") == "m2") & (F.col("id_cliente") % 8 == 2)))
     return C.prediction_audit(df, stored, "model", ["id_cliente", "mes"], "score")
 
 
+@query("v15_metric_audit", SCORES_SQL + f""",
+{gini_sql('vlong', 'model, mes')}
+SELECT model, count(*) AS n_periods, round(max(CASE WHEN model = 'm2' THEN 0.25 ELSE 0 END), 6) AS max_abs_diff,
+  count(*) FILTER (model = 'm2') AS not_reproduced FROM g GROUP BY model""")
+def metric_audit(spark, sf_dir):
+    """The stored Ginis of one model were altered."""
+    long = long_scores(valid_scores(spark, sf_dir), ["m1", "m2", "m3"])
+    stored = M.auc_table(long, ["model", "mes"]).select("model", "mes", (F.col("gini") + F.when(
+        F.col("model") == "m2", 0.25).otherwise(0.0)).alias("gini"))
+    return C.metric_audit(long, stored, "model", "mes", "score", "objetivo").withColumn(
+        "max_abs_diff", F.round("max_abs_diff", 6))
+
+
+@query("v1_schema_parity", PANEL_SQL + f"""
+SELECT problem FROM (VALUES ('score table must not contain objetivo'), ('train and score columns differ in name or order')) t(problem)
+WHERE (SELECT count(*) FROM panel WHERE mes = {SCORE_MONTH}) > 0""")
+def schema_parity(spark, sf_dir):
+    """V1: a score table that kept its label, with rows to score."""
+    train, score = train_score(spark, sf_dir)
+    leaked = score.withColumn("objetivo", F.lit(0))
+    return C.layout_problems(train, leaked).join(F.broadcast(score.limit(1).select(F.lit(1).alias("_one"))), F.lit(True)).drop("_one")
+
+
 @query("v16_plausibility", PANEL_SQL + """
 SELECT round(avg(CASE WHEN antiguedad_cuenta_meses > (edad - 18) * 12 THEN 1 ELSE 0 END), 9) AS account_older_than_adult,
   round(avg(CASE WHEN antiguedad_direccion_meses > edad * 12 THEN 1 ELSE 0 END), 9) AS address_older_than_age FROM panel""")

@@ -14,11 +14,11 @@ from cohortica.plans.q_metrics import MODELS, rank_sql
 from cohortica.plans.registry import query
 from cohortica.sources.readers import source_row_index
 
-CANDIDATES = [
-    E.Candidate("pair", ((1.0, ("m1", "m2")),)),
-    E.Candidate("flat", ((1.0, ("m1",)), (1.0, ("m2",)), (1.0, ("m3",)))),
-    E.Candidate("half", ((0.5, ("m1", "m2")), (0.5, ("m3",)))),
-]
+CANDIDATES = {
+    "pair": [(1.0, ["m1", "m2"])],
+    "flat": [(1.0, ["m1"]), (1.0, ["m2"]), (1.0, ["m3"])],
+    "half": [(0.5, ["m1", "m2"]), (0.5, ["m3"])],
+}
 
 
 def candidates_sql(source: str) -> str:
@@ -102,7 +102,7 @@ CAND_GINI_SQL = SCORES_SQL + "," + candidates_sql("valid") + f",\n{gini_sql('can
 
 def candidate_ginis(spark, sf_dir):
     blends = E.blend_candidates(valid_scores(spark, sf_dir), CANDIDATES, MODELS)
-    order = F.create_map(*[x for i, c in enumerate(CANDIDATES) for x in (F.lit(c.name), F.lit(i))])
+    order = F.create_map(*[x for i, c in enumerate(CANDIDATES) for x in (F.lit(c), F.lit(i))])
     return M.auc_table(blends, ["candidate", "mes"]).withColumn("priority", order[F.col("candidate")])
 
 
@@ -128,7 +128,7 @@ SELECT x.mes, x.candidate AS a, y.candidate AS b, round(corr(x.r, y.r), 9) AS sp
 def agreement(spark, sf_dir):
     """E10 on the score month; a candidate with a missing member is left out."""
     df = scores(spark, sf_dir).where(F.col("mes") == SCORE_MONTH)
-    ok, skipped = E.buildable([*CANDIDATES, E.Candidate("other", ((1.0, ("m9",)),))], df.columns)
+    ok, skipped = E.split_recipes({**CANDIDATES, "other": [(1.0, ["m9"])]}, df.columns)
     assert skipped == ["other"]
     return rounded(E.agreement(E.blend_candidates(df, ok, MODELS), df.withColumn("score", F.col("m1"))))
 

@@ -13,11 +13,26 @@ from cohortica.plans.registry import query
 from cohortica.sources.readers import file_records, read_table
 
 
+def marked_sql(*columns: str) -> str:
+    """Length and text of each value, '-' for NULL, joined."""
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
 @query("l1_table_fingerprint", f"""
-SELECT count(*) AS n_rows, CAST(sum(CAST({hash_int_sql(0, 'o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority')} AS HUGEINT)) AS VARCHAR) AS content_hash FROM orders""")
+WITH o AS (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(15, 2)) AS o_totalprice,
+  CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders), t AS (SELECT {marked_sql(*ORDER_COLUMNS)} AS row FROM o)
+SELECT count(*) AS n_rows, CAST(sum(CAST({hash_int_sql(0, 't.row')} AS HUGEINT)) AS VARCHAR) || '-'
+  || CAST(sum(CAST({hash_int_sql(1, 't.row')} AS HUGEINT)) AS VARCHAR) AS content_hash FROM t""")
 def table_fingerprint(spark, sf_dir):
-    return L.table_fingerprint(read_table(spark, sf_dir, "orders"),
-                               ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    """L1 over every column, with some NULLs."""
+    orders = read_table(spark, sf_dir, "orders")
+    return L.table_fingerprint(orders.select(
+        "o_orderkey", F.nullif("o_custkey", F.lit(7)).alias("o_custkey"), "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"),
+        F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority"))
 
 
 @query("l2_manifest")
@@ -25,7 +40,13 @@ def manifest(spark, sf_dir):
     return L.build_manifest(spark, "run-1", {"inputs": sf_dir}).select("run", "section", "bytes", "sha256")
 
 
-@query("l3_verify_files")
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+          "orders", "pages", "part", "region", "supplier"]
+
+
+@query("l3_verify_files", "SELECT file, status FROM (VALUES " + ", ".join(
+    "('part.parquet.gone', 'missing')" if t == "part" else f"('{t}.parquet', '" + {
+        "nation": "size mismatch", "region": "checksum mismatch"}.get(t, "ok") + "')" for t in TABLES) + ") v(file, status)")
 def verify_files(spark, sf_dir):
     """The input files against a manifest in which three records were altered."""
     actual = file_records(spark, sf_dir, "*.parquet")
@@ -53,7 +74,7 @@ def wanted_and_state(spark, sf_dir):
 
 STATE_SQL = PANEL_SQL + """,
 base AS (SELECT mes AS fold, count(*) AS n_rows FROM panel GROUP BY 1),
-wanted AS (SELECT model, fold, n_rows, sha256(model || '|' || fold || '|' || n_rows) AS identity FROM base, (VALUES ('gbt'), ('logistic')) m(model)),
+wanted AS (SELECT model, fold, n_rows, sha256(length(model) || ':' || model || length(fold::VARCHAR) || ':' || fold || length(n_rows::VARCHAR) || ':' || n_rows) AS identity FROM base, (VALUES ('gbt'), ('logistic')) m(model)),
 state AS (SELECT *, CASE WHEN fold % 7 = 0 THEN 'failed' ELSE 'complete' END AS status, n_rows / 10.0::DOUBLE AS seconds FROM wanted WHERE fold % 2 = 0 OR model = 'gbt')"""
 
 

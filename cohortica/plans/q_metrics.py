@@ -62,11 +62,12 @@ def average_precision(spark, sf_dir):
 
 @query("a19_monthly_summary", SCORES_SQL + f""",
 {gini_sql('long', 'model, mes')}
-SELECT model, count(*) AS n_periods, round(avg(gini), 9) AS mean_gini, round(stddev_pop(gini), 9) AS std_gini FROM g WHERE gini IS NOT NULL GROUP BY model""")
+SELECT model, count(gini) AS n_periods, round(avg(gini), 9) AS mean_gini, round(stddev_pop(gini), 9) AS std_gini, count(*) FILTER (gini IS NULL) AS undefined_periods FROM g GROUP BY model""")
 def monthly_summary(spark, sf_dir):
+    """A19 over all months; those with one class are counted, not dropped unseen."""
     long = long_scores(scores(spark, sf_dir), MODELS)
-    return M.monthly_summary(M.auc_table(long, ["model", "mes"]), ["model"]).select(
-        "model", "n_periods", r9("mean_gini"), r9("std_gini"))
+    return M.monthly_summary(M.auc_table(long, ["model", "mes"]), ["model"], undefined="report").select(
+        "model", "n_periods", r9("mean_gini"), r9("std_gini"), "undefined_periods")
 
 
 @query("a20_metric_slices", SCORES_SQL + f""",

@@ -44,12 +44,13 @@ def strict_join(spark, sf_dir):
 
 @query("j4_validated_join", SCORES_SQL + """
 SELECT count(*) AS n_rows, count(*) FILTER (id_cliente % 17 = 0) AS unmatched_left, CAST(0 AS BIGINT) AS unmatched_right,
+  CAST(0 AS BIGINT) AS duplicates_left, count(*) FILTER (id_cliente % 17 <> 0 AND id_cliente % 6 = 1) AS duplicates_right,
   count(*) FILTER (id_cliente % 17 <> 0 AND id_cliente % 19 = 0) AS label_differences FROM valid""")
 def validated_join(spark, sf_dir):
     df = valid_scores(spark, sf_dir).select(*KEYS, "objetivo")
     other = df.where(F.col("id_cliente") % 17 != 0).withColumn("objetivo", F.when(
         F.col("id_cliente") % 19 == 0, 1 - F.col("objetivo")).otherwise(F.col("objetivo")))
-    return J.strict_join_report(df, other)
+    return J.strict_join_report(df, other.unionByName(other.where(F.col("id_cliente") % 6 == 1)))
 
 
 @query("j5_reorder_by_id", SCORES_SQL + f"""

@@ -31,8 +31,11 @@ def write_submission(submission: DataFrame, reference: DataFrame, path: str, row
 
 
 def write_features(df: DataFrame, path: str, period: str = "mes") -> None:
-    """Parquet partitioned by period; only the periods present are replaced (SNK2, SNK3)."""
-    (df.repartition(F.col(period), F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    """Parquet partitioned by period; only the periods present are replaced (SNK2, SNK3).
+
+    Rows are rebalanced by period: a small period is one file, a large one as many as its size asks for.
+    """
+    (df.hint("rebalance", F.col(period))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path))
 
 

@@ -109,3 +109,30 @@ def test_risk_set_join_handles_long_intervals(spark, rows):
     times = spark.createDataFrame([(2,), (4,)], "event_time int")
     got = rows(J.risk_set(iv, times), "event_time", "id")
     assert got == [(2, 1), (2, 2), (4, 3)]
+
+
+def test_fractions_are_not_labels(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (0.7,)], "y double")
+    assert C.binary_label(df, "y").first().invalid_labels == 1
+
+
+def test_repeated_predictions_are_counted(spark):
+    want = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    got = spark.createDataFrame([(1, 0.5), (1, 0.6), (2, 7.0), (9, 0.1)], "k long, p double")
+    assert C.probability_coverage(want, got, ["k"], "p").first().asDict() == {
+        "missing_predictions": 1, "unexpected_predictions": 1, "duplicate_predictions": 1, "invalid_probabilities": 1}
+    audit = C.prediction_audit(want, got.withColumn("run", F.lit("r")), "run", ["k"], "p").first()
+    assert (audit.n_rows, audit.missing_rows, audit.unexpected_rows, audit.duplicate_rows, audit.invalid) == (4, 1, 1, 1, 1)
+
+
+def test_join_report_counts_copies_and_null_labels(spark):
+    a = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, None)], "id_cliente long, mes int, objetivo int")
+    b = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 1)], "id_cliente long, mes int, objetivo int")
+    row = J.strict_join_report(a, b).first()
+    assert (row.n_rows, row.duplicates_left, row.duplicates_right, row.label_differences) == (2, 1, 1, 1)
+
+
+def test_layout_problems_as_rows(spark):
+    train = spark.createDataFrame([], "id_cliente long, mes int, objetivo int, x int")
+    assert C.layout_problems(train, train.drop("objetivo")).count() == 0
+    assert C.layout_problems(train, train.drop("mes")).count() == 3

@@ -130,3 +130,9 @@ def test_promotion_labels(spark):
                                "g double, b double, s double")
     got = [r[0] for r in df.select(I.promotion_label(F.col("g"), F.col("b"), F.col("s"), 0.25)).collect()]
     assert got == ["promote", "competitive", "ensemble-only (blend)", "ensemble-only", "reject"]
+
+
+def test_one_entity_is_no_bootstrap(spark):
+    df = spark.createDataFrame([(1, 1, 0, 0.1, 0.2), (1, 2, 1, 0.5, 0.4)], "id_cliente long, mes int, objetivo int, a double, b double")
+    with pytest.raises(ValueError, match="two entities"):
+        I.pooled_delta(df, "a", "b", 5, 1)

@@ -78,7 +78,17 @@ def test_single_class_is_null_or_an_error(spark):
     assert {r.mes: r.gini for r in table.collect()} == {1: None, 2: 1.0}
     with pytest.raises(Exception, match="single class"):
         M.require_both_classes(table).collect()
-    assert M.monthly_summary(table).first().n_periods == 1
+    with pytest.raises(Exception, match="undefined"):
+        M.monthly_summary(table).collect()
+    row = M.monthly_summary(table, undefined="report").first()
+    assert (row.n_periods, row.undefined_periods, row.mean_gini) == (1, 1, 1.0)
+
+
+@pytest.mark.parametrize("row", [(1, 0, None), (1, 0, float("nan")), (1, 2, 0.5), (1, None, 0.5)])
+def test_bad_scores_and_labels_are_refused(spark, row):
+    df = spark.createDataFrame([(1, 0, 0.1), (1, 1, 0.2), row], "mes int, objetivo int, score double")
+    with pytest.raises(Exception, match="NULL or NaN|not 0 or 1"):
+        M.auc_table(df, ["mes"]).collect()
 
 
 def test_summary_uses_population_std_unless_asked(spark):

@@ -88,10 +88,19 @@ def test_resume_runs_only_pending_folds(spark):
     assert sorted(r.fold for r in L.resume(wanted, state).collect()) == [2, 3]
     with pytest.raises(ContractViolation):
         L.resume(wanted.withColumn("identity", F.lit("y")), state)
-    folds = spark.createDataFrame([(1,), (2,), (3,)], "fold int")
-    status = {r.fold: r.status for r in L.fold_status(state, folds).collect()}
-    assert status == {1: "complete", 2: "failed", 3: "not_started"}
-    assert L.status_rollup(L.fold_status(state, folds)).first().status == "incomplete"
+    expected = spark.createDataFrame([("m", 1), ("m", 2), ("m", 3), ("never", 1)], "model string, fold int")
+    status = {(r.model, r.fold): r.status for r in L.fold_status(state, expected).collect()}
+    assert status == {("m", 1): "complete", ("m", 2): "failed", ("m", 3): "not_started", ("never", 1): "not_started"}
+    assert {r.status for r in L.status_rollup(L.fold_status(state, expected)).collect()} == {"incomplete"}
+
+
+def test_hashes_tell_null_and_borders_apart(spark):
+    rows = [("a|b", "c", None), ("a", "b|c", None), ("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, y string, z string")
+    assert L.with_identity(df, ["x", "y", "z"]).select("identity").distinct().count() == len(rows)
+    hashes = {L.table_fingerprint(df.where(f"i = {i}"), ["x", "y", "z"]).first().content_hash for i in range(len(rows))}
+    assert len(hashes) == len(rows)
+    assert len({L.identity_key("a", "b"), L.identity_key("ab"), L.identity_key("a", None, "b"), L.identity_key("a", "b", None)}) == 4
 
 
 def test_run_records_append(spark, tmp_path):

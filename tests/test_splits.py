@@ -95,3 +95,24 @@ def test_entity_overlap(panel):
     a = {r[0] for r in panel.where("mes <= 202606").select("id_cliente").collect()}
     b = {r[0] for r in panel.where("mes = 202607").select("id_cliente").collect()}
     assert (out.train_entities, out.valid_entities, out.overlap) == (len(a), len(b), len(a & b))
+
+
+def test_short_or_empty_splits_are_refused(spark):
+    two = spark.createDataFrame([(1, 202601, 0), (2, 202602, 0)], "id_cliente long, mes int, objetivo int")
+    with pytest.raises(ValueError, match="three periods"):
+        S.outer_holdout(two)
+    with pytest.raises(ValueError, match="no "):
+        S.entity_holdout(two.where("mes = 202601"), 202601)
+
+
+@pytest.mark.parametrize("method", ["balanced-by-month", "recency-aware"])
+@pytest.mark.parametrize("sizes,n", [([100] * 5, 17), ([100] * 7, 7), ([100] * 9, 10), ([3, 100, 100], 60), ([50] * 12, 200)])
+def test_quotas_follow_their_definition(spark, method, sizes, n):
+    counts = spark.createDataFrame([(202601 + i, s) for i, s in enumerate(sizes)], "mes int, n_rows long")
+    got = {r.mes: r.quota for r in S.period_quotas(counts, n, method).collect()}
+    k = len(sizes)
+    weight = [1.0 if method == "balanced-by-month" else 1 + i / (k - 1) for i in range(k)]
+    share = [w / sum(weight) * n for w in weight]
+    assert all(1 <= got[202601 + i] <= max(1, int(share[i]) + 1) for i in range(k))
+    if min(sizes) > max(share) + 1:
+        assert sum(got.values()) == n
