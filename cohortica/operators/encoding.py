@@ -26,8 +26,8 @@ def encode_categories(df: DataFrame, vocabulary: DataFrame, columns: Sequence[st
     sizes = vocabulary.groupBy("column").agg(F.count(F.lit(1)).cast("int").alias("_n"))
     long = df.select(*row_key, *[known_category(c).alias(c) for c in columns]).unpivot(
         list(row_key), list(columns), "column", "value")
-    coded = long.join(vocabulary, ["column", "value"], "left").join(sizes, "column")
-    code = F.coalesce(F.col("code"), F.col("_n"))
+    coded = long.join(vocabulary, ["column", "value"], "left").join(sizes, "column", "left")
+    code = F.coalesce(F.col("code"), F.col("_n"), F.lit(0))       # a column without vocabulary: all unseen
     return coded.groupBy(*row_key).agg(*[
         F.max(F.when(F.col("column") == c, code)).alias(f"{c}_code") for c in columns])
 

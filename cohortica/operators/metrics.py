@@ -161,7 +161,7 @@ def score_distribution(df: DataFrame, score: str, probs: dict[str, float],
         F.count(F.lit(1)).alias("n_rows"), F.avg(score).alias("mean"),
         F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
     q = quantiles_wide(df, by, score, probs)
-    return base.join(q, by) if by else base.crossJoin(q)
+    return base.join(q, by, "left") if by else base.crossJoin(q)
 
 
 def correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

@@ -59,11 +59,12 @@ def _one_hot(columns: Sequence[str]) -> list:
 
 
 def gbt_pipeline(spec: ModelSpec, label: str, seed: int, weight: str | None,
-                 validation: str | None = None) -> Pipeline:
-    """Boosted trees on category codes and raw numbers (M1)."""
+                 validation: str | None = None, levels: int = 0) -> Pipeline:
+    """Boosted trees on category codes and raw numbers (M1); ``levels`` is the largest vocabulary."""
     inputs = [*spec.numeric, *[f"{c}_ix" for c in spec.categorical]]
     p = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
-         "maxBins": 64, **spec.params}
+         **spec.params}
+    p["maxBins"] = max(p.get("maxBins", 64), levels + 2)          # each level, and the unseen one, needs a bin
     gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, checkpointInterval=10, **p)
     if weight:
         gbt = gbt.setWeightCol(weight)
@@ -132,7 +133,8 @@ def fit(train: DataFrame, spec: ModelSpec, seed: int = 42, weight: str | None =
     data = data.select(*extra, *spec.numeric, *spec.categorical).persist()
     try:
         if spec.kind == "gbt":
-            return gbt_pipeline(spec, panel.label, seed, weight, validation).fit(data)
+            levels = max(data.agg(*[F.count_distinct(c) for c in spec.categorical]).first()) if spec.categorical else 0
+            return gbt_pipeline(spec, panel.label, seed, weight, validation, levels).fit(data)
         n = data.count()
         if spec.kind in ("logistic", "rules"):
             return logistic_pipeline(spec, panel.label, n, weight).fit(data)
@@ -259,7 +261,8 @@ def naive_bayes(train: DataFrame, score_rows: DataFrame, columns: Sequence[str],
 
     ``(N_vc + alpha) / (N_c + alpha n_v)`` per feature. The number of values n_v is
     taken over all training rows. An unseen value counts zero, or is treated as the
-    first sorted value with ``clip_unseen``.
+    first sorted value with ``clip_unseen``. A row of an unseen band gets the rate of all
+    training rows, a band with one class the certainty of that class.
     """
     group = [F.col(by).alias("_g")] if by else [F.lit("all").alias("_g")]
     cats = [known_category(c).alias(c) for c in columns]
@@ -275,14 +278,21 @@ def naive_bayes(train: DataFrame, score_rows: DataFrame, columns: Sequence[str],
     if clip_unseen:
         rows = rows.join(values.select("_c", "_v", F.lit(1).alias("_known")), ["_c", "_v"], "left").join(
             first, "_c").withColumn("_v", F.when(F.col("_known").isNull(), F.col("_v0")).otherwise(F.col("_v")))
-    full = rows.join(counts, ["_g", "_c", "_v"], "left").join(sizes, "_c").join(classes, "_g")
+    everyone = classes.agg(F.sum("_n").alias("_all"), F.sum("_n1").alias("_all1"))    # one row
+    full = (rows.join(counts, ["_g", "_c", "_v"], "left").join(sizes, "_c").join(classes, "_g", "left")
+            .crossJoin(F.broadcast(everyone)))
+    seen = F.col("_n").isNotNull()
     m1 = F.coalesce("_m1", F.lit(0))
     m0 = F.coalesce(F.col("_m") - F.col("_m1"), F.lit(0))
-    n1, n0 = F.col("_n1"), F.col("_n") - F.col("_n1")
+    n1 = F.coalesce("_n1", "_all1")
+    n0 = F.coalesce(F.col("_n") - F.col("_n1"), F.col("_all") - F.col("_all1"))
     llr = F.ln((m1 + alpha) / (n1 + alpha * F.col("_k"))) - F.ln((m0 + alpha) / (n0 + alpha * F.col("_k")))
-    total = full.groupBy(*panel.keys).agg(F.sum(llr).alias("_llr"), F.max(F.ln(n1 / n0)).alias("_prior"))
-    z = F.col("_llr") + F.col("_prior")
-    return total.select(*panel.keys, (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias(panel.score))
+    total = full.groupBy(*panel.keys).agg(
+        F.sum(F.when(seen, llr).otherwise(F.lit(0.0))).alias("_llr"), F.max(n1).alias("_c1"), F.max(n0).alias("_c0"))
+    z = F.col("_llr") + F.ln(F.col("_c1") / F.col("_c0"))
+    p = (F.when(F.col("_c1") == 0, 0.0).when(F.col("_c0") == 0, 1.0)
+         .otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-z))))
+    return total.select(*panel.keys, p.alias(panel.score))
 
 
 def tree_leaves(df: DataFrame, numeric: Sequence[str], label: str, depth: int = 3,

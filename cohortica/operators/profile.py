@@ -74,7 +74,10 @@ def category_rates(df: DataFrame, columns: Sequence[str], label: str) -> DataFra
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
              probs: dict[str, float] | None = None) -> DataFrame:
-    """Count, mean, sample std, range and exact quantiles, one row per column."""
+    """Count, mean, sample std, range and exact quantiles, one row per column.
+
+    A column or group without any value keeps its row, with a count of 0 and NULL figures.
+    """
     by = list(by)
     probs = probs or {"p1": 0.01, "p50": 0.5, "p99": 0.99}
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
@@ -83,7 +86,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     base = long.groupBy(*keys).agg(
         F.count("value").alias("n_rows"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return base.join(quantiles_wide(long, keys, "value", probs), keys)
+    return base.join(quantiles_wide(long, keys, "value", probs), keys, "left")
 
 
 def modal_values(df: DataFrame, columns: Sequence[str], top: int = 3) -> DataFrame:

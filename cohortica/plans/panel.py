@@ -26,13 +26,20 @@ def _pick(index, values):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_months(spark: SparkSession, sf_dir: str, through: int | None = None) -> DataFrame:
     """Orders collapsed to customer-months, cut after the first event.
 
+    ``through`` is the last month wanted. Nothing in the panel looks ahead, so the bound
+    goes to the scan and leaves the kept months as they are.
+
     The month count bounds a customer's rows, so windows over one customer stay
     small however many orders that customer has.
     """
     orders = read_table(spark, sf_dir, "orders")
+    if through is not None:
+        year, month = divmod(through, 100)
+        after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
+        orders = orders.where(F.col("o_orderdate") < F.lit(after).cast("timestamp_ntz"))
     urgent = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
     months = orders.groupBy(
         F.col("o_custkey").alias("id_cliente"),
@@ -50,10 +57,10 @@ def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_event").isNull() | (F.col("mes") <= F.col("_event"))).drop("_event")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer-months in the published schema plus ``gasto`` (spend)."""
+def panel(spark: SparkSession, sf_dir: str, through: int | None = None) -> DataFrame:
+    """Customer-months up to ``through`` in the published schema plus ``gasto`` (spend)."""
     history = Window.partitionBy("id_cliente").orderBy("mes")
-    months = order_months(spark, sf_dir).select(
+    months = order_months(spark, sf_dir, through).select(
         "*",
         F.datediff("_last_day", F.lag("_last_day").over(history)).alias("_gap"),
         (F.row_number().over(history) == 1).alias("es_nuevo_cliente"),
@@ -99,9 +106,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, through: int | None = None) -> DataFrame:
     """Keys, label and three deterministic stand-in model scores in [0, 1]."""
-    return with_scores(panel(spark, sf_dir)).select(
+    return with_scores(panel(spark, sf_dir, through)).select(
         "id_cliente", "mes", "objetivo", "m1", "m2", "m3")
 
 
@@ -117,7 +124,7 @@ def with_scores(df: DataFrame) -> DataFrame:
 
 def valid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the rolling validation months only."""
-    return scores(spark, sf_dir).where(F.col("mes").isin(VALID_MONTHS))
+    return scores(spark, sf_dir, max(VALID_MONTHS)).where(F.col("mes").isin(VALID_MONTHS))
 
 
 def long_scores(df: DataFrame, models: list[str], keys: tuple[str, ...] = (
