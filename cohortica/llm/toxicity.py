@@ -163,16 +163,31 @@ def _hits(model):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; the first column is the constant."""
+    """Weighted ridge logistic regression; the first column is the constant.
+
+    Newton steps are halved until the penalised likelihood grows, so nearly separable
+    classes cannot throw the fit off. Columns are scaled to unit size while fitting.
+    """
+    size = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    x = x / size
+    penalty = np.array([1e-3, *[ridge / 100] * (x.shape[1] - 1)])
     beta = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (w * (y - p)) - penalty @ beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    rate = np.clip(np.average(y, weights=w), 1e-4, 1 - 1e-4)
+    beta[0] = np.log(rate / (1 - rate))
+    loss = lambda b: float((w * (np.logaddexp(0, x @ b) - y * (x @ b))).sum() + (penalty * b * b).sum() / 2)
+    now = loss(beta)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        slope = x.T @ (w * (y - p)) - penalty * beta
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), slope)
+        share = 1.0
+        while share > 1e-6 and loss(beta + share * step) > now:
+            share /= 2
+        after = loss(beta + share * step)
+        if share <= 1e-6 or now - after < 1e-9 * max(now, 1.0):
             break
-    return beta
+        beta, now = beta + share * step, after
+    return beta / size
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:

@@ -16,7 +16,7 @@ from cohortica.llm.common import crc_mod, mix, range_index
 from cohortica.llm.language import identify
 from cohortica.llm.pii import KINDS, base_spans, find, fit, luhn, redact, redacted, spans_of
 from cohortica.llm.pitman_yor import draw_tables, pair_probabilities, stirling
-from cohortica.llm.toxicity import drop_toxic, maximal_segments, score
+from cohortica.llm.toxicity import _logistic, drop_toxic, maximal_segments, score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -140,6 +140,17 @@ def test_segments_equal_brute_force():
         assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in brute_segments(scores)]
 
 
+def test_curve_survives_nearly_separable_classes():
+    rng = np.random.default_rng(8)
+    y = (np.arange(16_000) % 9 == 0).astype(int)
+    e = np.where(y == 1, rng.gamma(9, 9, len(y)), 0.0)
+    e[rng.integers(0, len(y), 30)] = 4.0
+    for w in (np.ones(len(y)), np.where(y == 1, 1.0, 5.5)):
+        beta = _logistic(np.column_stack([np.ones(len(e)), e, np.log1p(e)]), y, w)
+        z = beta[0] + beta[1] * e + beta[2] * np.log1p(e)
+        assert beta[0] < -2 and ((z > 0) == (y == 1)).mean() > 0.99
+
+
 def toxic_docs(spark, n=600):
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefg") + rng.choice("aeiou") + rng.choice("klmnrst") + rng.choice("aeiou")
