@@ -21,7 +21,7 @@ from cohortica.functions.hashing import hash_uniform
 from cohortica.functions.periods import in_recent_window, ordinal_of, ordinal
 from cohortica.operators.encoding import bin_edges, category_vocabulary
 from cohortica.operators.metrics import auc_table, metric_table, monthly_summary
-from cohortica.operators.splits import permute_within_period
+from cohortica.operators.splits import with_donor
 from cohortica.session import ensure_checkpoint_dir
 from cohortica.spec import DEFAULT, PanelSpec
 
@@ -309,13 +309,22 @@ def tree_leaves(df: DataFrame, numeric: Sequence[str], label: str, depth: int =
 
 def permutation_importance(model, df: DataFrame, spec: ModelSpec, columns: Sequence[str], seed: int,
                            panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Drop of the monthly Gini when a column is shuffled inside its month."""
+    """Drop of the monthly Gini when a column is shuffled inside its month.
+
+    One donor row of the same month is drawn for every row and serves all columns, so the
+    rows are ordered twice in all, not twice a column.
+    """
     keep = [*panel.keys, panel.label]
-    runs = score(model, df, spec, keep, panel.score).withColumn("feature", F.lit(""))
-    for c in columns:
-        shuffled = permute_within_period(df, c, seed, panel)
-        runs = runs.unionByName(score(model, shuffled, spec, keep, panel.score).withColumn("feature", F.lit(c)))
-    table = auc_table(runs, ["feature", panel.period], panel.score, panel.label)
+    donor = with_donor(df, list(columns), seed, panel).persist()
+    try:
+        runs = score(model, donor, spec, keep, panel.score).withColumn("feature", F.lit(""))
+        for c in columns:
+            swapped = donor.withColumn(c, F.col(f"_donor.{c}"))
+            runs = runs.unionByName(score(model, swapped, spec, keep, panel.score).withColumn("feature", F.lit(c)))
+        ensure_checkpoint_dir(df.sparkSession)
+        table = auc_table(runs, ["feature", panel.period], panel.score, panel.label).checkpoint()
+    finally:
+        donor.unpersist()
     base = F.max(F.when(F.col("feature") == "", F.col("gini"))).over(Window.partitionBy(panel.period))
     drops = table.withColumn("drop", base - F.col("gini")).where(F.col("feature") != "")
     return drops.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_samp("drop").alias("std_drop"))

@@ -161,6 +161,14 @@ def inject_noise(df: DataFrame, column: str, low: int, high: int, draws: int, se
     return rows.withColumn(column, value.cast("int"))
 
 
+def with_donor(df: DataFrame, columns: Sequence[str], seed: int, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Every row with a struct ``_donor`` of another row's ``columns``: a permutation within the period."""
+    keyed = row_numbers(df, [spec.period], [spec.entity], "_pos")
+    donors = df.select(spec.period, F.struct(*columns).alias("_donor"), hash_hex(seed, *spec.keys).alias("_u"))
+    donors = row_numbers(donors, [spec.period], ["_u"], "_pos").drop("_u")
+    return keyed.join(donors, [spec.period, "_pos"]).drop("_pos")
+
+
 def permute_within_period(df: DataFrame, column: str, seed: int, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Shuffle one column inside each period (S12): two orders joined on position."""
     keyed = row_numbers(df, [spec.period], [spec.entity], "_pos")

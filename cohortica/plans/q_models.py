@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortica.functions import features as X
+from cohortica.functions.periods import month_index
 from cohortica.operators import history as H
 from cohortica.operators import metrics as M
 from cohortica.operators import models as MOD
@@ -12,17 +13,20 @@ from cohortica.operators import splits as S
 from cohortica.plans.panel import CUTS, PANEL_SQL, RISK_BANDS, SCORE_MONTH, TRAIN_THROUGH, panel
 from cohortica.plans.q_features import K, KEYS, rounded
 from cohortica.plans.registry import query
+from cohortica.spec import BOOLEAN_COLUMNS, CATEGORICAL_COLUMNS, NUMERIC_COLUMNS
 
-NUM = ("edad", "ingresos", "numero_productos", "saldo_promedio", "dias_ultima_transaccion")
-CAT = ("banda_riesgo", "ocupacion")
+# Every column of the published schema; flags enter as 0/1 numbers.
+NUM = tuple(NUMERIC_COLUMNS) + tuple(BOOLEAN_COLUMNS)
+CAT = tuple(CATEGORICAL_COLUMNS)
+LAST_VALID = CUTS[-1][1]
 GBT = MOD.ModelSpec("gbt", "gbt", NUM, CAT, {"maxIter": 5, "maxDepth": 3})
 LOGISTIC = MOD.ModelSpec("logistic", "logistic", NUM, CAT, {"C": 1.0, "maxIter": 20})
 BINNED = MOD.ModelSpec("binned_logistic", "binned_logistic", NUM, CAT, {"C": 0.1, "maxIter": 20})
-ONE_CUT = CUTS[:1]
+INNER_FOLDS = [(199808, 199809), (199809, 199810), (199810, 199811), (199811, 199812)]
 
 
-def frame(spark, sf_dir):
-    return panel(spark, sf_dir).select(*KEYS, "objetivo", *NUM, *CAT)
+def frame(spark, sf_dir, through=LAST_VALID):
+    return panel(spark, sf_dir, through).select(*KEYS, "objetivo", *NUM, *CAT)
 
 
 def metrics(oof):
@@ -42,15 +46,15 @@ def logistic(spark, sf_dir):
 
 @query("m3_binned_logistic")
 def binned_logistic(spark, sf_dir):
-    return metrics(MOD.rolling_oof(frame(spark, sf_dir), ONE_CUT, BINNED))
+    return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, BINNED))
 
 
 @query("m4_rule_logistic")
 def rule_logistic(spark, sf_dir):
     rules = X.rule_flags("kk")
-    df = panel(spark, sf_dir).withColumn("kk", H.months_in_panel()).select(
+    df = panel(spark, sf_dir, LAST_VALID).withColumn("kk", H.months_in_panel()).select(
         *KEYS, "objetivo", *[e.alias(n) for n, e in rules.items()])
-    return metrics(MOD.rolling_oof(df, ONE_CUT, MOD.ModelSpec("rules", "rules", tuple(rules), params={"maxIter": 20})))
+    return metrics(MOD.rolling_oof(df, CUTS, MOD.ModelSpec("rules", "rules", tuple(rules), params={"maxIter": 20})))
 
 
 NB_COLS = ["ocupacion", "canal_adquisicion", "dispositivo_principal"]
@@ -95,30 +99,30 @@ def tree_leaves(spark, sf_dir):
 
 @query("m11_iteration_selection")
 def iteration_selection(spark, sf_dir):
-    """Median early-stopped rounds over two inner folds, then the metrics at that length."""
+    """Median early-stopped rounds over four inner folds, then the metrics at that length."""
     df = frame(spark, sf_dir)
-    rounds = MOD.select_iterations(df, [(199810, 199811), (199811, 199812)], GBT)
+    rounds = MOD.select_iterations(df, INNER_FOLDS, GBT)
     spec = MOD.ModelSpec("gbt_selected", "gbt", NUM, CAT, {**GBT.params, "maxIter": rounds})
-    return metrics(MOD.rolling_oof(df, ONE_CUT, spec)).withColumn("rounds", F.lit(rounds))
+    return metrics(MOD.rolling_oof(df, CUTS, spec)).withColumn("rounds", F.lit(rounds))
 
 
 @query("m12_grid_search")
 def grid_search(spark, sf_dir):
     grid = MOD.parameter_grid({"maxDepth": [2, 3], "stepSize": [0.1]})
     base = MOD.ModelSpec("gbt", "gbt", NUM, CAT, {"maxIter": 3})
-    return MOD.grid_search(frame(spark, sf_dir), [(199811, 199812)], base, grid)
+    return MOD.grid_search(frame(spark, sf_dir), INNER_FOLDS, base, grid)
 
 
 @query("m13_seed_bagging")
 def seed_bagging(spark, sf_dir):
     spec = MOD.ModelSpec("bag", "gbt", NUM, CAT, {"maxIter": 3, "maxDepth": 3}, seeds=(42, 43))
-    return metrics(MOD.rolling_oof(frame(spark, sf_dir), ONE_CUT, spec))
+    return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, spec))
 
 
 @query("m14_final_fit_score")
 def final_fit_score(spark, sf_dir):
     """Fit on every labelled month, score the next one."""
-    df = frame(spark, sf_dir)
+    df = frame(spark, sf_dir, SCORE_MONTH)
     out = MOD.fit_score(df.where(F.col("mes") <= TRAIN_THROUGH), df.where(F.col("mes") == SCORE_MONTH), LOGISTIC)
     return out.select(*KEYS, "prediccion")
 
@@ -128,7 +132,7 @@ def permutation_importance(spark, sf_dir):
     df = frame(spark, sf_dir)
     model = MOD.fit(df.where(F.col("mes") <= 199812), LOGISTIC)
     return MOD.permutation_importance(model, df.where(F.col("mes") == 199901), LOGISTIC,
-                                      ["edad", "numero_productos"], 7)
+                                      list(NUM + CAT), 7)
 
 
 @query("m16_gain_importance")
@@ -139,7 +143,7 @@ def gain_importance(spark, sf_dir):
 
 @query("m17_window_comparison")
 def window_comparison(spark, sf_dir):
-    return MOD.compare_windows(frame(spark, sf_dir), ONE_CUT, LOGISTIC)
+    return MOD.compare_windows(frame(spark, sf_dir), CUTS, LOGISTIC)
 
 
 @query("m17_random_fold_comparison")
@@ -150,33 +154,33 @@ def random_fold_comparison(spark, sf_dir):
 
 @query("m18_learning_curve")
 def learning_curve(spark, sf_dir):
-    return MOD.learning_curve(frame(spark, sf_dir), CUTS[0], LOGISTIC, [0.25, 1.0], 5)
+    return MOD.learning_curve(frame(spark, sf_dir), CUTS[0], LOGISTIC, [0.25, 0.5, 0.75, 1.0], 5)
 
 
 @query("m20_variant_ablation")
 def variant_ablation(spark, sf_dir):
-    """Base against base plus history features."""
-    df = H.add_history(frame(spark, sf_dir))
-    hist = ("n_observaciones_previas", "meses_desde_entrada")
-    specs = [MOD.ModelSpec("A", "logistic", NUM, CAT, LOGISTIC.params),
-             MOD.ModelSpec("C", "logistic", NUM + hist, CAT, LOGISTIC.params)]
-    return MOD.ablation(df, ONE_CUT, specs)
+    """Base, with the month index, with history features, with both."""
+    df = H.add_history(frame(spark, sf_dir)).withColumn("month_index", month_index("mes", 199601))
+    hist, month = ("n_observaciones_previas", "meses_desde_entrada"), ("month_index",)
+    specs = [MOD.ModelSpec(name, "logistic", NUM + extra, CAT, LOGISTIC.params)
+             for name, extra in (("A", ()), ("B", month), ("C", hist), ("D", month + hist))]
+    return MOD.ablation(df, CUTS, specs)
 
 
 @query("m21_drift_ablation")
 def drift_ablation(spark, sf_dir):
     """A drifting column raw, ranked inside the month, or dropped."""
     from cohortica.functions.ordered import pct_rank
-    df = panel(spark, sf_dir).select(*KEYS, "objetivo", *NUM, *CAT, "dias_ultima_interaccion")
-    df = pct_rank(df, ["mes"], "dias_ultima_interaccion", "dui_rank")
-    specs = [MOD.ModelSpec("RAW", "logistic", NUM + ("dias_ultima_interaccion",), CAT, LOGISTIC.params),
-             MOD.ModelSpec("RANK", "logistic", NUM + ("dui_rank",), CAT, LOGISTIC.params),
-             MOD.ModelSpec("DROP", "logistic", NUM, CAT, LOGISTIC.params)]
-    return MOD.ablation(df, ONE_CUT, specs)
+    df = pct_rank(frame(spark, sf_dir), ["mes"], "dias_ultima_interaccion", "dui_rank")
+    stable = tuple(c for c in NUM if c != "dias_ultima_interaccion")
+    specs = [MOD.ModelSpec("RAW", "logistic", NUM, CAT, LOGISTIC.params),
+             MOD.ModelSpec("RANK", "logistic", stable + ("dui_rank",), CAT, LOGISTIC.params),
+             MOD.ModelSpec("DROP", "logistic", stable, CAT, LOGISTIC.params)]
+    return MOD.ablation(df, CUTS, specs)
 
 
 @query("m10_decay_weighted_runner")
 def decay_weighted_runner(spark, sf_dir):
     """Recent window and half-life weights together."""
     spec = MOD.ModelSpec("decay", "logistic", NUM, CAT, LOGISTIC.params, window=24, half_life=6.0)
-    return metrics(MOD.rolling_oof(frame(spark, sf_dir), ONE_CUT, spec))
+    return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, spec))
