@@ -10,9 +10,11 @@ How it is spread: all (word, context) pairs of a word, of training and of scored
 alike, meet in one part of the shuffle, so the counts of the pair and of the word, the
 seating of both restaurants' share of the word, and the token's probability are local there.
 Words too frequent for one part are split by context; their exact counts come from a scan of
-their own. Two numbers of a context, its customers and its tables, are read from a fixed-size
-table of hash cells (shared cells overstate them, which only lowers probabilities) and from
-the expected number of tables. What goes back is one sum per text and part.
+their own. The customers of a context are counted exactly: those of common contexts are the
+counts of that scan, those of all others are summed in a shuffle by context (55 bits) and sent
+to the parts that hold one of its pairs. Its tables are the expected number for its customers.
+What goes back is one sum per text and part. The fixed table of hash cells only tells which
+words may be common and how far words are split.
 
 Counts of words (64-bit hashes, 40 bits within a part) cover all training tokens, so the
 base score is exact up to hash collisions. Null and empty texts are one end token. Rows are
@@ -33,14 +35,20 @@ from pyspark.sql import DataFrame, functions as F
 from cohortica.llm import sketch
 from cohortica.llm.common import crc_mod, groups, kept, mix, partitions, slices, utf8, words
 
-CELLS_LOG2 = 22            # cells of the context counts: 16 MB, whatever the input
+CELLS_LOG2 = 22            # cells that find frequent words and deal out their pairs
+COMMON = 1 << 16           # words above 1/COMMON of the training tokens are broadcast, so fewer than this
 BURN_IN, SAMPLES = 2, 4
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 2.0, 10.0, 0.6
 EXACT = 48                 # customers up to which table counts are drawn from exact weights
 SPLIT = 4                  # a word may fill 1/SPLIT of a mean part before it is split
 _END, _START = np.uint64(0x5C0FFEE5EED5EED5), np.uint64(0xA11CE0FB0B0C0DE5)
 _CONTEXT_BITS = np.uint64(24)
-PACKET = "part int, slice long, docs binary, counts binary, keys binary"
+_CUT = np.uint64(9)        # contexts are told apart by the 55 bits above
+_LISTED = np.uint64(1 << 23)   # in a key, with the place among the common contexts; else 23 bits of the context, 32 more apart
+ASK_TOKENS = 1_000_000     # tokens of contexts that are not common held before they are asked for
+_TOLD = -2                 # slice of the packets that tell customers of contexts
+PACKET = "part int, slice long, docs binary, counts binary, keys binary, more binary"
+ASKED = "part int, contexts binary, counts binary, asking binary, parts binary"
 SUMS = "slice long, docs binary, base binary, model binary, known binary"
 
 
@@ -81,38 +89,123 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(hot):
-    """Exact counts of the words in the cells of frequent words."""
+    """Exact counts of the words in the cells of frequent words, and whether the cell is split."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_hot, seen = np.zeros(1 << CELLS_LOG2, bool), {}
-        in_hot[hot.value] = True
+        cells, split = hot.value
+        in_hot, in_split, seen = np.zeros(1 << CELLS_LOG2, bool), np.zeros(1 << CELLS_LOG2, bool), {}
+        in_hot[cells], in_split[cells] = True, split
         for piece in slices(batches):
             w, _, _ = _tokens(piece)
             for x, n in zip(*(v.tolist() for v in np.unique(w[in_hot[_cell(w)]], return_counts=True))):
                 seen[x] = seen.get(x, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)),
-                                          pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        word = np.array(list(seen), np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(list(seen.values()), pa.int64()),
+                                          pa.array(in_split[_cell(word)])], ["word", "n", "split"])
     return run
 
 
+def _part(w: np.ndarray, u: np.ndarray, salts: np.ndarray, parts: int) -> np.ndarray:
+    many = salts[_cell(w)].astype(np.uint64)
+    return ((mix(w ^ np.uint64(9)) + mix(u) % many) % np.uint64(parts)).astype(np.int64)
+
+
+def _find(sought: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the ascending ``among``, and whether the value is there."""
+    if not len(among):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(among, sought), len(among) - 1)
+    return at, among[at] == sought
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits byte by byte, so that the shuffle's compression removes the empty ones."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64)[:, 0]
+
+
+def _requests(held: list, parts: int) -> pa.RecordBatch:
+    part, context, train = (np.concatenate(x) for x in zip(*held))
+    to = (mix(context) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((part, context, to))
+    part, context, to, train = part[by], context[by], to[by], train[by].astype(np.int64)
+    other = np.concatenate([[True], context[1:] != context[:-1]])[:len(by)]
+    first = np.flatnonzero(other | np.concatenate([[True], part[1:] != part[:-1]])[:len(by)])
+    lead = np.flatnonzero(other)
+    customers = np.add.reduceat(train, lead) if len(lead) else train
+    asking = np.diff(np.append(np.searchsorted(first, lead), len(first)))
+    part = part[first]
+    begin = np.cumsum(asking) - asking
+    cut = np.flatnonzero(np.diff(to[lead], prepend=-1)).tolist()
+    rows = [(int(to[lead[a]]), _packed(context[lead[a:z]]), _packed(customers[a:z]), _packed(asking[a:z]),
+             _packed(part[begin[a]:begin[z - 1] + asking[z - 1]])) for a, z in zip(cut, [*cut[1:], len(lead)])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))],
+        ["part", "contexts", "counts", "asking", "parts"])
+
+
+def _ask(shared, parts: int):
+    """Contexts that are not common with their training tokens, and the parts that will hold their pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts, common = shared.value["salts"], shared.value["contexts"]
+        held, size = [], 0
+        for piece in slices(batches):
+            w, u, n = _tokens(piece)
+            train = np.repeat(~np.array(piece.column(1).to_pylist(), bool), n)
+            rare = ~_find(u >> _CUT, common)[1]
+            held.append((_part(w[rare], u[rare], salts, parts).astype(np.uint32), u[rare] >> _CUT, train[rare]))
+            size += len(held[-1][0])
+            if size >= ASK_TOKENS:
+                yield _requests(held, parts)
+                held, size = [], 0
+        if held:
+            yield _requests(held, parts)
+    return run
+
+
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Customers of every context asked for, to each part that asked."""
+    held = [[_unpacked(x.as_buffer()) for x in row] for batch in batches for row in zip(*batch.columns[1:])]
+    if not held:
+        return
+    context, count, asking, part = (np.concatenate(x) for x in zip(*held))
+    name, of = np.unique(context, return_inverse=True)
+    customers = np.zeros(len(name), np.int64)
+    np.add.at(customers, of, count.astype(np.int64))
+    of = np.repeat(of, asking.astype(np.int64))
+    asked = np.unique(part.astype(np.int64) * len(name) + of)
+    part, of = asked // len(name), asked % len(name)
+    cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, z in zip(cut, [*cut[1:], len(part)]):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part[a]], pa.int32()), pa.array([_TOLD], pa.int64()), pa.nulls(1, pa.binary()),
+             pa.array([_packed(customers[of[a:z]])], pa.binary()), pa.array([_packed(name[of[a:z]])], pa.binary()),
+             pa.nulls(1, pa.binary())], ["part", "slice", "docs", "counts", "keys", "more"])
+
+
 def _send(shared, parts: int):
-    """Keys (40 bits of the word, 24 of the context) of all tokens for each part, and the texts' ids."""
+    """Keys (40 bits of the word, 24 for the context, 32 more if it is not common) of all tokens for each part, and the texts' ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = shared.value["salts"]
+        salts, common = shared.value["salts"], shared.value["contexts"]
         base = TaskContext.get().partitionId() << 32
         for number, piece in enumerate(slices(batches)):
             w, u, n = _tokens(piece)
             doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            many = salts[_cell(w)].astype(np.uint64)
-            part = ((mix(w ^ np.uint64(9)) + mix(u) % many) % np.uint64(parts)).astype(np.int64)
+            part = _part(w, u, salts, parts)
             by = np.argsort(part, kind="stable")
             part, doc = part[by], doc[by]
-            key = (w[by] << _CONTEXT_BITS) | (u[by] >> np.uint64(40))
+            u = u[by] >> _CUT
+            at, listed = _find(u, common)
+            key = (w[by] << _CONTEXT_BITS) | np.where(listed, at.astype(np.uint64) | _LISTED, u >> np.uint64(32))
+            more, rare = u.astype(np.uint32), ~listed
             cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             rows = []
             for a, z in zip(cut, [*cut[1:], len(part)]):
                 first = np.flatnonzero(np.diff(doc[a:z].astype(np.int64), prepend=-1))
                 rows.append((int(part[a]), base + number, doc[a:z][first].tobytes(),
-                             np.diff(np.append(first, z - a)).astype(np.uint32).tobytes(), key[a:z].tobytes()))
+                             np.diff(np.append(first, z - a)).astype(np.uint32).tobytes(), key[a:z].tobytes(), more[a:z][rare[a:z]].tobytes()))
             ids = pa.Table.from_arrays([piece.column(0), piece.column(1), pa.array(n)], ["doc_id", "held_out", "n_tokens"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as out:
@@ -120,12 +213,12 @@ def _send(shared, parts: int):
             # texts held out are told apart by the sign of their number
             held = np.array(piece.column(1).to_pylist(), bool)
             rows = [(p, s, (np.frombuffer(d, np.uint32) | (held[np.frombuffer(d, np.uint32)].astype(np.uint32) << np.uint32(31))
-                            ).astype(np.uint32).tobytes(), c, k) for p, s, d, c, k in rows]
-            rows.append((number % parts, base + number, None, None, sink.getvalue().to_pybytes()))
+                            ).astype(np.uint32).tobytes(), c, k, m) for p, s, d, c, k, m in rows]
+            rows.append((number % parts, base + number, None, None, sink.getvalue().to_pybytes(), None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                 *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4))],
-                ["part", "slice", "docs", "counts", "keys"])
+                 *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4, 5))],
+                ["part", "slice", "docs", "counts", "keys", "more"])
     return run
 
 
@@ -175,12 +268,18 @@ def expected_tables(c: np.ndarray, strength: float, discount: float) -> np.ndarr
 
 
 def pair_probabilities(keys: np.ndarray, count: np.ndarray, extra: dict, seed: int):
-    """Averaged predictive probability of every distinct key, and its word's training count.
+    """``seated`` for sorted keys of 40 bits of the word and 24 of the context, with customers by cell of the context."""
+    cell = ((keys >> np.uint64(2)) & np.uint64((1 << CELLS_LOG2) - 1)).astype(np.int64)
+    return seated(keys >> _CONTEXT_BITS, np.maximum(extra["cells"][cell], count), count, extra, seed)
+
 
-    ``keys`` are sorted and distinct; ``count`` holds the training customers of each pair.
+def seated(word: np.ndarray, customers: np.ndarray, count: np.ndarray, extra: dict, seed: int):
+    """Averaged predictive probability of every distinct pair, and its word's training count.
+
+    Pairs come in the order of their words; ``customers`` are those of a pair's whole context,
+    ``count`` those of the pair.
     """
     rng = np.random.default_rng(seed)
-    word = keys >> _CONTEXT_BITS
     start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
     of = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
     local = np.add.reduceat(count, start) if len(start) else np.zeros(0, np.int64)
@@ -193,12 +292,11 @@ def pair_probabilities(keys: np.ndarray, count: np.ndarray, extra: dict, seed: i
     once, twice = int((count == 1).sum()), int((count == 2).sum())
     discount = float(np.clip(once / (once + 2 * twice), 0.3, 0.95)) if once else 0.75
     table, root_table = stirling(EXACT, discount), stirling(EXACT, ROOT_DISCOUNT)
-    customers = np.maximum(extra["cells"][((keys >> np.uint64(2)) & np.uint64((1 << CELLS_LOG2) - 1)).astype(np.int64)], count)
     room = STRENGTH + discount * expected_tables(customers.astype(np.float64), STRENGTH, discount)
     floor = 1.0 / (extra["vocabulary"] + 1)
     tables = np.minimum(count, 1).astype(np.int64)
     served = np.flatnonzero(count > 0)
-    mean = np.zeros(len(keys))
+    mean = np.zeros(len(word))
     types = max(int((count > 0).sum()), 1)
     for turn in range(BURN_IN + SAMPLES):
         under = np.add.reduceat(tables, start) * share if len(start) else np.zeros(0)
@@ -218,34 +316,64 @@ def pair_probabilities(keys: np.ndarray, count: np.ndarray, extra: dict, seed: i
 def _seat(shared):
     """Sums of a part's tokens by text; a row of slice -1 counts its training words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extra, held, rows, seed = shared.value, [], [], 1 << 31
+        extra, held, packets, rows, seed = shared.value, [], [], [], 1 << 31
+        told = [(extra["contexts"], extra["customers"])]
         for batch in batches:
-            for part, number, docs, counts, keys in zip(*batch.columns):
+            for part, number, docs, counts, keys, more in zip(*batch.columns):
                 if docs.is_valid:
-                    held.append((number.as_py(), np.frombuffer(docs.as_buffer(), np.uint32),
-                                 np.frombuffer(counts.as_buffer(), np.uint32), np.frombuffer(keys.as_buffer(), np.uint64)))
+                    held.append((number.as_py(), np.frombuffer(docs.as_buffer(), np.uint32).copy(),
+                                 np.frombuffer(counts.as_buffer(), np.uint32).copy()))
+                    packets.append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(more.as_buffer(), np.uint32)))
                     seed = min(seed, part.as_py())
+                elif number.as_py() == _TOLD:
+                    told.append((_unpacked(keys.as_buffer()), _unpacked(counts.as_buffer()).astype(np.int64)))
                 else:
                     rows.append((number.as_py(), None, keys.as_py(), None, None))
         if held:
-            keys = np.concatenate([h[3] for h in held])
+            keys, more = (np.concatenate(x) for x in zip(*packets))
+            del packets, batch, docs, counts
             size = np.concatenate([h[2] for h in held]).astype(np.int64)
             train = np.repeat(np.concatenate([h[1] for h in held]) < 1 << 31, size)
+            context = keys & np.uint64((1 << 24) - 1)
+            rare = context < _LISTED
+            context[~rare] = extra["contexts"][(context[~rare] ^ _LISTED).astype(np.int64)]
+            context[rare] = (context[rare] << np.uint64(32)) | more
+            del more, rare
+            context, of = np.unique(context, return_inverse=True)
+            of = of.astype(np.uint32)
+            customers, missing = np.zeros(len(context), np.int64), np.ones(len(context), bool)
+            for name, known in told:
+                if len(name) > len(context):
+                    at, there = _find(context, name)
+                    at, known = np.flatnonzero(there), known[at[there]]
+                else:
+                    at, there = _find(name, context)
+                    at, known = at[there], known[there]
+                customers[at], missing[at] = known, False
+            if missing.any():
+                raise RuntimeError("a context's customers were not counted")
+            del told
+            keys >>= _CONTEXT_BITS
+            word, keys = np.unique(keys, return_inverse=True)
+            keys *= len(context)
+            keys += of
+            del of
             order = np.argsort(keys)
             ordered = keys[order]
             new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
             first = np.flatnonzero(new)
             count = np.add.reduceat(train[order].astype(np.int64), first)
-            p, total, vocabulary = pair_probabilities(ordered[first], count, extra, seed)
             back = np.empty(len(keys), np.int32)
-            back[order] = np.cumsum(new) - 1
-            del ordered, order, new, keys, train
+            back[order] = np.cumsum(new, dtype=np.int32) - 1
+            pair = ordered[first]
+            del ordered, order, new, keys, train, first
+            p, total, vocabulary = seated(word[pair // len(context)], customers[pair % len(context)], count, extra, seed)
             begin = np.cumsum(size) - size
             base = np.add.reduceat(np.log10(total + 1.0)[back], begin)
             model = np.add.reduceat(np.log10(np.maximum(p, 1e-300))[back], begin)
             known = np.add.reduceat((total > 0)[back].astype(np.int64), begin)
             at = 0
-            for number, docs, counts, _ in held:
+            for number, docs, *_ in held:
                 z = at + len(docs)
                 rows.append((number, (docs & np.uint32((1 << 31) - 1)).tobytes(), base[at:z].tobytes(),
                              model[at:z].astype(np.float32).tobytes(), known[at:z].astype(np.uint32).tobytes()))
@@ -299,21 +427,27 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     cells, total = tables[first[0]], int(tables[first[3]][0])
     room = max(total / parts / SPLIT, 1.0)
     salts = np.maximum(np.ceil(cells / room), 1).astype(np.int32)
-    hot = np.flatnonzero(salts > 1)                                # fewer than SPLIT * parts * 2 cells
-    exact = train.mapInArrow(_frequent(spark.sparkContext.broadcast(hot)), "word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n"))
-    exact = exact.where(F.col("n") > 0).orderBy("word").collect() if len(hot) else []
-    name = np.array([r["word"] for r in exact], np.int64).view(np.uint64) & np.uint64((1 << 40) - 1)
+    least = total / COMMON
+    hot = np.flatnonzero((salts > 1) | (cells > least))            # fewer than SPLIT * parts * 2 + COMMON * 2 cells
+    exact = train.mapInArrow(_frequent(spark.sparkContext.broadcast((hot, salts[hot] > 1))), "word long, n long, split boolean")
+    exact = (exact.groupBy("word", "split").agg(F.sum("n").alias("n")).where((F.col("n") > 0) & (F.col("split") | (F.col("n") > least)))
+             .orderBy("word").collect()) if len(hot) else []
+    word = np.array([r["word"] for r in exact], np.int64).view(np.uint64)
+    count, split = np.array([r["n"] for r in exact], np.int64), np.array([r["split"] for r in exact], bool)
+    name = word[split] & np.uint64((1 << 40) - 1)
     order = np.argsort(name)
+    # every training word but the end is followed by a token, so its count is its customers as a context
+    context = np.where(word == _END, _START, word) >> _CUT
+    by = np.argsort(context)
     shared = spark.sparkContext.broadcast({
-        "salts": salts, "cells": cells, "words": name[order],
-        "counts": np.array([r["n"] for r in exact], np.int64)[order],
+        "salts": salts, "words": name[order], "counts": count[split][order], "contexts": context[by], "customers": count[by],
         "pairs": sketch.distinct(tables[first[1]]), "vocabulary": sketch.distinct(tables[first[2]])})
-    sent = texts.mapInArrow(_send(shared, parts), PACKET).repartitionById(parts, F.col("part"))
+    asked = texts.mapInArrow(_ask(shared, parts), ASKED).repartitionById(parts, F.col("part")).mapInArrow(_tell, PACKET)
+    sent = texts.mapInArrow(_send(shared, parts), PACKET).unionByName(asked).repartitionById(parts, F.col("part"))
     sums = sent.mapInArrow(_seat(shared), SUMS).repartition(parts, "slice").sortWithinPartitions("slice")
     rows = kept(sums.mapInArrow(_collect, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
                                           "score double, vocabulary long"), "scores")
-    seen = len(exact) + (rows.where("vocabulary is not null").agg(F.sum("vocabulary")).first()[0] or 0)
+    seen = len(name) + (rows.where("vocabulary is not null").agg(F.sum("vocabulary")).first()[0] or 0)
     whole = float(np.log10(total + seen + 1))
     return rows.where("vocabulary is null").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortica.llm import pitman_yor, sketch
 from cohortica.llm.boosting import Trees, threshold
-from cohortica.llm.common import crc_mod, mix, range_index
+from cohortica.llm.common import crc_mod, mix, range_index, words as hashed_words
 from cohortica.llm.language import identify
 from cohortica.llm.pii import KINDS, base_spans, find, fit, luhn, redact, redacted, spans_of
 from cohortica.llm.pitman_yor import draw_tables, pair_probabilities, stirling
@@ -253,6 +253,28 @@ def test_predictive_probabilities_sum_to_about_one():
         assert 0.75 < p[(keys & np.uint64((1 << 24) - 1)) == c].sum() < 1.25
 
 
+def test_contexts_are_counted_one_by_one(spark, monkeypatch):
+    """Two contexts whose hashes share 24 bits keep their own bigrams and customers, on the common and the rare path."""
+    names = [f"w{i}" for i in range(20_000)]
+    raw = " ".join(names).encode()
+    h, _ = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    top = h >> np.uint64(40)
+    order = np.argsort(top)
+    k = int(np.flatnonzero(top[order][1:] == top[order][:-1])[0])
+    a, b = names[order[k]], names[order[k + 1]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train, free = [i for i in range(700) if not held(i)][:400], [i for i in range(700) if held(i)][:2]
+    rows = [(i, f"{a} x" if n % 2 else f"{b} y") for n, i in enumerate(train)] + [(free[0], f"{a} x"), (free[1], f"{b} x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores = []
+    for common in (1 << 16, 1):
+        monkeypatch.setattr(pitman_yor, "COMMON", common, raising=False)
+        scores.append({r["doc_id"]: r["score"] for r in pitman_yor.score(docs, crc_mod(F.col("doc_id"), 7) == 2).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in scores[0])
+    # a or b is even; after a comes x in all training texts, after b in none
+    assert abs(scores[0][free[0]] - math.log10(0.5)) < 0.2 and scores[0][free[1]] < scores[0][free[0]] - 1
+
+
 # ---- language --------------------------------------------------------------------------------
 
 def test_language(spark, odd_docs, no_docs):
