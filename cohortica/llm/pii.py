@@ -2,14 +2,17 @@
 
 Generators of high recall propose overlapping spans for four kinds: e-mail addresses (also
 spelled "at" and "dot"), IP addresses (also with blanks or bracketed dots), payment cards
-and phone numbers (any grouping). Boosted trees score each proposal from its format and its
+and phone numbers (any grouping; every run of whole digit groups of a chain of numbers, so
+neighbouring numbers are proposed one by one). Boosted trees score each proposal from its format and its
 context; calibrated thresholds per kind select those that are added to the base spans,
 which are exact patterns with their checks and always stay. An added span overlaps no base
 span and no added span of higher probability.
 
 The trees learn from a sample bounded by ``FIT_DOCS``: base spans are positives, as are
 respelled copies of them in their context; proposals that fail the checks, damaged copies
-and numbers inside longer tokens are negatives. Half of the documents (by hash) train, the
+and numbers inside longer tokens are negatives; numbers of a chain that pass the checks only
+by themselves are neither. A text gives ``FIT_FREE`` proposals outside base spans at most to
+the sample. Half of the documents (by hash) train, the
 others calibrate. Without a positive or a negative nothing is added.
 
 Null and empty texts have no span. Every row is treated alone, so repeated rows repeat
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,9 @@ from cohortica.llm.common import map_rows, slices
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 20_000          # expected number of texts drawn to fit on
 FIT_ROWS = 60_000          # proposals used at most
+FIT_FREE = 64              # of one text outside its base spans, evenly taken
+SCORED = 4096              # proposals scored at once
+LONGEST = 19               # digits of a card
 PRECISION = 0.99
 FLOOR = 0.8
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -116,23 +124,36 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _NUMBER.finditer(text):
-        s, e = m.span()
-        if e - s < 7:
-            continue
-        body = text[s:e]
-        n = sum(c.isdigit() for c in body)
-        if n > 40:
-            continue
-        groups = re.split("[^0-9]+", body.strip("+( "))
-        if 4 <= len(groups) and all(0 < len(g) <= 3 for g in groups[:4]) and "." in body:
-            out.append((1, s, e))
-        if 13 <= n <= 19:
-            out.append((2, s, e))
-        if 7 <= n <= 15:
-            out.append((3, s, e))
+        if m.end() - m.start() >= 7:
+            out += _runs(text, *m.span())
     return out
 
 
+def _runs(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of whole digit groups of a chain, with the signs before them; ``LONGEST`` bounds their number by the text's length."""
+    groups = [m.span() for m in _PART.finditer(text, start, end)]
+    low = start
+    for i, (s, last) in enumerate(groups):
+        a = s
+        while a > low and s - a < 2 and text[a - 1] in "+(":
+            a -= 1
+        low = last
+        n = 0
+        for j in range(i, len(groups)):
+            b, e = groups[j]
+            n += e - b
+            if n > LONGEST:
+                break
+            if e - a < 7:
+                continue
+            if j == i + 3 and all(z - y <= 3 for y, z in groups[i:j + 1]) and "." in text[s:e]:
+                yield 1, a, e
+            if 13 <= n:
+                yield 2, a, e
+            if 7 <= n <= 15:
+                yield 3, a, e
+
+
 def _char(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c in ".,;:!?" else 2 if c.isalnum() else 3
 
@@ -192,24 +213,52 @@ def _respelled(kind: int, body: str, pick: int) -> list[tuple[str, float]]:
     return [(good, 1.0), (dates[pick % 4], 0.0), (dates[pick // 4 % 4], 0.0), (bad[pick % 4], 0.0)]
 
 
-def examples(text: str) -> list[tuple[list[float], float]]:
+class _Taken:
+    """Disjoint spans in order."""
+
+    def __init__(self, spans: list[tuple[int, int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in sorted(spans, key=lambda x: x[1]):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i == len(self.starts) or self.starts[i] >= end
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def examples(text: str) -> Iterator[tuple[list[float], float]]:
     """Labelled proposals of one text, with respelled and damaged copies of its base spans."""
     base = base_spans(text)
-    exact = set(base)
-    out = []
-    for kind, s, e in proposals(text):
-        label = (kind, s, e) in exact
-        if label or not any(s < be and bs < e for _, bs, be in base):
-            out.append((features(text, kind, s, e), float(label)))
+    exact, taken = set(base), _Taken(base)
+    found = proposals(text)
+    for kind, s, e in (p for p in found if p in exact):
+        yield features(text, kind, s, e), 1.0
+    free = [p for p in found if p not in exact and taken.free(p[1], p[2])]
+    for i in range(0, len(free), max(1, -(-len(free) // FIT_FREE))):
+        kind, s, e = free[i]
+        if (kind, 0, e - s) not in base_spans(text[s:e]):
+            yield features(text, kind, s, e), 0.0
     for kind, s, e in base:
         before, after = text[max(0, s - 60):s], text[e:e + 40]
         for body, label in _respelled(kind, text[s:e], s + e):
             copy = before + body + after
-            hits = [p for p in proposals(copy) if p[0] == kind and p[1] < len(before) + len(body) and p[2] > len(before)]
+            digits = sum(c.isdigit() for c in body)
+            hits = [p for p in proposals(copy) if p[1] < len(before) + len(body) and p[2] > len(before)
+                    and (p[0] == kind or kind and p[0])]
             for k, a, z in hits:
-                covers = a >= len(before) - 1 and z <= len(before) + len(body) + 1 and z - a >= 0.8 * len(body)
-                out.append((features(copy, k, a, z), label if covers else 0.0))
-    return out
+                covers = (k == kind and a >= len(before) - 1 and z <= len(before) + len(body) + 1 and z - a >= 0.8 * len(body)
+                          and (not kind or sum(c.isdigit() for c in copy[a:z]) == digits))
+                yield features(copy, k, a, z), label if covers else 0.0
 
 
 class Model:
@@ -217,14 +266,17 @@ class Model:
         self.trees, self.least = trees, least
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        free = [p for p in proposals(text) if not any(p[1] < e and s < p[2] for _, s, e in base)]
-        if not free:
-            return []
-        prob = self.trees.probability(np.array([features(text, *p) for p in free]))
+        known, taken = _Taken(base), _Taken()
+        free = [p for p in proposals(text) if known.free(p[1], p[2])]
+        likely = []
+        for i in range(0, len(free), SCORED):
+            some = free[i:i + SCORED]
+            prob = self.trees.probability(np.array([features(text, *p) for p in some]))
+            likely += [(-p, at, x) for at, (p, x) in enumerate(zip(prob.tolist(), some), i) if p >= self.least[x[0]]]
         out: list[tuple[int, int, int]] = []
-        for i in np.argsort(-prob, kind="stable").tolist():
-            k, s, e = free[i]
-            if prob[i] >= self.least[k] and not any(s < z and a < e for _, a, z in out):
+        for _, _, (k, s, e) in sorted(likely):
+            if taken.free(s, e):
+                taken.add(s, e)
                 out.append((k, s, e))
         return out
 
@@ -242,11 +294,12 @@ _ANY = re.compile("[0-9@]|dot|DOT|Dot")
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in slices(batches):
-        rows = [(draw, x, y) for draw, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist())
-                if text and _ANY.search(text) for x, y in examples(text)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
-             pa.array([r[2] for r in rows], pa.float64())], ["draw", "x", "y"])
+        rows = ((draw, x, y) for draw, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist())
+                if text and _ANY.search(text) for x, y in examples(text))
+        while some := list(islice(rows, SCORED)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.list_(pa.float64())),
+                 pa.array([r[2] for r in some], pa.float64())], ["draw", "x", "y"])
 
 
 def fit(texts: DataFrame, docs_bound: int = FIT_DOCS) -> Model | None:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,20 @@ def test_added_spans(spark):
         assert hit(clean) == []
 
 
+def test_neighbouring_numbers_are_added(spark):
+    model = fit(private_docs(spark))
+    hit = lambda t: [(KINDS[k], t[s:e]) for k, s, e in spans_of(t, model)[1]]
+    assert hit("of 4539578763621486 4716461583322103 and more") == [("card", "4539578763621486"), ("card", "4716461583322103")]
+    assert hit("of +1 (826) 555-4081 190.137.223.204 and more") == [("phone", "+1 (826) 555-4081")]
+    many = " ".join(["4539578763621486"] * 20)
+    assert len(hit(f"the {many} and more")) == 20
+    start = time.monotonic()
+    spans_of("1 " * 20_000, model)
+    short = time.monotonic() - start
+    spans_of("1 " * 80_000, model)
+    assert time.monotonic() - start - short < 8 * short + 1
+
+
 def test_find_and_redact(odd_docs, no_docs, spark):
     for row in find(odd_docs).collect():
         assert row["base_sha256"] and row["n_email"] >= 0
