@@ -104,11 +104,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _DIGIT = re.compile("[0-9]")
 
 
+_SIGN = re.compile(r"@|dot|DOT|Dot|[(\[][aA][tT][)\]]")
+_ANY = re.compile("[0-9]|" + _SIGN.pattern)
+
+
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """Overlapping ``(kind, start, end)`` of every generator."""
     out = []
-    low = text.lower() if "dot" in text or "DOT" in text or "Dot" in text or "@" in text else ""
-    if low and ("@" in low or "dot" in low):
+    if _SIGN.search(text):
+        low = text.lower()
         anchors = [m.start() for m in re.finditer(r"@|[(\[]at[)\]]|\x20at\x20", low)]
         last = -1
         for a in anchors:
@@ -118,7 +122,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
             m = _SPELLED.search(text, window, min(len(text), a + 330))
             while m and m.end() <= a:
                 m = _SPELLED.search(text, m.end(), min(len(text), a + 330))
-            if m and m.start() <= a < m.end() and (text[a] == "@" or "dot" in m.group().lower()):
+            if m and m.start() <= a < m.end() and (text[a] in "@([" or "dot" in m.group().lower()):
                 out.append((0, m.start(), m.end()))
                 last = m.end()
     if not _DIGIT.search(text):
@@ -289,7 +293,6 @@ def spans_of(text: str | None, model: Model | None) -> tuple[list, list]:
     return sorted(base), sorted(model.added(text, base)) if model else []
 
 
-_ANY = re.compile("[0-9@]|dot|DOT|Dot")
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,6 +106,13 @@ def test_neighbouring_numbers_are_added(spark):
     assert time.monotonic() - start - short < 8 * short + 1
 
 
+def test_bracketed_at_with_plain_dot_is_added(spark):
+    model = fit(private_docs(spark))
+    for body in ("b27(at)mail5.example.com", "b27[at]mail5.example.com", "b27(AT)mail5.example.com"):
+        assert [(KINDS[k], s, e) for k, s, e in spans_of(f"the thing with {body} and more", model)[1]] == [("email", 15, 15 + len(body))]
+    assert spans_of("meet (at)noon or [at] home", model) == ([], [])
+
+
 def test_find_and_redact(odd_docs, no_docs, spark):
     for row in find(odd_docs).collect():
         assert row["base_sha256"] and row["n_email"] >= 0
