@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from cohortica.llm.chat_format import OP11_SQL, op11_typed_chat_format
+from cohortica.llm.divergence import OP12_SQL, op12_source_divergence
 from cohortica.llm.fingerprints import OP3_SQL, op3_merkle_fingerprints
 from cohortica.llm.language import op10_hyperdimensional_language
 from cohortica.llm.mixing import OP9_SQL, op9_hierarchical_mixture
@@ -26,9 +28,13 @@ QUERIES = {
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op11_typed_chat_format": op11_typed_chat_format,
+    "op12_source_divergence": op12_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op9_hierarchical_mixture": OP9_SQL,
     "op3_merkle_fingerprints": OP3_SQL,
     "op5_line_frequency_quality": OP5_SQL,
+    "op11_typed_chat_format": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
