@@ -15,6 +15,7 @@ from cohortica.llm.pitman_yor import op8_pitman_yor_scores
 from cohortica.llm.quality import OP5_SQL, op5_line_frequency_quality
 from cohortica.llm.sharding import op6_sampled_splitter_shards
 from cohortica.llm.toxicity import op7_toxic_segments
+from cohortica.llm.whitening import op13_jacobi_davidson_whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -30,6 +31,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op11_typed_chat_format": op11_typed_chat_format,
     "op12_source_divergence": op12_source_divergence,
+    "op13_jacobi_davidson_whitening": op13_jacobi_davidson_whitening,
 }
 ORACLES: dict[str, str] = {
     "op9_hierarchical_mixture": OP9_SQL,
