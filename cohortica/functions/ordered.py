@@ -6,29 +6,33 @@ table, to one task. Everything here works on ranges instead:
 1. collapse ties first (map-side combine), so one hot value is one row;
 2. ``repartitionByRange(keys, order)``: Spark samples and cuts even ranges, and a
    big group spans many of them; the range number orders them;
-3. compute inside each range, then pass only per-range totals on.
+3. compute inside each range, then pass only per-range totals on: between few
+   ranges directly, between many through a tree of blocks of ranges.
 
-The plan stays one straight line from step 2 on: the range number is computed
-once and carried in the rows, so no step depends on two evaluations of the
-range partitioning agreeing with each other.
+No step depends on two evaluations of the range partitioning agreeing with each
+other: the range number is computed once and carried in the rows, which stay one
+straight line of the plan or are written once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortica.functions.stored import stored
+
 _SEG = "_range"
 _TO = "_to_range"
 
 
-# Ranges exchange one small message per pair, so their number is bounded.
-MAX_RANGES = 4000
+# Fan-in of the tree over ranges, and the number of ranges that message each other directly.
+BLOCK = 64
 
 
 def range_count(df: DataFrame) -> int:
-    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_ranges(df: DataFrame, by: Sequence[str], ranges: int | None = None) -> DataFrame:
@@ -43,6 +47,41 @@ def with_ranges(df: DataFrame, by: Sequence[str], ranges: int | None = None) ->
     return ranged.withColumn(_SEG, F.spark_partition_id()).repartitionById(n, F.col(_SEG))
 
 
+_Plan = list[tuple[str, str, Callable[[Column | str], Column], str]]
+
+
+def _combined(f: Callable, a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if f is F.sum else F.greatest(a, b)
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal or both NULL ``on``; the right side's ``on`` columns go."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}" if c in on else c) for c in right.columns])
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(renamed, match, how).drop(*[f"_on_{c}" for c in on])
+
+
+def prefix_tree(rows: DataFrame, keys: Sequence[str], at: str, aggregates: dict[str, Callable],
+                places: int) -> DataFrame:
+    """What the rows before each row add up to, by ``at`` within ``keys``: one row per ``(keys, at)``.
+
+    ``aggregates`` maps columns to ``F.sum`` or ``F.max``; ``places`` bounds ``at``. Sums go
+    up through blocks of ``BLOCK`` places until one block is left, and prefixes come down again,
+    so no window holds more than ``BLOCK`` rows and each level has ``BLOCK`` times fewer of them.
+    """
+    keys = list(keys)
+    before = lambda *by: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    if places <= BLOCK:
+        return rows.select(*keys, at, *[f(c).over(before(*keys)).alias(c) for c, f in aggregates.items()])
+    block = f"{at}_block"
+    blocked = rows.select(*keys, at, F.floor(F.col(at) / BLOCK).cast("int").alias(block), *aggregates)
+    inside = blocked.select(*keys, at, block, *[f(c).over(before(*keys, block)).alias(f"_in_{c}") for c, f in aggregates.items()])
+    above = prefix_tree(blocked.groupBy(*keys, block).agg(*[f(c).alias(c) for c, f in aggregates.items()]),
+                        keys, block, aggregates, -(-places // BLOCK))
+    return _same(inside, above, [*keys, block], "left").select(
+        *keys, at, *[_combined(f, F.col(f"_in_{c}"), F.col(c)).alias(c) for c, f in aggregates.items()])
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
             totals: dict[str, str] | None = None, ranges: int | None = None) -> DataFrame:
@@ -50,12 +89,13 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     ``sums``, ``maxes`` and ``totals`` map output name to input column; ``(keys,
     order)`` must be unique. Each range is scanned once. Only the first and the last
-    key of a range can reach into other ranges, so the last row of such a key sends
-    its local result there: at most two messages from each range to each other one.
+    key of a range can reach into other ranges. Up to ``BLOCK`` ranges message each
+    other; more of them write their local results once and exchange totals through
+    `prefix_tree`, two rows from each range, so nothing grows with pairs of ranges.
     """
     keys, order = list(keys), list(order)
     n = ranges or range_count(df)
-    plan = [(out, c, F.sum, "run") for out, c in (sums or {}).items()]
+    plan: _Plan = [(out, c, F.sum, "run") for out, c in (sums or {}).items()]
     plan += [(out, c, F.max, "run") for out, c in (maxes or {}).items()]
     plan += [(out, c, F.sum, "total") for out, c in (totals or {}).items()]
     ranged = with_ranges(df, keys + order, n)
@@ -63,39 +103,57 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     upto = in_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_range = Window.partitionBy(_SEG).orderBy(*keys, *order)
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    tree = n > BLOCK
     local = ranged.select(
         "*",
         *[f(c).over(upto).alias(f"_run_{out}") for out, c, f, _ in plan],
         F.lead(F.lit(1)).over(in_range).isNull().alias("_ends_range"),
         *([F.lead(F.lit(1)).over(in_key).isNull().alias("_ends_key"),
-           F.first(key).over(in_range).eqNullSafe(key).alias("_first_key")] if totals else []),
-    )
+           F.first(key).over(in_range).eqNullSafe(key).alias("_first_key")] if totals or tree else []))
+    offsets = _tree_offsets if tree else _message_offsets
+    return offsets(local, df.columns, keys, plan, n)
+
+
+def _tree_offsets(local: DataFrame, columns: Sequence[str], keys: list[str], plan: _Plan, n: int) -> DataFrame:
+    """Running values from those of each range, by the tree over ranges."""
+    whole = Window.partitionBy(_SEG, *keys)
+    local = stored(local.select("*", *[
+        f(c).over(whole).alias(f"_all_{out}") for out, c, f, kind in plan if kind == "total"]), "ranges")
+    edges = local.where(F.col("_ends_key") & (F.col("_ends_range") | F.col("_first_key"))).select(
+        *keys, _SEG, *[F.col(f"_run_{out}").alias(f"_off_{out}") for out, *_ in plan])
+    runs = {f"_off_{out}": f for out, _, f, kind in plan if kind == "run"}
+    carry = prefix_tree(edges, keys, _SEG, runs, n) if runs else edges.select(*keys, _SEG)
+    sums = [F.sum(f"_off_{out}").alias(f"_off_{out}") for out, _, _, kind in plan if kind == "total"]
+    if sums:
+        totals = edges.groupBy(*keys).agg(*sums) if keys else edges.agg(*sums)
+        carry = _same(carry, totals, keys, "inner") if keys else carry.crossJoin(totals)      # no keys: one row
+    carry = stored(carry, "carries")                  # small: its size decides how it is joined
+    final = []
+    for out, _, f, kind in plan:
+        run, off = F.col(f"_run_{out}"), F.col(f"_off_{out}")
+        final.append((F.coalesce(off, F.col(f"_all_{out}")) if kind == "total" else _combined(f, run, off)).alias(out))
+    return _same(local, carry, [_SEG, *keys], "left").select(*columns, *final)
+
+
+def _message_offsets(local: DataFrame, columns: Sequence[str], keys: list[str], plan: _Plan, n: int) -> DataFrame:
+    """The same for few ranges: the last row of a key sends its value to every range it may reach."""
     none = F.array().cast("array<int>")
     later = F.when(F.col("_ends_range") & (F.col(_SEG) < n - 1),
                    F.sequence(F.col(_SEG) + 1, F.lit(n - 1))).otherwise(none)
     targets = [F.array(F.col(_SEG)), later]
-    if totals:
+    if any(kind == "total" for *_, kind in plan):
         targets.append(F.when(F.col("_ends_key") & F.col("_first_key") & (F.col(_SEG) > 0),
                               F.sequence(F.lit(0), F.col(_SEG) - 1)).otherwise(none))
     sent = local.withColumn(_TO, F.explode(F.concat(*targets))).repartitionById(n, F.col(_TO))
     at_target = Window.partitionBy(_TO, *keys)
     came, forward = F.col(_TO) != F.col(_SEG), F.col(_TO) > F.col(_SEG)
-    offsets = []
+    offsets, final = [], []
     for out, c, f, kind in plan:
-        run = F.col(f"_run_{out}")
+        run, off = F.col(f"_run_{out}"), F.col(f"_off_{out}")
         part = F.when(forward, run) if kind == "run" else F.when(came, run).otherwise(F.col(c))
         offsets.append(f(part).over(at_target).alias(f"_off_{out}"))
-    final = []
-    for out, _, f, kind in plan:
-        run, off = F.col(f"_run_{out}"), F.col(f"_off_{out}")
-        if kind == "total":
-            value = off
-        elif f is F.sum:
-            value = F.coalesce(run, F.lit(0)) + F.coalesce(off, F.lit(0))
-        else:
-            value = F.greatest(run, off)
-        final.append(value.alias(out))
-    return sent.select("*", *offsets).where(~came).select(*df.columns, *final)
+        final.append((off if kind == "total" else _combined(f, run, off)).alias(out))
+    return sent.select("*", *offsets).where(~came).select(*columns, *final)
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str],

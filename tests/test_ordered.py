@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from cohortica.functions.ordered import (add_ranks, lookup_positions, pct_rank, pct_ranks, quantiles,
+from cohortica.functions.ordered import (add_ranks, lookup_positions, pct_rank, pct_ranks, prefix_tree, quantiles,
                                          row_numbers, running)
 
 
@@ -32,7 +32,7 @@ def test_running_sum_and_max_match_pandas(data):
     assert (out.m.to_numpy() == want.cummax().to_numpy()).all()
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 40])
+@pytest.mark.parametrize("ranges", [1, 3, 40, 130])
 @pytest.mark.parametrize("keys", [[], ["g"], ["g", "w"]])
 def test_totals_reach_every_row_of_a_key(data, keys, ranges):
     pdf, df = data
@@ -78,3 +78,32 @@ def test_lookup_positions_reads_the_sorted_reference(data):
     got = {(r.g, r.p): r.x for r in lookup_positions(pos, ref, ["g"], "p", "v", "x").collect()}
     for (g, p), x in got.items():
         assert x == np.sort(pdf[(pdf.g == g) & pdf.v.notna()].v)[p]
+
+
+def test_prefix_tree_of_three_levels_has_rows_linear_in_ranges(spark):
+    """5,000 places of a hot key and 50 of a NULL one: 5,000 -> 79 -> 2 blocks."""
+    rng = np.random.default_rng(3)
+    rows = [("hot", i, int(rng.integers(0, 9)), int(rng.integers(-99, 99))) for i in range(5000) if i % 7]
+    rows += [(None, i * 90, 1, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, seg int, s long, m long")
+    out = prefix_tree(df, ["k"], "seg", {"s": F.sum, "m": F.max}, 5000)
+    got = {(r.k, r.seg): (r.s, r.m) for r in out.collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", None):
+        total, most = None, None
+        for _, seg, s, m in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            assert (got[key, seg][0] or 0, got[key, seg][1]) == (total or 0, most)
+            total, most = (total or 0) + s, m if most is None else max(most, m)
+
+
+def test_many_ranges_carry_sums_maxima_and_totals_over_null_keys(data):
+    """Two levels of the tree over rows; ranges without rows, a NULL key and keys inside one range."""
+    pdf, df = data
+    keyed = df.withColumn("h", F.when(F.col("g") != 2, F.col("g") * 100 + F.when(F.col("g") > 3, F.col("i") % 5).otherwise(0)))
+    out = running(keyed, ["h"], ["i"], sums={"s": "w"}, maxes={"m": "w"}, totals={"t": "w"}, ranges=200)
+    assert out.columns == [*keyed.columns, "s", "m", "t"]
+    got = out.toPandas().sort_values("i")
+    group = got.assign(h=got.h.fillna(-1)).groupby("h").w
+    assert (got.s.to_numpy() == group.cumsum().to_numpy()).all()
+    assert (got.m.to_numpy() == group.cummax().to_numpy()).all()
+    assert (got.t.to_numpy() == group.transform("sum").to_numpy()).all() and len(got) == len(pdf)
