@@ -7,18 +7,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortica.functions.hashing import hash_int, hash_uniform
-from cohortica.functions.ordered import row_numbers
-from cohortica.operators.metrics import auc_table, require_both_classes
+from cohortica.operators.metrics import require_both_classes
+from cohortica.operators.replicates import OBSERVED, packed_weights, replicate_pairs, unpacked
 from cohortica.session import ensure_checkpoint_dir
 from cohortica.spec import DEFAULT, PanelSpec
 
-# Replicate number of the unweighted point estimates in a bootstrap table.
-OBSERVED = -1
-
-# Cumulative Poisson(1) probabilities up to 16; beyond that the mass is below 1e-14.
-_POISSON_STEPS = 17
-
 
 def leaderboard(table: DataFrame, metric: str, name: str, top: int) -> DataFrame:
     """Best rows of a metric table; ties broken by name."""
@@ -27,44 +20,20 @@ def leaderboard(table: DataFrame, metric: str, name: str, top: int) -> DataFrame
 
 def best_row(table: DataFrame, metric: str, priority: Sequence[str], by: Sequence[str] = (),
              digits: int = 12) -> DataFrame:
-    """Highest metric after rounding, then the given priority order."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(F.round(metric, digits)), *priority)
-    return table.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
-
+    """Highest metric after rounding, then the given priority order (T2); a NULL metric is last.
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) draw from a uniform, by inverting the distribution function."""
-    total, term, out = 0.0, 2.718281828459045 ** -1, F.lit(0)
-    for k in range(_POISSON_STEPS):
-        total += term
-        out = out + (u >= F.lit(total)).cast("int")
-        term /= k + 1
-    return out
+    An aggregate: candidates are compared where they are, and one row a group moves.
+    """
+    rank = F.struct(F.coalesce(-F.round(metric, digits), F.lit(float("inf"))).alias("_metric"), *priority)
+    row = F.struct(*[F.col(c) for c in table.columns])
+    best = (table.groupBy(*by) if by else table).agg(F.min_by(row, rank).alias("_best"))
+    return best.where(F.col("_best").isNotNull()).select("_best.*")
 
 
 def entity_weights(df: DataFrame, replicates: int, seed: int, scheme: str = "multinomial",
                    first: int = 0, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """``(replicate, entity, weight)``: how often each entity is drawn.
-
-    ``multinomial`` draws exactly N of N entities: each entity makes one draw per
-    replicate, a hash picks the position it lands on, and positions are counted.
-    ``poisson`` gives each entity an independent weight, without any shuffle.
-    """
-    entities = df.select(spec.entity).distinct()
-    span = F.sequence(F.lit(first), F.lit(first + replicates - 1))
-    if scheme == "poisson":
-        drawn = entities.withColumn("replicate", F.explode(span))
-        w = poisson_one(hash_uniform(seed, "replicate", spec.entity))
-        return drawn.withColumn("weight", w).where(F.col("weight") > 0)
-    if scheme != "multinomial":
-        raise ValueError(f"unknown scheme {scheme}")
-    placed = row_numbers(entities, [], [spec.entity], "_pos").withColumn("_pos", F.col("_pos") - 1)
-    size = entities.agg(F.count(F.lit(1)).alias("_size"))
-    draws = placed.select("_pos", F.explode(span).alias("replicate")).crossJoin(F.broadcast(size))
-    hit = F.pmod(hash_int(seed, "replicate", "_pos"), F.col("_size"))
-    counts = draws.select("replicate", hit.alias("_pos")).groupBy("replicate", "_pos").agg(
-        F.count(F.lit(1)).cast("int").alias("weight"))
-    return counts.join(placed, "_pos").select("replicate", spec.entity, "weight")
+    """``(replicate, entity, weight)``: how often each entity is drawn (B0), from `packed_weights`."""
+    return unpacked(packed_weights(df, replicates, seed, scheme, first, spec), first, spec)
 
 
 def bootstrap_ginis(long: DataFrame, replicates: int, seed: int, by: Sequence[str] = ("model", "mes"),
@@ -77,21 +46,18 @@ def bootstrap_ginis(long: DataFrame, replicates: int, seed: int, by: Sequence[st
     point estimates come out of the same pass, as replicate ``OBSERVED`` of weight 1.
     """
     rows = long.select(spec.entity, *by, score, spec.label)
-    weights = entity_weights(rows, replicates, seed, scheme, first, spec)
-    weighted = rows.join(weights, spec.entity)
-    if observed:
-        weighted = weighted.unionByName(rows.select(
-            "*", F.lit(OBSERVED).alias("replicate"), F.lit(1).alias("weight")))
-    return auc_table(weighted, ["replicate", *by], score, spec.label, "weight").select(
-        "replicate", *by, "gini")
+    weights = packed_weights(rows, replicates, seed, scheme, first, spec)
+    pairs = replicate_pairs(rows, weights, by, score, replicates, observed, first, spec)
+    auc = F.try_divide(F.col("pairs"), F.col("pos") * F.col("neg"))
+    return pairs.where(F.col("pos") + F.col("neg") > 0).select("replicate", *by, (2 * auc - 1).alias("gini"))
 
 
-def bootstrap_in_chunks(long: DataFrame, replicates: int, seed: int, chunk: int = 50,
+def bootstrap_in_chunks(long: DataFrame, replicates: int, seed: int, chunk: int = 1000,
                         by: Sequence[str] = ("model", "mes"), score: str = "score",
                         scheme: str = "multinomial", spec: PanelSpec = DEFAULT) -> DataFrame:
     """``bootstrap_ginis(observed=True)`` in chunks of replicates, for large tables.
 
-    A chunk multiplies the rows by its own size only. Its Gini rows are
+    A row moves with one byte a replicate of the chunk. The Gini rows of a chunk are
     checkpointed, so a failure later repeats nothing that is finished.
     """
     ensure_checkpoint_dir(long.sparkSession)
@@ -107,6 +73,16 @@ def bootstrap_in_chunks(long: DataFrame, replicates: int, seed: int, chunk: int
         rows.unpersist()
 
 
+def usable_draws(table: DataFrame) -> DataFrame:
+    """A bootstrap table without the replicates in which some Gini is undefined, for all models and periods alike.
+
+    Small panels lose a class of some period in a few of many draws; `delta_table` counts the draws that are left.
+    The point estimates always stay, so a period that lacks a class in the data is still an error there.
+    """
+    undefined = table.where(F.col("gini").isNull() & (F.col("replicate") != OBSERVED)).select("replicate").distinct()
+    return table.join(undefined, "replicate", "left_anti")
+
+
 def holm(df: DataFrame, p: str, by: Sequence[str] = (), order: Sequence[str] = (),
          out: str = "p_holm") -> DataFrame:
     """Holm-adjusted p-values of a family (W16); any family size."""
@@ -141,7 +117,8 @@ def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str
 
     ``table`` comes from ``bootstrap_ginis(observed=True)``. Each output row gathers
     one number per replicate, so its size is the replicate count. A single-class
-    draw is an error, so every mean covers all periods and every interval all draws.
+    draw is an error (see `usable_draws`), so every mean covers all periods and every interval
+    the same draws; ``draws`` is their number.
     """
     draws = delta_draws(require_both_classes(table), pairs, period)
     drawn = F.col("replicate") != OBSERVED
@@ -153,7 +130,8 @@ def delta_table(table: DataFrame, pairs: Sequence[tuple[str, str]], period: str
         F.collect_list(d).alias("_draws"))
     middle = F.col("delta") if center == "observed" else F.col("_mean")
     far = F.size(F.filter("_draws", lambda x: F.round(F.abs(x - middle), 12) >= F.round(F.abs(F.col("delta")), 12)))
-    tested = rows.withColumn("p_two_sided", (far + 1) / (F.size("_draws") + 1)).drop("_draws", "_mean")
+    tested = rows.withColumn("p_two_sided", (far + 1) / (F.size("_draws") + 1)).withColumn(
+        "draws", F.size("_draws").cast("long")).drop("_draws", "_mean")
     mean_only = F.when(F.col("period") == "mean", F.round("p_two_sided", 12))
     ranked = tested.withColumn("_family", F.col("period") == "mean").withColumn("_p", mean_only)
     adjusted = holm(ranked, "_p", ["_family", *family], ["a", "b", "period"])

@@ -14,33 +14,41 @@ from cohortica.functions.ordered import (_SEG, add_ranks, quantiles_wide, range_
                                          safe_corr, value_ranks, with_ranges)
 
 
-def tie_groups(df: DataFrame, keys: Sequence[str], score: str, label: str,
-               weight: str | None = None) -> DataFrame:
-    """Positive and negative weight per distinct score.
-
-    A NULL or NaN score and a label other than 0 and 1 are errors, not ranks.
-    """
-    number = isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType))
-    lacking = F.col(score).isNull() | F.isnan(score) if number else F.col(score).isNull()
-    value = F.when(lacking, F.raise_error(F.lit("a score is NULL or NaN")).cast(df.schema[score].dataType)).otherwise(
-        F.col(score))
-    y = F.when(F.col(label).isin(0, 1), F.col(label).cast("long")).otherwise(
+def checked_score(df: DataFrame, score: str, probability: bool = False) -> Column:
+    """The score; NULL, NaN and, for a ``probability``, what lies outside [0, 1] are errors, not ranks."""
+    kind, s = df.schema[score].dataType, F.col(score)
+    lacking = s.isNull() | F.isnan(score) if isinstance(kind, (T.DoubleType, T.FloatType)) else s.isNull()
+    out = F.when(lacking, F.raise_error(F.lit("a score is NULL or NaN")).cast(kind))
+    if probability:
+        out = out.when((s < 0) | (s > 1), F.raise_error(F.lit("a probability lies outside [0, 1]")).cast(kind))
+    return out.otherwise(s)
+
+
+def checked_label(label: str) -> Column:
+    """The label as 0 or 1; anything else is an error."""
+    return F.when(F.col(label).isin(0, 1), F.col(label).cast("long")).otherwise(
         F.raise_error(F.lit("a label is not 0 or 1")).cast("long"))
+
+
+def tie_groups(df: DataFrame, keys: Sequence[str], score: str, label: str,
+               weight: str | None = None, probability: bool = False) -> DataFrame:
+    """Positive and negative weight per distinct score."""
+    y = checked_label(label)
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    return df.groupBy(*keys, value.alias("_score")).agg(
+    return df.groupBy(*keys, checked_score(df, score, probability).alias("_score")).agg(
         F.sum(w * y).alias("_pos"), F.sum(w * (1 - y)).alias("_neg"))
 
 
 def auc_table(df: DataFrame, keys: Sequence[str], score: str = "score",
-              label: str = "objetivo", weight: str | None = None) -> DataFrame:
+              label: str = "objetivo", weight: str | None = None, probability: bool = False) -> DataFrame:
     """Rows, events, AUC and Gini per key; NULL metrics where a class is missing.
 
-    AUC counts correctly ordered pairs. Each score range counts its own pairs and
+    With ``probability`` a score outside [0, 1] is an error. AUC counts correctly ordered pairs. Each score range counts its own pairs and
     its totals; joining two neighbouring ranges only needs those three numbers.
     """
     keys = list(keys)
     inner = keys or ["_all"]
-    ties = tie_groups(df if keys else df.withColumn("_all", F.lit(0)), inner, score, label, weight)
+    ties = tie_groups(df if keys else df.withColumn("_all", F.lit(0)), inner, score, label, weight, probability)
     ranged = with_ranges(ties, [*inner, "_score"], range_count(df))
     before = Window.partitionBy(_SEG, *inner).orderBy("_score").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -62,7 +70,7 @@ def auc_table(df: DataFrame, keys: Sequence[str], score: str = "score",
 
 
 def metric_table(df: DataFrame, keys: Sequence[str], score: str = "score",
-                 label: str = "objetivo", weight: str | None = None) -> DataFrame:
+                 label: str = "objetivo", weight: str | None = None, probability: bool = False) -> DataFrame:
     """Gini, ROC AUC and step-wise average precision per key, from one pass.
 
     Average precision sums over distinct thresholds from the top; the counts above a
@@ -70,7 +78,7 @@ def metric_table(df: DataFrame, keys: Sequence[str], score: str = "score",
     """
     keys = list(keys)
     inner = keys or ["_all"]
-    ties = tie_groups(df if keys else df.withColumn("_all", F.lit(0)), inner, score, label, weight)
+    ties = tie_groups(df if keys else df.withColumn("_all", F.lit(0)), inner, score, label, weight, probability)
     cum = running(ties, inner, ["_score"], sums={"_pc": "_pos", "_nc": "_neg"},
                   totals={"_p": "_pos", "_n": "_neg"})
     pos_from = F.col("_p") - F.col("_pc") + F.col("_pos")
@@ -132,7 +140,7 @@ def monthly_summary(metrics: DataFrame, by: Sequence[str] = (), metric: str = "g
 
 
 def metric_slices(df: DataFrame, period: str, cohort: str, score: str = "score",
-                  label: str = "objetivo") -> DataFrame:
+                  label: str = "objetivo", probability: bool = False) -> DataFrame:
     """Overall, per period and per cohort metrics in one pass.
 
     Each row is emitted once per slice it belongs to and the slice is the key.
@@ -143,7 +151,7 @@ def metric_slices(df: DataFrame, period: str, cohort: str, score: str = "score",
         F.struct(F.lit("cohort").alias("slice"),
                  F.when(F.col(cohort), "recurrent").when(~F.col(cohort), "new").otherwise("unknown").alias("value")))
     rows = df.select(score, label, F.explode(slices).alias("_s")).select(score, label, "_s.*")
-    return metric_table(rows, ["slice", "value"], score, label)
+    return metric_table(rows, ["slice", "value"], score, label, probability=probability)
 
 
 def univariate_screen(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:

@@ -14,7 +14,7 @@ from cohortica.plans.q_metrics import MODELS, rank_sql
 from cohortica.plans.q_splits import hash_int_sql, uniform_sql
 from cohortica.plans.registry import query
 
-R, SEED = 20, 42
+R, SEED = 1000, 42
 
 
 def boot_sql(source: str, name: str = "bw", replicates: int = R, seed: int = SEED) -> str:
@@ -27,7 +27,8 @@ def boot_sql(source: str, name: str = "bw", replicates: int = R, seed: int = SEE
 
 DRAWS_SQL = SCORES_SQL + "," + boot_sql("vlong") + f""",
 wl AS (SELECT replicate, model, mes, objetivo, score, weight FROM vlong JOIN bw USING (id_cliente)),
-{gini_sql('wl', 'replicate, model, mes', weight='weight', name='dg')},
+{gini_sql('wl', 'replicate, model, mes', weight='weight', name='ag')},
+dg AS (SELECT * FROM ag WHERE replicate NOT IN (SELECT replicate FROM ag WHERE gini IS NULL)),
 {gini_sql('vlong', 'model, mes', name='og')}"""
 
 DELTA_SQL = DRAWS_SQL + """,
@@ -38,10 +39,10 @@ alld AS (SELECT * FROM per UNION ALL SELECT replicate, a, b, 'mean', avg(draw) F
 allo AS (SELECT * FROM obs UNION ALL SELECT a, b, 'mean', avg(o) FROM obs GROUP BY 1, 2),
 jn AS (SELECT alld.*, o, avg(draw) OVER (PARTITION BY alld.a, alld.b, alld.period) AS mid FROM alld JOIN allo USING (a, b, period) WHERE draw IS NOT NULL AND o IS NOT NULL),
 sm AS (SELECT a, b, period, max(o) AS delta, quantile_cont(draw, 0.025) AS ci_low, quantile_cont(draw, 0.975) AS ci_high, avg((draw > 0)::INT) AS p_positive,
-  (1 + count(*) FILTER (round(abs(draw - center_), 12) >= round(abs(o), 12))) / CAST(count(*) + 1 AS DOUBLE) AS p_two_sided FROM jn GROUP BY 1, 2, 3),
+  (1 + count(*) FILTER (round(abs(draw - center_), 12) >= round(abs(o), 12))) / CAST(count(*) + 1 AS DOUBLE) AS p_two_sided, count(*) AS draws FROM jn GROUP BY 1, 2, 3),
 hm AS (SELECT a, b, period, max(st) OVER (ORDER BY round(p_two_sided, 12), a, b) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY round(p_two_sided, 12), a, b) + 1) * round(p_two_sided, 12)) AS st FROM sm WHERE period = 'mean'))
 SELECT a, b, period, round(delta, 9) AS delta, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_positive, 9) AS p_positive,
-  round(p_two_sided, 9) AS p_two_sided, round(p_holm, 9) AS p_holm FROM sm LEFT JOIN hm USING (a, b, period)"""
+  round(p_two_sided, 9) AS p_two_sided, draws, round(p_holm, 9) AS p_holm FROM sm LEFT JOIN hm USING (a, b, period)"""
 VS_M1 = "(SELECT 'm2' AS a, 'm1' AS b UNION ALL SELECT 'm3', 'm1')"
 ALL_PAIRS = "(SELECT 'm1' AS a, 'm2' AS b UNION ALL SELECT 'm1', 'm3' UNION ALL SELECT 'm2', 'm3')"
 
@@ -52,7 +53,7 @@ def delta_sql(pairs: str, center: str) -> str:
 
 def drawn(spark, sf_dir):
     long = long_scores(valid_scores(spark, sf_dir), MODELS)
-    return I.bootstrap_ginis(long, R, SEED, observed=True)
+    return I.usable_draws(I.bootstrap_ginis(long, R, SEED, observed=True))
 
 
 @query("b0_entity_weights", SCORES_SQL + "," + boot_sql("valid") + "SELECT replicate, id_cliente, weight FROM bw")
@@ -78,11 +79,10 @@ def pooled_delta(spark, sf_dir):
     return rounded(I.pooled_delta(valid_scores(spark, sf_dir), "m1", "m3", R, SEED))
 
 
-@query("b2_bootstrap_ginis", DRAWS_SQL + "SELECT replicate, model, mes, round(gini, 9) AS gini FROM dg")
+@query("b2_bootstrap_ginis", DRAWS_SQL + "SELECT replicate, model, mes, round(gini, 9) AS gini FROM ag")
 def bootstrap_ginis(spark, sf_dir):
-    """B2 and J14."""
-    long = long_scores(valid_scores(spark, sf_dir), MODELS)
-    return rounded(M.require_both_classes(I.bootstrap_ginis(long, R, SEED)))
+    """B2 and J14; a draw without one of the classes has a NULL Gini."""
+    return rounded(I.bootstrap_ginis(long_scores(valid_scores(spark, sf_dir), MODELS), R, SEED))
 
 
 @query("b3_delta_vs_baseline", delta_sql(VS_M1, "o"))

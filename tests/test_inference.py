@@ -1,11 +1,14 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from cohortica.operators import inference as I
 from cohortica.operators.metrics import require_both_classes
+from cohortica.operators.replicates import Ordered
+from cohortica.spec import PanelSpec
 from tests.test_metrics import auc
 
 R = 12
@@ -136,3 +139,49 @@ def test_one_entity_is_no_bootstrap(spark):
     df = spark.createDataFrame([(1, 1, 0, 0.1, 0.2), (1, 2, 1, 0.5, 0.4)], "id_cliente long, mes int, objetivo int, a double, b double")
     with pytest.raises(ValueError, match="two entities"):
         I.pooled_delta(df, "a", "b", 5, 1)
+
+
+def test_packed_ordered_pairs_merge_over_any_cut(long):
+    """States of consecutive pieces, ties across the cuts, merge to the state of the whole."""
+    rng = np.random.default_rng(5)
+    score = np.sort(rng.integers(0, 6, 60)).astype(float)
+    label, weights = rng.integers(0, 2, 60).astype(float), rng.integers(0, 4, (60, 7)).astype(float)
+    whole = Ordered.of(score, label, weights)
+    for _ in range(30):
+        cuts = [0, *sorted(rng.choice(np.arange(1, 60), rng.integers(1, 20), replace=False)), 60]
+        parts = [Ordered.of(score[a:z], label[a:z], weights[a:z]) for a, z in zip(cuts, cuts[1:])]
+        while len(parts) > 1:                                            # merge neighbours anywhere
+            i = rng.integers(0, len(parts) - 1)
+            parts[i:i + 2] = [Ordered.unpack(pa.py_buffer(parts[i].then(parts[i + 1]).pack()))]
+        assert parts[0].pack() == whole.pack()
+    for r in range(7):
+        assert whole.pairs[r] / (whole.pos[r] * whole.neg[r]) == pytest.approx(auc(label, score, weights[:, r]))
+
+
+def test_packed_bootstrap_over_a_hot_tie_many_ranges_and_null_keys(spark):
+    """One score holds most rows and spans ranges; 130 ranges merge through two levels."""
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i % 70}", None if i % 3 else "k", int(rng.random() < 0.4), 0.5 if rng.random() < 0.7 else float(rng.integers(0, 9)) / 8)
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "client string, grp string, y int, score double")
+    spec = PanelSpec(entity="client", label="y")
+    weights = I.entity_weights(df, 5, 3, first=2, spec=spec).toPandas()
+    spark.conf.set("spark.sql.shuffle.partitions", "130")
+    try:
+        got = {(r.replicate, r.grp): r.gini for r in I.bootstrap_ginis(df, 5, 3, ["grp"], first=2, observed=True, spec=spec).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pdf = df.toPandas()
+    assert len(got) == 12
+    for (replicate, grp), gini in got.items():
+        part = pdf[pdf.grp.isna() if grp is None else pdf.grp == grp]
+        w = 1 if replicate == I.OBSERVED else part.client.map(
+            weights[weights.replicate == replicate].set_index("client").weight).fillna(0)
+        assert gini == pytest.approx(2 * auc(part.y, part.score, pd.Series(w, index=part.index)) - 1, abs=1e-12)
+
+
+def test_best_row_keeps_one_row_a_group(spark):
+    df = spark.createDataFrame([("x", "b", 0.5), ("x", "a", 0.5 + 1e-14), ("y", "c", None), ("y", "d", 0.1), ("z", "e", None)],
+                               "g string, name string, m double")
+    assert {(r.g, r.name) for r in I.best_row(df, "m", ["name"], ["g"]).collect()} == {("x", "a"), ("y", "d"), ("z", "e")}
+    assert I.best_row(df, "m", ["name"]).first().name == "a" and I.best_row(df.where("g = 'q'"), "m", ["name"]).count() == 0
