@@ -9,7 +9,7 @@ Ties may span ranges, so one hot score does not fill a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import md5
 
@@ -169,10 +169,10 @@ class Ordered:
     last_neg: np.ndarray
 
     @classmethod
-    def of(cls, score: np.ndarray, label: np.ndarray, weights: np.ndarray) -> Ordered:
+    def of(cls, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Ordered:
+        """Of sorted rows; ``pos`` and ``neg`` hold a row's weight in either class, one column a replicate."""
         new = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-        pos = np.add.reduceat(weights * label[:, None], new, axis=0)
-        neg = np.add.reduceat(weights * (1 - label)[:, None], new, axis=0)
+        pos, neg = np.add.reduceat(pos, new, axis=0), np.add.reduceat(neg, new, axis=0)
         below = np.cumsum(neg, axis=0) - neg
         return cls(score[0], score[-1], (pos * (below + neg / 2)).sum(axis=0), pos.sum(axis=0), neg.sum(axis=0),
                    pos[0], neg[0], pos[-1], neg[-1])
@@ -210,18 +210,17 @@ def _runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[int, int, tuple]]:
         yield a, z - a, tuple(batch.column(i)[a].as_py() for i in range(keys))
 
 
-def replicate_pairs(rows: DataFrame, weights: DataFrame, by: Sequence[str], score: str, replicates: int,
-                    observed: bool = False, first: int = 0, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """``(replicate, by, pairs, pos, neg)``: ordered pairs and class weights of every replicate and key."""
-    by = list(by)
-    n = range_count(rows)
-    width = replicates + observed
-    names = [f"_k{i}" for i in range(len(by))]
-    kinds = [T.StructField(k, rows.schema[c].dataType) for k, c in zip(names, by)]
-    ready = rows.select(spec.entity, *[F.col(c).alias(k) for k, c in zip(names, by)],
-                        checked_score(rows, score).cast("double").alias("_score"),
-                        checked_label(spec.label).cast("double").alias("_y")).join(weights, spec.entity)
-    ranged = ready.repartitionByRange(n, *names, "_score", spec.entity).sortWithinPartitions(*names, "_score")
+def ordered_states(ready: DataFrame, names: Sequence[str], n: int, split: Sequence[str],
+                   weigh: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``(names, state)``: the packed `Ordered` of every key, from one range partitioning by score.
+
+    ``ready`` holds the keys ``names``, then ``_score``; ``weigh`` gives the class weights of a
+    piece of a batch. ``split`` names further columns that part the rows of one tie.
+    """
+    names = list(names)
+    kinds = [ready.schema[c] for c in names]
+    rest = [c for c in ready.columns if c not in (*names, "_score")]
+    ranged = ready.repartitionByRange(n, *names, "_score", *split).sortWithinPartitions(*names, "_score")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
@@ -229,13 +228,12 @@ def replicate_pairs(rows: DataFrame, weights: DataFrame, by: Sequence[str], scor
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([place], pa.int32()), *[pa.array([v], t) for v, t in zip(key, kind)],
+                [pa.array([place], pa.int32()), *[pa.array([v], t) for v, t in zip(key, types)],
                  pa.array([state.pack()], pa.binary())], ["_place", *names, "state"])
 
         for batch in batches:
-            kind = [batch.schema.field(i).type for i in range(len(names))]
-            score_, y, raw = (batch.column(len(names) + i) for i in range(3))
-            values, labels = score_.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
+            types = [batch.schema.field(i).type for i in range(len(names))]
+            values = batch.column(len(names)).to_numpy(zero_copy_only=False)
             for start, length, now in _runs(batch, len(names)):
                 if state is not None and now != key:
                     yield row()
@@ -243,15 +241,13 @@ def replicate_pairs(rows: DataFrame, weights: DataFrame, by: Sequence[str], scor
                 key = now
                 for a in range(start, start + length, _ROWS):
                     z = min(a + _ROWS, start + length)
-                    w = np.ones((z - a, width))
-                    w[:, :replicates] = np.vstack([np.frombuffer(x.as_buffer(), np.uint8) for x in raw.slice(a, z - a)])
-                    part = Ordered.of(values[a:z], labels[a:z], w)
+                    part = Ordered.of(values[a:z], *weigh(batch.slice(a, z - a)))
                     state = part if state is None else state.then(part)
         if state is not None:
             yield row()
 
     schema = T.StructType([T.StructField("_place", T.IntegerType()), *kinds, T.StructField("state", T.BinaryType())])
-    states = ranged.select(*names, "_score", "_y", "weights").mapInArrow(scan, schema)
+    states = ranged.select(*names, "_score", *rest).mapInArrow(scan, schema)
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.sort_by("_place")
@@ -266,17 +262,44 @@ def replicate_pairs(rows: DataFrame, weights: DataFrame, by: Sequence[str], scor
     while n > 1:
         states = states.groupBy(F.floor(F.col("_place") / BLOCK).alias("_block"), *names).applyInArrow(merge, schema)
         n = -(-n // BLOCK)
+    return states.select(*names, "state")
 
-    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.r_[np.arange(first, first + replicates), [OBSERVED] * observed].astype(np.int32)
+
+def unpacked_states(states: DataFrame, numbers: np.ndarray) -> DataFrame:
+    """``(replicate, keys, pairs, pos, neg)`` from packed states; ``numbers`` names their columns."""
+    keys = [f for f in states.schema if f.name != "state"]
+    numbers = numbers.astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(batch.column(batch.num_columns - 1)):
+            for i, raw in enumerate(batch.column(len(keys))):
                 s = Ordered.unpack(raw.as_buffer())
-                repeat = pa.array(np.full(width, i))
+                repeat = pa.array(np.full(len(numbers), i))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), *[batch.column(1 + k).take(repeat) for k in range(len(names))],
-                     pa.array(s.pairs), pa.array(s.pos), pa.array(s.neg)], ["replicate", *names, "pairs", "pos", "neg"])
+                    [pa.array(numbers), *[batch.column(k).take(repeat) for k in range(len(keys))],
+                     pa.array(s.pairs), pa.array(s.pos), pa.array(s.neg)],
+                    ["replicate", *[f.name for f in keys], "pairs", "pos", "neg"])
+
+    return states.mapInArrow(run, T.StructType([T.StructField("replicate", T.IntegerType()), *keys,
+                                                *[T.StructField(c, T.DoubleType()) for c in ("pairs", "pos", "neg")]]))
+
+
+def replicate_pairs(rows: DataFrame, weights: DataFrame, by: Sequence[str], score: str, replicates: int,
+                    observed: bool = False, first: int = 0, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """``(replicate, by, pairs, pos, neg)``: ordered pairs and class weights of every replicate and key."""
+    by = list(by)
+    names = [f"_k{i}" for i in range(len(by))]
+    ready = rows.select(spec.entity, *[F.col(c).alias(k) for k, c in zip(names, by)],
+                        checked_score(rows, score).cast("double").alias("_score"),
+                        checked_label(spec.label).cast("double").alias("_y")).join(weights, spec.entity)
+    ready = ready.select(*names, "_score", F.col(spec.entity).alias("_entity"), "_y", "weights")
+
+    def weigh(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        w = np.ones((part.num_rows, replicates + observed))
+        w[:, :replicates] = np.vstack([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(part.num_columns - 1)])
+        label = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False)[:, None]
+        return w * label, w * (1 - label)
 
-    out = T.StructType([T.StructField("replicate", T.IntegerType()), *kinds,
-                        *[T.StructField(c, T.DoubleType()) for c in ("pairs", "pos", "neg")]])
-    return states.mapInArrow(results, out).toDF("replicate", *by, "pairs", "pos", "neg")
+    states = ordered_states(ready, names, range_count(rows), ["_entity"], weigh)
+    numbers = np.r_[np.arange(first, first + replicates), [OBSERVED] * observed]
+    return unpacked_states(states, numbers).toDF("replicate", *by, "pairs", "pos", "neg")

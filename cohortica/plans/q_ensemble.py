@@ -14,6 +14,7 @@ from cohortica.plans.q_metrics import MODELS, rank_sql
 from cohortica.plans.registry import query
 from cohortica.sources.readers import source_row_index
 
+STEP = 0.1
 CANDIDATES = {
     "pair": [(1.0, ["m1", "m2"])],
     "flat": [(1.0, ["m1"]), (1.0, ["m2"]), (1.0, ["m3"])],
@@ -68,8 +69,8 @@ def quantile_map(spark, sf_dir):
 
 
 GRID_SQL = SCORES_SQL + f""",
-gr AS (SELECT a * 25 + b * 5 + (4 - a - b) AS weight_id, a / 4.0::DOUBLE AS w_m1, b / 4.0::DOUBLE AS w_m2, (4 - a - b) / 4.0::DOUBLE AS w_m3
-  FROM generate_series(0, 4) x(a), generate_series(0, 4) y(b) WHERE a + b <= 4),
+gr AS (SELECT a * 121 + b * 11 + (10 - a - b) AS weight_id, a / 10.0::DOUBLE AS w_m1, b / 10.0::DOUBLE AS w_m2, (10 - a - b) / 10.0::DOUBLE AS w_m3
+  FROM generate_series(0, 10) x(a), generate_series(0, 10) y(b) WHERE a + b <= 10),
 rr AS (SELECT mes, objetivo, {rank_sql('m1', 'mes')} AS r1, {rank_sql('m2', 'mes')} AS r2, {rank_sql('m3', 'mes')} AS r3 FROM valid),
 gs AS (SELECT weight_id, mes, objetivo, round(r1 * w_m1 + r2 * w_m2 + r3 * w_m3, 12) AS score FROM rr, gr),
 {gini_sql('gs', 'weight_id, mes')}"""
@@ -81,8 +82,8 @@ SELECT weight_id, round(w_m1, 9) AS w_m1, round(w_m2, 9) AS w_m2, round(w_m3, 9)
   SELECT *, max(m12) OVER () AS mx FROM (SELECT weight_id, avg(gini) AS m, round(avg(gini), 12) AS m12 FROM g GROUP BY 1)) JOIN gr USING (weight_id)""")
 def grid_weights(spark, sf_dir):
     """The whole grid with its mean Gini and the chosen point."""
-    ginis = E.grid_ginis(valid_scores(spark, sf_dir), MODELS, 0.25)
-    grid = E.simplex_grid(spark, MODELS, 0.25)
+    ginis = E.grid_ginis(valid_scores(spark, sf_dir), MODELS, STEP)
+    grid = E.simplex_grid(spark, MODELS, STEP)
     best = E.fit_weights(ginis).select(F.col("weight_id").alias("_best"))
     means = ginis.groupBy("weight_id").agg(F.avg("gini").alias("mean_gini"))
     return rounded(means.join(grid, "weight_id").crossJoin(best).select(
@@ -94,7 +95,7 @@ ot AS (SELECT h.mes AS held_out, g.weight_id, avg(g.gini) AS fit_gini FROM (SELE
 bs AS (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY round(fit_gini, 12) DESC, weight_id) AS r FROM ot)
 SELECT held_out, bs.weight_id, round(fit_gini, 9) AS fit_gini, round(g.gini, 9) AS held_out_gini FROM bs JOIN g ON g.mes = held_out AND g.weight_id = bs.weight_id WHERE r = 1""")
 def leave_one_out_stack(spark, sf_dir):
-    return rounded(E.leave_one_out_stack(E.grid_ginis(valid_scores(spark, sf_dir), MODELS, 0.25)))
+    return rounded(E.leave_one_out_stack(E.grid_ginis(valid_scores(spark, sf_dir), MODELS, STEP)))
 
 
 CAND_GINI_SQL = SCORES_SQL + "," + candidates_sql("valid") + f",\n{gini_sql('cand', 'candidate, priority, mes')}"

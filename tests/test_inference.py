@@ -146,10 +146,11 @@ def test_packed_ordered_pairs_merge_over_any_cut(long):
     rng = np.random.default_rng(5)
     score = np.sort(rng.integers(0, 6, 60)).astype(float)
     label, weights = rng.integers(0, 2, 60).astype(float), rng.integers(0, 4, (60, 7)).astype(float)
-    whole = Ordered.of(score, label, weights)
+    pos, neg = weights * label[:, None], weights * (1 - label)[:, None]
+    whole = Ordered.of(score, pos, neg)
     for _ in range(30):
         cuts = [0, *sorted(rng.choice(np.arange(1, 60), rng.integers(1, 20), replace=False)), 60]
-        parts = [Ordered.of(score[a:z], label[a:z], weights[a:z]) for a, z in zip(cuts, cuts[1:])]
+        parts = [Ordered.of(score[a:z], pos[a:z], neg[a:z]) for a, z in zip(cuts, cuts[1:])]
         while len(parts) > 1:                                            # merge neighbours anywhere
             i = rng.integers(0, len(parts) - 1)
             parts[i:i + 2] = [Ordered.unpack(pa.py_buffer(parts[i].then(parts[i + 1]).pack()))]
