@@ -1,20 +1,23 @@
 """Hazard models on unit risk intervals.
 
-Likelihood sums are Spark aggregates; only coefficient-sized matrices reach the
-driver. A design has tens of columns, whatever the number of rows.
+Likelihood sums are dense blocks by tenure, summed in the tasks and merged by a tree; only
+coefficient-sized matrices reach the driver. A design has tens of columns, whatever the
+number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortica.functions.features import known_category
+from cohortica.functions.ordered import BLOCK
 from cohortica.operators.contracts import count_if
 from cohortica.operators.encoding import category_vocabulary
 from cohortica.spec import DEFAULT, PanelSpec
@@ -78,83 +81,194 @@ def hazard_by_tenure(intervals: DataFrame, label: str = "objetivo") -> DataFrame
         F.count(F.lit(1)).alias("at_risk"), F.sum(label).alias("events"), F.avg(label).alias("hazard"))
 
 
-def fit_cloglog(intervals: DataFrame, design: Design, label: str = "objetivo", max_iter: int = 50):
-    """Discrete hazard with a complementary log-log link and tenure dummies (M6)."""
+# ---- dense sums by tenure ----------------------------------------------------------------------
+
+# A state is one vector of sums for one tenure; these merge two states of it.
+_Merge = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def tenure_sums(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, int], np.ndarray], merge: _Merge) -> dict[int, np.ndarray]:
+    """Merged states by tenure of ``rows`` (``x`` array, ``y``, ``stop``), ``part(x, y, stop)`` for a piece of one tenure.
+
+    A task keeps one state a tenure, whatever its rows; states of tasks merge in blocks of
+    ``BLOCK`` and the blocks by tenure. The driver gets one state a tenure.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y, stop = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            order = np.argsort(stop, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(stop[order])) + 1):
+                tenure = int(stop[at[0]])
+                state = part(x[at], y[at], tenure)
+                held[tenure] = merge(held[tenure], state) if tenure in held else state
+        block = TaskContext.get().partitionId() // BLOCK
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block] * len(held), pa.int32()), pa.array(list(held), pa.int32()),
+             pa.array([v.tobytes() for v in held.values()], pa.binary())], ["block", "stop", "state"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        state = reduce(merge, [np.frombuffer(v.as_buffer()) for v in table["state"]])
+        return pa.table({"block": pa.array([0], pa.int32()), "stop": table["stop"].slice(0, 1), "state": pa.array([state.tobytes()], pa.binary())})
+
+    schema = "block int, stop int, state binary"
+    states = rows.select("x", F.col("y").cast("double"), F.col("stop").cast("int")).mapInArrow(scan, schema)
+    for keys in (["block", "stop"], ["stop"]):
+        states = states.groupBy(*keys).applyInArrow(merged, schema)
+    return {r["stop"]: np.frombuffer(bytes(r["state"])) for r in states.collect()}
+
+
+def _newton(evaluate: Callable, beta: np.ndarray, max_iter: int, tolerance: float) -> np.ndarray:
+    """Newton's method with step halving; ``evaluate`` gives loss, gradient and the solved step."""
+    loss, grad, step = evaluate(beta)
+    for _ in range(max_iter):
+        if np.abs(grad).max(initial=0.0) < tolerance:
+            return beta
+        scale = 1.0
+        while True:
+            trial = beta - scale * step
+            t_loss, t_grad, t_step = evaluate(trial)
+            if t_loss <= loss + 1e-12 or scale < 1e-4:
+                break
+            scale /= 2
+        beta, loss, grad, step = trial, t_loss, t_grad, t_step
+    if np.abs(grad).max(initial=0.0) < tolerance * 1000:
+        return beta
+    raise RuntimeError("the hazard fit did not converge")
+
+
+# ---- discrete hazard -----------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class CloglogFit:
+    """Complementary log-log hazard: intercept, covariate coefficients, one effect for each tenure after the first."""
+
+    intercept: float
+    beta: np.ndarray
+    tenure: np.ndarray
+    longest: int
+
+    @property
+    def coefficients(self) -> np.ndarray:
+        return np.r_[self.beta, self.tenure]
+
+
+def cloglog_newton(rows: DataFrame, longest: int, d: int, ridge: float = CLOGLOG_RIDGE, max_iter: int = 60,
+                   tolerance: float = 1e-9) -> CloglogFit:
+    """Newton fit of mean loss plus ``ridge / 2`` of all squared coefficients but the intercept (M6).
+
+    Tenure effects touch only their own rows, so the Hessian has a diagonal block for them;
+    they are eliminated and the solved system has the size of the covariates, not of the tenures.
+    """
+    def evaluate(theta: np.ndarray):
+        tenure = np.r_[0.0, theta[1 + d:]]
+
+        def part(x: np.ndarray, y: np.ndarray, stop: int) -> np.ndarray:
+            h = np.exp(np.clip(theta[0] + tenure[stop - 1] + x @ theta[1:1 + d], -40, 40))
+            miss = -np.expm1(-h)                                        # probability of the event
+            slope = np.where(h < 50, h / np.expm1(np.minimum(h, 50)), 0.0)
+            u = np.where(y == 1, -slope, h)
+            v = np.where(y == 1, slope * (h / miss - 1), h)
+            loss = np.where(y == 1, -np.log(np.maximum(miss, 1e-300)), h).sum()
+            return np.concatenate([[len(y), loss, u.sum(), v.sum()], u @ x, v @ x, ((x * v[:, None]).T @ x).ravel()])
+
+        sums = tenure_sums(rows, part, np.add)
+        total = sum(sums.values())
+        n, width = total[0], d + 1
+        grad, dense = np.zeros(len(theta)), np.zeros((width, width))
+        grad[0], grad[1:width] = total[2], total[4:4 + d]
+        dense[0, 0], dense[0, 1:], dense[1:, 0] = total[3], total[4 + d:4 + 2 * d], total[4 + d:4 + 2 * d]
+        dense[1:, 1:] = total[4 + 2 * d:].reshape(d, d)
+        cross, diagonal = np.zeros((longest - 1, width)), np.zeros(longest - 1)
+        for stop, v in sums.items():
+            if stop > 1:
+                grad[width + stop - 2], diagonal[stop - 2] = v[2], v[3]
+                cross[stop - 2] = v[3:4 + 2 * d][np.r_[0, 1 + d:1 + 2 * d]]
+        penalty = np.r_[0.0, theta[1:]]
+        grad, dense, cross, diagonal = grad / n + ridge * penalty, dense / n, cross / n, diagonal / n + ridge
+        dense[np.arange(1, width), np.arange(1, width)] += ridge
+        schur = dense - (cross / diagonal[:, None]).T @ cross
+        head = np.linalg.solve(schur, grad[:width] - cross.T @ (grad[width:] / diagonal))
+        tail = (grad[width:] - cross @ head) / diagonal
+        return total[1] / n + 0.5 * ridge * float(penalty @ penalty), grad, np.r_[head, tail]
+
+    theta = _newton(evaluate, np.zeros(d + longest), max_iter, tolerance)
+    return CloglogFit(float(theta[0]), theta[1:1 + d], theta[1 + d:], longest)
+
+
+def fit_cloglog(intervals: DataFrame, design: Design, label: str = "objetivo", max_iter: int = 60) -> tuple[CloglogFit, int]:
+    """Discrete hazard with a complementary log-log link and an effect for each tenure (M6)."""
     longest = intervals.agg(F.max("stop")).first()[0]
-    data = cloglog_features(intervals, design, longest).select(label, "features")
-    glm = GeneralizedLinearRegression(family="binomial", link="cloglog", labelCol=label,
-                                      featuresCol="features", regParam=CLOGLOG_RIDGE, maxIter=max_iter)
-    return glm.fit(data), longest
+    rows = _design_rows(intervals, design, label)
+    try:
+        return cloglog_newton(rows, longest, len(design.names), max_iter=max_iter), longest
+    finally:
+        rows.unpersist()
+
+
+def _design_rows(intervals: DataFrame, design: Design, label: str) -> DataFrame:
+    return intervals.select(design.array().alias("x"), F.col(label).cast("double").alias("y"), "stop").persist()
 
 
-def cloglog_features(intervals: DataFrame, design: Design, longest: int) -> DataFrame:
-    """Design plus one dummy per tenure after the first; longer tenures use the last."""
-    tenure = F.least(F.col("stop"), F.lit(longest))
-    dummies = [(tenure == F.lit(k)).cast("double") for k in range(2, longest + 1)]
-    return intervals.withColumn("features", array_to_vector(F.array(*design.columns(), *dummies)))
+# ---- Cox -----------------------------------------------------------------------------------------
 
+def _cox_merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of shifted weights: the smaller shift is scaled down, so no exponential overflows."""
+    shift = max(a[0], b[0])
+    out = a[1:] * np.exp(a[0] - shift) + b[1:] * np.exp(b[0] - shift)
+    out[:2] = a[1:3] + b[1:3]                                           # events and their predictors are not weights
+    d = _cox_width(len(a))
+    out[3 + d:3 + 2 * d] = a[4 + d:4 + 2 * d] + b[4 + d:4 + 2 * d]
+    return np.r_[shift, out]
 
-def _with_eta(rows: DataFrame, beta: np.ndarray) -> DataFrame:
-    """Linear predictor, clipped. The coefficients come as a broadcast row, not as
-    literals, so every Newton step runs the same compiled plan."""
-    one = rows.sparkSession.range(1).select(F.array(*[F.lit(float(b)) for b in beta]).alias("_beta"))
-    total = sum((F.col("x")[i] * F.col("_beta")[i] for i in range(len(beta))), F.lit(0.0))
-    eta = F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0))
-    return rows.crossJoin(F.broadcast(one)).withColumn("_eta", eta)
+
+def _cox_width(size: int) -> int:
+    """d of a state of ``4 + 2 d + d * d`` numbers."""
+    return int(round((size - 3) ** 0.5)) - 1
 
 
 def cox_loss_gradient(rows: DataFrame, beta: np.ndarray, ridge: float = COX_RIDGE):
-    """Breslow partial likelihood per event, gradient and Hessian, from one aggregate.
+    """Breslow partial likelihood per event, gradient and Hessian.
 
-    ``rows`` has ``x`` (array), ``y`` and ``stop``. On unit intervals the risk set of
-    a time is the rows that stop there, so the join is a group-by; it returns one row
-    per tenure.
+    ``rows`` has ``x`` (array), ``y`` and ``stop``. On unit intervals the risk set of a time
+    is the rows that stop there. A state holds the largest predictor of its tenure, events,
+    their summed predictor, and the summed weights, weighted x, x of events, weighted x x'.
     """
     d = len(beta)
-    x = [F.col("x")[i] for i in range(d)]
-    weighted = _with_eta(rows, beta).withColumn("_e", F.exp("_eta"))
-    ew = F.col("_e")
-    aggs = [F.sum("y").alias("d"), F.sum(ew).alias("s0"), F.sum(F.col("y") * F.col("_eta")).alias("ye")]
-    aggs += [F.sum(ew * x[i]).alias(f"s1_{i}") for i in range(d)]
-    aggs += [F.sum(F.col("y") * x[i]).alias(f"yx_{i}") for i in range(d)]
-    aggs += [F.sum(ew * x[i] * x[j]).alias(f"s2_{i}_{j}") for i in range(d) for j in range(i, d)]
-    table = [r for r in weighted.groupBy("stop").agg(*aggs).collect() if r["d"] > 0]
+
+    def part(x: np.ndarray, y: np.ndarray, stop: int) -> np.ndarray:
+        eta = x @ beta
+        e = np.exp(eta - eta.max())
+        return np.concatenate([[eta.max(), y.sum(), y @ eta, e.sum()], e @ x, y @ x, ((x * e[:, None]).T @ x).ravel()])
+
     loss, grad, hess, events = 0.0, np.zeros(d), np.zeros((d, d)), 0.0
-    for r in table:
-        mean = np.array([r[f"s1_{i}"] for i in range(d)]) / r["s0"]
-        second = np.empty((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                second[i, j] = second[j, i] = r[f"s2_{i}_{j}"] / r["s0"]
-        loss += r["d"] * np.log(r["s0"]) - r["ye"]
-        grad += r["d"] * mean - np.array([r[f"yx_{i}"] for i in range(d)])
-        hess += r["d"] * (second - np.outer(mean, mean))
-        events += r["d"]
+    for v in tenure_sums(rows, part, _cox_merge).values():
+        if v[1] > 0:
+            mean, second = v[4:4 + d] / v[3], v[4 + 2 * d:].reshape(d, d) / v[3]
+            loss += v[1] * (v[0] + np.log(v[3])) - v[2]
+            grad += v[1] * mean - v[4 + d:4 + 2 * d]
+            hess += v[1] * (second - np.outer(mean, mean))
+            events += v[1]
+    if not events:
+        raise ValueError("a Cox fit needs an event")
     loss = loss / events + 0.5 * ridge * float(beta @ beta)
     return loss, grad / events + ridge * beta, hess / events + ridge * np.eye(d)
 
 
-def fit_cox(intervals: DataFrame, design: Design, label: str = "objetivo", max_iter: int = 15,
-            tolerance: float = 1e-6, ridge: float = COX_RIDGE) -> np.ndarray:
+def fit_cox(intervals: DataFrame, design: Design, label: str = "objetivo", max_iter: int = 30,
+            tolerance: float = 1e-9, ridge: float = COX_RIDGE) -> np.ndarray:
     """Newton's method on the start-stop Cox likelihood with Breslow ties (M7)."""
-    rows = intervals.select(design.array().alias("x"), F.col(label).cast("double").alias("y"), "stop").cache()
-    try:
-        beta = np.zeros(len(design.names))
+    rows = _design_rows(intervals, design, label)
+
+    def evaluate(beta: np.ndarray):
         loss, grad, hess = cox_loss_gradient(rows, beta, ridge)
-        for _ in range(max_iter):
-            if np.abs(grad).max() < tolerance:
-                return beta
-            step, scale = np.linalg.solve(hess, grad), 1.0
-            while True:
-                trial = beta - scale * step
-                t_loss, t_grad, t_hess = cox_loss_gradient(rows, trial, ridge)
-                if t_loss <= loss + 1e-12 or scale < 1e-4:
-                    break
-                scale /= 2
-            beta, loss, grad, hess = trial, t_loss, t_grad, t_hess
-        if np.abs(grad).max() < tolerance * 100:
-            return beta
-        raise RuntimeError("the Cox fit did not converge")
+        return loss, grad, np.linalg.solve(hess, grad)
+
+    try:
+        return _newton(evaluate, np.zeros(len(design.names)), max_iter, tolerance)
     finally:
         rows.unpersist()
 
@@ -174,13 +288,24 @@ def cox_probability(valid: DataFrame, increments: DataFrame, risk: str, out: str
         out, -F.expm1(-F.coalesce("increment", F.lit(0.0)) * F.col(risk))).drop("_t", "_longest", "increment")
 
 
+def _linear(design: Design, beta: np.ndarray) -> Column:
+    return sum((c * F.lit(float(b)) for c, b in zip(design.columns(), beta)), F.lit(0.0))
+
+
+def _clipped_exp(eta: Column) -> Column:
+    return F.exp(F.greatest(F.least(eta, F.lit(40.0)), F.lit(-40.0)))
+
+
 def cox_risk(design: Design, beta: np.ndarray) -> Column:
     """exp of the clipped linear predictor as a column."""
-    x = design.columns()
-    eta = F.lit(0.0)
-    for c, b in zip(x, beta):
-        eta = eta + c * F.lit(float(b))
-    return F.exp(F.greatest(F.least(eta, F.lit(40.0)), F.lit(-40.0)))
+    return _clipped_exp(_linear(design, beta))
+
+
+def cloglog_probability(design: Design, fit: CloglogFit) -> Column:
+    """Event probability of an interval; tenures beyond the longest use its effect (M6)."""
+    effects = F.array(*[F.lit(float(v)) for v in (0.0, *fit.tenure)])
+    tenure = F.element_at(effects, F.least(F.col("stop"), F.lit(fit.longest)).cast("int"))
+    return -F.expm1(-_clipped_exp(F.lit(fit.intercept) + tenure + _linear(design, fit.beta)))
 
 
 def score_cox(train: DataFrame, valid: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -198,6 +323,5 @@ def score_cloglog(train: DataFrame, valid: DataFrame, numeric: Sequence[str], ca
                   spec: PanelSpec = DEFAULT) -> DataFrame:
     """Fit the discrete hazard on training intervals, score the validation intervals (M6)."""
     design = fit_design(train, numeric, categorical)
-    model, longest = fit_cloglog(train, design, spec.label)
-    scored = model.transform(cloglog_features(valid, design, longest))
-    return scored.select(*spec.keys, spec.label, F.col("prediction").alias(spec.score))
+    fit, _ = fit_cloglog(train, design, spec.label)
+    return valid.select(*spec.keys, spec.label, cloglog_probability(design, fit).alias(spec.score))

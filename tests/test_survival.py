@@ -97,7 +97,7 @@ def test_cloglog_matches_a_newton_fit(panel):
         d = np.exp(eta - np.exp(eta))
         w = d * d / (mu * (1 - mu))
         b = np.linalg.solve(X.T @ (X * w[:, None]), X.T @ (w * (eta + (y - mu) / d)))
-    np.testing.assert_allclose([model.intercept, *model.coefficients], b, atol=2e-3)
+    np.testing.assert_allclose([model.intercept, *model.coefficients], b, atol=2e-3)                  # the fit has a ridge of 1e-6
 
 
 def test_scored_probabilities_are_valid(panel):
@@ -106,3 +106,28 @@ def test_scored_probabilities_are_valid(panel):
         out = fn(train, valid, ["x"], ["band"]).toPandas()
         assert len(out) == valid.count() and out.prediccion.between(0, 1).all()
         assert np.corrcoef(out.prediccion, pd.merge(out, valid.toPandas()[["id_cliente", "x"]]).x)[0, 1] > 0.5
+
+
+def test_cloglog_gradient_vanishes_with_tenures_without_events(spark):
+    """Tenure 3 has no event: only the ridge keeps its effect finite. The whole gradient is zero at the fit."""
+    rng = np.random.default_rng(2)
+    n, d, longest, ridge = 400, 3, 4, 1e-6
+    x, stop = rng.normal(size=(n, d)), rng.integers(1, longest + 1, n)
+    y = ((rng.random(n) < 0.2) & (stop != 3)).astype(float)
+    fit = S.cloglog_newton(cox_rows(spark, y, stop, x).repartition(5), longest, d, ridge)
+    full = np.column_stack([np.ones(n), x, *[(stop == k) for k in range(2, longest + 1)]]).astype(float)
+    theta = np.r_[fit.intercept, fit.coefficients]
+    h = np.exp(full @ theta)
+    grad = full.T @ np.where(y == 1, -h / np.expm1(h), h) / n + ridge * np.r_[0, theta[1:]]
+    assert np.abs(grad).max() < 1e-8 and fit.tenure[1] < -8
+
+
+def test_cox_sums_do_not_overflow_for_large_predictors(spark):
+    x = [[800.0], [790.0], [-900.0], [805.0]]
+    rows = cox_rows(spark, [1, 0, 1, 0], [1, 1, 1, 1], x).repartition(4)
+    loss, grad, hess = S.cox_loss_gradient(rows, np.array([1.0]), 0.0)
+    eta = np.array([800.0, 790, -900, 805])
+    e = np.exp(eta - 805)
+    assert loss == pytest.approx((2 * (805 + np.log(e.sum())) - (800 - 900)) / 2)
+    mean = (e * eta).sum() / e.sum()
+    assert grad[0] == pytest.approx(mean - (800 - 900) / 2) and hess[0, 0] == pytest.approx((e * eta**2).sum() / e.sum() - mean**2, rel=1e-6)
