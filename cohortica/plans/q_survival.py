@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from cohortica.functions.periods import ordinal
+from cohortica.functions.stored import stored
 from cohortica.operators import history as H
 from cohortica.operators import metrics as M
 from cohortica.operators import survival as S
-from cohortica.plans.panel import PANEL_SQL, panel
+from cohortica.plans import newton_sql as N
+from cohortica.plans.panel import PANEL_SQL, gini_sql, panel
 from cohortica.plans.q_features import ENTITY_WINDOW, K, KEYS, rounded
 from cohortica.plans.registry import query
 
@@ -50,17 +55,77 @@ def breslow_baseline(spark, sf_dir):
     return rounded(S.cox_probability(valid.withColumn("_risk", risk), inc, "_risk").select(*KEYS, "probability"))
 
 
-@query("m7_cox_gini")
+# Training months up to the first of each pair, validation in the second.
+CUTS = [(199812, 199901), (199901, 199902), (199902, 199903)]
+NUMERIC = ["edad", "ingresos", "ratio_deuda_ingresos", "numero_productos", "saldo_promedio", "dias_ultima_transaccion",
+           "dias_ultima_interaccion", "antiguedad_direccion_meses", "visitas_web_ultimos_90_dias", "distancia_sucursal_km",
+           "dia_preferido_pago", "tiene_tarjeta_credito", "activo_movil", "es_nuevo_cliente", "tiene_prestamo",
+           "tiene_seguro", "mes_ordinal"]
+# Category levels of the panel, in order.
+LEVELS = {
+    "ocupacion": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+    "canal_adquisicion": ["app", "branch", "referral", "web"],
+    "banda_riesgo": ["high", "low", "medium"],
+    "dispositivo_principal": ["android", "desktop", "ios", "other"],
+}
+FITS_SQL = PANEL_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+cuts AS (SELECT * FROM (VALUES {', '.join(map(str, CUTS))}) t(through, cut)),
+hz AS (SELECT cut, mes <= through AS train, id_cliente, mes, objetivo, objetivo AS y, ord AS mes_ordinal,
+  CAST(ord - min(ord) OVER (PARTITION BY cut, id_cliente) + 1 AS INT) AS stop, {', '.join(c for c in [*NUMERIC[:-1], *LEVELS])}
+  FROM panel JOIN cuts ON mes <= cut),
+{N.design_sql('hz', NUMERIC, LEVELS, 'xr')},
+{N.design_sql('hz', NUMERIC, LEVELS, 'xi', intercept=True)},
+lt AS (SELECT cut, max(stop) AS longest FROM hz WHERE train GROUP BY cut)"""
+WIDTH = N.width(NUMERIC, LEVELS)
+COX_SQL = FITS_SQL + ",\n" + N.cox_sql("xr", WIDTH, S.COX_RIDGE, 9) + """,
+ri AS (SELECT xr.*, exp(list_dot_product(x, b)) AS risk FROM xr JOIN nw_fit USING (cut)),
+ic AS (SELECT cut, stop, sum(y) / sum(risk) AS inc FROM ri WHERE train GROUP BY cut, stop),
+pv AS (SELECT ri.cut, id_cliente, ri.mes, objetivo, 1 - exp(-coalesce(inc, 0) * risk) AS p
+  FROM ri JOIN lt USING (cut) LEFT JOIN ic ON ic.cut = ri.cut AND ic.stop = least(ri.stop, longest) WHERE ri.mes = ri.cut)"""
+CLOGLOG_SQL = FITS_SQL + ",\n" + N.glm_sql("xi", WIDTH, N.CLOGLOG, S.CLOGLOG_RIDGE, 25, tenure=True) + """,
+pv AS (SELECT xi.cut, id_cliente, xi.mes, objetivo, 1 - exp(-exp(list_dot_product(x, b) + t[least(stop, longest)])) AS p
+  FROM xi JOIN nw_fit USING (cut) JOIN lt USING (cut) WHERE xi.mes = xi.cut)"""
+GINI_OF_P = f""",
+{gini_sql('pv', 'mes', 'p')} SELECT mes, n_rows, events, round(auc, 6) AS auc, round(gini, 6) AS gini FROM g"""
+PROBABILITIES = f" SELECT {K}, round(p, 6) AS probability FROM pv"
+
+
+def cut_scores(spark, sf_dir, scorer):
+    """Scores of the validation month of every cut, fitted on the months before it."""
+    df = stored(panel(spark, sf_dir, max(v for _, v in CUTS)).withColumn("mes_ordinal", ordinal("mes")), "panel")
+    out = []
+    for through, month in CUTS:
+        train = H.risk_intervals(df.where(F.col("mes") <= through))
+        valid = H.risk_intervals(df.where(F.col("mes") <= month)).where(F.col("mes") == month)
+        out.append(scorer(train, valid, NUMERIC, list(LEVELS)))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def cut_ginis(scored):
+    table = M.auc_table(scored, ["mes"], "prediccion", probability=True)
+    return table.select("mes", "n_rows", "events", F.round("auc", 6).alias("auc"), F.round("gini", 6).alias("gini"))
+
+
+@query("m7_cox_gini", COX_SQL + GINI_OF_P)
 def cox_gini(spark, sf_dir):
-    """M7: fitted on the training intervals, Gini of the validation month."""
-    train, valid = intervals(spark, sf_dir)
-    out = S.score_cox(train, valid, ["edad", "numero_productos", "saldo_promedio"], ["banda_riesgo"])
-    return M.auc_table(out, ["mes"], "prediccion")
+    """M7: all covariates, three cuts; Gini of each validation month."""
+    return cut_ginis(cut_scores(spark, sf_dir, S.score_cox))
+
+
+@query("m7_cox_probabilities", COX_SQL + PROBABILITIES)
+def cox_probabilities(spark, sf_dir):
+    out = cut_scores(spark, sf_dir, S.score_cox)
+    return out.select(*KEYS, F.round("prediccion", 6).alias("probability"))
 
 
-@query("m6_cloglog_gini")
+@query("m6_cloglog_gini", CLOGLOG_SQL + GINI_OF_P)
 def cloglog_gini(spark, sf_dir):
-    """M6: discrete hazard with one dummy per month of tenure, Gini of the validation month."""
-    train, valid = intervals(spark, sf_dir)
-    out = S.score_cloglog(train, valid, ["edad", "numero_productos", "saldo_promedio"], ["banda_riesgo"])
-    return M.auc_table(out, ["mes"], "prediccion")
+    """M6: discrete hazard with an effect of each month of tenure, all covariates, three cuts."""
+    return cut_ginis(cut_scores(spark, sf_dir, S.score_cloglog))
+
+
+@query("m6_cloglog_probabilities", CLOGLOG_SQL + PROBABILITIES)
+def cloglog_probabilities(spark, sf_dir):
+    out = cut_scores(spark, sf_dir, S.score_cloglog)
+    return out.select(*KEYS, F.round("prediccion", 6).alias("probability"))
