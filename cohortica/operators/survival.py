@@ -90,8 +90,8 @@ _Merge = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def tenure_sums(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, int], np.ndarray], merge: _Merge) -> dict[int, np.ndarray]:
     """Merged states by tenure of ``rows`` (``x`` array, ``y``, ``stop``), ``part(x, y, stop)`` for a piece of one tenure.
 
-    A task keeps one state a tenure, whatever its rows; states of tasks merge in blocks of
-    ``BLOCK`` and the blocks by tenure. The driver gets one state a tenure.
+    A task keeps one state a tenure, whatever its rows; states merge by tenure, those of more
+    than ``BLOCK`` tasks in blocks first. The driver gets one state a tenure.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -116,7 +116,7 @@ def tenure_sums(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, int], n
 
     schema = "block int, stop int, state binary"
     states = rows.select("x", F.col("y").cast("double"), F.col("stop").cast("int")).mapInArrow(scan, schema)
-    for keys in (["block", "stop"], ["stop"]):
+    for keys in ([["block", "stop"]] if rows.rdd.getNumPartitions() > BLOCK else []) + [["stop"]]:
         states = states.groupBy(*keys).applyInArrow(merged, schema)
     return {r["stop"]: np.frombuffer(bytes(r["state"])) for r in states.collect()}
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from cohortica.functions.periods import ordinal
@@ -94,12 +96,15 @@ PROBABILITIES = f" SELECT {K}, round(p, 6) AS probability FROM pv"
 def cut_scores(spark, sf_dir, scorer):
     """Scores of the validation month of every cut, fitted on the months before it."""
     df = stored(panel(spark, sf_dir, max(v for _, v in CUTS)).withColumn("mes_ordinal", ordinal("mes")), "panel")
-    out = []
-    for through, month in CUTS:
+
+    def fit(cut):
+        through, month = cut
         train = H.risk_intervals(df.where(F.col("mes") <= through))
         valid = H.risk_intervals(df.where(F.col("mes") <= month)).where(F.col("mes") == month)
-        out.append(scorer(train, valid, NUMERIC, list(LEVELS)))
-    return reduce(lambda a, b: a.unionByName(b), out)
+        return scorer(train, valid, NUMERIC, list(LEVELS))
+
+    with ThreadPool(len(CUTS)) as pool:                     # the fits are independent: their jobs share the cluster
+        return reduce(lambda a, b: a.unionByName(b), pool.map(inheritable_thread_target(spark)(fit), CUTS))
 
 
 def cut_ginis(scored):
