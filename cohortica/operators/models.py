@@ -9,17 +9,19 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import (Bucketizer, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
+from pyspark.ml.feature import (Bucketizer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortica.functions.features import known_category
 from cohortica.functions.hashing import hash_uniform
+from cohortica.functions.ordered import quantiles
 from cohortica.functions.periods import in_recent_window, ordinal_of, ordinal
 from cohortica.operators.encoding import bin_edges, category_vocabulary
+from cohortica.operators.logistic import MAX_WIDTH, fit_logistic
 from cohortica.operators.metrics import auc_table, metric_table, monthly_summary
 from cohortica.operators.splits import with_donor
 from cohortica.session import ensure_checkpoint_dir
@@ -31,7 +33,7 @@ class ModelSpec:
     """One declarative configuration."""
 
     name: str
-    kind: str  # gbt | logistic | binned_logistic | rules
+    kind: str  # gbt | logistic | binned_logistic | crossed_logistic | rules
     numeric: tuple[str, ...] = ()
     categorical: tuple[str, ...] = ()
     params: dict = field(default_factory=dict)
@@ -73,52 +75,85 @@ def gbt_pipeline(spec: ModelSpec, label: str, seed: int, weight: str | None,
     return Pipeline(stages=[*_indexed(spec.categorical), VectorAssembler(inputCols=inputs, outputCol="features"), gbt])
 
 
-def logistic_pipeline(spec: ModelSpec, label: str, n_rows: int, weight: str | None) -> Pipeline:
-    """Standardised numbers, one-hot categories, L2 logistic (M2).
+def logistic_stages(spec: ModelSpec) -> list:
+    """Standardised numbers and one-hot categories (M2)."""
+    ix = [f"{x}_ix" for x in spec.categorical]
+    return [VectorAssembler(inputCols=list(spec.numeric), outputCol="_num"),
+            StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True),
+            *_indexed(spec.categorical), *_one_hot(ix),
+            VectorAssembler(inputCols=["_scaled", *[f"{x}_oh" for x in ix]], outputCol="features")]
+
+
+def exact_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Median of every column, NULL left out; one number a column reaches the driver. A column without values gets 0."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    found = {r["column"]: r["quantile"] for r in quantiles(long, ["column"], "value", [0.5]).collect()}
+    return {c: found.get(c, 0.0) for c in columns}
+
+
+def _inner_splits(train: DataFrame, columns: Sequence[str], bins: int) -> list[list[float]]:
+    edges = {r["column"]: list(r["edges"]) for r in bin_edges(train, columns, bins).collect()}
+    return [[float("-inf"), *(edges[c][1:-1] or [edges[c][0] + 1.0]), float("inf")] for c in columns]
+
+
+def binned_stages(train: DataFrame, spec: ModelSpec) -> list:
+    """Quantile bins of the numbers and categories, all one-hot (M3); ``train`` has no missing numbers."""
+    binned, ix = [f"{x}_bin" for x in spec.numeric], [f"{x}_ix" for x in spec.categorical]
+    splits = _inner_splits(train, spec.numeric, spec.params.get("bins", 10))
+    return [Bucketizer(inputCols=list(spec.numeric), outputCols=binned, splitsArray=splits, handleInvalid="keep"),
+            *_indexed(spec.categorical), *_one_hot([*binned, *ix]),
+            VectorAssembler(inputCols=[f"{x}_oh" for x in [*binned, *ix]], outputCol="features")]
+
+
+def crossed_stages(train: DataFrame, spec: ModelSpec) -> list:
+    """Bins of every number crossed with the first category, one-hot and sparse.
 
-    The inverse penalty ``C`` divides a summed loss; Spark averages the loss, so the
-    penalty is 1 / (C n).
+    A crossed column is the text of category and bin, so a row sets one position a number.
     """
-    p = dict(spec.params)
-    c = p.pop("C", 1.0)
-    numbers = VectorAssembler(inputCols=list(spec.numeric), outputCol="_num")
-    scaler = StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)
-    ix = [f"{x}_ix" for x in spec.categorical]
-    final = VectorAssembler(inputCols=["_scaled", *[f"{x}_oh" for x in ix]], outputCol="features")
-    lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=1.0 / (c * max(n_rows, 1)),
-                            standardization=False, maxIter=p.pop("maxIter", 100), **p)
-    if weight:
-        lr = lr.setWeightCol(weight)
-    return Pipeline(stages=[numbers, scaler, *_indexed(spec.categorical), *_one_hot(ix), final, lr])
+    band, bins = spec.categorical[0], [f"{x}_bin" for x in spec.numeric]
+    splits = _inner_splits(train, spec.numeric, spec.params.get("bins", 4))
+    crossed = [f"{b}_x" for b in bins]
+    text = ", ".join(f"concat_ws('_', {band}, '{b}', cast({b} as int)) AS {c}" for b, c in zip(bins, crossed))
+    ix = [f"{c}_ix" for c in [*crossed, *spec.categorical]]
+    return [Bucketizer(inputCols=list(spec.numeric), outputCols=bins, splitsArray=splits, handleInvalid="keep"),
+            SQLTransformer(statement=f"SELECT *, {text} FROM __THIS__"), *_indexed([*crossed, *spec.categorical]), *_one_hot(ix),
+            VectorAssembler(inputCols=[f"{x}_oh" for x in ix], outputCol="features")]
+
+
+@dataclass(frozen=True)
+class LinearModel:
+    """Medians, fitted design and fitted coefficients of a logistic model."""
 
+    medians: dict[str, float]
+    design: PipelineModel
+    linear: object
 
-def binned_logistic_pipeline(train: DataFrame, spec: ModelSpec, label: str, n_rows: int,
-                             weight: str | None) -> Pipeline:
-    """Median-imputed quantile bins and categories, all one-hot, L2 logistic (M3).
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.linear.transform(self.design.transform(df.fillna(self.medians) if self.medians else df))
 
-    Bin edges come from the exact training quantiles; one short array per column
-    reaches the driver.
+
+def _fit_linear(data: DataFrame, spec: ModelSpec, label: str, weight: str | None) -> LinearModel:
+    """L2 logistic over the design of ``spec.kind``.
+
+    The inverse penalty ``C`` divides a summed loss and the fit averages the loss, so the penalty
+    is 1 / (C n). Designs up to `logistic.MAX_WIDTH` are fitted by Newton's method, wider ones
+    by the iterative solver; both have the same optimum.
     """
-    p = dict(spec.params)
-    c, bins = p.pop("C", 0.1), p.pop("bins", 10)
-    edges = {r["column"]: list(r["edges"]) for r in bin_edges(train, spec.numeric, bins).collect()}
-    splits = []
-    for name in spec.numeric:
-        inner = edges[name][1:-1] or [edges[name][0] + 1.0]
-        splits.append([float("-inf"), *inner, float("inf")])
-    filled = [f"{x}_im" for x in spec.numeric]
-    binned = [f"{x}_bin" for x in spec.numeric]
-    ix = [f"{x}_ix" for x in spec.categorical]
-    stages = [
-        Imputer(inputCols=list(spec.numeric), outputCols=filled, strategy="median"),
-        Bucketizer(inputCols=filled, outputCols=binned, splitsArray=splits, handleInvalid="keep"),
-        *_indexed(spec.categorical), *_one_hot([*binned, *ix]),
-        VectorAssembler(inputCols=[f"{x}_oh" for x in [*binned, *ix]], outputCol="features"),
-        LogisticRegression(labelCol=label, featuresCol="features", regParam=1.0 / (c * max(n_rows, 1)),
-                           standardization=False, maxIter=p.pop("maxIter", 100))]
-    if weight:
-        stages[-1] = stages[-1].setWeightCol(weight)
-    return Pipeline(stages=stages)
+    medians = {}
+    if spec.kind != "logistic":
+        medians = exact_medians(data, spec.numeric) if spec.kind in ("binned_logistic", "crossed_logistic") else {}
+        data = data.fillna(medians) if medians else data
+    stages = {"binned_logistic": binned_stages, "crossed_logistic": crossed_stages}.get(
+        spec.kind, lambda _, s: logistic_stages(s))(data, spec)
+    design = Pipeline(stages=stages).fit(data)
+    rows = design.transform(data)
+    ridge = 1.0 / (spec.params.get("C", 0.1 if "_" in spec.kind else 1.0) * max(data.count(), 1))
+    width = rows.select(F.size(vector_to_array("features")).alias("n")).first()
+    if width is not None and width["n"] > MAX_WIDTH:
+        lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=ridge, standardization=False,
+                                maxIter=spec.params.get("maxIter", 300), tol=1e-9)
+        return LinearModel(medians, design, (lr.setWeightCol(weight) if weight else lr).fit(rows))
+    return LinearModel(medians, design, fit_logistic(rows, label, ridge, weight))
 
 
 def fit(train: DataFrame, spec: ModelSpec, seed: int = 42, weight: str | None = None,
@@ -135,11 +170,8 @@ def fit(train: DataFrame, spec: ModelSpec, seed: int = 42, weight: str | None =
         if spec.kind == "gbt":
             levels = max(data.agg(*[F.count_distinct(c) for c in spec.categorical]).first()) if spec.categorical else 0
             return gbt_pipeline(spec, panel.label, seed, weight, validation, levels).fit(data)
-        n = data.count()
-        if spec.kind in ("logistic", "rules"):
-            return logistic_pipeline(spec, panel.label, n, weight).fit(data)
-        if spec.kind == "binned_logistic":
-            return binned_logistic_pipeline(data, spec, panel.label, n, weight).fit(data)
+        if spec.kind in ("logistic", "rules", "binned_logistic", "crossed_logistic"):
+            return _fit_linear(data, spec, panel.label, weight)
         raise ValueError(f"unknown model kind {spec.kind}")
     finally:
         data.unpersist()
@@ -219,7 +251,7 @@ def rolling_oof(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec,
 
 def fold_metrics(oof: DataFrame, by: Sequence[str] = ("model",), panel: PanelSpec = DEFAULT) -> DataFrame:
     """Monthly metrics of long out-of-fold predictions."""
-    return metric_table(oof, [*by, panel.period], panel.score, panel.label)
+    return metric_table(oof, [*by, panel.period], panel.score, panel.label, probability=True)
 
 
 def select_iterations(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec,

@@ -121,7 +121,7 @@ def tenure_sums(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, int], n
     return {r["stop"]: np.frombuffer(bytes(r["state"])) for r in states.collect()}
 
 
-def _newton(evaluate: Callable, beta: np.ndarray, max_iter: int, tolerance: float) -> np.ndarray:
+def newton(evaluate: Callable, beta: np.ndarray, max_iter: int, tolerance: float) -> np.ndarray:
     """Newton's method with step halving; ``evaluate`` gives loss, gradient and the solved step."""
     loss, grad, step = evaluate(beta)
     for _ in range(max_iter):
@@ -195,7 +195,7 @@ def cloglog_newton(rows: DataFrame, longest: int, d: int, ridge: float = CLOGLOG
         tail = (grad[width:] - cross @ head) / diagonal
         return total[1] / n + 0.5 * ridge * float(penalty @ penalty), grad, np.r_[head, tail]
 
-    theta = _newton(evaluate, np.zeros(d + longest), max_iter, tolerance)
+    theta = newton(evaluate, np.zeros(d + longest), max_iter, tolerance)
     return CloglogFit(float(theta[0]), theta[1:1 + d], theta[1 + d:], longest)
 
 
@@ -268,7 +268,7 @@ def fit_cox(intervals: DataFrame, design: Design, label: str = "objetivo", max_i
         return loss, grad, np.linalg.solve(hess, grad)
 
     try:
-        return _newton(evaluate, np.zeros(len(design.names)), max_iter, tolerance)
+        return newton(evaluate, np.zeros(len(design.names)), max_iter, tolerance)
     finally:
         rows.unpersist()
 

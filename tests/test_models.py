@@ -2,9 +2,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortica.operators import models as MOD
+from cohortica.operators.logistic import fit_logistic
 
 CUTS = [(202603, 202604), (202604, 202605)]
 LOGIT = MOD.ModelSpec("logit", "logistic", ("x", "z"), ("c",), {"C": 1.0, "maxIter": 50})
@@ -87,3 +89,44 @@ def test_grid_and_leaves(panel):
     assert len(table) == 2 and table[0].mean_gini >= table[1].mean_gini
     leaves = MOD.tree_leaves(panel, ["x"], "objetivo", 2, 50).collect()
     assert sum(r.n_rows for r in leaves) == 900 and min(r.n_rows for r in leaves) >= 50
+
+
+def test_logistic_newton_reaches_the_weighted_optimum(spark):
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(300, 4)), rng.random(300) + 0.5
+    x[:, 3] = x[:, 2]                                                     # the ridge parts equal columns
+    y = (rng.random(300) < 1 / (1 + np.exp(1 - x[:, 0]))).astype(float)
+    rows = [(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)]
+    df = spark.createDataFrame(rows, ["features", "y", "w"]).repartition(5)
+    fit = fit_logistic(df, "y", 0.01, "w")
+    full = np.column_stack([np.ones(300), x])
+    beta = np.r_[fit.intercept, fit.coefficients]
+    p = 1 / (1 + np.exp(-full @ beta))
+    grad = full.T @ (w * (p - y)) / w.sum() + 0.01 * np.r_[0, beta[1:]]
+    assert np.abs(grad).max() < 1e-9 and beta[3] == pytest.approx(beta[4])
+    got = [r.probability[1] for r in fit.transform(df.coalesce(1)).collect()]
+    assert sorted(got) == pytest.approx(sorted(p), abs=1e-12)
+    certain = fit_logistic(df.withColumn("y", F.lit(0.0)), "y", 0.01)
+    assert {r.probability[1] for r in certain.transform(df).collect()} == {0.0}
+
+
+def test_medians_fill_before_edges_are_taken_and_at_scoring(panel):
+    holes = panel.withColumn("x", F.when(F.col("id_cliente") % 3 > 0, F.col("x")))
+    spec = MOD.ModelSpec("bins", "binned_logistic", ("x",), (), {"bins": 4})
+    model = MOD.fit(holes, spec)
+    pdf = holes.toPandas()
+    assert model.medians["x"] == pytest.approx(pdf.x.median())
+    edges = np.quantile(pdf.x.fillna(pdf.x.median()), [0.25, 0.5, 0.75])
+    assert model.design.stages[0].getSplitsArray()[0][1:-1] == pytest.approx(sorted(set(edges)))
+    out = {r.id_cliente: r.prediccion for r in MOD.score(model, holes, spec, ["id_cliente"]).collect()}
+    assert len({round(out[i], 12) for i in pdf.id_cliente[pdf.x.isna()]}) == 1
+
+
+def test_crossed_design_gives_each_band_its_own_bins(panel):
+    """The effect of x flips with the band: only crossed bins can rank both."""
+    flipped = panel.withColumn("objetivo", F.when(F.col("c") == "a", 1 - F.col("objetivo")).otherwise(F.col("objetivo")))
+    gini = {}
+    for kind in ("binned_logistic", "crossed_logistic"):
+        spec = MOD.ModelSpec(kind, kind, ("x",), ("c",), {"bins": 5, "C": 1.0})
+        gini[kind] = MOD.fold_metrics(MOD.rolling_oof(flipped, CUTS[:1], spec)).first().gini
+    assert gini["crossed_logistic"] > gini["binned_logistic"] + 0.05
