@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -17,8 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortica.functions.features import known_category
-from cohortica.functions.hashing import hash_uniform
-from cohortica.functions.ordered import quantiles
+from cohortica.functions.hashing import hash_int, hash_uniform
+from cohortica.functions.ordered import pct_rank, quantiles
 from cohortica.functions.periods import in_recent_window, ordinal_of, ordinal
 from cohortica.operators.encoding import bin_edges, category_vocabulary
 from cohortica.operators.logistic import MAX_WIDTH, fit_logistic
@@ -184,9 +184,9 @@ def score(model, df: DataFrame, spec: ModelSpec, keep: Sequence[str], out: str =
 
 
 def fit_score(train: DataFrame, valid: DataFrame, spec: ModelSpec, weight: str | None = None,
-              panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Mean probability over the seeds of a configuration."""
-    keep = [*panel.keys, panel.label]
+              panel: PanelSpec = DEFAULT, extra: Sequence[str] = ()) -> DataFrame:
+    """Mean probability over the seeds of a configuration (M13, E3), with the key, label and ``extra`` columns."""
+    keep = [*panel.keys, panel.label, *extra]
     runs = [score(fit(train, spec, s, weight, panel=panel), valid, spec, keep, panel.score) for s in spec.seeds]
     if len(runs) == 1:
         return runs[0]
@@ -214,23 +214,26 @@ def _in_parallel(spark: SparkSession, tasks: Sequence[Callable], at_once: int) -
         return pool.map(lambda t: t(), wrapped)
 
 
-def _fit_score_all(df: DataFrame, jobs: Sequence[Callable[[DataFrame], tuple[DataFrame, DataFrame, dict]]],
-                   spec: ModelSpec, panel: PanelSpec = DEFAULT, extra: Sequence[str] = (),
-                   at_once: int = 3) -> DataFrame:
-    """Fit and score several (train, valid, literal columns) jobs over the same rows.
+# What to fit and score on the kept rows: training rows, rows to score, columns to add, configuration.
+Job = Callable[[DataFrame], tuple[DataFrame, DataFrame, dict, ModelSpec]]
+
 
-    The needed columns are kept while the fits run. The predictions are
+def _fit_score_all(df: DataFrame, jobs: Sequence[Job], specs: Sequence[ModelSpec], panel: PanelSpec = DEFAULT,
+                   extra: Sequence[str] = (), at_once: int = 3) -> DataFrame:
+    """Fit and score all jobs over the same rows.
+
+    The columns of all configurations are kept while the fits run. The predictions are
     checkpointed, so later metrics and bootstraps never score again and do not
     depend on the kept rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    columns = dict.fromkeys([*panel.keys, panel.label, *extra, *spec.numeric, *spec.categorical])
+    columns = dict.fromkeys([*panel.keys, panel.label, *extra, *[c for s in specs for c in (*s.numeric, *s.categorical)]])
     rows = df.select(*columns).persist()
 
     def run(job):
-        train, valid, literals = job(rows)
+        train, valid, literals, spec = job(rows)
         weight = "_weight" if spec.half_life is not None and "_weight" in train.columns else None
-        part = fit_score(train, valid, spec, weight, panel)
+        part = fit_score(train, valid, spec, weight, panel, [c for c in extra if c not in literals])
         return part.withColumns({k: F.lit(v) for k, v in literals.items()}) if literals else part
 
     try:
@@ -240,13 +243,14 @@ def _fit_score_all(df: DataFrame, jobs: Sequence[Callable[[DataFrame], tuple[Dat
         rows.unpersist()
 
 
-def rolling_oof(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec,
-                panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Out-of-fold predictions over the cuts, one distributed fit per cut."""
-    jobs = [lambda rows, t=through, v=valid: (
-        training_rows(rows, t, spec, panel), rows.where(F.col(panel.period) == v), {"model": spec.name})
-        for through, valid in cuts]
-    return _fit_score_all(df, jobs, spec, panel)
+def _cut_job(through: int, valid: int, spec: ModelSpec, panel: PanelSpec, **literals) -> Job:
+    return lambda rows: (training_rows(rows, through, spec, panel), rows.where(F.col(panel.period) == valid),
+                         {"model": spec.name, **literals}, spec)
+
+
+def rolling_oof(df: DataFrame, cuts: Sequence[tuple[int, int]], *specs: ModelSpec, panel: PanelSpec = DEFAULT) -> DataFrame:
+    """Out-of-fold predictions over the cuts, one distributed fit per configuration and cut."""
+    return _fit_score_all(df, [_cut_job(t, v, s, panel) for s in specs for t, v in cuts], specs, panel)
 
 
 def fold_metrics(oof: DataFrame, by: Sequence[str] = ("model",), panel: PanelSpec = DEFAULT) -> DataFrame:
@@ -276,12 +280,8 @@ def parameter_grid(options: dict[str, Sequence]) -> list[dict]:
 def grid_search(df: DataFrame, cuts: Sequence[tuple[int, int]], base: ModelSpec, grid: Sequence[dict],
                 panel: PanelSpec = DEFAULT) -> DataFrame:
     """Mean inner-fold Gini and average precision per configuration, best first."""
-    out = None
-    for i, params in enumerate(grid):
-        spec = ModelSpec(f"config_{i}", base.kind, base.numeric, base.categorical,
-                         {**base.params, **params}, base.window, base.half_life, base.seeds)
-        part = rolling_oof(df, cuts, spec, panel)
-        out = part if out is None else out.unionByName(part)
+    specs = [replace(base, name=f"config_{i}", params={**base.params, **params}) for i, params in enumerate(grid)]
+    out = rolling_oof(df, cuts, *specs, panel=panel)
     return fold_metrics(out, ["model"], panel).groupBy("model").agg(
         F.avg("gini").alias("mean_gini"), F.avg("ap").alias("mean_ap")).orderBy(
         F.desc(F.round("mean_gini", 12)), F.desc(F.round("mean_ap", 12)), "model")
@@ -370,40 +370,91 @@ def gain_importance(models: Sequence, spec: ModelSpec, spark) -> DataFrame:
     return spark.createDataFrame([(n, t / whole) for n, t in zip(names, total)], "feature string, importance double")
 
 
-def learning_curve(df: DataFrame, cut: tuple[int, int], spec: ModelSpec, fractions: Sequence[float], seed: int,
-                   panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Gini of the validation month by share of training entities."""
-    through, valid = cut
-    jobs = [lambda rows, f=f: (
-        rows.where((F.col(panel.period) <= through) & (hash_uniform(seed, panel.entity) < f)),
-        rows.where(F.col(panel.period) == valid), {"fraction": float(f)}) for f in fractions]
-    return auc_table(_fit_score_all(df, jobs, spec, panel), ["fraction"], panel.score, panel.label)
+def learning_curve(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec, fractions: Sequence[float],
+                   seeds: Sequence[int], panel: PanelSpec = DEFAULT) -> DataFrame:
+    """Gini of each validation month by share of training entities, one repetition a seed.
+
+    The whole share has one repetition.
+    """
+    def job(through: int, valid: int, fraction: float, seed: int) -> Job:
+        part = F.col(panel.period) <= through
+        return lambda rows: (rows.where(part & (hash_uniform(seed, panel.entity) < fraction)),
+                             rows.where(F.col(panel.period) == valid), {"fraction": float(fraction), "seed": seed}, spec)
+
+    jobs = [job(t, v, f, s) for t, v in cuts for f in fractions for s in (seeds if f < 1 else seeds[:1])]
+    return auc_table(_fit_score_all(df, jobs, [spec], panel), ["fraction", "seed", panel.period], panel.score, panel.label,
+                     probability=True)
 
 
 def compare_windows(df: DataFrame, cuts: Sequence[tuple[int, int]], spec: ModelSpec, months: int = 3,
                     panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Monthly Gini with all history against the last months only."""
-    sliding = ModelSpec("sliding", spec.kind, spec.numeric, spec.categorical, spec.params, months, spec.half_life, spec.seeds)
-    expanding = ModelSpec("expanding", spec.kind, spec.numeric, spec.categorical, spec.params, None, spec.half_life, spec.seeds)
-    both = rolling_oof(df, cuts, expanding, panel).unionByName(rolling_oof(df, cuts, sliding, panel))
-    return fold_metrics(both, ["model"], panel)
+    """Monthly metrics with all history against the last months only."""
+    arms = [replace(spec, name="expanding", window=None), replace(spec, name="sliding", window=months)]
+    return fold_metrics(rolling_oof(df, cuts, *arms, panel=panel), ["model"], panel)
 
 
-def cross_validate(df: DataFrame, fold: str, folds: int, spec: ModelSpec, panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Gini per fold of a fold column: the leakage comparison of random folds."""
-    jobs = [lambda rows, k=k: (rows.where(F.col(fold) != k), rows.where(F.col(fold) == k), {fold: k})
-            for k in range(folds)]
-    return auc_table(_fit_score_all(df, jobs, spec, panel, [fold]), [fold], panel.score, panel.label)
+def cross_validate(df: DataFrame, arms: dict[str, tuple[str, ModelSpec]], folds: int, panel: PanelSpec = DEFAULT) -> DataFrame:
+    """Gini per arm and fold: the leakage comparison of random folds.
+
+    An arm is a fold column and a configuration: folds of entities, of rows, of rows with the entity as a feature.
+    """
+    def job(arm: str, column: str, spec: ModelSpec, k: int) -> Job:
+        return lambda rows: (rows.where(F.col(column) != k), rows.where(F.col(column) == k), {"arm": arm, "fold": k}, spec)
 
+    jobs = [job(arm, column, spec, k) for arm, (column, spec) in arms.items() for k in range(folds)]
+    extra = dict.fromkeys(column for column, _ in arms.values())
+    scored = _fit_score_all(df, jobs, [s for _, s in arms.values()], panel, list(extra))
+    return auc_table(scored, ["arm", "fold"], panel.score, panel.label, probability=True)
 
-def ablation(df: DataFrame, cuts: Sequence[tuple[int, int]], specs: Sequence[ModelSpec],
+
+def ablation(df: DataFrame, cuts: Sequence[tuple[int, int]], specs: Sequence[ModelSpec], frozen: bool = False,
              panel: PanelSpec = DEFAULT) -> DataFrame:
-    """Mean, spread and pooled Gini of several configurations."""
-    out = None
-    for spec in specs:
-        part = rolling_oof(df, cuts, spec, panel)
-        out = part if out is None else out.unionByName(part)
-    monthly = monthly_summary(fold_metrics(out, ["model"], panel), ["model"])
-    pooled = auc_table(out, ["model"], panel.score, panel.label).select("model", F.col("gini").alias("pooled_gini"))
-    return monthly.join(pooled, "model")
+    """Mean, spread and pooled Gini of several configurations.
 
+    With ``frozen`` every configuration also scores all validation months with the fit of the
+    first cut; ``evaluation`` tells the two apart.
+    """
+    jobs = [_cut_job(t, v, s, panel, evaluation="rolling") for s in specs for t, v in cuts]
+    if frozen:
+        def job(s: ModelSpec) -> Job:
+            months = [v for _, v in cuts]
+            return lambda rows: (training_rows(rows, cuts[0][0], s, panel), rows.where(F.col(panel.period).isin(months)),
+                                 {"model": s.name, "evaluation": "frozen"}, s)
+        jobs += [job(s) for s in specs]
+    out = _fit_score_all(df, jobs, specs, panel)
+    by = ["model", "evaluation"]
+    monthly = monthly_summary(fold_metrics(out, by, panel), by)
+    pooled = auc_table(out, by, panel.score, panel.label, probability=True).select(*by, F.col("gini").alias("pooled_gini"))
+    return monthly.join(pooled, by)
+
+
+def drift_ablation(df: DataFrame, cuts: Sequence[tuple[int, int]], column: str, original: str, base: ModelSpec, draws: int,
+                   highest: int, seed: int, panel: PanelSpec = DEFAULT) -> DataFrame:
+    """A drifting column raw, ranked inside the month, or dropped, on three kinds of validation rows.
+
+    Each variant is fitted once a cut. It scores the month as it is (slice ``all``, and ``non_copy``
+    where ``column`` differs from ``original``) and ``draws`` futures in which the column is
+    redrawn between 1 and ``highest`` and ranked anew; their Ginis are averaged (``simulated``).
+    """
+    months = [v for _, v in cuts]
+    real = df.withColumn("draw", F.lit(-1)).withColumn("copied", F.col(column) == F.col(original))
+    future = df.where(F.col(panel.period).isin(months)).withColumn(
+        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("copied", F.lit(False))
+    redrawn = F.lit(1) + F.pmod(hash_int(seed, "draw", *panel.keys), F.lit(highest))
+    rows = real.unionByName(future.withColumn(column, redrawn.cast(df.schema[column].dataType)))
+    rows = pct_rank(rows, ["draw", panel.period], column, f"{column}_rank")
+    others = tuple(c for c in base.numeric if c != column)
+    specs = [replace(base, name="RAW", numeric=others + (column,)), replace(base, name="RANK", numeric=others + (f"{column}_rank",)),
+             replace(base, name="DROP", numeric=others)]
+
+    def job(s: ModelSpec, through: int, valid: int) -> Job:
+        return lambda rows: (training_rows(rows.where(F.col("draw") < 0), through, s, panel),
+                             rows.where(F.col(panel.period) == valid), {"model": s.name}, s)
+
+    scored = _fit_score_all(rows, [job(s, t, v) for s in specs for t, v in cuts], specs, panel, ["draw", "copied"])
+    slices = F.when(F.col("draw") >= 0, F.array(F.lit("simulated"))).when(
+        F.col("copied"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("non_copy")))
+    table = auc_table(scored.withColumn("slice", F.explode(slices)), ["model", "slice", "draw", panel.period],
+                      panel.score, panel.label, probability=True)
+    return table.groupBy("model", "slice", panel.period).agg(
+        F.avg("gini").alias("gini"), F.max("n_rows").alias("n_rows"), F.count("gini").alias("draws"))

@@ -23,6 +23,18 @@ def design_sql(source: str, numeric: list[str], levels: dict[str, list[str]], na
 {name} AS (SELECT r.* EXCLUDE (raw), {one.format(x)} AS x FROM {name}_r r JOIN {name}_s USING (cut))"""
 
 
+def one_hot_sql(source: str, numeric: list[str], levels: dict[str, list[str]], name: str = "xl") -> str:
+    """CTE ``{name}``: ``x`` is 1, the numbers standardised by the sample deviation of training rows, and every level."""
+    numbers = ", ".join(f"CAST({c} AS DOUBLE)" for c in numeric)
+    flags = ", ".join(["1.0::DOUBLE", *[f"CAST({c} = '{v}' AS DOUBLE)" for c, vs in levels.items() for v in vs]])
+    return f"""{name}_r AS (SELECT *, [{numbers}] AS raw, [{flags}] AS flags FROM {source}),
+{name}_u AS (SELECT cut, unnest(raw) AS v, unnest(range(1, {len(numeric) + 1})) AS i FROM {name}_r WHERE train),
+{name}_s AS (SELECT cut, list(mu ORDER BY i) AS mu, list(sd ORDER BY i) AS sd FROM
+  (SELECT cut, i, avg(v) AS mu, stddev_samp(v) AS sd FROM {name}_u GROUP BY cut, i) GROUP BY cut),
+{name} AS (SELECT r.* EXCLUDE (raw, flags), list_concat(flags, list_transform(raw, lambda v, i: CASE WHEN sd[i] > 1e-12 THEN (v - mu[i]) / sd[i] ELSE 0 END)) AS x
+  FROM {name}_r r JOIN {name}_s USING (cut))"""
+
+
 def width(numeric: list[str], levels: dict[str, list[str]]) -> int:
     return len(numeric) + sum(len(v) - 1 for v in levels.values())
 
@@ -37,17 +49,17 @@ CLOGLOG = ("exp(eta) AS h, h / (exp(h) - 1) AS sl", "CASE WHEN y = 1 THEN -sl EL
            "CASE WHEN y = 1 THEN sl * (h / (1 - exp(-h)) - 1) ELSE h END")
 
 
-def glm_sql(rows: str, d: int, family: tuple[str, str, str], ridge: float, iterations: int, name: str = "nw",
-            tenure: bool = False, penalty: str = "1.0") -> str:
+def glm_sql(rows: str, d: int, family: tuple[str, str, str], ridge: str, iterations: int, name: str = "nw",
+            tenure: bool = False) -> str:
     """Recursive CTE ``{name}(it, cut, b, t)`` and ``{name}_fit(cut, b, t)``: mean loss plus ``ridge / 2`` of the squares.
 
-    ``x`` starts with 1, whose coefficient is free; ``penalty`` is the weight of the square of
-    coefficient ``i``. With ``tenure`` every ``stop`` after the first has an effect ``t[stop]``.
+    ``x`` starts with 1, whose coefficient is free; ``w`` weighs a row. ``ridge`` may use ``c.n_rows``,
+    the training rows of the cut. With ``tenure`` every ``stop`` after the first has an effect ``t[stop]``.
     """
     extra, first, slope = family
     effect = "+ n.t[r.stop]" if tenure else ""
     longest = f"(SELECT max(stop) FROM {rows} WHERE train)" if tenure else "0"
-    square = f"CASE WHEN i > 1 THEN {ridge}::DOUBLE * {penalty} ELSE 0 END"
+    square = f"CASE WHEN i > 1 THEN ({ridge})::DOUBLE ELSE 0 END"
     stops = f"""
   ts AS (SELECT cut, stop, sum(v) / any_value(n) + {ridge} AS w, sum(u) / any_value(n) + {ridge} * any_value(t[stop]) AS g FROM f JOIN c USING (cut) WHERE stop > 1 GROUP BY cut, stop),
   tx AS (SELECT cut, stop, i, sum(v * x[i]) / any_value(n) AS c FROM f JOIN c USING (cut), ix WHERE stop > 1 GROUP BY cut, stop, i),
@@ -67,8 +79,8 @@ def glm_sql(rows: str, d: int, family: tuple[str, str, str], ridge: float, itera
   UNION ALL (
   WITH o AS (SELECT * FROM {name} WHERE it < {iterations}),
   e AS (SELECT r.*, n.b, n.t, list_dot_product(r.x, n.b) {effect} AS eta FROM o n JOIN {rows} r USING (cut) WHERE r.train),
-  f AS (SELECT *, {first} AS u, {slope} AS v FROM (SELECT *, {extra} FROM e)),
-  c AS (SELECT cut, count(*)::DOUBLE AS n FROM f GROUP BY cut),
+  f AS (SELECT *, w * ({first}) AS u, w * ({slope}) AS v FROM (SELECT *, {extra} FROM e)),
+  c AS (SELECT cut, sum(w)::DOUBLE AS n, count(*)::DOUBLE AS n_rows FROM f GROUP BY cut),
   a AS (SELECT cut, i, j, sum(v * x[i] * x[j]) AS v FROM f, pr GROUP BY cut, i, j),
   h AS (SELECT * FROM a UNION ALL SELECT cut, j, i, v FROM a WHERE i < j),
   gx AS (SELECT cut, i, sum(u * x[i]) AS v FROM f, ix GROUP BY cut, i),{stops}

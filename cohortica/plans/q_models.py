@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cohortica.functions import features as X
@@ -10,8 +12,12 @@ from cohortica.operators import history as H
 from cohortica.operators import metrics as M
 from cohortica.operators import models as MOD
 from cohortica.operators import splits as S
-from cohortica.plans.panel import CUTS, PANEL_SQL, RISK_BANDS, SCORE_MONTH, TRAIN_THROUGH, panel
-from cohortica.plans.q_features import K, KEYS, rounded
+from cohortica.plans import newton_sql as N
+from cohortica.plans.panel import CUTS, PANEL_SQL, RISK_BANDS, SCORE_MONTH, TRAIN_THROUGH, gini_sql, panel
+from cohortica.plans.q_features import ENTITY_WINDOW, K, KEYS, rounded
+from cohortica.plans.q_metrics import rank_sql
+from cohortica.plans.q_splits import hash_int_sql, uniform_sql
+from cohortica.plans.q_survival import LEVELS
 from cohortica.plans.registry import query
 from cohortica.spec import BOOLEAN_COLUMNS, CATEGORICAL_COLUMNS, NUMERIC_COLUMNS
 
@@ -20,9 +26,35 @@ NUM = tuple(NUMERIC_COLUMNS) + tuple(BOOLEAN_COLUMNS)
 CAT = tuple(CATEGORICAL_COLUMNS)
 LAST_VALID = CUTS[-1][1]
 GBT = MOD.ModelSpec("gbt", "gbt", NUM, CAT, {"maxIter": 5, "maxDepth": 3})
-LOGISTIC = MOD.ModelSpec("logistic", "logistic", NUM, CAT, {"C": 1.0, "maxIter": 20})
-BINNED = MOD.ModelSpec("binned_logistic", "binned_logistic", NUM, CAT, {"C": 0.1, "maxIter": 20})
+LOGISTIC = MOD.ModelSpec("logistic", "logistic", NUM, CAT, {"C": 1.0})
 INNER_FOLDS = [(199808, 199809), (199809, 199810), (199810, 199811), (199811, 199812)]
+FIT_PANEL_SQL = PANEL_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+CUTS_SQL = f"cuts AS (SELECT * FROM (VALUES {', '.join(map(str, CUTS))}) t(through, month))"
+NAMES = ", ".join([*NUM, *CAT])
+METRICS_SQL = "SELECT {by}, n_rows, events, round(auc, 6) AS auc, round(gini, 6) AS gini, round(ap, 6) AS ap FROM g"
+
+
+def linear_sql(rows: str, numeric=NUM, levels=LEVELS, c: float = 1.0, extra: str = "") -> str:
+    """CTEs up to ``pv``: probabilities ``p`` of the rows that are not for training, of every ``cut``.
+
+    ``rows`` defines ``lr``: cut, train, w, label, the features, and what else the query needs.
+    """
+    numeric = list(numeric)
+    d = len(numeric) + sum(map(len, levels.values()))
+    return FIT_PANEL_SQL + f""",
+{CUTS_SQL}, {rows},
+ly AS (SELECT *, objetivo AS y FROM lr), {N.one_hot_sql('ly', numeric, levels)},
+{N.glm_sql('xl', d, N.LOGIT, f'1.0 / ({c} * c.n_rows)', 8)},
+pv AS (SELECT xl.* EXCLUDE (x), 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xl JOIN nw_fit USING (cut) WHERE NOT train)"""
+
+
+def rolling_sql(columns: str = NAMES, weight: str = "1.0::DOUBLE", window: str = "true", source: str = "panel") -> str:
+    return f"""lr AS (SELECT month AS cut, mes <> month AS train, {weight} AS w, id_cliente, mes, objetivo, {columns}
+  FROM {source} panel JOIN cuts ON mes = month OR (mes <= through AND {window}))"""
+
+
+def model_metrics_sql(model: str) -> str:
+    return f", {gini_sql('pv', 'mes', 'p')} " + METRICS_SQL.format(by=f"'{model}' AS model, mes")
 
 
 def frame(spark, sf_dir, through=LAST_VALID):
@@ -30,7 +62,7 @@ def frame(spark, sf_dir, through=LAST_VALID):
 
 
 def metrics(oof):
-    return MOD.fold_metrics(oof)
+    return rounded(MOD.fold_metrics(oof), 6)
 
 
 @query("m1_boosted_trees")
@@ -39,22 +71,64 @@ def boosted_trees(spark, sf_dir):
     return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, GBT))
 
 
-@query("m2_logistic")
+@query("m2_logistic", linear_sql(rolling_sql()) + model_metrics_sql("logistic"))
 def logistic(spark, sf_dir):
     return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, LOGISTIC))
 
 
+@query("m2_logistic_probabilities", linear_sql(rolling_sql()) + f"SELECT {K}, round(p, 6) AS prediccion FROM pv")
+def logistic_probabilities(spark, sf_dir):
+    return rounded(MOD.rolling_oof(frame(spark, sf_dir), CUTS, LOGISTIC).select(*KEYS, "prediccion"), 6)
+
+
+def binned_sql(bins: int, crossed: bool) -> str:
+    """Bins from the inner quantiles of each cut's training rows; crossed ones are named by band."""
+    cells = ", ".join(f"CAST({c} AS DOUBLE)" for c in NUM)
+    probs = ", ".join(f"{i / bins}" for i in range(bins + 1))
+    names = "banda_riesgo || '_' ||" if crossed else ""
+    cats = ["banda_riesgo"] if crossed else list(CAT)
+    return f"""br AS (SELECT month AS cut, mes <> month AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, {NAMES}, [{cells}] AS raw
+  FROM panel JOIN cuts ON mes = month OR mes <= through),
+be AS (SELECT cut, i, list_sort(list_distinct(quantile_cont(v, [{probs}]))) AS e FROM
+  (SELECT cut, unnest(raw) AS v, unnest(range(1, {len(NUM) + 1})) AS i FROM br WHERE train) GROUP BY cut, i),
+bl AS (SELECT cut, list(CASE WHEN len(e) > 2 THEN e[2:len(e) - 1] ELSE [e[1] + 1.0] END ORDER BY i) AS e FROM be GROUP BY cut),
+bb AS (SELECT br.*, list_transform(raw, lambda v, i: {names} i::VARCHAR || '_' || len(list_filter(e[i], lambda q: q <= v))::VARCHAR) AS bins FROM br JOIN bl USING (cut)),
+bv AS (SELECT *, list_concat(bins, [{', '.join(f"'{c}_' || {c}" for c in cats)}]) AS vs FROM bb),
+vl AS (SELECT cut, list_sort(list(DISTINCT v)) AS vocabulary FROM (SELECT cut, unnest(vs) AS v FROM bv WHERE train) GROUP BY cut),
+ly AS (SELECT bv.*, objetivo AS y, list_prepend(1.0::DOUBLE, list_transform(range(1, (SELECT max(len(vocabulary)) FROM vl) + 1),
+  lambda k: CASE WHEN k <= len(vocabulary) AND list_contains(vs, vocabulary[k]) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS x FROM bv JOIN vl USING (cut))"""
+
+
+BINNED = MOD.ModelSpec("binned_logistic", "binned_logistic", NUM, CAT, {"C": 0.1, "bins": 10})
+CROSSED = MOD.ModelSpec("crossed_logistic", "crossed_logistic", NUM, ("banda_riesgo",), {"C": 0.05, "bins": 4})
+
+
 @query("m3_binned_logistic")
 def binned_logistic(spark, sf_dir):
     return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, BINNED))
 
 
-@query("m4_rule_logistic")
+@query("m4_crossed_logistic")
+def crossed_logistic(spark, sf_dir):
+    """Every number's bins crossed with the risk band, as a sparse design."""
+    return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, CROSSED))
+
+
+RULES_SQL = """rl AS (SELECT id_cliente, mes, objetivo, lo::INT AS r1, hi::INT AS r2, (lo AND np >= 3)::INT AS r3, (lo AND mc AND np >= 2)::INT AS r4,
+  lo::INT * (dt / 365.0::DOUBLE) AS r5, (hi AND dt < 100)::INT AS r6, (hi AND dt < 180)::INT AS r7, (hi AND dt >= 180 AND canal_adquisicion = 'branch')::INT AS r8,
+  me::INT * (dt / 365.0::DOUBLE) AS r9, ln(kk) AS r10, ((lo OR me) AND ratio_deuda_ingresos >= 0.6)::INT AS r11, (saldo_promedio <= 300)::INT AS r12
+  FROM (SELECT *, row_number() OVER (PARTITION BY id_cliente ORDER BY mes) AS kk, banda_riesgo = 'low' AS lo, banda_riesgo = 'high' AS hi,
+    banda_riesgo = 'medium' AS me, activo_movil AND tiene_tarjeta_credito AS mc, dias_ultima_transaccion AS dt, numero_productos AS np FROM panel))"""
+RULE_NAMES = [f"r{i}" for i in range(1, 13)]
+
+
+@query("m4_rule_logistic", linear_sql(RULES_SQL + ", " + rolling_sql(", ".join(RULE_NAMES), source="rl"), RULE_NAMES, {})
+       + model_metrics_sql("rules"))
 def rule_logistic(spark, sf_dir):
     rules = X.rule_flags("kk")
     df = panel(spark, sf_dir, LAST_VALID).withColumn("kk", H.months_in_panel()).select(
         *KEYS, "objetivo", *[e.alias(n) for n, e in rules.items()])
-    return metrics(MOD.rolling_oof(df, CUTS, MOD.ModelSpec("rules", "rules", tuple(rules), params={"maxIter": 20})))
+    return metrics(MOD.rolling_oof(df, CUTS, MOD.ModelSpec("rules", "rules", tuple(rules))))
 
 
 NB_COLS = ["ocupacion", "canal_adquisicion", "dispositivo_principal"]
@@ -119,12 +193,13 @@ def seed_bagging(spark, sf_dir):
     return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, spec))
 
 
-@query("m14_final_fit_score")
+@query("m14_final_fit_score", linear_sql(f"""lr AS (SELECT 0 AS cut, mes <= {TRAIN_THROUGH} AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, {NAMES}
+  FROM panel WHERE mes <= {TRAIN_THROUGH} OR mes = {SCORE_MONTH})""") + f"SELECT {K}, round(p, 6) AS prediccion FROM pv")
 def final_fit_score(spark, sf_dir):
     """Fit on every labelled month, score the next one."""
     df = frame(spark, sf_dir, SCORE_MONTH)
     out = MOD.fit_score(df.where(F.col("mes") <= TRAIN_THROUGH), df.where(F.col("mes") == SCORE_MONTH), LOGISTIC)
-    return out.select(*KEYS, "prediccion")
+    return rounded(out.select(*KEYS, "prediccion"), 6)
 
 
 @query("m15_permutation_importance")
@@ -141,46 +216,97 @@ def gain_importance(spark, sf_dir):
     return MOD.gain_importance([MOD.fit(train, GBT, s) for s in (42, 43)], GBT, spark)
 
 
-@query("m17_window_comparison")
+WINDOWS_SQL = linear_sql(f"""lr AS (SELECT arm || '-' || month AS cut, arm, mes <> month AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, {NAMES}
+  FROM panel JOIN cuts ON mes <= month, (VALUES ('expanding'), ('sliding')) a(arm)
+  WHERE mes = month OR (mes <= through AND (arm = 'expanding' OR ord > (through // 100) * 12 + through % 100 - 1 - 3)))""")
+
+
+@query("m17_window_comparison", WINDOWS_SQL + f", {gini_sql('pv', 'arm, mes', 'p')} " + METRICS_SQL.format(by="arm AS model, mes"))
 def window_comparison(spark, sf_dir):
-    return MOD.compare_windows(frame(spark, sf_dir), CUTS, LOGISTIC)
+    return rounded(MOD.compare_windows(frame(spark, sf_dir), CUTS, LOGISTIC), 6)
+
+
+FOLDS_SQL = linear_sql(f"""fo AS (SELECT arm || '-' || k AS cut, arm, CAST(k AS INT) AS fold, CASE arm WHEN 'client' THEN {hash_int_sql(1, 'id_cliente')} % 3
+    ELSE {hash_int_sql(2, 'id_cliente', 'mes')} % 3 END <> k AS train, CASE WHEN arm = 'row_id' THEN id_cliente ELSE 0 END AS id_feature, *
+  FROM panel, (VALUES ('client'), ('row'), ('row_id')) a(arm), range(3) f(k) WHERE mes <= {LAST_VALID}),
+lr AS (SELECT cut, arm, fold, train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, id_feature, {NAMES} FROM fo)""", (*NUM, "id_feature"))
 
 
-@query("m17_random_fold_comparison")
+@query("m17_random_fold_comparison", FOLDS_SQL + f", {gini_sql('pv', 'arm, fold', 'p')} "
+       "SELECT arm, fold, n_rows, events, round(auc, 6) AS auc, round(gini, 6) AS gini FROM g")
 def random_fold_comparison(spark, sf_dir):
-    folded = S.hash_folds(frame(spark, sf_dir), 3, ["id_cliente"], 1)
-    return MOD.cross_validate(folded, "fold", 3, LOGISTIC)
+    """Folds of clients, of rows, and of rows with the client number as a feature."""
+    folded = S.hash_folds(frame(spark, sf_dir), 3, ["id_cliente"], 1).withColumnRenamed("fold", "client_fold")
+    folded = S.hash_folds(folded, 3, ["id_cliente", "mes"], 2).withColumnRenamed("fold", "row_fold").withColumn(
+        "id_feature", F.col("id_cliente"))
+    with_id = replace(LOGISTIC, numeric=(*NUM, "id_feature"))
+    return rounded(MOD.cross_validate(folded, {"client": ("client_fold", LOGISTIC), "row": ("row_fold", LOGISTIC),
+                                               "row_id": ("row_fold", with_id)}, 3), 6)
 
 
-@query("m18_learning_curve")
+CURVE, CURVE_SEEDS = [0.25, 0.5, 0.75, 1.0], [5, 6, 7]
+CURVE_SQL = linear_sql(f"""lr AS (SELECT fraction || '-' || seed || '-' || month AS cut, fraction, seed, mes <> month AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, {NAMES}
+  FROM panel JOIN cuts ON mes <= month, (VALUES {', '.join(f'({f}::DOUBLE)' for f in CURVE)}) a(fraction), (VALUES {', '.join(f'(CAST({s} AS INT))' for s in CURVE_SEEDS)}) b(seed)
+  WHERE (fraction < 1 OR seed = {CURVE_SEEDS[0]}) AND (mes = month OR (mes <= through AND CASE seed {' '.join(
+      f"WHEN {s} THEN {uniform_sql(s, 'id_cliente')}" for s in CURVE_SEEDS)} END < fraction)))""")
+
+
+@query("m18_learning_curve", CURVE_SQL + f", {gini_sql('pv', 'fraction, seed, mes', 'p')} "
+       "SELECT fraction, seed, mes, n_rows, events, round(auc, 6) AS auc, round(gini, 6) AS gini FROM g")
 def learning_curve(spark, sf_dir):
-    return MOD.learning_curve(frame(spark, sf_dir), CUTS[0], LOGISTIC, [0.25, 0.5, 0.75, 1.0], 5)
+    """Three repetitions of every share below the whole, three cuts."""
+    return rounded(MOD.learning_curve(frame(spark, sf_dir), CUTS, LOGISTIC, CURVE, CURVE_SEEDS), 6, ("fraction",))
+
+
+VARIANTS_SQL = linear_sql(f"""hs AS (SELECT *, row_number() OVER w - 1 AS previas, ord - min(ord) OVER (PARTITION BY id_cliente) AS entrada FROM panel {ENTITY_WINDOW}),
+lr AS (SELECT variant || '-' || month AS cut, variant, month, mes <= through AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, {NAMES},
+  CASE WHEN variant IN ('B', 'D') THEN ord ELSE 0 END AS month_index, CASE WHEN variant IN ('C', 'D') THEN previas ELSE 0 END AS previas,
+  CASE WHEN variant IN ('C', 'D') THEN entrada ELSE 0 END AS entrada
+  FROM hs JOIN cuts ON mes <= through OR mes IN (SELECT month FROM cuts), (VALUES ('A'), ('B'), ('C'), ('D')) a(variant))""",
+                          (*NUM, "month_index", "previas", "entrada")) + f""",
+ev AS (SELECT variant AS model, 'rolling' AS evaluation, mes, objetivo, p FROM pv WHERE mes = month
+  UNION ALL SELECT variant, 'frozen', mes, objetivo, p FROM pv WHERE month = {CUTS[0][1]}),
+{gini_sql('ev', 'model, evaluation, mes', 'p')}, {gini_sql('ev', 'model, evaluation', 'p', name='pg')}
+SELECT model, evaluation, count(*) AS n_periods, round(avg(g.gini), 6) AS mean_gini, round(stddev_pop(g.gini), 6) AS std_gini,
+  round(any_value(pg.gini), 6) AS pooled_gini FROM g JOIN pg USING (model, evaluation) GROUP BY 1, 2"""
 
 
-@query("m20_variant_ablation")
+@query("m20_variant_ablation", VARIANTS_SQL)
 def variant_ablation(spark, sf_dir):
-    """Base, with the month index, with history features, with both."""
+    """Base, with the month index, with history features, with both; rolling and frozen fits."""
     df = H.add_history(frame(spark, sf_dir)).withColumn("month_index", month_index("mes", 199601))
     hist, month = ("n_observaciones_previas", "meses_desde_entrada"), ("month_index",)
-    specs = [MOD.ModelSpec(name, "logistic", NUM + extra, CAT, LOGISTIC.params)
+    specs = [replace(LOGISTIC, name=name, numeric=NUM + extra)
              for name, extra in (("A", ()), ("B", month), ("C", hist), ("D", month + hist))]
-    return MOD.ablation(df, CUTS, specs)
+    return rounded(MOD.ablation(df, CUTS, specs, frozen=True), 6)
 
 
-@query("m21_drift_ablation")
+DRIFT_DRAWS, DRIFT_SEED = 5, 17
+DRIFT_SQL = linear_sql(f"""fu AS (SELECT *, -1 AS draw, dias_ultima_interaccion = dias_ultima_transaccion AS copied FROM panel WHERE mes <= {LAST_VALID}
+  UNION ALL SELECT * REPLACE (1 + {hash_int_sql(DRIFT_SEED, 'draw', 'id_cliente', 'mes')} % 364 AS dias_ultima_interaccion)
+  FROM (SELECT panel.*, CAST(r AS INT) AS draw, false AS copied FROM panel, range({DRIFT_DRAWS}) t(r) WHERE mes IN (SELECT month FROM cuts))),
+fr AS (SELECT *, {rank_sql('dias_ultima_interaccion', 'draw, mes')} AS dui_rank FROM fu),
+lr AS (SELECT variant || '-' || month AS cut, variant AS model, draw, copied, mes <> month AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo,
+  {', '.join(c for c in (*NUM, *CAT) if c != 'dias_ultima_interaccion')}, CASE variant WHEN 'RAW' THEN dias_ultima_interaccion WHEN 'RANK' THEN dui_rank ELSE 0 END AS dui
+  FROM fr JOIN cuts ON mes = month OR (mes <= through AND draw < 0), (VALUES ('RAW'), ('RANK'), ('DROP')) a(variant))""",
+                       (*[c for c in NUM if c != "dias_ultima_interaccion"], "dui")) + f""",
+sl AS (SELECT *, 'all' AS slice FROM pv WHERE draw < 0 UNION ALL SELECT *, 'non_copy' FROM pv WHERE draw < 0 AND NOT copied
+  UNION ALL SELECT *, 'simulated' FROM pv WHERE draw >= 0),
+{gini_sql('sl', 'model, slice, draw, mes', 'p')}
+SELECT model, slice, mes, round(avg(gini), 6) AS gini, max(n_rows) AS n_rows, count(gini) AS draws FROM g GROUP BY 1, 2, 3"""
+
+
+@query("m21_drift_ablation", DRIFT_SQL)
 def drift_ablation(spark, sf_dir):
-    """A drifting column raw, ranked inside the month, or dropped."""
-    from cohortica.functions.ordered import pct_rank
-    df = pct_rank(frame(spark, sf_dir), ["mes"], "dias_ultima_interaccion", "dui_rank")
-    stable = tuple(c for c in NUM if c != "dias_ultima_interaccion")
-    specs = [MOD.ModelSpec("RAW", "logistic", NUM, CAT, LOGISTIC.params),
-             MOD.ModelSpec("RANK", "logistic", stable + ("dui_rank",), CAT, LOGISTIC.params),
-             MOD.ModelSpec("DROP", "logistic", stable, CAT, LOGISTIC.params)]
-    return MOD.ablation(df, CUTS, specs)
+    """A drifting column raw, ranked inside the month, or dropped: real rows, rows that are no copy, redrawn futures."""
+    out = MOD.drift_ablation(frame(spark, sf_dir), CUTS, "dias_ultima_interaccion", "dias_ultima_transaccion", LOGISTIC,
+                             DRIFT_DRAWS, 364, DRIFT_SEED)
+    return rounded(out, 6)
 
 
-@query("m10_decay_weighted_runner")
+@query("m10_decay_weighted_runner", linear_sql(rolling_sql(
+    weight="pow(0.5::DOUBLE, ((through // 100) * 12 + through % 100 - 1 - ord) / 6.0::DOUBLE)",
+    window="ord > (through // 100) * 12 + through % 100 - 1 - 24")) + model_metrics_sql("decay"))
 def decay_weighted_runner(spark, sf_dir):
     """Recent window and half-life weights together."""
-    spec = MOD.ModelSpec("decay", "logistic", NUM, CAT, LOGISTIC.params, window=24, half_life=6.0)
-    return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, spec))
+    return metrics(MOD.rolling_oof(frame(spark, sf_dir), CUTS, replace(LOGISTIC, name="decay", window=24, half_life=6.0)))

@@ -73,7 +73,7 @@ LEVELS = {
 }
 FITS_SQL = PANEL_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 cuts AS (SELECT * FROM (VALUES {', '.join(map(str, CUTS))}) t(through, cut)),
-hz AS (SELECT cut, mes <= through AS train, id_cliente, mes, objetivo, objetivo AS y, ord AS mes_ordinal,
+hz AS (SELECT cut, mes <= through AS train, id_cliente, mes, objetivo, objetivo AS y, 1.0::DOUBLE AS w, ord AS mes_ordinal,
   CAST(ord - min(ord) OVER (PARTITION BY cut, id_cliente) + 1 AS INT) AS stop, {', '.join(c for c in [*NUMERIC[:-1], *LEVELS])}
   FROM panel JOIN cuts ON mes <= cut),
 {N.design_sql('hz', NUMERIC, LEVELS, 'xr')},
@@ -85,7 +85,7 @@ ri AS (SELECT xr.*, exp(list_dot_product(x, b)) AS risk FROM xr JOIN nw_fit USIN
 ic AS (SELECT cut, stop, sum(y) / sum(risk) AS inc FROM ri WHERE train GROUP BY cut, stop),
 pv AS (SELECT ri.cut, id_cliente, ri.mes, objetivo, 1 - exp(-coalesce(inc, 0) * risk) AS p
   FROM ri JOIN lt USING (cut) LEFT JOIN ic ON ic.cut = ri.cut AND ic.stop = least(ri.stop, longest) WHERE ri.mes = ri.cut)"""
-CLOGLOG_SQL = FITS_SQL + ",\n" + N.glm_sql("xi", WIDTH, N.CLOGLOG, S.CLOGLOG_RIDGE, 25, tenure=True) + """,
+CLOGLOG_SQL = FITS_SQL + ",\n" + N.glm_sql("xi", WIDTH, N.CLOGLOG, str(S.CLOGLOG_RIDGE), 25, tenure=True) + """,
 pv AS (SELECT xi.cut, id_cliente, xi.mes, objetivo, 1 - exp(-exp(list_dot_product(x, b) + t[least(stop, longest)])) AS p
   FROM xi JOIN nw_fit USING (cut) JOIN lt USING (cut) WHERE xi.mes = xi.cut)"""
 GINI_OF_P = f""",
