@@ -55,7 +55,13 @@ def run_record(spark: SparkSession, run: str, parameters: dict, metrics: dict, e
 
 
 def append_index(record: DataFrame, path: str) -> None:
-    """Add a run to the index table (L4)."""
+    """Add a run to the index table; a run that is already there is an error (L4)."""
+    spark = record.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        again = spark.read.schema(record.schema).parquet(path).join(record.select("run"), "run", "left_semi").select("run").limit(5).collect()
+        if again:
+            raise ContractViolation(f"runs already in the index: {sorted(r['run'] for r in again)}")
     record.write.mode("append").parquet(path)
 
 
@@ -107,6 +113,33 @@ def resume(wanted: DataFrame, state: DataFrame) -> DataFrame:
     return pending_folds(wanted, state)
 
 
+def resume_status(wanted: DataFrame, state: DataFrame, manifest: DataFrame, actual: DataFrame) -> DataFrame:
+    """What may be done with every wanted fold (L5): ``reuse``, ``run``, or what is wrong with the stored one.
+
+    A stored fold is reused only when it is complete, has the wanted identity and number of rows,
+    and every file the manifest lists for it is there with its size and checksum. ``manifest`` has
+    (model, fold, path, bytes, sha256); a complete fold without a listed file is ``missing``.
+    """
+    done = state.where(F.col("status") == "complete").select(
+        "model", "fold", F.col("identity").alias("_identity"), F.col("n_rows").alias("_rows"))
+    worst = F.max(F.when(F.col("status") != "ok", F.col("status")))
+    files = verify_files(manifest, actual).groupBy("model", "fold").agg(worst.alias("_bad"), F.count(F.lit(1)).alias("_files"))
+    status = (F.when(F.col("_identity").isNull(), "run").when(F.col("_identity") != F.col("identity"), "other identity")
+              .when(~F.col("_rows").eqNullSafe(F.col("n_rows")), "row count").when(F.col("_files").isNull(), "missing")
+              .otherwise(F.coalesce("_bad", F.lit("reuse"))))
+    return wanted.join(done, ["model", "fold"], "left").join(files, ["model", "fold"], "left").select(
+        *wanted.columns, status.alias("status"))
+
+
+def resume_verified(wanted: DataFrame, state: DataFrame, manifest: DataFrame, actual: DataFrame) -> DataFrame:
+    """Folds still to run; an error when a stored one cannot be trusted."""
+    status = resume_status(wanted, state, manifest, actual)
+    bad = status.where(~F.col("status").isin("run", "reuse")).limit(20).collect()
+    if bad:
+        raise ContractViolation(f"stored folds cannot be reused: {[(r['model'], r['fold'], r['status']) for r in bad]}")
+    return status.where(F.col("status") == "run").select(*wanted.columns)
+
+
 def schema_record(df: DataFrame, features: Sequence[str], variant: str) -> DataFrame:
     """Column order and type of a feature variant."""
     types = dict(df.dtypes)

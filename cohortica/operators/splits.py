@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortica.functions.hashing import entity_bucket, hash_hex, hash_int, hash_uniform
 from cohortica.functions.ordered import row_numbers
 from cohortica.functions.periods import ordinal, ordinal_of
+from cohortica.functions.selection import smallest_cuts
+from cohortica.functions.stored import stored
 from cohortica.spec import DEFAULT, PanelSpec
 
 
@@ -132,20 +134,26 @@ def stratified_sample(df: DataFrame, n: int, method: str, seed: int,
                       spec: PanelSpec = DEFAULT) -> DataFrame:
     """Exactly ``n`` rows without replacement: ``uniform``, ``balanced-by-month`` or ``recency-aware``.
 
-    Rows are ordered by a hash; periods too small for their quota leave a gap that
-    the best-placed remaining rows fill.
+    The smallest hashes of each period are taken; periods too small for their quota leave a gap
+    that the smallest hashes of all other rows fill. Nothing is sorted: the cuts between taken
+    and other rows are found by counting (see `smallest_cuts`), and one filter applies them.
     """
     draw = df.withColumn("_u", hash_hex(seed, *spec.keys))
+    hashes = stored(draw.select(spec.period, "_u", F.lit(0).alias("_all")), "draws")
+    whole = lambda k: df.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(k).alias("wanted"))
     if method == "uniform":
-        picked = row_numbers(draw, [], ["_u"], "_pos")
-        return picked.where(F.col("_pos") <= n).select(*df.columns)
-    counts = df.groupBy(spec.period).agg(F.count(F.lit(1)).alias("n_rows"))
-    quotas = period_quotas(counts, n, method, spec)
-    placed = row_numbers(draw, [spec.period], ["_u"], "_pos").join(F.broadcast(quotas), spec.period)
-    # Within-quota rows come first, then everything else in hash order.
-    ranked = placed.withColumn("_late", (F.col("_pos") > F.col("quota")).cast("int"))
-    final = row_numbers(ranked.drop("_pos", "quota"), [], ["_late", "_u"], "_pos")
-    return final.where(F.col("_pos") <= n).select(*df.columns)
+        cut = smallest_cuts(hashes, ["_all"], "_u", whole(n)).select("cut")
+        return draw.crossJoin(F.broadcast(cut)).where("_u < cut").select(*df.columns)            # one row
+    counts = hashes.groupBy(spec.period).agg(F.count(F.lit(1)).alias("n_rows"))
+    quotas = stored(period_quotas(counts, n, method, spec), "quotas")
+    cuts = smallest_cuts(hashes, [spec.period], "_u", quotas.select(spec.period, F.col("quota").alias("wanted")))
+    taken = draw.join(F.broadcast(cuts), spec.period)                                            # one row a period
+    gap = n - (quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0])
+    if gap <= 0:
+        return taken.where("_u < cut").select(*df.columns)
+    others = hashes.join(F.broadcast(cuts), spec.period).where("_u >= cut").select("_all", "_u")
+    late = smallest_cuts(others, ["_all"], "_u", whole(gap)).select(F.col("cut").alias("late"))
+    return taken.crossJoin(F.broadcast(late)).where("_u < cut or _u < late").select(*df.columns)
 
 
 def entity_subsample(df: DataFrame, fraction: float, seed: int, spec: PanelSpec = DEFAULT) -> DataFrame:

@@ -10,7 +10,9 @@ from cohortica.plans.panel import CUTS, PANEL_SQL, SCORES_SQL, gini_sql, long_sc
 from cohortica.plans.q_features import rounded
 from cohortica.plans.q_splits import hash_int_sql
 from cohortica.plans.registry import query
+from cohortica.plans.q_sinks import shared_folder
 from cohortica.sources.readers import file_records, read_table
+from cohortica.spec import CATEGORICAL_COLUMNS
 
 
 def marked_sql(*columns: str) -> str:
@@ -35,9 +37,40 @@ def table_fingerprint(spark, sf_dir):
         F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority"))
 
 
-@query("l2_manifest")
+def text_files(df, line, group, order, path):
+    """One text file a value of ``group``: its lines in order."""
+    rows = df.select(F.col(group).cast("string").alias(group), line.alias("value"), order)
+    rows.repartition(group).sortWithinPartitions(group, order).drop(order).write.partitionBy(group).text(path)
+
+
+def file_group(group):
+    """Value of ``group`` in the path of a file."""
+    return F.regexp_extract("path", f"/{group}=([^/]+)/", 1)
+
+
+@query("l2_manifest", """
+WITH l AS (SELECT c_mktsegment, c_custkey, c_custkey || '|' || c_name || chr(10) AS line FROM customer)
+SELECT 'run-1' AS run, 'inputs' AS section, c_mktsegment AS segment, CAST(sum(strlen(line)) AS BIGINT) AS bytes,
+  sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256 FROM l GROUP BY c_mktsegment""")
 def manifest(spark, sf_dir):
-    return L.build_manifest(spark, "run-1", {"inputs": sf_dir}).select("run", "section", "bytes", "sha256")
+    """SRC5 and L2: one text file a customer segment, listed with size and digest."""
+    path = shared_folder(spark, "segments")
+    customer = read_table(spark, sf_dir, "customer")
+    text_files(customer, F.concat_ws("|", "c_custkey", "c_name"), "c_mktsegment", "c_custkey", path)
+    return L.build_manifest(spark, "run-1", {"inputs": path}).where(F.col("path").endswith(".txt")).select(
+        "run", "section", file_group("c_mktsegment").alias("segment"), "bytes", "sha256")
+
+
+@query("l2_run_records", PANEL_SQL + """
+SELECT 'run-' || band AS run, '{"band": "' || band || '", "folds": 3}' AS parameters, '{"rows": ' || count(*) || '}' AS metrics,
+  '{"engine": "spark"}' AS environment, count(*) > 0 AS eligible FROM (SELECT banda_riesgo AS band FROM panel) GROUP BY band""")
+def run_records(spark, sf_dir):
+    """L2 and L4: parameters, metrics and environment of each run, appended to the index and read back."""
+    path = shared_folder(spark, "index")
+    rows = {r["banda_riesgo"]: r["count"] for r in panel(spark, sf_dir).groupBy("banda_riesgo").count().collect()}
+    for band, n in sorted(rows.items()):
+        L.append_index(L.run_record(spark, f"run-{band}", {"band": band, "folds": 3}, {"rows": n}, {"engine": "spark"}, n > 0), path)
+    return spark.read.parquet(path)
 
 
 TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
@@ -85,6 +118,27 @@ def pending_folds(spark, sf_dir):
     return L.pending_folds(*wanted_and_state(spark, sf_dir))
 
 
+@query("l5_verified_resume", STATE_SQL + """
+SELECT w.model, w.fold, CASE WHEN s.status IS NULL OR s.status <> 'complete' THEN 'run' WHEN w.fold % 11 = 0 THEN 'other identity' WHEN w.fold % 13 = 0 THEN 'row count'
+  WHEN w.model = 'logistic' THEN 'missing' WHEN w.fold % 4 = 1 THEN 'missing' WHEN w.fold % 4 = 2 THEN 'size mismatch' WHEN w.fold % 4 = 3 THEN 'checksum mismatch'
+  ELSE 'reuse' END AS status FROM wanted w LEFT JOIN state s USING (model, fold)""")
+def verified_resume(spark, sf_dir):
+    """A file a month is the artifact of one model; some records, identities and row counts were altered."""
+    path = shared_folder(spark, "artifacts")
+    text_files(panel(spark, sf_dir), F.col("id_cliente").cast("string"), "mes", "id_cliente", path)
+    actual = file_records(spark, path, "*.txt")
+    kind = file_group("mes").cast("int") % 4
+    listed = actual.select(
+        F.lit("gbt").alias("model"), file_group("mes").cast("int").alias("fold"),
+        F.when(kind == 1, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"),
+        F.when(kind == 2, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"),
+        F.when(kind == 3, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    wanted, state = wanted_and_state(spark, sf_dir)
+    state = state.withColumn("identity", F.when(F.col("fold") % 11 == 0, F.lit("other")).otherwise(F.col("identity"))).withColumn(
+        "n_rows", F.when(F.col("fold") % 13 == 0, F.col("n_rows") + 1).otherwise(F.col("n_rows")))
+    return L.resume_status(wanted, state, listed, actual).select("model", "fold", "status")
+
+
 @query("l8_fold_status", STATE_SQL + """
 SELECT model, CASE WHEN min((coalesce(status, 'none') = 'complete')::INT) = 1 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS n_folds,
   CAST(sum(s.n_rows) AS BIGINT) AS n_rows, round(sum(seconds), 6) AS seconds FROM wanted w LEFT JOIN state s USING (model, fold) GROUP BY model""")
@@ -96,9 +150,9 @@ def fold_status(spark, sf_dir):
 
 @query("l7_schema_record", PANEL_SQL + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n_rows FROM panel GROUP BY {c}"
-    for c in ("ocupacion", "region", "canal_adquisicion")))
+    for c in CATEGORICAL_COLUMNS))
 def schema_record(spark, sf_dir):
-    return L.vocabulary_record(panel(spark, sf_dir), ["ocupacion", "region", "canal_adquisicion"])
+    return L.vocabulary_record(panel(spark, sf_dir), CATEGORICAL_COLUMNS)
 
 
 @query("l4_run_index", SCORES_SQL + f""",

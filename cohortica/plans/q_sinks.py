@@ -23,15 +23,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
 
 
-@query("snk1_submission", SCORES_SQL + f"SELECT id_cliente, round(m1, 9) AS prediccion FROM scores WHERE mes = {SCORE_MONTH}")
+@query("snk1_submission", SCORES_SQL + f"""
+SELECT id_cliente, round(m1, 9) AS prediccion, row_number() OVER (ORDER BY id_cliente) - 1 AS row_ord FROM scores WHERE mes = {SCORE_MONTH}""")
 def submission(spark, sf_dir):
-    """SNK1 and V8: checked, written in reference order, read back."""
+    """SNK1, SNK3 and V8: checked, written in reference order, read back in that order, published over an earlier one."""
     df = scores(spark, sf_dir).where(F.col("mes") == SCORE_MONTH)
     indexed = R.source_row_index(df, ["id_cliente"])
     path = shared_folder(spark, "submission")
-    S.write_submission(indexed.select("row_ord", "id_cliente", F.col("m1").alias("prediccion")),
-                       indexed.select("row_ord", "id_cliente"), path)
-    return rounded(spark.read.schema("id_cliente long, prediccion double").option("header", True).csv(path))
+    for column in ("m2", "m1"):                      # the second replaces the first
+        S.write_submission(indexed.select("row_ord", "id_cliente", F.col(column).alias("prediccion")),
+                           indexed.select("row_ord", "id_cliente"), path)
+    return rounded(R.read_in_order(spark, path, "id_cliente long, prediccion double"))
+
+
+@query("src1_panel_csv", PANEL_SQL + f"SELECT {K}, objetivo, edad, ingresos, banda_riesgo, es_nuevo_cliente FROM panel")
+def panel_csv(spark, sf_dir):
+    """SRC1: the panel as CSV files with ``True``/``False`` literals, columns in another order, read back with types."""
+    path = shared_folder(spark, "panel-csv")
+    literal = lambda c: F.when(F.col(c).cast("boolean"), "True").otherwise("False").alias(c)
+    panel(spark, sf_dir).select("banda_riesgo", literal("objetivo"), "mes", literal("es_nuevo_cliente"), "ingresos", "id_cliente",
+                                "edad").write.option("header", True).csv(path)
+    kinds = {"id_cliente": "int", "mes": "int", "objetivo": "boolean", "edad": "int", "ingresos": "float",
+             "banda_riesgo": "string", "es_nuevo_cliente": "boolean"}
+    schema = R.schema_from_dictionary([(name, name, kind) for name, kind in kinds.items()])
+    return R.read_panel_csv(spark, path, schema).select(
+        "id_cliente", F.col("mes").cast("int"), F.col("objetivo").cast("int"), F.col("edad").cast("int"), "ingresos",
+        "banda_riesgo", "es_nuevo_cliente")
 
 
 @query("snk2_feature_table", PANEL_SQL + f"SELECT {K}, edad, numero_productos FROM panel WHERE mes >= 200001")

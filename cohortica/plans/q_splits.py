@@ -77,15 +77,29 @@ def hash_folds(spark, sf_dir):
     return S.hash_folds(rows, 5, ["id_cliente"], 7).withColumnRenamed("fold", "entity_fold")
 
 
-@query("s9_stratified_sample", PANEL_SQL + f""",
-tr AS (SELECT *, {hash_sql(42, 'id_cliente', 'mes')} AS u, row_number() OVER (PARTITION BY mes ORDER BY {hash_sql(42, 'id_cliente', 'mes')}) AS pos FROM panel WHERE mes BETWEEN 199801 AND 199804),
-sz AS (SELECT mes, count(*) AS n FROM tr GROUP BY 1),
-q AS (SELECT mes, least(25, n) AS quota FROM sz),
+SAMPLE = 1000
+
+
+def sample_sql(weight: str) -> str:
+    """Quotas by largest remainder, the smallest hashes of each month, then the smallest of the rest."""
+    return PANEL_SQL + f""",
+tr AS (SELECT *, {hash_sql(42, 'id_cliente', 'mes')} AS u, row_number() OVER (PARTITION BY mes ORDER BY {hash_sql(42, 'id_cliente', 'mes')}) AS pos FROM panel),
+sz AS (SELECT mes, count(*) AS n, row_number() OVER (ORDER BY mes) - 1 AS place FROM tr GROUP BY 1),
+sh AS (SELECT *, w / sum(w) OVER () * {SAMPLE} AS share FROM (SELECT *, {weight} AS w FROM sz)),
+wh AS (SELECT *, floor(share) AS whole, row_number() OVER (ORDER BY floor(share) - share, mes) AS r, {SAMPLE} - sum(floor(share)) OVER () AS open FROM sh),
+q AS (SELECT mes, least(whole + CASE WHEN r <= open THEN 1 ELSE 0 END, n) AS quota FROM wh),
 r AS (SELECT tr.*, row_number() OVER (ORDER BY CASE WHEN pos > quota THEN 1 ELSE 0 END, u) AS fin FROM tr JOIN q USING (mes))
-SELECT {K} FROM r WHERE fin <= 100""")
+SELECT {K} FROM r WHERE fin <= {SAMPLE}"""
+
+
+@query("s9_stratified_sample", sample_sql("1.0::DOUBLE"))
 def stratified_sample(spark, sf_dir):
-    df = panel(spark, sf_dir).select(*KEYS).where(F.col("mes").between(199801, 199804))
-    return S.stratified_sample(df, 100, "balanced-by-month", 42)
+    return S.stratified_sample(panel(spark, sf_dir).select(*KEYS), SAMPLE, "balanced-by-month", 42)
+
+
+@query("s9_recency_sample", sample_sql("1.0::DOUBLE + place / greatest((SELECT count(*) FROM sz) - 1, 1)::DOUBLE"))
+def recency_sample(spark, sf_dir):
+    return S.stratified_sample(panel(spark, sf_dir).select(*KEYS), SAMPLE, "recency-aware", 42)
 
 
 @query("s9_uniform_sample", PANEL_SQL + f"""
@@ -116,9 +130,9 @@ def permute_column(spark, sf_dir):
 
 @query("s13_label_redraw_ceiling", SCORES_SQL + f""",
 d AS (SELECT CAST(r AS INT) AS replicate, m1 AS score, CASE WHEN {uniform_sql(9, 'r', 'id_cliente', 'mes')} < m1 THEN 1 ELSE 0 END AS objetivo
-  FROM valid, generate_series(0, 19) g(r)),
+  FROM valid, generate_series(0, 199) g(r)),
 {gini_sql('d', 'replicate')}
 SELECT count(*) AS n_periods, round(avg(gini), 9) AS mean_gini, round(stddev_pop(gini), 9) AS std_gini FROM g""")
 def label_redraw_ceiling(spark, sf_dir):
-    drawn = S.redraw_labels(valid_scores(spark, sf_dir), "m1", 20, 9)
+    drawn = S.redraw_labels(valid_scores(spark, sf_dir), "m1", 200, 9)
     return rounded(M.monthly_summary(M.auc_table(drawn, ["replicate"], "m1")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cohortica.spec import (BOOLEAN_COLUMNS, CATEGORICAL_COLUMNS, DEFAULT, NUMERIC_COLUMNS,
@@ -98,14 +101,53 @@ def source_row_index(df: DataFrame, order: Sequence[str], out: str = "row_ord")
     return row_numbers(df, [], order, out).withColumn(out, F.col(out) - 1)
 
 
+# Stores whose files a task can open itself; those of others are read by Spark, whole.
+STREAMED = {"file": None, "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+_CHUNK = 1 << 23
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for uri in batch.column(0).to_pylist():
+            scheme, rest = uri.split(":", 1)
+            digest = sha256()
+            if scheme == "file":
+                stream = open("/" + rest.lstrip("/"), "rb")
+            else:
+                store, name = pa.fs.FileSystem.from_uri(f"{STREAMED[scheme]}:{rest}")
+                stream = store.open_input_stream(name)
+            with stream:
+                while chunk := stream.read(_CHUNK):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["path", "bytes", "sha256"])
+
+
 def file_records(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of every file under ``path`` (SRC5, L1)."""
+    """Path, size and SHA-256 of every file under ``path`` (SRC5, L1).
+
+    Spark only lists the files; each is read in its task chunk by chunk, so a file of any size
+    takes a few MB. Spark's file listing leaves out empty files. In stores that only Spark can open a file is one value, below 2 GB.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", True).load(path))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() in STREAMED:
+        return files.select("path", F.col("length").alias("bytes")).mapInArrow(_digests, "path string, bytes long, sha256 string")
     return files.select("path", F.col("length").alias("bytes"),
                         F.sha2("content", 256).alias("sha256"))
 
 
+def read_in_order(spark: SparkSession, path: str, schema: str, out: str = "row_ord") -> DataFrame:
+    """CSV files with header as one table, rows numbered in the order of file names and of lines (SNK1)."""
+    place = F.col("_metadata")
+    rows = spark.read.schema(schema).option("header", True).csv(path).select(
+        "*", place["file_name"].alias("_file"), place["file_block_start"].alias("_block"),
+        F.monotonically_increasing_id().alias("_line"))
+    return source_row_index(rows, ["_file", "_block", "_line"], out).drop("_file", "_block", "_line")
+
+
 def read_run_table(spark: SparkSession, path: str, schema: T.StructType,
                    format: str = "parquet") -> DataFrame:
     """A stored prediction / member table with a fixed schema (SRC6)."""

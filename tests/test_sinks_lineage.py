@@ -124,3 +124,67 @@ def test_report_and_run_table_round_trip(spark, tmp_path):
     K.write_report(metrics, str(tmp_path / "report"))
     again = R.read_run_table(spark, str(tmp_path / "report"), metrics.schema, "json")
     assert [tuple(r) for r in again.collect()] == [("a", 0.2)]
+
+
+def test_large_files_are_digested_in_chunks(spark, tmp_path):
+    """A sparse file of 3 GB, beyond what one value can hold, and names with blanks and signs."""
+    size = 3 * 2**30 + 5
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "a b%20c#d.txt").write_bytes(b"abc")
+    want, zeros = hashlib.sha256(), bytes(1 << 24)
+    for at in range(0, size, len(zeros)):
+        want.update(zeros[:size - at])
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in R.file_records(spark, str(tmp_path)).collect()}
+    assert got["large.bin"] == (size, want.hexdigest())
+    assert got["a b%20c#d.txt"] == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_failed_publication_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    read = lambda: sorted(r.id for r in spark.read.parquet(path).collect())
+    K.publish(spark, path, spark.range(3).write.parquet)
+    assert read() == [0, 1, 2]
+    failing = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        K.publish(spark, path, failing.write.parquet)
+
+    def refuse(staged):
+        raise ContractViolation("not like this")
+    with pytest.raises(ContractViolation):
+        K.publish(spark, path, spark.range(5).write.parquet, refuse)
+    assert read() == [0, 1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    K.publish(spark, path, spark.range(5).write.parquet)
+    assert read() == [0, 1, 2, 3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_submission_order_is_read_back(spark, tmp_path):
+    ids = [(i, (i * 7919) % 1000, i / 1000) for i in range(1000)]
+    df = spark.createDataFrame(ids, "row_ord long, id_cliente long, prediccion double").repartition(6)
+    path = str(tmp_path / "s")
+    K.write_submission(df, df.select("row_ord", "id_cliente"), path, files=5)
+    back = R.read_in_order(spark, path, "id_cliente long, prediccion double")
+    assert sorted((r.row_ord, r.id_cliente) for r in back.collect()) == [(i, k) for i, k, _ in ids]
+
+
+def test_resume_trusts_only_intact_artifacts(spark):
+    wanted = spark.createDataFrame([("m", f, "x", 5) for f in range(7)], "model string, fold int, identity string, n_rows long")
+    state = spark.createDataFrame([("m", f, "complete" if f else "failed", "y" if f == 1 else "x", 6 if f == 2 else 5, 1.0, None, None)
+                                   for f in range(6)], L.STATE_SCHEMA)
+    listed = spark.createDataFrame([("m", f, f"p{f}", 1, "s") for f in (1, 2, 4, 5)], "model string, fold int, path string, bytes long, sha256 string")
+    actual = spark.createDataFrame([("p4", 1, "s"), ("p5", 1, "t")], "path string, bytes long, sha256 string")
+    got = {r.fold: r.status for r in L.resume_status(wanted, state, listed, actual).collect()}
+    assert got == {0: "run", 1: "other identity", 2: "row count", 3: "missing", 4: "reuse", 5: "checksum mismatch", 6: "run"}
+    with pytest.raises(ContractViolation, match="checksum"):
+        L.resume_verified(wanted, state, listed, actual)
+    good = wanted.where("fold in (0, 4, 6)")
+    assert sorted(r.fold for r in L.resume_verified(good, state, listed, actual).collect()) == [0, 6]
+
+
+def test_a_run_is_indexed_once(spark, tmp_path):
+    record = L.run_record(spark, "r1", {"a": 1}, {}, {}, True)
+    L.append_index(record, str(tmp_path / "index"))
+    with pytest.raises(ContractViolation, match="r1"):
+        L.append_index(record, str(tmp_path / "index"))
+    L.append_index(L.run_record(spark, "r2", {}, {}, {}, False), str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
