@@ -3,7 +3,7 @@
 One pass over the texts computes the rule counts and a hash and letter count for every
 line; after that only line hashes move. Lines are normalised (lower case, one blank for
 white space, digits as 0) and counted by distinct documents per host. A line in more
-documents than its host's limit is removed, and a document that loses more than
+documents of a host than an absolute limit is removed, and a document that loses more than
 ``depleted`` percent of its word characters is rejected.
 
 Null texts have no words, so they fail the base rule. Null hosts are one host. Rows with
@@ -43,10 +43,10 @@ def repeat_words(hashes: Column) -> Column:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-            min_docs: int = 20, share: float = 0.001, depleted: int = 50) -> DataFrame:
+            max_docs: int = 20, depleted: int = 50) -> DataFrame:
     """Rule counts, base verdict and final verdict of every row.
 
-    A line's limit is the larger of ``min_docs`` and ``share`` of its host's documents.
+    A line in more than ``max_docs`` documents of its host is removed, whatever the size of the host.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     long = lambda c: c.cast("long")
@@ -72,10 +72,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     rows = kept(counted, "quality")
     lines = rows.select("row", "doc_id", "host", F.explode("lines").alias("x")).select(
         "row", "doc_id", "host", "x.line", "x.chars")
-    hosts = rows.groupBy("host").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("docs"))
     seen = lines.groupBy("host", "line").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("in_docs"))
-    common = (seen.where(F.col("in_docs") > min_docs).join(hosts, "host")
-              .where(F.col("in_docs") > F.col("docs") * F.lit(share)).select("host", "line"))
+    common = seen.where(F.col("in_docs") > max_docs).select("host", "line")
     lost = lines.join(common, ["host", "line"]).groupBy("row").agg(
         F.sum("chars").alias("removed_chars"), F.count(F.lit(1)).alias("removed_lines"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -103,9 +101,7 @@ ln AS (SELECT id, doc_id, host, x, length(regexp_replace(x, '[\x20\x09-\x0D]+',
        regexp_replace(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS line
        FROM raw WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 dup AS (SELECT id, count(*) - count(DISTINCT x) AS n FROM ln GROUP BY id),
-hosts AS (SELECT host, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM d GROUP BY host),
-common AS (SELECT host, line FROM ln JOIN hosts USING (host) GROUP BY host, line, docs
-           HAVING count(DISTINCT coalesce(doc_id, -1)) > 20 AND count(DISTINCT coalesce(doc_id, -1)) > docs * 0.001),
+common AS (SELECT host, line FROM ln GROUP BY host, line HAVING count(DISTINCT coalesce(doc_id, -1)) > 20),
 lost AS (SELECT id, sum(chars) AS c, count(*) AS n FROM ln JOIN common USING (host, line) GROUP BY id),
 a AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
       length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,

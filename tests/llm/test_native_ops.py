@@ -19,19 +19,22 @@ from tools.check_oracle import table
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+NATIVE = ["op3_merkle_fingerprints", "op5_line_frequency_quality", "op9_hierarchical_mixture", "op11_typed_chat_format"]
+
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
-@pytest.mark.parametrize("name", ["op3_merkle_fingerprints", "op5_line_frequency_quality", "op9_hierarchical_mixture"])
+@pytest.mark.parametrize("name", NATIVE)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     cur = con.execute(entry.oracle_sql()[name])
     df = entry.queries()[name](spark, SF)
     assert table(df.columns, df.collect()) == table([d[0] for d in cur.description], cur.fetchall())
 
 
 def test_no_python_in_native_plans(spark):
-    for name in ("op3_merkle_fingerprints", "op5_line_frequency_quality", "op9_hierarchical_mixture"):
+    for name in NATIVE:
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
 
