@@ -23,10 +23,11 @@ def emit(cells: np.ndarray, first: int = 0, slices: int = SLICES) -> Iterator[pa
 def merge(rows: DataFrame, kinds: dict[int, tuple[np.dtype, str]], sizes: dict[int, int]) -> dict[int, np.ndarray]:
     """Tables by their first slice number; ``kinds`` gives type and "sum" or "max", ``sizes`` the cells.
 
-    Each slice is merged in one task, which holds one slice at a time and streams the others.
+    Sums are 64-bit whatever the type of a task's table. Each slice is merged in one task, which holds one slice at a time and streams the others.
     """
     starts = sorted(kinds)
     of = lambda i: max(s for s in starts if s <= i)
+    merged = {s: np.dtype(np.int64) if how == "sum" else kind for s, (kind, how) in kinds.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -35,7 +36,7 @@ def merge(rows: DataFrame, kinds: dict[int, tuple[np.dtype, str]], sizes: dict[i
                 kind, how = kinds[of(i)]
                 part = np.frombuffer(cell.as_buffer(), kind)
                 if i not in held:
-                    held[i] = part.copy()
+                    held[i] = part.astype(merged[of(i)])
                 elif how == "sum":
                     held[i] += part
                 else:
@@ -44,10 +45,10 @@ def merge(rows: DataFrame, kinds: dict[int, tuple[np.dtype, str]], sizes: dict[i
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())],
                                              ["slice", "cells"])
 
-    out = {s: np.zeros(sizes[s], kinds[s][0]) for s in starts}
+    out = {s: np.zeros(sizes[s], merged[s]) for s in starts}
     for r in rows.select("slice", "cells").repartition(SLICES, "slice").mapInArrow(run, FIELDS).collect():
         s = of(r["slice"])
-        part = np.frombuffer(r["cells"], kinds[s][0])
+        part = np.frombuffer(r["cells"], merged[s])
         at = (r["slice"] - s) * len(part)
         out[s][at:at + len(part)] = part
     return out
