@@ -5,12 +5,14 @@ vectors, the first rotated twice and the second once, so order counts; a text is
 of its trigrams, and a language the sum of its texts' unit vectors. A text gets the
 language whose prototype has the largest cosine with it.
 
-Letters are those of Unicode, lower-cased; a-z have vectors of their own, other letters
-share ``OTHER`` vectors by code point. Anything else is a word boundary. Prototypes are
-summed by Spark over all training texts: one row a language and dimension.
+Letters are those of Unicode, lower-cased; the vector of each is drawn from its code point
+alone, so no two share one and every worker has the same. Anything else is a word boundary.
+Prototypes are summed by Spark over all training texts: one row a language and dimension.
 
 A null text or one without a letter is ``und`` with score 0, and so is every text if there
-is nothing to learn from. Equal cosines go to the alphabetically first language.
+is nothing to learn from. Equal cosines go to the alphabetically first language. Texts are
+whole, however long. Repeated rows and rows without an id are each scored, and learned from
+as often as they occur. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,54 +26,86 @@ from pyspark.sql import DataFrame, functions as F
 from cohortica.llm.common import crc_mod, slices
 
 DIMENSIONS = 512
-OTHER = 100
+SYMBOL_BITS = 21           # room for every code point
+LETTERS = 50_000           # letter vectors a worker holds before it starts over: 100 MB
 HELD = 4096                # trigrams whose vectors a worker adds at a time
 MOST = 40_000              # trigram vectors a worker holds: 80 MB
 SEED = 41
 
 
 class Profiles:
-    """Text vectors; trigram vectors are made when first seen."""
+    """Text vectors; letter and trigram vectors are made when first seen."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.letters = rng.choice(np.array([-1.0, 1.0], np.float32), (128, dimensions))
-        self.symbol = {}
+        self.dimensions, self.seed = dimensions, seed
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start over: symbol 0 is the word boundary, the others are letters in the order seen."""
+        self.symbol: dict[int, int] = {}
+        self.letters = self._letter(0)[None]
+        self._table: np.ndarray | None = None
         self.clear()
 
+    def _letter(self, code: int) -> np.ndarray:
+        """The vector of a code point, drawn from its number alone."""
+        return np.random.default_rng([self.seed, code]).choice(np.array([-1.0, 1.0], np.float32), self.dimensions)
+
     def clear(self) -> None:
-        self.row = np.full(1 << 21, -1, np.int32)
-        self.vectors = np.empty((HELD, self.letters.shape[1]), np.float32)
-        self.used = 0
+        self.keys, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)      # trigrams in order, and their vectors' rows
+        self.vectors = np.empty((HELD, self.dimensions), np.float32)
 
     def _rows(self, grams: np.ndarray) -> np.ndarray:
-        new = np.unique(grams[self.row[grams] < 0])
-        if self.used + len(new) > MOST:
-            self.clear()
-            new = np.unique(grams)
-        while self.used + len(new) > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
-        made = (np.roll(self.letters[new >> 14], 2, 1) * np.roll(self.letters[new >> 7 & 127], 1, 1)
-                * self.letters[new & 127])
-        self.vectors[self.used:self.used + len(new)] = made
-        self.row[new] = np.arange(self.used, self.used + len(new))
-        self.used += len(new)
-        return self.row[grams]
+        """Vector rows of distinct trigrams in order, at most ``MOST``."""
+        at = np.minimum(np.searchsorted(self.keys, grams), max(len(self.keys) - 1, 0))
+        new = grams[self.keys[at] != grams] if len(self.keys) else grams
+        if len(new):
+            if len(self.keys) + len(new) > MOST:
+                self.clear()
+                new = grams
+            used = len(self.keys)
+            while used + len(new) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            mask = (1 << SYMBOL_BITS) - 1
+            for i in range(0, len(new), HELD):
+                part = new[i:i + HELD]
+                self.vectors[used + i:used + i + len(part)] = (
+                    np.roll(self.letters[part >> 2 * SYMBOL_BITS], 2, 1)
+                    * np.roll(self.letters[part >> SYMBOL_BITS & mask], 1, 1) * self.letters[part & mask])
+            keys, rows = np.concatenate([self.keys, new]), np.concatenate([self.rows, np.arange(used, used + len(new))])
+            order = np.argsort(keys)
+            self.keys, self.rows = keys[order], rows[order]
+        return self.rows[np.searchsorted(self.keys, grams)]
 
     def _symbols(self, codes: np.ndarray) -> np.ndarray:
         seen, back = np.unique(codes, return_inverse=True)
-        out = []
+        out, made = [], []
         for c in seen.tolist():
             if c not in self.symbol:
                 letter = chr(c).isalpha()
-                self.symbol[c] = 0 if not letter else c - 96 if 97 <= c <= 122 else 27 + c % OTHER
+                self.symbol[c] = len(self.letters) + len(made) if letter else 0
+                if letter:
+                    made.append(self._letter(c))
             out.append(self.symbol[c])
+        if made:
+            self.letters = np.concatenate([self.letters, made])
         return np.array(out, np.int64)[back]
 
+    def _symbols_table(self, codes: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            self._table = self._symbols(np.arange(0x250, dtype=np.uint32))
+        out = self._table[np.minimum(codes, 0x24F)]
+        far = np.flatnonzero(codes >= 0x250)
+        if len(far):
+            out[far] = self._symbols(codes[far])
+        return out
+
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """One vector a text; zero where it has no letter."""
+        if len(self.letters) > LETTERS:
+            self._forget()
         low = [(t or "").lower() for t in texts]
-        out = np.zeros((len(texts), self.letters.shape[1]), np.float32)
+        out = np.zeros((len(texts), self.dimensions), np.float32)
         codes = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "replace"), np.uint32)
         size = np.array([len(t) for t in low]) + 1
         doc = np.concatenate([[0], np.repeat(np.arange(len(low)), size)])
@@ -80,33 +114,21 @@ class Profiles:
         symbol, doc = symbol[keep], doc[keep]
         if len(symbol) < 3:
             return out
-        gram = symbol[:-2] << 14 | symbol[1:-1] << 7 | symbol[2:]
-        own = doc[1:-1]
-        real = (symbol[1:-1] > 0)
-        key, count = np.unique(own[real] << 21 | gram[real], return_counts=True)
-        if not len(key):
+        real = symbol[1:-1] > 0
+        gram = (symbol[:-2] << 2 * SYMBOL_BITS | symbol[1:-1] << SYMBOL_BITS | symbol[2:])[real]
+        if not len(gram):
             return out
-        own, gram = key >> 21, key & ((1 << 21) - 1)
-        cut = np.flatnonzero(np.diff(own, prepend=-1))
-        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(own)]):
-            for i in range(a, z, MOST):
-                j = min(z, i + MOST)
-                out[own[a]] += count[i:j].astype(np.float32) @ self.vectors_of(gram[i:j])
-        return out
-
-    def vectors_of(self, grams: np.ndarray) -> np.ndarray:
-        rows = self._rows(grams)
-        return self.vectors[rows]
-
-    _table: np.ndarray | None = None
-
-    def _symbols_table(self, codes: np.ndarray) -> np.ndarray:
-        if self._table is None:
-            self._table = self._symbols(np.arange(0x250, dtype=np.uint32))
-        out = self._table[np.minimum(codes, 0x24F)]
-        far = np.flatnonzero(codes >= 0x250)
-        if len(far):
-            out[far] = self._symbols(codes[far])
+        distinct, at = np.unique(gram, return_inverse=True)
+        key, count = np.unique(doc[1:-1][real] * len(distinct) + at, return_counts=True)
+        own, at = np.divmod(key, len(distinct))
+        for low_end in range(0, len(distinct), MOST):
+            rows = self._rows(distinct[low_end:low_end + MOST])
+            here = np.flatnonzero((at >= low_end) & (at < low_end + MOST))
+            cut = np.flatnonzero(np.diff(own[here], prepend=-1))
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(here)]):
+                for i in range(a, z, HELD):                          # counts times +1/-1: exact in any order
+                    part = here[i:min(z, i + HELD)]
+                    out[own[part[0]]] += count[part].astype(np.float32) @ self.vectors[rows[at[part] - low_end]]
         return out
 
 
