@@ -115,12 +115,22 @@ class Profiles:
         if len(symbol) < 3:
             return out
         real = symbol[1:-1] > 0
-        gram = (symbol[:-2] << 2 * SYMBOL_BITS | symbol[1:-1] << SYMBOL_BITS | symbol[2:])[real]
-        if not len(gram):
+        if not real.any():
             return out
-        distinct, at = np.unique(gram, return_inverse=True)
-        key, count = np.unique(doc[1:-1][real] * len(distinct) + at, return_counts=True)
-        own, at = np.divmod(key, len(distinct))
+        # letters are numbered in the order seen: few bits hold a trigram, and one sort counts (text, trigram)
+        bits = int(len(self.letters) - 1).bit_length()
+        gram = (symbol[:-2] << 2 * bits | symbol[1:-1] << bits | symbol[2:])[real]
+        if 3 * bits + len(texts).bit_length() < 63:
+            key, count = np.unique(doc[1:-1][real] << 3 * bits | gram, return_counts=True)
+            own, gram = key >> 3 * bits, key & ((1 << 3 * bits) - 1)
+            distinct = np.unique(gram)
+            at = np.searchsorted(distinct, gram)
+        else:
+            distinct, at = np.unique(gram, return_inverse=True)
+            key, count = np.unique(doc[1:-1][real] * len(distinct) + at, return_counts=True)
+            own, at = np.divmod(key, len(distinct))
+        mask = (1 << bits) - 1
+        distinct = distinct >> 2 * bits << 2 * SYMBOL_BITS | (distinct >> bits & mask) << SYMBOL_BITS | distinct & mask
         for low_end in range(0, len(distinct), MOST):
             rows = self._rows(distinct[low_end:low_end + MOST])
             here = np.flatnonzero((at >= low_end) & (at < low_end + MOST))
