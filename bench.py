@@ -16,7 +16,7 @@ HEADLINE = [
     "e2_grouped_blend", "e5_quantile_map", "e7_grid_weights", "p9_behavioural_ratios",
     "p10_calendar_features", "p18_quantile_bins", "s9_stratified_sample", "v6_absorbing_event",
     "w1_history_features", "w6_trajectory", "w9_rank_all_columns", "w10_cohort_ranks",
-    "w14_causal_target_encoding", "m2_logistic", "m7_cox_gini",
+    "w14_causal_target_encoding", "m2_logistic", "m7_cox_gini", "b2_bootstrap_ginis", "m6_cloglog_gini", "s12_permute_column",
 ]
 
 

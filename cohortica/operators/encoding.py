@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortica.functions.features import known_category
 from cohortica.functions.ordered import quantiles, row_numbers
+from cohortica.functions.stored import stored
 from cohortica.spec import DEFAULT, PanelSpec
 
 
@@ -20,16 +22,26 @@ def category_vocabulary(train: DataFrame, columns: Sequence[str]) -> DataFrame:
         "code", (F.col("code") - 1).cast("int"))
 
 
+def _joined(rows: DataFrame, table: DataFrame, match: dict[str, Column], prefix: str) -> DataFrame:
+    """Left equi join on equal or both NULL values; ``match`` maps columns of ``table`` to expressions over ``rows``."""
+    renamed = table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
+    on = reduce(lambda x, y: x & y, [e.eqNullSafe(F.col(f"{prefix}{c}")) for c, e in match.items()])
+    return rows.join(renamed, on, "left").drop(*[f"{prefix}{c}" for c in match])
+
+
 def encode_categories(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str],
                       row_key: Sequence[str]) -> DataFrame:
-    """Codes of several category columns; an unseen value gets the next free code."""
-    sizes = vocabulary.groupBy("column").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    long = df.select(*row_key, *[known_category(c).alias(c) for c in columns]).unpivot(
-        list(row_key), list(columns), "column", "value")
-    coded = long.join(vocabulary, ["column", "value"], "left").join(sizes, "column", "left")
-    code = F.coalesce(F.col("code"), F.col("_n"), F.lit(0))       # a column without vocabulary: all unseen
-    return coded.groupBy(*row_key).agg(*[
-        F.max(F.when(F.col("column") == c, code)).alias(f"{c}_code") for c in columns])
+    """Codes of several category columns; an unseen value gets the next free code.
+
+    Wide rows meet one vocabulary a column; they are never turned into long ones.
+    """
+    words = stored(vocabulary.select("column", "value", "code"), "vocabulary")
+    sizes = words.groupBy().agg(*[F.count(F.when(F.col("column") == c, 1)).cast("int").alias(f"_n_{c}") for c in columns])
+    out = df.select(*row_key, *[known_category(c).alias(c) for c in columns])
+    for c in columns:
+        out = _joined(out, words.where(F.col("column") == c).select("value", "code"), {"value": F.col(c)}, f"_{c}_")
+    codes = [F.coalesce(F.col(f"_{c}_code"), F.col(f"_n_{c}")).alias(f"{c}_code") for c in columns]
+    return out.crossJoin(F.broadcast(sizes)).select(*row_key, *codes)                       # one row
 
 
 def causal_target_encoding(df: DataFrame, keys: dict[str, Column], smoothing: float = 50.0,
@@ -38,7 +50,8 @@ def causal_target_encoding(df: DataFrame, keys: dict[str, Column], smoothing: fl
     """Smoothed event rate of each key over strictly earlier periods.
 
     Rows are collapsed to (key column, key, period) first; the running sums then
-    see at most one row per period, and same-period rows cannot leak.
+    see at most one row per period, and same-period rows cannot leak. The wide rows meet
+    the encodings of one key after the other and are never turned into long ones.
     """
     row_key = list(row_key or spec.keys)
     y = F.col(spec.label).cast("double")
@@ -59,11 +72,14 @@ def causal_target_encoding(df: DataFrame, keys: dict[str, Column], smoothing: fl
     past = Window.partitionBy(F.lit(0)).orderBy(spec.period).rowsBetween(Window.unboundedPreceding, -1)
     prior = monthly.select(spec.period, F.try_divide(
         F.sum("_y").over(past), F.sum("_n").over(past)).alias("_prior"))
-    encoded = history.join(prior, spec.period).select(
+    encoded = stored(history.join(prior, spec.period).select(
         "_column", "_key", spec.period,
-        ((F.col("_yb") + smoothing * F.col("_prior")) / (F.col("_nb") + smoothing)).alias("_te"))
-    return long.join(encoded, ["_column", "_key", spec.period], "left").groupBy(*row_key).agg(*[
-        F.max(F.when(F.col("_column") == name, F.col("_te"))).alias(f"te_{name}") for name in keys])
+        ((F.col("_yb") + smoothing * F.col("_prior")) / (F.col("_nb") + smoothing)).alias("te")), "encodings")
+    out = df.select(*row_key, F.col(spec.period).alias("_period"), *[expr.alias(f"_key_{name}") for name, expr in keys.items()])
+    for name in keys:
+        table = encoded.where(F.col("_column") == name).select("_key", F.col(spec.period).alias("_at"), "te")
+        out = _joined(out, table, {"_key": F.col(f"_key_{name}"), "_at": F.col("_period")}, f"_{name}_")
+    return out.select(*row_key, *[F.col(f"_{name}_te").alias(f"te_{name}") for name in keys])
 
 
 def bin_edges(train: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
@@ -88,12 +104,9 @@ def bin_index(value: Column, edges: Column, right_closed: bool = False) -> Colum
 def quantile_bins(train: DataFrame, df: DataFrame, columns: Sequence[str], bins: int,
                   row_key: Sequence[str], right_closed: bool = False) -> DataFrame:
     """Bins of ``df`` from the training edges (P18); one row per key."""
-    edges = F.broadcast(bin_edges(train, columns, bins))  # one row per column, ``bins + 1`` doubles
-    long = df.select(*row_key, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(row_key), list(columns), "column", "value").join(edges, "column")
-    idx = bin_index(F.col("value"), F.col("edges"), right_closed)
-    return long.groupBy(*row_key).agg(*[
-        F.max(F.when(F.col("column") == c, idx)).alias(f"{c}_bin") for c in columns])
+    edges = bin_edges(train, columns, bins).agg(F.map_from_entries(F.collect_list(F.struct("column", "edges"))).alias("_edges"))
+    rows = df.select(*row_key, *[F.col(c).cast("double").alias(c) for c in columns]).crossJoin(F.broadcast(edges))   # one row
+    return rows.select(*row_key, *[bin_index(F.col(c), F.col("_edges")[c], right_closed).alias(f"{c}_bin") for c in columns])
 
 
 def cross_keys(band: str, bins: Sequence[str]) -> list[Column]:

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortica.operators.metrics import require_both_classes
+from cohortica.operators.metrics import metric_slices, require_both_classes
 from cohortica.operators.replicates import OBSERVED, packed_weights, replicate_pairs, unpacked
 from cohortica.session import ensure_checkpoint_dir
 from cohortica.spec import DEFAULT, PanelSpec
@@ -223,6 +223,33 @@ def winner_status(delta: DataFrame, slices: DataFrame) -> DataFrame:
         F.when(ok, "conclusive_winner").otherwise("no_conclusive_winner").alias("status"))
 
 
+def finalists(inner: DataFrame) -> tuple[str, str] | None:
+    """Champion and runner-up by mean inner-fold Gini, ties by name; None with fewer than two eligible candidates.
+
+    ``inner`` has (model, eligible, mean_gini), one row a candidate, from folds before the holdout.
+    """
+    best = inner.where("eligible and mean_gini is not null").orderBy(F.desc("mean_gini"), "model").limit(2).collect()
+    return (best[0]["model"], best[1]["model"]) if len(best) == 2 else None
+
+
+def outer_winner(inner: DataFrame, holdout: DataFrame, cohort: str, replicates: int, seed: int,
+                 scheme: str = "multinomial", spec: PanelSpec = DEFAULT) -> DataFrame:
+    """The finalists, the bootstrap of their difference on the holdout, and the verdict.
+
+    ``holdout`` has one score column a candidate. The holdout plays no part in the choice.
+    """
+    pair = finalists(inner)
+    if pair is None:
+        return holdout.sparkSession.range(1).select(
+            F.lit(None).cast("string").alias("champion"), F.lit(None).cast("string").alias("runner_up"),
+            F.lit(None).cast("double").alias("delta_gini"), F.lit(None).cast("double").alias("ci95_low"),
+            F.lit("no_conclusive_winner").alias("status"))
+    champion, runner_up = pair
+    delta = pooled_delta(holdout, champion, runner_up, replicates, seed, scheme, spec=spec)
+    slices = metric_slices(holdout, spec.period, cohort, champion, spec.label, probability=True)
+    return winner_status(delta, slices).select(F.lit(champion).alias("champion"), F.lit(runner_up).alias("runner_up"), "*")
+
+
 def promotion_label(mean_gini: Column, blend_gini: Column, mean_spearman: Column, baseline: float,
                     promote: float = 0.253, competitive: float = 0.251, floor: float = 0.248,
                     max_spearman: float = 0.95) -> Column:

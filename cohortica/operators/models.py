@@ -20,6 +20,7 @@ from cohortica.functions.features import known_category
 from cohortica.functions.hashing import hash_int, hash_uniform
 from cohortica.functions.ordered import pct_rank, quantiles
 from cohortica.functions.periods import in_recent_window, ordinal_of, ordinal
+from cohortica.functions.stored import stored
 from cohortica.operators.encoding import bin_edges, category_vocabulary
 from cohortica.operators.logistic import MAX_WIDTH, fit_logistic
 from cohortica.operators.metrics import auc_table, metric_table, monthly_summary
@@ -302,25 +303,33 @@ def naive_bayes(train: DataFrame, score_rows: DataFrame, columns: Sequence[str],
     base = train.select(*group, y.alias("_y"), *cats)
     classes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_n1"))
     long = base.unpivot(["_g", "_y"], list(columns), "_c", "_v")
-    values = category_vocabulary(train, columns).select(F.col("column").alias("_c"), F.col("value").alias("_v"), "code")
-    sizes = values.groupBy("_c").agg(F.count(F.lit(1)).alias("_k"))
-    first = values.where(F.col("code") == 0).select("_c", F.col("_v").alias("_v0"))
-    counts = long.groupBy("_g", "_c", "_v").agg(F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_m1"))
-    rows = score_rows.select(*panel.keys, *group, *cats).unpivot([*panel.keys, "_g"], list(columns), "_c", "_v")
-    if clip_unseen:
-        rows = rows.join(values.select("_c", "_v", F.lit(1).alias("_known")), ["_c", "_v"], "left").join(
-            first, "_c").withColumn("_v", F.when(F.col("_known").isNull(), F.col("_v0")).otherwise(F.col("_v")))
-    everyone = classes.agg(F.sum("_n").alias("_all"), F.sum("_n1").alias("_all1"))    # one row
-    full = (rows.join(counts, ["_g", "_c", "_v"], "left").join(sizes, "_c").join(classes, "_g", "left")
-            .crossJoin(F.broadcast(everyone)))
+    values = stored(category_vocabulary(train, columns), "vocabulary")
+    of = lambda c: F.col("column") == c
+    known = values.agg(*[F.count(F.when(of(c), 1)).alias(f"_k_{c}") for c in columns],
+                       *[F.max(F.when(of(c) & (F.col("code") == 0), F.col("value"))).alias(f"_first_{c}") for c in columns])
+    counts = stored(long.groupBy("_g", "_c", "_v").agg(F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_m1")), "counts")
+    everyone = classes.agg(F.sum("_n").alias("_all"), F.sum("_n1").alias("_all1"))
+    rows = score_rows.select(*panel.keys, *group, *cats).crossJoin(F.broadcast(known.crossJoin(everyone)))      # one row
+    rows = rows.join(classes, "_g", "left")
     seen = F.col("_n").isNotNull()
-    m1 = F.coalesce("_m1", F.lit(0))
-    m0 = F.coalesce(F.col("_m") - F.col("_m1"), F.lit(0))
     n1 = F.coalesce("_n1", "_all1")
     n0 = F.coalesce(F.col("_n") - F.col("_n1"), F.col("_all") - F.col("_all1"))
-    llr = F.ln((m1 + alpha) / (n1 + alpha * F.col("_k"))) - F.ln((m0 + alpha) / (n0 + alpha * F.col("_k")))
-    total = full.groupBy(*panel.keys).agg(
-        F.sum(F.when(seen, llr).otherwise(F.lit(0.0))).alias("_llr"), F.max(n1).alias("_c1"), F.max(n0).alias("_c0"))
+    terms = []
+    for c in columns:                                               # wide rows meet one small table a column
+        value = F.col(c)
+        if clip_unseen:
+            words = values.where(of(c)).select(F.col("value").alias(f"_known_{c}"))
+            rows = rows.join(words, F.col(c) == F.col(f"_known_{c}"), "left")
+            value = F.coalesce(F.col(f"_known_{c}"), F.col(f"_first_{c}"))
+        table = counts.where(F.col("_c") == c).select(
+            F.col("_g").alias(f"_g_{c}"), F.col("_v").alias(f"_v_{c}"), F.col("_m").alias(f"_m_{c}"), F.col("_m1").alias(f"_m1_{c}"))
+        rows = rows.join(table, F.col("_g").eqNullSafe(F.col(f"_g_{c}")) & (value == F.col(f"_v_{c}")), "left")
+        m1 = F.coalesce(f"_m1_{c}", F.lit(0))
+        m0 = F.coalesce(F.col(f"_m_{c}") - F.col(f"_m1_{c}"), F.lit(0))
+        size = alpha * F.col(f"_k_{c}")
+        terms.append(F.ln((m1 + alpha) / (n1 + size)) - F.ln((m0 + alpha) / (n0 + size)))
+    total = rows.select(*panel.keys, F.when(seen, reduce(lambda x, y: x + y, terms)).otherwise(F.lit(0.0)).alias("_llr"),
+                        n1.alias("_c1"), n0.alias("_c0"))
     z = F.col("_llr") + F.ln(F.col("_c1") / F.col("_c0"))
     p = (F.when(F.col("_c1") == 0, 0.0).when(F.col("_c0") == 0, 1.0)
          .otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-z))))

@@ -82,10 +82,11 @@ def seed_scores(df):
 SELECT CAST(sum(CASE WHEN ts IS NULL THEN 1 ELSE 0 END + CASE WHEN user_id IS NULL THEN 1 ELSE 0 END +
   CASE WHEN event_type IS NULL THEN 1 ELSE 0 END + CASE WHEN value IS NULL OR isnan(value) THEN 1 ELSE 0 END +
   CASE WHEN props IS NULL THEN 1 ELSE 0 END + CASE WHEN event_id IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-  + (SELECT count(*) FROM orders WHERE o_custkey IS NULL OR o_totalprice IS NULL) AS missing FROM events""")
+  + (SELECT CAST(sum(CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END + CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END + CASE WHEN o_orderstatus IS NULL THEN 1 ELSE 0 END
+  + CASE WHEN o_totalprice IS NULL OR isnan(o_totalprice) THEN 1 ELSE 0 END + CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END
+  + CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END) AS BIGINT) FROM orders) AS missing FROM events""")
 def missing_values(spark, sf_dir):
-    return C.missing_values(R.read_table(spark, sf_dir, "events"),
-                            R.read_table(spark, sf_dir, "orders", ["o_custkey", "o_totalprice"]))
+    return C.missing_values(R.read_table(spark, sf_dir, "events"), R.read_table(spark, sf_dir, "orders"))
 
 
 @query("v3_duplicate_keys", """

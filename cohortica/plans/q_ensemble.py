@@ -145,25 +145,34 @@ def inner_selection(spark, sf_dir):
     return rounded(E.inner_selection(means, "m2"))
 
 
+SEGMENT_SQL = f"""CASE WHEN id_cliente IN (SELECT id_cliente FROM scores WHERE mes <= {TRAIN_THROUGH}) THEN 'survivor'
+  WHEN id_cliente > (SELECT max(id_cliente) FROM scores WHERE mes <= {TRAIN_THROUGH}) THEN 'new' ELSE 'other' END"""
+
+
 @query("e12_release_gates", SCORES_SQL + f""",
-sm AS (SELECT * FROM scores WHERE mes = {SCORE_MONTH}), r AS (SELECT *, {rank_sql('m1', 'mes')} AS r1, {rank_sql('m2', 'mes')} AS r2 FROM sm)
-SELECT 'G1' AS gate, (SELECT corr(r1, r2) BETWEEN 0.8 AND 0.95 FROM r) AS passed, round((SELECT corr(r1, r2) FROM r), 9) AS main_evidence
-UNION ALL SELECT 'G2', (SELECT corr(r1, r2) BETWEEN 0.8 AND 0.95 FROM r) AND (SELECT stddev_pop(m1) > 0.01 FROM sm), round((SELECT stddev_pop(m1) * 0.99 FROM sm), 9)
-UNION ALL SELECT 'G3', (SELECT stddev_pop(m1) > 0.01 FROM sm), round((SELECT stddev_pop(m1) FROM sm), 9)
-UNION ALL SELECT 'G4', true, 0.0""")
+sm AS (SELECT *, {SEGMENT_SQL} AS segment FROM scores WHERE mes = {SCORE_MONTH}),
+r AS (SELECT *, {rank_sql('m1', 'mes')} AS r1, {rank_sql('m2', 'mes')} AS r2, {rank_sql('m1', 'segment')} AS s1, {rank_sql('m2', 'segment')} AS s2 FROM sm),
+sg AS (SELECT corr(s1, s2) AS rho, avg(m1) AS mean FROM r WHERE segment = 'survivor')
+SELECT 'G1' AS gate, (SELECT corr(r1, r2) BETWEEN 0.8 AND 0.95 FROM r) AS passed, round((SELECT corr(r1, r2) FROM r), 9) AS main_evidence, round((SELECT rho FROM sg), 9) AS survivor_evidence
+UNION ALL SELECT 'G2', (SELECT corr(r1, r2) BETWEEN 0.8 AND 0.95 FROM r) AND (SELECT stddev_pop(m1) > 0.01 FROM sm), round((SELECT stddev_pop(m1) * 0.99 FROM sm), 9), NULL
+UNION ALL SELECT 'G3', (SELECT stddev_pop(m1) > 0.01 FROM sm), round((SELECT stddev_pop(m1) FROM sm), 9), round((SELECT mean FROM sg), 9)
+UNION ALL SELECT 'G4', true, 0.0, NULL""")
 def release_gates(spark, sf_dir):
-    df = scores(spark, sf_dir).where(F.col("mes") == SCORE_MONTH)
+    """The four gates on the score month; G1 and G3 also by segment."""
+    everything = scores(spark, sf_dir)
+    df = E.segments(everything.where(F.col("mes") == SCORE_MONTH), everything.where(F.col("mes") <= TRAIN_THROUGH), "id_cliente")
     indexed = source_row_index(df, ["id_cliente"])
-    members = df.select("id_cliente", F.col("m1").alias("n1"), F.col("m2").alias("b0"))
+    members = df.select("id_cliente", F.col("m1").alias("n1"), F.col("m2").alias("b0"), "segment")
     # Three seeds around the column whose mean is the column.
     shift = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(k).alias("k"))
                                 for s, k in ((42, 0.99), (43, 1.0), (44, 1.01))]))
     seeds = df.select("id_cliente", "m1", shift.alias("_s")).select(
         "id_cliente", "_s.seed", (F.col("m1") * F.col("_s.k")).alias("score"))
     submission = indexed.select("row_ord", "id_cliente", F.col("m1").alias("prediccion"))
-    gates = E.release_gates(members, seeds, submission, indexed.select("row_ord", "id_cliente"), (42, 43, 44))
-    key = F.create_map(*[F.lit(x) for x in ("G1", "spearman", "G2", "min_std", "G3", "std", "G4", "violations")])
-    return gates.select("gate", "passed", F.round(F.col("evidence")[key[F.col("gate")]], 9).alias("main_evidence"))
+    gates = E.release_gates(members, seeds, submission, indexed.select("row_ord", "id_cliente"), (42, 43, 44), segment="segment")
+    pick = lambda **keys: F.round(F.col("evidence")[F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])[F.col("gate")]], 9)
+    return gates.select("gate", "passed", pick(G1="spearman", G2="min_std", G3="std", G4="violations").alias("main_evidence"),
+                        pick(G1="spearman_survivor", G3="mean_survivor").alias("survivor_evidence"))
 
 
 @query("e13_pre_release_checks", SCORES_SQL + f""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Window, functions as F
 
 from cohortica.functions import features as X
@@ -63,19 +65,16 @@ def column_transforms(spark, sf_dir):
     return rounded(FAM.transform(FAM.transform(df, "rank_interaccion"), "ordinal_band"))
 
 
-@query("p6_category_codes", PANEL_SQL + f""",
-tr AS (SELECT DISTINCT ocupacion AS v FROM panel WHERE mes <= 199502), c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM tr),
-tr2 AS (SELECT DISTINCT dispositivo_principal AS v FROM panel WHERE mes <= 199502 AND dispositivo_principal <> 'ios'),
-c2 AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM tr2)
-SELECT {K}, CAST(coalesce(c.code, (SELECT count(*) FROM c)) AS INT) AS ocupacion_code,
-  CAST(coalesce(c2.code, (SELECT count(*) FROM c2)) AS INT) AS dispositivo_principal_code
-FROM panel LEFT JOIN c ON ocupacion = c.v LEFT JOIN c2 ON dispositivo_principal = c2.v""")
+@query("p6_category_codes", PANEL_SQL + ", " + ", ".join(
+    f"c{i} AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INT) AS code FROM (SELECT DISTINCT {c} FROM panel WHERE mes <= 199512))"
+    for i, c in enumerate(CATEGORICAL_COLUMNS)) + f" SELECT {K}, " + ", ".join(
+    f"coalesce(c{i}.code, CAST((SELECT count(*) FROM c{i}) AS INT)) AS {c}_code" for i, c in enumerate(CATEGORICAL_COLUMNS)) + " FROM panel "
+    + " ".join(f"LEFT JOIN c{i} ON {c} = c{i}.v" for i, c in enumerate(CATEGORICAL_COLUMNS)))
 def category_codes(spark, sf_dir):
+    """All categories of the panel by the vocabulary of its first year."""
     df = panel(spark, sf_dir)
-    train = df.where(F.col("mes") <= 199502)
-    vocab = E.category_vocabulary(train, ["ocupacion"]).unionByName(E.category_vocabulary(
-        train.where(F.col("dispositivo_principal") != "ios"), ["dispositivo_principal"]))
-    return E.encode_categories(df, vocab, ["ocupacion", "dispositivo_principal"], KEYS)
+    vocabulary = E.category_vocabulary(df.where(F.col("mes") <= 199512), CATEGORICAL_COLUMNS)
+    return E.encode_categories(df, vocabulary, CATEGORICAL_COLUMNS, KEYS)
 
 
 @query("p7_null_bool_normalisation", """
@@ -213,16 +212,14 @@ def band_bin_keys(spark, sf_dir):
         *KEYS, *E.cross_keys("banda_riesgo", ["edad_bin"]))
 
 
-@query("p20_design_stats", PANEL_SQL + f""",
-t AS (SELECT * FROM panel WHERE mes <= {TRAIN_THROUGH})
-SELECT 'edad' AS feature, round(avg(edad), 6) AS mean, round(stddev_pop(edad), 6) AS std FROM t
-UNION ALL SELECT 'ingresos', round(avg(ingresos), 6), round(stddev_pop(ingresos), 6) FROM t
-UNION ALL SELECT f, round(n / tot, 6), round(sqrt((n / tot) * (1 - n / tot)), 6) FROM (
-  SELECT 'ocupacion_' || ocupacion AS f, count(*) AS n, (SELECT count(*)::DOUBLE FROM t) AS tot FROM t
-  WHERE ocupacion > (SELECT min(ocupacion) FROM t) GROUP BY 1)""")
+@query("p20_design_stats", PANEL_SQL + f", t AS (SELECT * FROM panel WHERE mes <= {TRAIN_THROUGH}) SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM t" for c in NUMERIC_COLUMNS]
+    + [f"""SELECT f, round(n / tot, 6), round(sqrt((n / tot) * (1 - n / tot)), 6) FROM (
+  SELECT '{c}_' || {c} AS f, count(*) AS n, (SELECT count(*)::DOUBLE FROM t) AS tot FROM t WHERE {c} > (SELECT min({c}) FROM t) GROUP BY 1)"""
+       for c in CATEGORICAL_COLUMNS]) + ") WHERE std > 0")
 def design_stats(spark, sf_dir):
     train = panel(spark, sf_dir).where(F.col("mes") <= TRAIN_THROUGH)
-    return rounded(E.design_stats(train, ["edad", "ingresos"], ["ocupacion"]), 6)
+    return rounded(E.design_stats(train, NUMERIC_COLUMNS, CATEGORICAL_COLUMNS), 6)
 
 
 @query("p21_cell_key", PANEL_SQL + f"""
@@ -319,10 +316,10 @@ def rank_all_columns(spark, sf_dir):
 COHORT_SQL = PANEL_SQL + ", co AS (SELECT *, min(mes) OVER (PARTITION BY id_cliente) AS cohort FROM panel)"
 
 
-@query("w10_cohort_ranks", COHORT_SQL + f"""
-SELECT {K}, round({rank_sql('ingresos', 'cohort, mes')}, 9) AS cohort_rk_ingresos, round({rank_sql('edad', 'cohort, mes')}, 9) AS cohort_rk_edad FROM co""")
+@query("w10_cohort_ranks", COHORT_SQL + f"SELECT {K}, " + ", ".join(
+    f"round({rank_sql(c, 'cohort, mes')}, 9) AS cohort_rk_{c}" for c in NUMERIC_COLUMNS) + " FROM co")
 def cohort_ranks(spark, sf_dir):
-    return rounded(H.cohort_ranks(panel(spark, sf_dir), ["ingresos", "edad"]))
+    return rounded(H.cohort_ranks(panel(spark, sf_dir), NUMERIC_COLUMNS))
 
 
 @query("w11_cohort_survival", COHORT_SQL + f"""
@@ -341,7 +338,9 @@ def risk_intervals(spark, sf_dir):
     return H.risk_intervals(panel(spark, sf_dir).select(*KEYS, "objetivo"))
 
 
-PAIRS = ["ocupacion", "banda_riesgo", "ocupacion__banda_riesgo"]
+# The five categories and their ten pairs.
+TE_KEYS = {c: c for c in CATEGORICAL_COLUMNS} | {
+    f"{a}__{b}": f"{a} || '|' || {b}" for a, b in combinations(CATEGORICAL_COLUMNS, 2)}
 
 
 def te_sql(name: str, key: str, source: str = "panel") -> str:
@@ -354,15 +353,12 @@ def te_sql(name: str, key: str, source: str = "panel") -> str:
 @query("w14_causal_target_encoding", PANEL_SQL + f""",
 pr AS (SELECT mes, sum(y) OVER w / sum(n) OVER w AS prior FROM (SELECT mes, CAST(sum(objetivo) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM panel GROUP BY 1)
   WINDOW w AS (ORDER BY mes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-{te_sql('t1', 'ocupacion')}, {te_sql('t2', 'banda_riesgo')}, {te_sql('t3', "ocupacion || '|' || banda_riesgo")}
-SELECT id_cliente, panel.mes, round((t1_b.yb + 50 * prior) / (t1_b.nb + 50), 9) AS te_ocupacion,
-  round((t2_b.yb + 50 * prior) / (t2_b.nb + 50), 9) AS te_banda_riesgo, round((t3_b.yb + 50 * prior) / (t3_b.nb + 50), 9) AS te_ocupacion__banda_riesgo
-FROM panel JOIN pr ON panel.mes = pr.mes JOIN t1_b ON t1_b.g = ocupacion AND t1_b.mes = panel.mes JOIN t2_b ON t2_b.g = banda_riesgo AND t2_b.mes = panel.mes
-JOIN t3_b ON t3_b.g = ocupacion || '|' || banda_riesgo AND t3_b.mes = panel.mes""")
+{", ".join(te_sql(f"t{i}", key) for i, key in enumerate(TE_KEYS.values()))}
+SELECT id_cliente, panel.mes, {", ".join(f"round((t{i}_b.yb + 50 * prior) / (t{i}_b.nb + 50), 9) AS te_{name}" for i, name in enumerate(TE_KEYS))}
+FROM panel LEFT JOIN pr ON panel.mes = pr.mes {" ".join(f"LEFT JOIN t{i}_b ON t{i}_b.g = {key} AND t{i}_b.mes = panel.mes" for i, key in enumerate(TE_KEYS.values()))}""")
 def target_encoding(spark, sf_dir):
-    """W14 and J7."""
-    keys = X.pair_keys(["ocupacion", "banda_riesgo"])
-    return rounded(E.causal_target_encoding(panel(spark, sf_dir), keys))
+    """Every category and every pair."""
+    return rounded(E.causal_target_encoding(panel(spark, sf_dir), X.pair_keys(CATEGORICAL_COLUMNS)))
 
 
 @query("w15_min_rank_position", SCORES_SQL + f"""

@@ -146,19 +146,28 @@ def identifier_gate(spark, sf_dir):
     return I.gate(temporal, held, cohorts)
 
 
+INNER = (199809, 199810, 199811, 199812)
+
+
 @query("b9_conclusive_winner", SCORES_SQL + "," + boot_sql("valid") + f""",
-w2 AS (SELECT replicate, model, objetivo, score, weight FROM vlong JOIN bw USING (id_cliente) WHERE model IN ('m1', 'm2')),
+il AS (SELECT * FROM long WHERE mes IN {INNER}), {gini_sql('il', 'model, mes', name='ig')},
+fin AS (SELECT model, row_number() OVER (ORDER BY avg(gini) DESC, model) AS place FROM ig GROUP BY model),
+cha AS (SELECT model FROM fin WHERE place = 1), run AS (SELECT model FROM fin WHERE place = 2),
+w2 AS (SELECT replicate, model, objetivo, score, weight FROM vlong JOIN bw USING (id_cliente)),
 {gini_sql('w2', 'replicate, model', weight='weight', name='dg')}, {gini_sql('vlong', 'model', name='og')},
-h AS (SELECT *, min(mes) OVER (PARTITION BY id_cliente) < mes AS rec FROM scores), hv AS (SELECT * FROM h WHERE mes IN (199901, 199902, 199903)),
-{gini_sql('hv', 'mes', 'm1', name='pg')}, {gini_sql('hv', 'rec', 'm1', name='cg')},
-q AS (SELECT (SELECT max(gini) FILTER (model = 'm1') - max(gini) FILTER (model = 'm2') FROM og) AS delta_gini,
-  (SELECT quantile_cont(x.gini - y.gini, 0.025) FROM dg x JOIN dg y USING (replicate) WHERE x.model = 'm1' AND y.model = 'm2') AS ci95_low)
-SELECT round(delta_gini, 9) AS delta_gini, round(ci95_low, 9) AS ci95_low, CASE WHEN ci95_low > 0 AND (SELECT min(gini) > 0 FROM pg)
-  AND (SELECT min(gini) >= 0 FROM cg) THEN 'conclusive_winner' ELSE 'no_conclusive_winner' END AS status FROM q""")
+hv AS (SELECT l.*, min(mes) OVER (PARTITION BY id_cliente) < mes AS rec FROM long l WHERE model = (FROM cha)),
+hw AS (SELECT * FROM hv WHERE mes IN (199901, 199902, 199903)),
+{gini_sql('hw', 'mes', name='pg')}, {gini_sql('hw', 'rec', name='cg')},
+q AS (SELECT (SELECT gini FROM og WHERE model = (FROM cha)) - (SELECT gini FROM og WHERE model = (FROM run)) AS delta_gini,
+  (SELECT quantile_cont(x.gini - y.gini, 0.025) FROM dg x JOIN dg y USING (replicate) WHERE x.model = (FROM cha) AND y.model = (FROM run)) AS ci95_low)
+SELECT (FROM cha) AS champion, (FROM run) AS runner_up, round(delta_gini, 9) AS delta_gini, round(ci95_low, 9) AS ci95_low, CASE WHEN ci95_low > 0
+  AND (SELECT min(gini) > 0 FROM pg) AND (SELECT min(gini) >= 0 FROM cg) THEN 'conclusive_winner' ELSE 'no_conclusive_winner' END AS status FROM q""")
 def conclusive_winner(spark, sf_dir):
-    df = add_history(scores(spark, sf_dir)).where(F.col("mes").isin(VALID_MONTHS))
-    delta = I.pooled_delta(df, "m1", "m2", R, SEED)
-    return rounded(I.winner_status(delta, M.metric_slices(df, "mes", "cliente_recurrente", "m1")))
+    """The two best of the inner months meet on the holdout months."""
+    df = add_history(scores(spark, sf_dir))
+    inner = M.auc_table(long_scores(df.where(F.col("mes").isin(*INNER)), MODELS), ["model", "mes"])
+    means = inner.groupBy("model").agg(F.avg("gini").alias("mean_gini")).withColumn("eligible", F.lit(True))
+    return rounded(I.outer_winner(means, df.where(F.col("mes").isin(VALID_MONTHS)), "cliente_recurrente", R, SEED))
 
 
 @query("b10_promotion_label", SCORES_SQL + f""",

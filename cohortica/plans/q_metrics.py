@@ -9,6 +9,7 @@ from cohortica.operators import metrics as M
 from cohortica.plans.panel import (PANEL_SQL, SCORES_SQL, gini_sql, long_scores, panel, scores,
                                    valid_scores, with_scores)
 from cohortica.plans.registry import query
+from cohortica.spec import NUMERIC_COLUMNS
 
 MODELS = ["m1", "m2", "m3"]
 
@@ -102,7 +103,7 @@ def weighted_gini(spark, sf_dir):
     return M.auc_table(long, ["model", "mes"], weight="w").select("model", "mes", r9("gini"))
 
 
-SCREEN = ["edad", "ingresos", "numero_productos", "saldo_promedio", "dias_ultima_transaccion"]
+SCREEN = NUMERIC_COLUMNS
 
 
 @query("a23_univariate_screen", PANEL_SQL + ", u AS (" + " UNION ALL ".join(

@@ -131,7 +131,7 @@ def rule_logistic(spark, sf_dir):
     return metrics(MOD.rolling_oof(df, CUTS, MOD.ModelSpec("rules", "rules", tuple(rules))))
 
 
-NB_COLS = ["ocupacion", "canal_adquisicion", "dispositivo_principal"]
+NB_COLS = list(CAT)
 
 
 def nb_sql(group: str) -> str:

@@ -17,8 +17,9 @@ from cohortica.plans.q_contracts import TRAIN_SCORE_SQL, raw_months, train_score
 from cohortica.plans.q_features import ENTITY_WINDOW, KEYS, K, edges_sql, rounded
 from cohortica.plans.q_metrics import rank_sql
 from cohortica.plans.registry import query
+from cohortica.spec import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS
 
-NUMS = ["edad", "ingresos", "saldo_promedio", "dias_ultima_transaccion"]
+NUMS = NUMERIC_COLUMNS
 
 
 # ------------------------------------------------------------------ joins
@@ -142,9 +143,9 @@ def variability(spark, sf_dir):
 
 @query("a7_category_rates", PANEL_SQL + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n_rows, CAST(sum(objetivo) AS BIGINT) AS events, round(avg(objetivo), 9) AS rate FROM panel GROUP BY {c}"
-    for c in ("ocupacion", "region", "banda_riesgo")))
+    for c in CATEGORICAL_COLUMNS))
 def category_rates(spark, sf_dir):
-    return rounded(P.category_rates(panel(spark, sf_dir), ["ocupacion", "region", "banda_riesgo"], "objetivo"))
+    return rounded(P.category_rates(panel(spark, sf_dir), CATEGORICAL_COLUMNS, "objetivo"))
 
 
 def describe_sql(column: str, by: str = "") -> str:
@@ -159,9 +160,9 @@ def describe(spark, sf_dir):
     return rounded(P.describe(panel(spark, sf_dir), NUMS), 4)
 
 
-@query("a8_describe_by_band", PANEL_SQL + " UNION ALL ".join(describe_sql(c, "banda_riesgo") for c in NUMS[:2]))
+@query("a8_describe_by_band", PANEL_SQL + " UNION ALL ".join(describe_sql(c, "banda_riesgo") for c in NUMS))
 def describe_by_band(spark, sf_dir):
-    return rounded(P.describe(panel(spark, sf_dir), NUMS[:2], ["banda_riesgo"]), 4)
+    return rounded(P.describe(panel(spark, sf_dir), NUMS, ["banda_riesgo"]), 4)
 
 
 def modal_sql(c: str) -> str:
