@@ -81,24 +81,6 @@ def logistic_probabilities(spark, sf_dir):
     return rounded(MOD.rolling_oof(frame(spark, sf_dir), CUTS, LOGISTIC).select(*KEYS, "prediccion"), 6)
 
 
-def binned_sql(bins: int, crossed: bool) -> str:
-    """Bins from the inner quantiles of each cut's training rows; crossed ones are named by band."""
-    cells = ", ".join(f"CAST({c} AS DOUBLE)" for c in NUM)
-    probs = ", ".join(f"{i / bins}" for i in range(bins + 1))
-    names = "banda_riesgo || '_' ||" if crossed else ""
-    cats = ["banda_riesgo"] if crossed else list(CAT)
-    return f"""br AS (SELECT month AS cut, mes <> month AS train, 1.0::DOUBLE AS w, id_cliente, mes, objetivo, {NAMES}, [{cells}] AS raw
-  FROM panel JOIN cuts ON mes = month OR mes <= through),
-be AS (SELECT cut, i, list_sort(list_distinct(quantile_cont(v, [{probs}]))) AS e FROM
-  (SELECT cut, unnest(raw) AS v, unnest(range(1, {len(NUM) + 1})) AS i FROM br WHERE train) GROUP BY cut, i),
-bl AS (SELECT cut, list(CASE WHEN len(e) > 2 THEN e[2:len(e) - 1] ELSE [e[1] + 1.0] END ORDER BY i) AS e FROM be GROUP BY cut),
-bb AS (SELECT br.*, list_transform(raw, lambda v, i: {names} i::VARCHAR || '_' || len(list_filter(e[i], lambda q: q <= v))::VARCHAR) AS bins FROM br JOIN bl USING (cut)),
-bv AS (SELECT *, list_concat(bins, [{', '.join(f"'{c}_' || {c}" for c in cats)}]) AS vs FROM bb),
-vl AS (SELECT cut, list_sort(list(DISTINCT v)) AS vocabulary FROM (SELECT cut, unnest(vs) AS v FROM bv WHERE train) GROUP BY cut),
-ly AS (SELECT bv.*, objetivo AS y, list_prepend(1.0::DOUBLE, list_transform(range(1, (SELECT max(len(vocabulary)) FROM vl) + 1),
-  lambda k: CASE WHEN k <= len(vocabulary) AND list_contains(vs, vocabulary[k]) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS x FROM bv JOIN vl USING (cut))"""
-
-
 BINNED = MOD.ModelSpec("binned_logistic", "binned_logistic", NUM, CAT, {"C": 0.1, "bins": 10})
 CROSSED = MOD.ModelSpec("crossed_logistic", "crossed_logistic", NUM, ("banda_riesgo",), {"C": 0.05, "bins": 4})
 
