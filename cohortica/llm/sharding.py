@@ -4,7 +4,8 @@ Records are ordered by a hash of the text, so equal texts are neighbours. A samp
 which a row's chance grows with its size gives quantile boundaries for many fine ranges
 per shard. Exact sizes of all fine ranges then decide: ranges that came out overfull are
 sampled again and subdivided, a single text whose copies outweigh half a shard is
-subdivided by ``doc_id``, and runs of neighbouring ranges of near equal bytes become the
+subdivided by ``doc_id``, a range of more than ``rows_per_range`` rows is numbered in parts (a
+million copies of an empty text weigh little and yet fill a task), and runs of neighbouring ranges of near equal bytes become the
 shards. Only range totals (a bounded number) reach the driver; texts are read once and
 rows move once, without their text.
 
@@ -52,7 +53,7 @@ def splitters(sample: list[tuple[int, float]], target: float) -> set[int]:
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
-          seed: int = 17) -> DataFrame:
+          seed: int = 17, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row (law ``bytes``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = kept(docs.select(
@@ -60,15 +61,15 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")), "sizes")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = max(shards * RANGES_PER_SHARD, -(-count // ROWS_PER_RANGE))
+    ranges = max(shards * RANGES_PER_SHARD, -(-count // rows_per_range))
     target = max(total / ranges, 1.0)
     bounds = splitters(_draw(rows, target / SAMPLES_PER_RANGE, seed), target)
     for turn in range(ROUNDS):
         cut = sorted(bounds)
         placed = rows.withColumn("fine", range_index(F.col("key"), cut))
-        over = [r for r in placed.groupBy("fine").agg(
-            F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last")).collect()
-            if r["bytes"] > FULL * target]
+        sized = sorted(placed.groupBy("fine").agg(
+            F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last")).collect())
+        over = [r for r in sized if r["bytes"] > FULL * target]
         mixed = [r["fine"] for r in over if r["first"] != r["last"]]
         if not mixed:
             break
@@ -77,15 +78,24 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         bounds |= splitters(_draw(inside, target / SAMPLES_PER_RANGE / 4, seed + turn + 1), target / 2)
         if len(bounds) == before:
             break
-    alone = [(r["fine"], -(-r["bytes"] // int(target))) for r in over
-             if r["first"] == r["last"] and r["bytes"] > GROUP_SHARE * total / shards]
-    sub = F.lit(0)
-    for fine, parts in alone:
-        sub = F.when(F.col("fine") == fine, F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).otherwise(sub)
+    sub, together = F.lit(0), set()
+    for r in sized:
+        one = r["first"] == r["last"]
+        split = one and r["bytes"] > GROUP_SHARE * total / shards        # a text that must span shards
+        parts = max(-(-r["bytes"] // int(target)) if split else 1, -(-r["n"] // rows_per_range))
+        if parts > 1:                                                    # also many short rows, which bytes do not show
+            salt = F.xxhash64("doc_id") if one else F.xxhash64("key", F.lit(seed))
+            sub = F.when(F.col("fine") == r["fine"], F.pmod(salt, F.lit(parts)).cast("int")).otherwise(sub)
+            if not split:
+                together.add(r["fine"])
     placed = placed.withColumn("sub", sub)
-    units, filled, slot = [], 0, {}
+    units, filled, slot, place = [], 0, {}, {}
+    for r in sized:                                                      # the middle of a range that stays together
+        place[r["fine"]] = min(shards - 1, int((filled + r["bytes"] / 2) * shards / total))
+        filled += r["bytes"]
+    filled = 0
     for r in sorted(placed.groupBy("fine", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()):
-        to = min(shards - 1, int((filled + r["bytes"] / 2) * shards / total))
+        to = place[r["fine"]] if r["fine"] in together else min(shards - 1, int((filled + r["bytes"] / 2) * shards / total))
         units.append((r["fine"], r["sub"], to, slot.get(to, 0)))
         filled += r["bytes"]
         slot[to] = slot.get(to, 0) + r["n"]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortica.llm import sketch
 from cohortica.llm.quality import quality
+from cohortica.llm.sharding import shard
 
 
 def test_a_passage_is_common_in_large_and_small_hosts_alike(spark):
@@ -38,3 +39,18 @@ def test_sums_of_cells_pass_32_bits(spark):
     out = sketch.merge(rows, kinds, {0: 128, 64: 128})
     assert out[0][0] == out[0][77] == 3 * int(near) and out[0].dtype == np.int64
     assert out[64][3] == 9 and out[64].dtype == np.int32
+
+
+def test_many_short_rows_are_numbered_in_parts(spark):
+    """20,000 empty texts stay in one shard and are numbered by several tasks; slots have no gap."""
+    long = F.concat(F.repeat(F.lit("text "), 400), F.col("id").cast("string"))
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_000, "").otherwise(long).alias("text"))
+    out = shard(docs, 8, rows_per_range=1_000)
+    assert "sub" in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    slots, load = {}, {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in rows if r.doc_id < 20_000}) == 1 and max(load.values()) < 1.5 * sum(load.values()) / 8
