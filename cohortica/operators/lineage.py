@@ -35,11 +35,11 @@ def _marked(column: str) -> Column:
     return F.when(text.isNull(), "-").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
 
-def build_manifest(spark: SparkSession, run: str, sections: dict[str, str]) -> DataFrame:
+def build_manifest(spark: SparkSession, run: str, sections: dict[str, str], pattern: str = "*") -> DataFrame:
     """File records of every section's folder (L2)."""
     out = None
     for section, path in sections.items():
-        part = file_records(spark, path).select(
+        part = file_records(spark, path, pattern).select(
             F.lit(run).alias("run"), F.lit(section).alias("section"), "path", "bytes", "sha256")
         out = part if out is None else out.unionByName(part)
     return out
@@ -74,6 +74,19 @@ def verify_files(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return manifest.join(now, "path", "left").select(*manifest.columns, problem.alias("status"))
 
 
+def top_name(spark: SparkSession, folder: str) -> Column:
+    """File or folder directly under ``folder`` that holds ``path``: a table written by Spark is a folder of files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return F.split(F.substring("path", len(root.rstrip("/")) + 2, 1 << 20), "/")[0]
+
+
+def worst_status() -> Column:
+    """Aggregate over `verify_files` rows: the first of missing, size mismatch, checksum mismatch that occurs, else ``ok``."""
+    seen = [F.max(F.when(F.col("status") == s, s)) for s in ("missing", "size mismatch", "checksum mismatch")]
+    return F.coalesce(*seen, F.lit("ok"))
+
+
 def require_intact(manifest: DataFrame, actual: DataFrame) -> None:
     bad = verify_files(manifest, actual).where(F.col("status") != "ok").limit(20).collect()
     if bad:

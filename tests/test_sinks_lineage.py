@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortica.operators import lineage as L
 from cohortica.operators.contracts import ContractViolation
+from cohortica.plans.q_lineage import verify_files
 from cohortica.sources import readers as R
 from cohortica.sources import sinks as K
 
@@ -81,6 +82,16 @@ def test_manifest_detects_tampering(spark, tmp_path):
         L.require_intact(manifest, R.file_records(spark, str(folder)))
 
 
+def test_tables_of_many_files_are_verified_by_name(spark, tmp_path):
+    for table in ("orders", "part", "nation", "region"):
+        spark.range(9).repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    (tmp_path / "about.txt").write_text("no table")
+    spark.range(3).toPandas().to_parquet(tmp_path / "events.parquet")
+    got = [tuple(r) for r in verify_files(spark, str(tmp_path)).select("file", "status").orderBy("file").collect()]
+    assert got == [("events.parquet", "ok"), ("nation.parquet", "size mismatch"), ("orders.parquet", "ok"),
+                   ("part.parquet.gone", "missing"), ("region.parquet", "checksum mismatch")]
+
+
 def test_resume_runs_only_pending_folds(spark):
     wanted = spark.createDataFrame([("m", 1, "x"), ("m", 2, "x"), ("m", 3, "x")], "model string, fold int, identity string")
     state = spark.createDataFrame(
