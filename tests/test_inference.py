@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortica.operators import inference as I
 from cohortica.operators.metrics import require_both_classes
-from cohortica.operators.replicates import Ordered
+from cohortica.operators.replicates import Ordered, packed_weights
 from cohortica.spec import PanelSpec
 from tests.test_metrics import auc
 
@@ -186,3 +188,18 @@ def test_best_row_keeps_one_row_a_group(spark):
                                "g string, name string, m double")
     assert {(r.g, r.name) for r in I.best_row(df, "m", ["name"], ["g"]).collect()} == {("x", "a"), ("y", "d"), ("z", "e")}
     assert I.best_row(df, "m", ["name"]).first().name == "a" and I.best_row(df.where("g = 'q'"), "m", ["name"]).count() == 0
+
+
+def test_a_task_holds_few_draws(spark, monkeypatch):
+    entities = spark.range(2500).withColumnRenamed("id", "id_cliente")
+    kind, caught = type(entities), []
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: caught.append(f) or real(df, f, schema))
+    packed_weights(entities, 1000, 1)
+    tracemalloc.start()
+    try:
+        packs = list(caught[0](iter([pa.RecordBatch.from_pydict({"_pos": list(range(2500))})])))
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+    finally:
+        tracemalloc.stop()
+    assert sum(len(p) for batch in packs for p in batch.column(1).to_pylist()) == 4 * 2500 * 1000
