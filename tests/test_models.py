@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from cohortica.operators import models as MOD
+from cohortica.operators import models as MOD, shared_fits
 from cohortica.operators.logistic import fit_logistic
 
 CUTS = [(202603, 202604), (202604, 202605)]
@@ -130,3 +130,30 @@ def test_crossed_design_gives_each_band_its_own_bins(panel):
         spec = MOD.ModelSpec(kind, kind, ("x",), ("c",), {"bins": 5, "C": 1.0})
         gini[kind] = MOD.fold_metrics(MOD.rolling_oof(flipped, CUTS[:1], spec)).first().gini
     assert gini["crossed_logistic"] > gini["binned_logistic"] + 0.05
+
+
+def test_all_fits_of_a_runner_share_their_passes(spark, panel, monkeypatch):
+    """Nine fits take the passes of one, and each has the optimum that it has alone."""
+    passes, real = [], shared_fits.keyed_sums
+    monkeypatch.setattr(shared_fits, "keyed_sums", lambda *a: passes.append(1) or real(*a))
+    MOD.learning_curve(panel, CUTS, LOGIT, [0.5, 1.0], [1, 2, 3, 4])
+    assert 0 < len(passes) < 20
+    spec = MOD.ModelSpec("decay", "logistic", ("x", "z"), ("c",), half_life=2.0)
+    for kind in (LOGIT, spec, MOD.ModelSpec("bins", "binned_logistic", ("x", "z"), ("c",), {"bins": 5}),
+                 MOD.ModelSpec("crossed", "crossed_logistic", ("x", "z"), ("c",), {"bins": 3})):
+        got = {r.id_cliente: r.prediccion for r in MOD.rolling_oof(panel, CUTS, kind).collect()}
+        for through, valid in CUTS:
+            train = MOD.training_rows(panel, through, kind)
+            alone = MOD.fit_score(train, panel.where(F.col("mes") == valid), kind, "_weight" if kind.half_life else None)
+            assert all(got[r.id_cliente] == pytest.approx(r.prediccion, abs=1e-9) for r in alone.collect())
+
+
+def test_missing_numbers_of_a_shared_fit_are_an_error(panel):
+    with pytest.raises(Exception, match="NULL or NaN"):
+        MOD.rolling_oof(panel.withColumn("x", F.when(F.col("id_cliente") != 5, F.col("x"))), [(202605, 202604)], LOGIT)
+
+
+def test_equal_rows_tie_wherever_they_are(spark, panel):
+    twice = panel.unionByName(panel.withColumn("id_cliente", F.col("id_cliente") + 1000))
+    oof = MOD.rolling_oof(twice, CUTS[:1], LOGIT)
+    assert oof.select("prediccion").distinct().count() == panel.where("mes = 202604").count() == oof.count() // 2
