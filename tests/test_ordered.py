@@ -107,3 +107,14 @@ def test_many_ranges_carry_sums_maxima_and_totals_over_null_keys(data):
     assert (got.s.to_numpy() == group.cumsum().to_numpy()).all()
     assert (got.m.to_numpy() == group.cummax().to_numpy()).all()
     assert (got.t.to_numpy() == group.transform("sum").to_numpy()).all() and len(got) == len(pdf)
+
+
+def test_ranks_of_several_columns_are_not_regrouped(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 2).alias("m"), F.lit(1).alias("hot"),
+                                   F.when(F.col("id") % 10 > 0, F.col("id") * 7 % 101).alias("x"))
+    out = pct_ranks(rows, ["id"], ["m"], ["hot", "x"])
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, pdf = out.toPandas().set_index("id").sort_index(), rows.toPandas().set_index("id")
+    for c in ("hot", "x"):
+        want = pdf.groupby("m")[c].rank(pct=True)
+        assert np.allclose(got[f"rk_{c}"], want, equal_nan=True)
