@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from cohortica.functions import ordered
 from cohortica.functions.ordered import (add_ranks, lookup_positions, pct_rank, pct_ranks, prefix_tree, quantiles,
                                          row_numbers, running)
 
@@ -109,7 +110,9 @@ def test_many_ranges_carry_sums_maxima_and_totals_over_null_keys(data):
     assert (got.t.to_numpy() == group.transform("sum").to_numpy()).all() and len(got) == len(pdf)
 
 
-def test_ranks_of_several_columns_are_not_regrouped(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_ranks_of_several_columns_are_not_regrouped(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "_SMALL_TABLE", small)
     rows = spark.range(400).select("id", (F.col("id") % 2).alias("m"), F.lit(1).alias("hot"),
                                    F.when(F.col("id") % 10 > 0, F.col("id") * 7 % 101).alias("x"))
     out = pct_ranks(rows, ["id"], ["m"], ["hot", "x"])
