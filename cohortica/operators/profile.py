@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortica.functions.features import cell_key
-from cohortica.functions.ordered import pct_ranks, quantiles_wide, safe_corr
+from cohortica.functions.ordered import pct_rank, quantiles_wide, safe_corr
 from cohortica.operators.encoding import bin_edges, bin_index
 from cohortica.operators.history import months_in_panel, period_gap
 from cohortica.spec import DEFAULT, PanelSpec
@@ -147,7 +147,9 @@ def collapse_entities(df: DataFrame, static: Sequence[str], spec: PanelSpec = DE
 def spearman_matrix(df: DataFrame, columns: Sequence[str], row_key: Sequence[str],
                     threshold: float | None = None) -> DataFrame:
     """Rank correlation of every column pair (A15): ranks in one pass, all pairs in one aggregate."""
-    ranks = pct_ranks(df, row_key, [], columns, prefix="")
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    ranked = pct_rank(df.select(*row_key, F.posexplode(values).alias("_column", "_value")), ["_column"], "_value", "_rank")
+    ranks = ranked.groupBy(*row_key).agg(*[F.max(F.when(F.col("_column") == i, F.col("_rank"))).alias(c) for i, c in enumerate(columns)])
     pairs = list(combinations(columns, 2))
     wide = ranks.agg(*[safe_corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     entry = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("spearman"))
