@@ -51,6 +51,36 @@ def test_other_models_rank_better_than_chance(panel, spec):
     assert MOD.fold_metrics(MOD.rolling_oof(panel, CUTS[:1], spec)).first().gini > 0.2
 
 
+def test_tree_fits_read_the_panel_once(spark, panel):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    gbt = MOD.ModelSpec("gbt", "gbt", ("x", "z"), ("c",), {"maxIter": 2, "maxDepth": 2})
+    df = panel.coalesce(2).withColumn("x", F.udf(seen, "double")("x"))
+    assert 1 <= MOD.select_iterations(df, [(202602, 202603), *CUTS], gbt) <= 2
+    assert read.value == 900                                              # once, not once a fold and stage
+    MOD.rolling_oof(df, CUTS, gbt).count()
+    assert read.value == 2 * 900
+
+
+def test_shared_tree_rows_give_the_trees_of_single_fits(panel):
+    df = panel.coalesce(3).withColumn("c", F.when((F.col("mes") == 202604) & (F.col("z") > 0), "a0").otherwise(F.col("c")))
+    gbt = MOD.ModelSpec("gbt", "gbt", ("x", "z"), ("c",), {"maxIter": 2, "maxDepth": 3}, seeds=(1,))
+    shared = {tuple(r) for r in MOD.rolling_oof(df, CUTS, gbt).select("id_cliente", "mes", F.round("prediccion", 12)).collect()}
+    single = set()
+    for through, month in CUTS:                                           # the first fit has never seen a0
+        part = MOD.fit_score(df.where(F.col("mes") <= through), df.where(F.col("mes") == month), gbt)
+        single |= {tuple(r) for r in part.select("id_cliente", "mes", F.round("prediccion", 12)).collect()}
+    assert shared == single
+    oof, rounds = MOD.selected_rounds_oof(df, [(202602, 202603)], CUTS, gbt, "chosen")
+    assert rounds == MOD.select_iterations(df, [(202602, 202603)], gbt) and {r.model for r in oof.collect()} == {"chosen"}
+    wide = MOD.ModelSpec("wide", "gbt", ("x", "z"), ("c",), {"maxIter": 1, "maxDepth": 2, "maxBins": 4}, seeds=(1,))
+    assert MOD.rolling_oof(df, CUTS, wide).count() == len(shared)         # more levels than bins: fits keep their own codes
+
+
 def naive(train, rows, cols, unseen_first=False):
     out = []
     for _, r in rows.iterrows():
