@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortica.operators import models as MOD, shared_fits
 from cohortica.operators.logistic import fit_logistic
+from cohortica.plans import q_models
 
 CUTS = [(202603, 202604), (202604, 202605)]
 LOGIT = MOD.ModelSpec("logit", "logistic", ("x", "z"), ("c",), {"C": 1.0, "maxIter": 50})
@@ -187,3 +188,23 @@ def test_equal_rows_tie_wherever_they_are(spark, panel):
     twice = panel.unionByName(panel.withColumn("id_cliente", F.col("id_cliente") + 1000))
     oof = MOD.rolling_oof(twice, CUTS[:1], LOGIT)
     assert oof.select("prediccion").distinct().count() == panel.where("mes = 202604").count() == oof.count() // 2
+
+
+def test_selected_rounds_are_where_the_inner_folds_stop(spark, monkeypatch):
+    """A signal that five shallow trees cannot hold: every inner fold stops by its validation loss, not by a limit."""
+    rng = np.random.default_rng(6)
+    n = 1500
+    pdf = pd.DataFrame({"id_cliente": np.arange(n), "mes": rng.choice([*range(199801, 199813), 199901, 199902, 199903], n)})
+    for c in q_models.NUM:
+        pdf[c] = rng.normal(size=n)
+    for c in q_models.CAT:
+        pdf[c] = rng.choice(list("ab"), n)
+    z = 2 * pdf.edad + 2 * pdf.ingresos + 2 * pdf.saldo_promedio - 1
+    pdf["objetivo"] = (rng.random(n) < 1 / (1 + np.exp(-z))).astype(int)
+    df = spark.createDataFrame(pdf).coalesce(2)
+    monkeypatch.setattr(q_models, "frame", lambda *_: df)
+    monkeypatch.setattr(q_models, "INNER_FOLDS", q_models.INNER_FOLDS[:1])
+    out = q_models.iteration_selection(spark, "").collect()
+    assert {r.mes for r in out} == {199901, 199902, 199903}
+    rounds = {r.rounds for r in out}
+    assert len(rounds) == 1 and 5 < rounds.pop() < q_models.STOPPED.params["maxIter"]
