@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortica.functions.features import known_category
@@ -117,7 +117,11 @@ def keyed_sums(rows: DataFrame, states: Callable[[pa.RecordBatch], Iterator[tupl
 
 @dataclass(frozen=True)
 class Packed:
-    """Kept blocks ``(n, x, y, stop)`` of rows in tenure order, each column one byte string, and the number of partitions."""
+    """Blocks ``(n, x, y, stop)`` of rows in tenure order, each column one byte string, and the number of partitions.
+
+    They are kept on the executors' disks: a pass reads them once, in order, and the fits of several cuts
+    run side by side, so in memory they would take all that an executor has.
+    """
 
     blocks: DataFrame
     parts: int
@@ -143,7 +147,7 @@ def packed(rows: DataFrame) -> Packed:
                     pa.array([v.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for v in values]], ["n", "x", "y", "stop"])
 
     spread = typed.repartition(parts, F.xxhash64("x", "stop", "y")).sortWithinPartitions("stop")
-    return Packed(spread.mapInArrow(pack, "n int, x binary, y binary, stop binary").persist(), parts)
+    return Packed(spread.mapInArrow(pack, "n int, x binary, y binary, stop binary").persist(StorageLevel.DISK_ONLY), parts)
 
 
 def tenure_sums(rows: DataFrame | Packed, part: Callable[[np.ndarray, np.ndarray, int], np.ndarray], merge: _Merge) -> dict[int, np.ndarray]:
@@ -270,7 +274,7 @@ def fit_cloglog(intervals: DataFrame, design: Design, label: str = "objetivo", m
 
 
 def _design_rows(intervals: DataFrame, design: Design, label: str) -> Packed:
-    rows = intervals.select(design.array().alias("x"), F.col(label).cast("double").alias("y"), "stop").persist()
+    rows = intervals.select(design.array().alias("x"), F.col(label).cast("double").alias("y"), "stop").persist(StorageLevel.DISK_ONLY)
     try:
         out = packed(rows)
         out.blocks.count()                                              # the blocks are kept before their rows go

@@ -131,3 +131,21 @@ def test_cox_sums_do_not_overflow_for_large_predictors(spark):
     assert loss == pytest.approx((2 * (805 + np.log(e.sum())) - (800 - 900)) / 2)
     mean = (e * eta).sum() / e.sum()
     assert grad[0] == pytest.approx(mean - (800 - 900) / 2) and hess[0, 0] == pytest.approx((e * eta**2).sum() / e.sum() - mean**2, rel=1e-6)
+
+
+def test_rows_of_a_fit_are_kept_on_disk(spark, panel, monkeypatch):
+    """Neither the design rows nor their blocks fill the executors' memory, however many rows there are."""
+    train = H.risk_intervals(panel)
+    design, seen, real = S.fit_design(train, ["x"], ["band"]), [], S.packed
+
+    def spy(rows):
+        seen.append(rows.storageLevel)
+        out = real(rows)
+        seen.append(out.blocks.storageLevel)
+        return out
+
+    monkeypatch.setattr(S, "packed", spy)
+    beta = S.fit_cox(train, design)
+    assert len(seen) == 2 and all(level.useDisk and not level.useMemory for level in seen)
+    assert beta == pytest.approx(S.newton(lambda b: (lambda v, g, h: (v, g, np.linalg.solve(h, g)))(*S.cox_loss_gradient(
+        train.select(design.array().alias("x"), F.col("objetivo").alias("y"), "stop"), b)), np.zeros(2), 30, 1e-9), abs=1e-9)
